@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 SAMPLE_DOCS, DICT_BYTES, MAX_LANGS = 400, 110_000, 400
 #: Letters that are compressed at once: the dictionary's help must not be drowned by the text's own repetition.
 CHUNK = 1500
+#: Levels of a first pass and of a closer look at texts whose first margin is below CLOSE.
+LEVELS, CLOSE = (3, 9), 0.1
 #: Below this share of saved bytes between the best two languages a text is rejected.
 MIN_MARGIN = 0.002
 _NOISE = re.compile(r"[\W\d_]+")
@@ -26,45 +28,52 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """At most ``per_lang`` documents (``lang, text``) of each language, those with the smallest hash of their text.
 
     Counts by language set a threshold on the hash, so that a language with most of the rows sends about four times
-    ``per_lang`` rows to the ranking, however many it has. Rows without text or lang take no part.
+    ``per_lang`` rows to the ranking, however many it has. Rows without text or lang take no part. ``n_lang`` is the
+    language's count over all rows, by which ties between languages are settled later.
     """
     d = docs.where("lang is not null and text is not null").select("lang", "text", (F.xxhash64("text").bitwiseAND(2**62 - 1) / 2.0**62).alias("u"))
     counts = d.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
-        return d.select("lang", "text").limit(0)
-    share = None
+        return d.select("lang", "text", F.lit(0).alias("n_lang")).limit(0)
+    share, size = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), F.lit(0))
     for r in counts:
-        p = F.lit(min(1.0, 4 * per_lang / r["count"]))
-        share = F.when(F.col("lang") == r["lang"], p) if share is None else share.when(F.col("lang") == r["lang"], p)
-    ranked = d.where(F.col("u") < share).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
-    return ranked.where(F.col("n") <= per_lang).select("lang", F.substring("text", 1, 20_000).alias("text"))
+        share = share.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * per_lang / r["count"])))
+        size = size.when(F.col("lang") == r["lang"], F.lit(r["count"]))
+    ranked = d.withColumn("n_lang", size).where(F.col("u") < share).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
+    return ranked.where(F.col("n") <= per_lang).select("lang", F.substring("text", 1, 20_000).alias("text"), "n_lang")
 
 
 def make_dictionaries(sample: DataFrame, size: int = DICT_BYTES) -> dict[str, bytes]:
-    """A raw-content dictionary per language: letters of the sampled texts, shortest texts last, where matches are cheapest."""
+    """A raw-content dictionary per language, the most frequent language first: letters of the sampled texts, shortest
+    texts last, where matches are cheapest."""
     found: dict[str, list[str]] = {}
+    frequent: dict[str, int] = {}
     for r in sample.toLocalIterator():
         found.setdefault(r["lang"], []).append(letters(r["text"]))
+        frequent[r["lang"]] = r["n_lang"]
     made = {}
     for lang, texts in found.items():
         each = max(500, 2 * size // max(1, len(texts)))
         blob = " ".join(sorted((t[:each] for t in set(texts) if t), key=lambda t: (-len(t), t))).encode()[-size:]
         if blob:
             made[lang] = blob
-    return dict(sorted(made.items()))
+    return dict(sorted(made.items(), key=lambda x: (-frequent[x[0]], x[0])))
 
 
 class Classifier:
-    def __init__(self, dictionaries: Mapping[str, bytes], level: int = 3):
+    def __init__(self, dictionaries: Mapping[str, bytes]):
         import zstandard
 
-        self.langs = list(dictionaries)
-        self.coders = []
-        for blob in dictionaries.values():
-            raw = zstandard.ZstdCompressionDict(blob, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)))
+        self.langs, self.coders = list(dictionaries), []
+        for level in LEVELS:
+            of_level = []
+            for blob in dictionaries.values():
+                raw = zstandard.ZstdCompressionDict(blob, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=level)
+                of_level.append(zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False))
+            self.coders.append(of_level)
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin; ``und`` with zeros for texts without letters."""
@@ -74,18 +83,21 @@ class Classifier:
         if len(self.langs) == 1:
             return self.langs[0], 1.0, 1.0
         parts = [plain[i : i + CHUNK].encode() for i in range(0, len(plain), CHUNK)]
-        sizes = [sum(len(c.compress(p)) for p in parts) for c in self.coders]
-        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        best, second = sizes[ranked[0]], sizes[ranked[1]]
-        margin = (second - best) / second
-        return self.langs[ranked[0]], 1 - best / (best + second), margin
+        for of_level in self.coders:
+            sizes = [sum(len(c.compress(p)) for p in parts) for c in of_level]
+            ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+            best, second = sizes[ranked[0]], sizes[ranked[1]]
+            margin = (second - best) / second
+            if margin >= CLOSE:
+                break
+        return self.langs[ranked[0]], second / (best + second), margin
 
 
 def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """Add ``lang_pred, score, margin, rejected`` to documents by their whole ``text`` alone.
 
     Letters are compressed in stretches with each language's dictionary, and the smallest sum of bytes wins (ties go to
-    the smaller language name). ``score`` is the runner-up's share of both sums, 0.5 to 1; ``margin`` the share of bytes
+    the language with more labelled rows). ``score`` is the runner-up's share of both sums, 0.5 to 1; ``margin`` the share of bytes
     saved against the runner-up. Null texts and texts without letters are ``und`` with score 0 and rejected; so is
     everything if no dictionary could be learned. Margins below ``min_margin`` are rejected too, but keep their prediction.
     Columns named like the results are replaced. The dictionaries' size is bounded by MAX_LANGS and DICT_BYTES.
