@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_zstd_language": ("language_id", None),
     "op5_piece_counts": ("token_counts", None),
     "op6_license_rules": ("license_scan", "OP6_SQL"),
+    "op9_weighted_minhash": ("near_dedup", None),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
 }
 
