@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_redirect_equivalence": ("url_filters", "OP1_SQL"),
     "op2_curriculum_mix": ("mixing", "OP2_SQL"),
     "op3_zstd_language": ("language_id", None),
+    "op4_inverted_multi_index": ("vector_search", None),
     "op5_piece_counts": ("token_counts", None),
     "op6_license_rules": ("license_scan", "OP6_SQL"),
     "op9_weighted_minhash": ("near_dedup", None),
