@@ -1,5 +1,66 @@
-"""From raw documents to an ordered training mix."""
-STAGES = []
+"""From raw documents to an ordered training mix, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. ``run`` applies them to the documents of ``sf_dir``, writing each result before the next stage reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from timeloom.llm.decontamination import find_leaks
+from timeloom.llm.language_id import identify, make_dictionaries, training_sample
+from timeloom.llm.line_dedup import drop_repeated_lines
+from timeloom.llm.mixing import mix_sources, training_order
+from timeloom.llm.near_dedup import near_duplicates
+from timeloom.plans.scratch import materialise
+
+#: A document that would lose more than this share of its characters is taken as a copy and left to near-dedup whole.
+MOST_DROPPED = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found by a sufficient margin; texts without letters go."""
+    dictionaries = make_dictionaries(training_sample(docs.select("text", "lang")))
+    return identify(docs, dictionaries).where("not rejected").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that ten or more documents have. All documents stay; of copies, most of whose lines are
+    such, nothing is dropped here: the next stage keeps one of them, whole."""
+    d = drop_repeated_lines(docs.withColumn("_was", F.char_length("text")), 10, 1)
+    boilerplate = F.char_length("kept") >= F.col("_was") * (1 - MOST_DROPPED)
+    text = F.when((F.col("n_dropped") > 0) & boilerplate, F.col("kept")).otherwise(F.col("text"))
+    return d.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, the one with the smallest doc_id."""
+    classes = near_duplicates(docs.select("doc_id", "text"))
+    gone = materialise(classes.where("not is_kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaks = find_leaks(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = materialise(leaks.where("doc_id is not null").select("doc_id").distinct(), "leaks")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in training order: a row per taken copy with its position, sources weighed 5, 2, 1 in turn."""
+    mixed = mix_sources(docs, (5, 2, 1)).select("doc_id", "text", "lang", "source", "size", "positions")
+    return training_order(mixed)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+#: Compression, sampled similarity and latent retrieval have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

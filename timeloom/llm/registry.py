@@ -12,8 +12,10 @@ _QUERIES = {
     "op4_inverted_multi_index": ("vector_search", None),
     "op5_piece_counts": ("token_counts", None),
     "op6_license_rules": ("license_scan", "OP6_SQL"),
+    "op8_latent_leaks": ("decontamination", None),
     "op9_weighted_minhash": ("near_dedup", None),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
+    "op10_wrapper_text": ("html_extract", None),
 }
 
 
