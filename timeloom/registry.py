@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from timeloom.plans.catalog import ORACLES, QUERIES
+
+MODULES = ["operators.intervals"]
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"timeloom.{m}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
