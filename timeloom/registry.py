@@ -6,7 +6,7 @@ import importlib
 
 from timeloom.plans.catalog import ORACLES, QUERIES
 
-MODULES = ["operators.intervals"]
+MODULES = ["operators.intervals", "operators.projections"]
 
 
 def _load() -> None:
