@@ -67,7 +67,7 @@ FIXTURES: dict[str, tuple[str, str]] = {
     "fx_probe": _both("""select p_partkey as video_id, '{"streams":[' || case when p_partkey % 6 = 0 then '' when p_partkey % 2 = 0 then '{"codec_type":"audio","codec_name":"aac"},' else '' end || '{"codec_type":"video","codec_name":"h264","width":' || cast(640 + p_size * 16 as string) || ',"avg_frame_rate":"' || case p_partkey % 3 when 0 then '30000/1001' when 1 then '25/1' else '0/0' end || '"}' || case when p_partkey % 6 <> 0 and p_partkey % 2 = 1 then ',{"codec_type":"audio","codec_name":"aac"}' else '' end || '],"format":{"duration":' || cast(p_size as string) || '}}' as json from part"""),
     "fx_assets": _both("""select 'uploads/' || cast(doc_id % 40 as string) || '/' || lang || '_' || cast(doc_id as string) || case doc_id % 4 when 0 then '.mp4' when 1 then '.mp3' when 2 then '.json' else '.png' end as path, doc_id % 40 as project, n_chars as length, doc_id * 1000 as mtime from documents"""),
     "fx_urls": _both("""select page_id, case page_id % 4 when 0 then 'https://video.example/watch?v=' when 1 then 'https://short.example/' when 2 then 'https://video.example/embed/' else 'https://other.example/x?id=' end || left(md5(url), 11) || case when page_id % 8 = 0 then '&t=5' else '' end as url from pages"""),
-    "fx_projects": _both("""select c_custkey as job, c_name as name, case c_custkey % 4 when 0 then 'complete' when 1 then 'processing' when 2 then 'failed' else 'uploaded' end as status, count(o_orderkey) as clip_count, cast(coalesce(sum(o_totalprice), 0) as bigint) as storage_bytes, max(o_orderdate) as updated_at from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name"""),
+    "fx_projects": _both("""select c_custkey as job, c_name as name, case c_custkey % 4 when 0 then 'complete' when 1 then 'processing' when 2 then 'failed' else 'uploaded' end as status, count(o_orderkey) as clip_count, cast(coalesce(sum(floor(o_totalprice)), 0) as bigint) as storage_bytes, max(o_orderdate) as updated_at from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name"""),
 }
 
 
