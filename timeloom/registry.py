@@ -6,7 +6,7 @@ import importlib
 
 from timeloom.plans.catalog import ORACLES, QUERIES
 
-MODULES = ["operators.intervals", "operators.projections", "operators.aggregates", "operators.windows"]
+MODULES = ["operators.intervals", "operators.projections", "operators.aggregates", "operators.windows", "operators.candidates"]
 
 
 def _load() -> None:
