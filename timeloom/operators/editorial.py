@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timeloom.functions import columns as C
 from timeloom.operators.candidates import greedy_keep
-from timeloom.operators.windows import BY_IDX, BY_TURN, sentence_bounds
+from timeloom.operators.windows import by_idx, by_turn, sentence_bounds
 from timeloom.plans.catalog import query
 
 # Fixed values of the role rules; replaceable by callers.
@@ -100,7 +100,7 @@ select video_id, turn, case when prev_start is not null and ((role = 'answer' an
 concat_ws('; ', case when prev_start is not null and role = 'answer' and prev_role = 'question' then 'question' end, case when prev_start is not null and {_FIRST} in ({_FP}) then 'pronoun' end, case when prev_start is not null and end_ms - case when (role = 'answer' and prev_role = 'question') or {_FIRST} in ({_FP}) then prev_start else start_ms end < 6000 then 'duration' end) as reasons from p""")
 def gen_context_expand(fx_turns):
     """The previous block is taken in before an answer to its question, a floating pronoun, or a block that is too short."""
-    b = turns_scored(fx_turns).withColumns({"pr": F.lag("role").over(BY_TURN), "ps": F.lag("start_ms").over(BY_TURN)})
+    b = turns_scored(fx_turns).withColumns({"pr": F.lag("role").over(by_turn()), "ps": F.lag("start_ms").over(by_turn())})
     there = F.col("ps").isNotNull()
     asked, vague = there & (F.col("role") == "answer") & (F.col("pr") == "question"), there & C.has_floating_pronoun(F.col("text"))
     start = F.when(asked | vague, F.col("ps")).otherwise(F.col("start_ms"))
@@ -131,8 +131,8 @@ def boundary_columns(words: DataFrame) -> DataFrame:
     """Words with the evidence for starting before and ending after them."""
     final = C.sentence_final(F.col("word"))
     return words.withColumns({
-        "opens": F.coalesce(F.lag(final).over(BY_IDX), F.lit(True)), "gap_before": F.coalesce(F.col("start_ms") - F.lag("end_ms").over(BY_IDX), F.lit(0)),
-        "closes": final, "gap_after": F.coalesce(F.lead("start_ms").over(BY_IDX) - F.col("end_ms"), F.lit(0)), "connector": C.is_connector(F.col("word")), "pronoun": C.has_floating_pronoun(F.col("word")),
+        "opens": F.coalesce(F.lag(final).over(by_idx()), F.lit(True)), "gap_before": F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by_idx()), F.lit(0)),
+        "closes": final, "gap_after": F.coalesce(F.lead("start_ms").over(by_idx()) - F.col("end_ms"), F.lit(0)), "connector": C.is_connector(F.col("word")), "pronoun": C.has_floating_pronoun(F.col("word")),
     })
 
 
@@ -187,7 +187,7 @@ def refine_ends(words: DataFrame) -> DataFrame:
     """For each word as a boundary: where a start and an end would move in one round. A start moves from a connector, a
     floating pronoun or an unsure word to an earlier one; an end moves on to the sentence's end or past an unsure word."""
     b = sentence_bounds(boundary_columns(words))
-    b = b.withColumns({"prev_s": F.lag("sentence_start").over(BY_IDX), "prev3_s": F.lag("sentence_start", 3).over(BY_IDX), "prev_w": F.lag("start_ms").over(BY_IDX), "next_e": F.lead("end_ms").over(BY_IDX)})
+    b = b.withColumns({"prev_s": F.lag("sentence_start").over(by_idx()), "prev3_s": F.lag("sentence_start", 3).over(by_idx()), "prev_w": F.lag("start_ms").over(by_idx()), "next_e": F.lead("end_ms").over(by_idx())})
     first_s = F.min("start_ms").over(Window.partitionBy("video_id"))
     unsure = F.col("prob_pct") < 60
     start = F.when(F.col("connector") & F.col("prev_s").isNotNull(), F.col("prev_s")).when(F.col("pronoun") & F.col("prev_w").isNotNull(), F.coalesce("prev3_s", first_s)).when(unsure & F.col("prev_w").isNotNull(), F.col("prev_w")).otherwise(F.col("start_ms"))

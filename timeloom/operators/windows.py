@@ -8,9 +8,17 @@ from timeloom.functions import columns as C
 from timeloom.operators.intervals import as_right, interval_join
 from timeloom.plans.catalog import query
 
-BY_IDX = Window.partitionBy("video_id").orderBy("idx")
-BY_TURN = Window.partitionBy("video_id").orderBy("turn")
-BY_TRACK = Window.partitionBy("video_id", "track_id").orderBy("t_ms")
+
+def by_idx():
+    return Window.partitionBy("video_id").orderBy("idx")
+
+
+def by_turn():
+    return Window.partitionBy("video_id").orderBy("turn")
+
+
+def by_track():
+    return Window.partitionBy("video_id", "track_id").orderBy("t_ms")
 
 
 def islands(df: DataFrame, starts: Column, keys: list[str], order: list[str], name: str = "island") -> DataFrame:
@@ -20,13 +28,13 @@ def islands(df: DataFrame, starts: Column, keys: list[str], order: list[str], na
 
 @query("win_neighbor_ids", "select video_id, turn, lag(turn) over w as previous_id, lead(turn) over w as next_id from fx_turns window w as (partition by video_id order by turn)")
 def win_neighbor_ids(fx_turns):
-    return fx_turns.select("video_id", "turn", F.lag("turn").over(BY_TURN).alias("previous_id"), F.lead("turn").over(BY_TURN).alias("next_id"))
+    return fx_turns.select("video_id", "turn", F.lag("turn").over(by_turn()).alias("previous_id"), F.lead("turn").over(by_turn()).alias("next_id"))
 
 
 @query("win_memory", "select video_id, turn, lag(speaker, 1, '') over w as before_1, lag(speaker, 2, '') over w as before_2, lead(speaker, 1, '') over w as after_1, lead(speaker, 2, '') over w as after_2 from fx_turns window w as (partition by video_id order by turn)")
 def win_memory(fx_turns):
     """What stands one and two blocks before and after, empty at the edges."""
-    return fx_turns.select("video_id", "turn", *[f("speaker", n, "").over(BY_TURN).alias(f"{name}_{n}") for f, name in ((F.lag, "before"), (F.lead, "after")) for n in (1, 2)])
+    return fx_turns.select("video_id", "turn", *[f("speaker", n, "").over(by_turn()).alias(f"{name}_{n}") for f, name in ((F.lag, "before"), (F.lead, "after")) for n in (1, 2)])
 
 
 _ROLE = "case when text like '%?%' then 'question' when length(text) % 3 = 0 then 'statement' else 'story' end"
@@ -37,13 +45,13 @@ def win_qa_link(fx_turns):
     """Questions link to the next block; a statement after one becomes its answer and links back."""
     role = F.when(F.col("text").contains("?"), "question").when(F.length("text") % 3 == 0, "statement").otherwise("story")
     r = fx_turns.select("video_id", "turn", role.alias("role"))
-    answer = (F.lag("role").over(BY_TURN) == "question") & (F.col("role") == "statement")
-    return r.select("video_id", "turn", F.when(answer, "answer").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "question", F.lead("turn").over(BY_TURN)).when(answer, F.lag("turn").over(BY_TURN)).alias("linked"))
+    answer = (F.lag("role").over(by_turn()) == "question") & (F.col("role") == "statement")
+    return r.select("video_id", "turn", F.when(answer, "answer").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "question", F.lead("turn").over(by_turn())).when(answer, F.lag("turn").over(by_turn())).alias("linked"))
 
 
 @query("win_silence_gap", "select video_id, idx, coalesce(start_ms - lag(end_ms) over w, 0)::bigint as before_ms, coalesce(lead(start_ms) over w - end_ms, 0)::bigint as after_ms from fx_words window w as (partition by video_id order by idx)")
 def win_silence_gap(fx_words):
-    return fx_words.select("video_id", "idx", F.coalesce(F.col("start_ms") - F.lag("end_ms").over(BY_IDX), F.lit(0)).alias("before_ms"), F.coalesce(F.lead("start_ms").over(BY_IDX) - F.col("end_ms"), F.lit(0)).alias("after_ms"))
+    return fx_words.select("video_id", "idx", F.coalesce(F.col("start_ms") - F.lag("end_ms").over(by_idx()), F.lit(0)).alias("before_ms"), F.coalesce(F.lead("start_ms").over(by_idx()) - F.col("end_ms"), F.lit(0)).alias("after_ms"))
 
 
 BLOCK_GAP, BLOCK_MAX = 1200, 15_000
@@ -53,8 +61,8 @@ def block_segmentation(words: DataFrame) -> DataFrame:
     """``video_id, idx, block``: blocks begin at a change of speaker (missing speakers filled forward), after a pause of
     1.2 s, and after a sentence end once the block is over 15 s long. The last rule needs the block's own start, so it
     is folded within the islands of the first two, which keeps each fold short."""
-    w = words.withColumn("who", F.last("speaker", True).over(BY_IDX))
-    cut = (F.col("start_ms") - F.lag("end_ms").over(BY_IDX) >= BLOCK_GAP) | ~F.col("who").eqNullSafe(F.lag("who").over(BY_IDX))
+    w = words.withColumn("who", F.last("speaker", True).over(by_idx()))
+    cut = (F.col("start_ms") - F.lag("end_ms").over(by_idx()) >= BLOCK_GAP) | ~F.col("who").eqNullSafe(F.lag("who").over(by_idx()))
     w = islands(w.withColumn("_cut", F.coalesce(cut, F.lit(False))), F.col("_cut"), ["video_id"], ["idx"])
     rows = F.sort_array(F.collect_list(F.struct("idx", "start_ms", "end_ms", C.sentence_final(F.col("word")).alias("final"))))
     state = F.struct(F.lit(-1).cast("long").alias("from_ms"), F.lit(0).cast("int").alias("part"), F.lit(False).alias("due"), F.array().cast("array<int>").alias("parts"))
@@ -66,7 +74,7 @@ def block_segmentation(words: DataFrame) -> DataFrame:
 
     folded = w.groupBy("video_id", "island").agg(rows.alias("r")).withColumn("p", F.aggregate("r", state, step, lambda s: s["parts"]))
     flat = folded.select("video_id", "island", F.explode(F.arrays_zip("r", "p")).alias("z")).select("video_id", F.col("z.r.idx").alias("idx"), "island", F.col("z.p").alias("part"))
-    return islands(flat, F.coalesce((F.col("island") != F.lag("island").over(BY_IDX)) | (F.col("part") != F.lag("part").over(BY_IDX)), F.lit(True)), ["video_id"], ["idx"], "block").select("video_id", "idx", "block")
+    return islands(flat, F.coalesce((F.col("island") != F.lag("island").over(by_idx())) | (F.col("part") != F.lag("part").over(by_idx())), F.lit(True)), ["video_id"], ["idx"], "block").select("video_id", "idx", "block")
 
 
 @query("win_block_segmentation", """with a as (select *, last_value(speaker ignore nulls) over (partition by video_id order by idx) as who from fx_words where video_id < 60), b as (select *, coalesce(start_ms - lag(end_ms) over w >= 1200 or who is distinct from lag(who) over w, false) as cut, idx as i from a window w as (partition by video_id order by idx)),
@@ -87,10 +95,10 @@ def win_silence_complement(fx_speech):
 
 def sentence_bounds(words: DataFrame) -> DataFrame:
     """Each word with the start of its sentence and the end, sentences being cut at final punctuation and pauses over 1.2 s."""
-    opens = F.coalesce(F.lag(C.sentence_final(F.col("word"))).over(BY_IDX) | (F.col("start_ms") - F.lag("end_ms").over(BY_IDX) > 1200), F.lit(True))
-    closes = F.coalesce(C.sentence_final(F.col("word")) | (F.lead("start_ms").over(BY_IDX) - F.col("end_ms") > 1200), F.lit(True))
-    w = words.withColumns({"_o": F.when(opens, F.col("start_ms")), "_c": F.when(closes | F.lead("idx").over(BY_IDX).isNull(), F.col("end_ms"))})
-    return w.withColumns({"sentence_start": F.last("_o", True).over(BY_IDX.rowsBetween(Window.unboundedPreceding, 0)), "sentence_end": F.first("_c", True).over(BY_IDX.rowsBetween(0, Window.unboundedFollowing))}).drop("_o", "_c")
+    opens = F.coalesce(F.lag(C.sentence_final(F.col("word"))).over(by_idx()) | (F.col("start_ms") - F.lag("end_ms").over(by_idx()) > 1200), F.lit(True))
+    closes = F.coalesce(C.sentence_final(F.col("word")) | (F.lead("start_ms").over(by_idx()) - F.col("end_ms") > 1200), F.lit(True))
+    w = words.withColumns({"_o": F.when(opens, F.col("start_ms")), "_c": F.when(closes | F.lead("idx").over(by_idx()).isNull(), F.col("end_ms"))})
+    return w.withColumns({"sentence_start": F.last("_o", True).over(by_idx().rowsBetween(Window.unboundedPreceding, 0)), "sentence_end": F.first("_c", True).over(by_idx().rowsBetween(0, Window.unboundedFollowing))}).drop("_o", "_c")
 
 
 _BOUNDS = """f as (select *, coalesce(regexp_matches(lag(word) over w, '[.?!]$') or start_ms - lag(end_ms) over w > 1200, true) as o, coalesce(regexp_matches(word, '[.?!]$') or lead(start_ms) over w - end_ms > 1200, true) or lead(idx) over w is null as c from fx_words window w as (partition by video_id order by idx)),
@@ -142,7 +150,7 @@ def win_gap_fill(fx_samples):
     c = F.col
     v = F.when(c("conf_pct") >= 60, c("x")).when(c("conf_pct") >= 40, c("x") + 10)
     a = fx_samples.withColumns({"v": v, "src": F.when(c("conf_pct") >= 60, "face").when(c("conf_pct") >= 40, "body"), "vt": F.when(c("conf_pct") >= 40, c("t_ms"))})
-    back, on = BY_TRACK.rowsBetween(Window.unboundedPreceding, 0), BY_TRACK.rowsBetween(0, Window.unboundedFollowing)
+    back, on = by_track().rowsBetween(Window.unboundedPreceding, 0), by_track().rowsBetween(0, Window.unboundedFollowing)
     b = a.withColumns({"pv": F.last("v", True).over(back), "pt": F.last("vt", True).over(back), "nv": F.first("v", True).over(on)})
     near = c("t_ms") - c("pt") <= 1500
     return b.select("video_id", "track_id", "t_ms", F.when(c("v").isNotNull(), c("v")).when(c("pt").isNull(), c("nv")).when(near, c("pv")).alias("value"), F.when(c("src").isNotNull(), c("src")).when(c("pt").isNull() & c("nv").isNotNull(), "backfill").when(near, "carry").otherwise("lost").alias("source"))
@@ -171,7 +179,7 @@ def win_rank(fx_candidates):
 @query("win_velocity", "select video_id, track_id, t_ms, case when last_value(t_ms) over w = first_value(t_ms) over w then 0.0 else (last_value(x) over w - first_value(x) over w) * 1000.0 / (last_value(t_ms) over w - first_value(t_ms) over w) end as velocity from fx_samples window w as (partition by video_id, track_id order by t_ms rows between 4 preceding and 4 following)")
 def win_velocity(fx_samples):
     """Central difference over four rows to each side, clamped at the edges."""
-    w = BY_TRACK.rowsBetween(-4, 4)
+    w = by_track().rowsBetween(-4, 4)
     dt = F.last("t_ms").over(w) - F.first("t_ms").over(w)
     return fx_samples.select("video_id", "track_id", "t_ms", F.when(dt == 0, 0.0).otherwise((F.last("x").over(w) - F.first("x").over(w)) * F.lit(1000.0) / dt).alias("velocity"))
 
@@ -206,7 +214,7 @@ def win_cut_keyframes(fx_samples):
 @query("win_hermite", "select video_id, track_id, t_ms, case when next_t is null or next_t - t_ms > 1000 then x::double else (2 * pow(0.5, 3.0) - 3 * pow(0.5, 2.0) + 1) * x + (-2 * pow(0.5, 3.0) + 3 * pow(0.5, 2.0)) * next_x end as mid from (select *, lead(t_ms) over w as next_t, lead(x) over w as next_x from fx_samples window w as (partition by video_id, track_id order by t_ms)) t")
 def win_hermite(fx_samples):
     """The middle between neighbouring frames on the smooth cubic (resting ends), where they are a second apart at most."""
-    n = fx_samples.withColumns({"nt": F.lead("t_ms").over(BY_TRACK), "nx": F.lead("x").over(BY_TRACK)})
+    n = fx_samples.withColumns({"nt": F.lead("t_ms").over(by_track()), "nx": F.lead("x").over(by_track())})
     zero, half = F.lit(0.0), F.lit(0.5)
     mid = C.hermite(F.col("x"), zero, F.col("nx"), zero, half, zero)
     return n.select("video_id", "track_id", "t_ms", F.when(F.col("nt").isNull() | (F.col("nt") - F.col("t_ms") > 1000), F.col("x").cast("double")).otherwise(mid).alias("mid"))
@@ -214,7 +222,7 @@ def win_hermite(fx_samples):
 
 def chunk_words(words: DataFrame, size: int) -> DataFrame:
     """Caption cues: every ``size`` words, and at sentence ends."""
-    opens = F.coalesce(F.lag(C.sentence_final(F.col("word"))).over(BY_IDX), F.lit(True))
+    opens = F.coalesce(F.lag(C.sentence_final(F.col("word"))).over(by_idx()), F.lit(True))
     d = islands(words, opens, ["video_id"], ["idx"], "sentence")
     nth = F.row_number().over(Window.partitionBy("video_id", "sentence").orderBy("idx")) - 1
     return d.withColumn("part", F.floor(nth / size))
@@ -240,7 +248,7 @@ def win_cue_timing(fx_words):
 @query("win_change_only", "select video_id, track_id, t_ms, x from (select *, lag(x // 40) over (partition by video_id, track_id order by t_ms) as p from fx_samples) t where (x // 40) is distinct from p")
 def win_change_only(fx_samples):
     v = F.floor(F.col("x") / 40)
-    return fx_samples.withColumn("v", v).withColumn("p", F.lag("v").over(BY_TRACK)).where(~F.col("v").eqNullSafe(F.col("p"))).select("video_id", "track_id", "t_ms", "x")
+    return fx_samples.withColumn("v", v).withColumn("p", F.lag("v").over(by_track())).where(~F.col("v").eqNullSafe(F.col("p"))).select("video_id", "track_id", "t_ms", "x")
 
 
 @query("win_recenter_common", "select video_id, track_id, t_ms, m as w, greatest(0, least(1920 - m, x + (w - m) // 2))::bigint as x from (select *, min(w) over (partition by video_id, track_id) as m from fx_samples) t")
@@ -252,12 +260,12 @@ def win_recenter_common(fx_samples):
 
 @query("win_frame_delta", "select video_id, track_id, t_ms, x - lag(x) over w as dx, y - lag(y) over w as dy from fx_samples window w as (partition by video_id, track_id order by t_ms)")
 def win_frame_delta(fx_samples):
-    return fx_samples.select("video_id", "track_id", "t_ms", *[(F.col(c) - F.lag(c).over(BY_TRACK)).alias("d" + c) for c in "xy"])
+    return fx_samples.select("video_id", "track_id", "t_ms", *[(F.col(c) - F.lag(c).over(by_track())).alias("d" + c) for c in "xy"])
 
 
 @query("win_body_displacement", "select video_id, track_id, t_ms, sqrt(pow(x - lag(x) over w, 2.0) + pow(y - lag(y) over w, 2.0)) as moved from fx_samples window w as (partition by video_id, track_id order by t_ms)")
 def win_body_displacement(fx_samples):
-    d = lambda c: F.pow(F.col(c) - F.lag(c).over(BY_TRACK), 2.0)
+    d = lambda c: F.pow(F.col(c) - F.lag(c).over(by_track()), 2.0)
     return fx_samples.select("video_id", "track_id", "t_ms", F.sqrt(d("x") + d("y")).alias("moved"))
 
 

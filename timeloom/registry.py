@@ -6,7 +6,7 @@ import importlib
 
 from timeloom.plans.catalog import ORACLES, QUERIES
 
-MODULES = ["operators.intervals", "operators.projections", "operators.aggregates", "operators.windows", "operators.candidates", "operators.editorial", "operators.vision"]
+MODULES = ["operators.intervals", "operators.projections", "operators.aggregates", "operators.windows", "operators.candidates", "operators.editorial", "operators.vision", "operators.projects", "streaming.progress"]
 
 
 def _load() -> None:
