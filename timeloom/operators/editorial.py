@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timeloom.functions import columns as C
-from timeloom.operators.candidates import greedy_keep
+from timeloom.operators.candidates import greedy_keep, nms_sql
 from timeloom.operators.windows import by_idx, by_turn, sentence_bounds
 from timeloom.plans.catalog import query
 
@@ -226,7 +226,18 @@ def refine_boundaries(clips: DataFrame, words: DataFrame, rounds: int = 3, good:
     return c
 
 
-@query("gen_boundary_refine")
+def _refine_sql(rounds: int = 3) -> str:
+    ctes = f"""{_BND}, rr as (select video_id, start_ms, end_ms, {_sql_points('start', False)} as cs, {_sql_points('end', False)} as ce,
+      case when conn and ps is not null then ps when pron and pw is not null then coalesce(p3, fs) when prob_pct < 60 and pw is not null then pw else start_ms end as st,
+      case when not closes and z > end_ms and z - end_ms <= 8000 then z when prob_pct < 60 and closes and ne is not null then ne else end_ms end as et from rf),
+    c0 as (select video_id, clip, start_ms, end_ms, start_ms as s, end_ms as e, false as done, 0 as rounds, 0.0 as conf from fx_clips)"""
+    for n in range(rounds):
+        ctes += f""", d{n} as (select c.*, x.st, y.et, coalesce(x.cs, 0.5) * 0.45 + coalesce(y.ce, 0.5) * 0.55 as now from c{n} c left join rr x on x.video_id = c.video_id and x.start_ms = c.s left join rr y on y.video_id = c.video_id and y.end_ms = c.e),
+    c{n + 1} as (select video_id, clip, start_ms, end_ms, case when k then s else coalesce(st, s) end as s, case when k then e else coalesce(et, e) end as e, k as done, rounds + (not k)::int as rounds, now as conf from (select *, done or now >= 0.85 or ({n} > 1 and now - conf < 0.02) as k from d{n}) t)"""
+    return f"with {ctes} select * from c{rounds}"
+
+
+@query("gen_boundary_refine", _refine_sql())
 def gen_boundary_refine(fx_clips, fx_words):
     return refine_boundaries(fx_clips.select("video_id", "clip", "start_ms", "end_ms"), fx_words)
 
@@ -237,7 +248,11 @@ def gen_candidates(fx_turns):
     return turns_scored(fx_turns).select("video_id", "turn", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"), "importance", "peak", (F.col("end_ms") - F.col("start_ms") <= 30000).alias("fits"))
 
 
-@query("gen_peak_subcandidates")
+@query("gen_peak_subcandidates", f"""with recursive {_BLOCKS}, po as (select video_id, start_ms::double as t, row_number() over (partition by video_id order by start_ms) as k from b where peak >= 0.55),
+pg as (select video_id, k, [{{'n': 1::bigint, 'total': t}}] as c from po where k = 1 union all select pg.video_id, po.k, case when h.i > 0 then list_transform(pg.c, lambda x, j: case when j = h.i then {{'n': x.n + 1, 'total': x.total + po.t}} else x end) else list_append(pg.c, {{'n': 1::bigint, 'total': po.t}}) end from pg join po on po.video_id = pg.video_id and po.k = pg.k + 1, lateral (select coalesce(list_position(list_transform(pg.c, lambda x: abs(po.t - x.total / x.n) <= 25000), true), 0) as i) h),
+pw as (select video_id, i::int as cand, c[i + 1].n as n, greatest(0, floor(c[i + 1].total / c[i + 1].n) - 18000)::bigint as start_ms, greatest(0, floor(c[i + 1].total / c[i + 1].n) - 18000)::bigint + 40000 as end_ms from (select video_id, c, unnest(range(len(c))) as i from (select video_id, arg_max(c, k) as c from pg group by video_id) x) y),
+{nms_sql('pw', 'n desc, cand', 'greatest(0, least(k.e, t.end_ms) - greatest(k.s, t.start_ms)) / greatest(100, greatest(k.e, t.end_ms) - least(k.s, t.start_ms)) > 0.35')}
+select video_id, kept::int as kept, k.c as cand, k.s as start_ms, k.e as end_ms from r""")
 def gen_peak_subcandidates(fx_turns):
     """Clusters of peaks as windows from 18 s before to 40 s after their start, those that hardly overlap, best first."""
     p = peak_clusters(turns_scored(fx_turns).where("peak >= 0.55"))
