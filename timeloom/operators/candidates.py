@@ -11,6 +11,7 @@ from timeloom.operators.graph import connected_components
 from timeloom.operators.intervals import as_right, interval_join, snap_scene, snap_speech
 from timeloom.operators.windows import sentence_snap
 from timeloom.plans.catalog import query
+from timeloom.plans.scratch import materialise
 
 HOOKS = [*C.HOOK_WORDS, "that", "only", "was"]
 
@@ -419,11 +420,12 @@ def rule_pipeline(segments: DataFrame, words: DataFrame, speech: DataFrame, scen
     best = greedy_keep(scored_windows(segments, min_ms, max_ms).withColumn("cand", F.col("first_seg") * 100000 + F.col("last_seg")), ["video_id"], [-F.col("score"), F.col("cand")], ["cand", "start_ms", "end_ms", "score"], overlap_share(0.35), clips)
     keep = ["video_id", "cand", "score"]
     move = lambda d: d.select(*keep, F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
-    c = best.select(*keep, "start_ms", "end_ms")
-    c = move(snap_speech(c, speech, max_ms))
+    # a handful of rows per video: written, so that steps which use them twice don't choose them again
+    c = materialise(best.select(*keep, "start_ms", "end_ms"), "chosen")
+    c = materialise(move(snap_speech(c, speech, max_ms)), "snapped")
     c = move(sentence_snap(c, words))
     c = move(snap_scene(c, scenes, max_ms))
-    c = move(min_duration(c, segments, min_ms, max_ms))
+    c = materialise(move(min_duration(materialise(c, "snapped"), segments, min_ms, max_ms)), "extended")
     q = clip_quality(c, words, min_ms, max_ms, F.floor(F.col("score")).cast("int"))
     q = quality_gate(q, "quality", "cand")
     m = merge_overlaps_of(q.select("video_id", "cand", "start_ms", "end_ms", F.col("quality").alias("score")), max_ms)
@@ -431,6 +433,42 @@ def rule_pipeline(segments: DataFrame, words: DataFrame, speech: DataFrame, scen
     return m.select("video_id", F.format_string("clip_%02d", nth).alias("id"), "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "score", F.col("n").alias("merged"))
 
 
-@query("gen_rule_pipeline")
+def _pipeline_sql(clips: int = 5) -> str:
+    """The rule pipeline step by step; the greedy choice as repeated best of what is left."""
+    from timeloom.operators.windows import _BOUNDS
+
+    parts = [_WIN, "l0 as (select video_id, first_seg * 100000 + last_seg as cand, start_ms, end_ms, score from sc)"]
+    for i in range(clips):
+        parts.append(f"k{i} as (select video_id, cand, start_ms, end_ms, score from (select *, row_number() over (partition by video_id order by score desc, cand) as n from l{i}) t where n = 1)")
+        parts.append(f"l{i + 1} as (select l.* from l{i} l join k{i} k using (video_id) where not (l.cand = k.cand or least(k.end_ms, l.end_ms) - greatest(k.start_ms, l.start_ms) > least(k.end_ms - k.start_ms, l.end_ms - l.start_ms) * 0.35))")
+    parts += [
+        "q1 as (" + " union all ".join(f"select * from k{i}" for i in range(clips)) + ")",
+        "h1 as (select c.video_id, c.cand, c.score, c.start_ms, c.end_ms, min(s.start_ms) as a, max(s.end_ms) as b from q1 c join fx_speech s on s.video_id = c.video_id and s.end_ms > c.start_ms and s.start_ms < c.end_ms group by all)",
+        "q2 as (select video_id, cand, score, greatest(a, start_ms - 250) as start_ms, least(least(b, end_ms + 250), greatest(a, start_ms - 250) + 60000) as end_ms from h1)",
+        _BOUNDS.replace("f as (", "bf as (").replace("from f)", "from bf)").replace("b as (select *, max", "bb as (select *, max"),
+        "h2 as (select c.video_id, c.cand, c.score, c.start_ms, c.end_ms, arg_min(w.s, w.idx) as s, arg_max(w.e, w.idx) as e from q2 c join bb w on w.video_id = c.video_id and w.end_ms > c.start_ms and w.start_ms < c.end_ms group by all)",
+        "q3 as (select video_id, cand, score, case when start_ms - s <= 15000 then s else start_ms end as start_ms, case when e - end_ms <= 20000 then e else end_ms end as end_ms from h2)",
+        "h3 as (select c.video_id, c.cand, c.score, c.start_ms, c.end_ms, min(s.start_ms) as a, max(s.end_ms) as b from q3 c left join fx_scenes s on s.video_id = c.video_id and s.end_ms > c.start_ms and s.start_ms < c.end_ms group by all)",
+        "h4 as (select *, case when abs(start_ms - a) <= 1250 then a else start_ms end as s, case when abs(end_ms - b) <= 1250 then b else end_ms end as e from h3)",
+        "q4 as (select video_id, cand, score, case when least(e, s + 60000) <= s then start_ms else s end as start_ms, case when least(e, s + 60000) <= s then end_ms else least(e, s + 60000) end as end_ms from h4)",
+        "h5 as (select c.video_id, c.cand, min(s.start_ms) as a, max(s.end_ms) as b from q4 c join fx_segments s on s.video_id = c.video_id and s.start_ms >= c.start_ms - greatest(0, 20000 - (c.end_ms - c.start_ms)) and s.end_ms <= c.end_ms + greatest(0, 20000 - (c.end_ms - c.start_ms)) group by all)",
+        "h6 as (select c.video_id, c.cand, c.score, least(start_ms, coalesce(a, start_ms)) as s, greatest(end_ms, coalesce(b, end_ms)) as e from q4 c left join h5 using (video_id, cand))",
+        "h7 as (select *, greatest(0, 20000 - (e - s)) // 2 as pad from h6)",
+        "q5 as (select video_id, cand, score, greatest(0, s - pad) as start_ms, least(e + pad, greatest(0, s - pad) + 60000) as end_ms from h7)",
+        "h8 as (select c.video_id, c.cand, arg_max(regexp_matches(w.word, '[.?!]$'), w.idx) as pf, max(w.end_ms) as pe from q5 c join fx_words w on w.video_id = c.video_id and w.start_ms < c.start_ms group by all)",
+        "h9 as (select c.video_id, c.cand, arg_max(w.word, w.idx) as lw from q5 c join fx_words w on w.video_id = c.video_id and w.end_ms <= c.end_ms group by all)",
+        "q6 as (select c.*, greatest(1, least(100, floor(score)::int + case when start_ms <= 200 then 10 when pf then 10 when pe is not null and start_ms - pe > 1000 then 5 else 0 end + case when regexp_matches(lw, '[.?!]$') then 15 when lw like '%,' then 5 else 0 end + case when end_ms - start_ms between 20000 and 60000 then 25 else -15 end)) as q from q5 c left join h8 using (video_id, cand) left join h9 using (video_id, cand))",
+        "q7 as (select * from (select *, count(*) over v as n, max(q) over v as top, row_number() over (partition by video_id order by q desc, cand) as best from q6 window v as (partition by video_id)) t where q >= 80 or n = 1 or (top < 80 and best = 1))",
+        "o as (select video_id, cand::bigint as c, start_ms::bigint as s, end_ms::bigint as e, q::double as score, row_number() over (partition by video_id order by start_ms, cand) as n from q7)",
+        """g as (select video_id, n, []::struct(s bigint, e bigint, score double, c bigint, n bigint)[] as done, {'s': s, 'e': e, 'score': score, 'c': c, 'n': 1::bigint} as last from o where n = 1
+ union all select g.video_id, t.n, case when x.clash then g.done else list_append(g.done, g.last) end,
+  case when not x.clash or (not x.fits and t.score > g.last.score) then {'s': t.s, 'e': t.e, 'score': t.score, 'c': t.c, 'n': 1::bigint} when x.fits then {'s': least(g.last.s, t.s), 'e': greatest(g.last.e, t.e), 'score': greatest(g.last.score, t.score), 'c': g.last.c, 'n': g.last.n + 1} else g.last end
+  from g join o t on t.video_id = g.video_id and t.n = g.n + 1, lateral (select least(g.last.e, t.e) - greatest(g.last.s, t.s) > least(g.last.e - g.last.s, t.e - t.s) * 0.30 as clash, greatest(g.last.e, t.e) - least(g.last.s, t.s) <= 60000 as fits) x)""",
+        "z as (select video_id, unnest(l) as k from (select video_id, list_append(arg_max(done, n), arg_max(last, n)) as l from g group by video_id) x)",
+    ]
+    return "with recursive " + ",\n".join(parts) + " select video_id, 'clip_' || lpad((row_number() over (partition by video_id order by k.s, k.c))::varchar, 2, '0') as id, k.s as start_ms, k.e as end_ms, k.e - k.s as duration_ms, k.score as score, k.n as merged from z"
+
+
+@query("gen_rule_pipeline", _pipeline_sql())
 def gen_rule_pipeline(fx_segments, fx_words, fx_speech, fx_scenes):
     return rule_pipeline(fx_segments, fx_words, fx_speech, fx_scenes)
