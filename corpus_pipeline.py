@@ -15,12 +15,15 @@ from timeloom.llm.mixing import mix_sources, training_order
 from timeloom.llm.near_dedup import near_duplicates
 from timeloom.plans.scratch import materialise
 
+#: Rows of an Arrow batch, set for the session by the first stage: texts are long, and its result is computed by who writes it.
+BATCH_ROWS = 1000
 #: A document that would lose more than this share of its characters is taken as a copy and left to near-dedup whole.
 MOST_DROPPED = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found by a sufficient margin; texts without letters go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     dictionaries = make_dictionaries(training_sample(docs.select("text", "lang")))
     return identify(docs, dictionaries).where("not rejected").select(docs.columns)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from timeloom.llm.sums import summed
 from timeloom.llm.words import word_hashes
+from timeloom.plans.scratch import materialise, small_batches
 
 #: Words of a benchmark passage at most, of a document window, and from window to window; shorter items aren't searched.
 PASSAGE, WINDOW, STRIDE, LEAST_WORDS = 60, 24, 12, 8
@@ -151,6 +152,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short texts have no or one shorter window; texts and null ids repeated give the same pair once. Without documents,
     items or words the result is empty.
     """
+    with small_batches(docs.sparkSession):
+        return _find_leaks(docs, benchmark)
+
+
+def _find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, similarity double, lcs_share double"
     bench = load_benchmark(benchmark)
@@ -209,7 +215,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 )
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, schema)
-    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("lcs_share").alias("lcs_share"))
+    return materialise(found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("lcs_share").alias("lcs_share")), "leaks")
 
 
 def op8_latent_leaks(spark, sf_dir: str) -> DataFrame:

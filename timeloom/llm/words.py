@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text hashed at once; longer texts are cut at a separator before that.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_WORD = np.zeros(256, bool)
@@ -35,7 +35,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         end = at + PIECE
         while end > at and _IS_WORD[data[end]]:
             end -= 1
-        end = end if end > at else at + PIECE  # a word of a megabyte is cut
+        end = end if end > at else at + PIECE  # a word as long as that is cut
         yield data[at:end]
         at = end
     yield data[at:]
@@ -58,7 +58,7 @@ def word_hashes(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray,
     """For stretches of the texts: number of the first, 64-bit hashes of their words, and offsets (one more than texts).
 
     Words are runs of ASCII letters, digits, underscores and any other than ASCII characters of the lower-cased text;
-    the rest of ASCII separates. Null and empty texts have no words. Texts are whole; a stretch is about a megabyte
+    the rest of ASCII separates. Null and empty texts have no words. Texts are whole; a stretch is at most PIECE bytes
     of text, or one longer text.
     """
     first, held, size = 0, [], 0
