@@ -231,6 +231,17 @@ def test_leaks(spark):
     assert decontamination.find_leaks(docs.limit(0), b).count() == 0 and decontamination.find_leaks(docs, b.limit(0)).count() == 0
 
 
+def test_leaks_of_more_passages_than_the_rank(spark):
+    rng = random.Random(61)
+    bench = [(i, make(rng, rng.randint(8, 60))) for i in range(2000)]
+    common = " ".join(rng.choice(WORDS) for _ in range(12))
+    bench += [(2000 + i, common) for i in range(50)]  # its runs are in more passages than RARE
+    rows = [(i, make(rng, 40) + " " + t + " " + make(rng, 40)) for i, t in bench] + [(10_000 + i, make(rng, 100)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(2000)} | {(2000 + i, 2000 + j) for i in range(50) for j in range(50)}
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from timeloom.llm.sums import summed
-from timeloom.llm.words import word_hashes
+from timeloom.llm.words import shingles, word_hashes
 from timeloom.plans.scratch import materialise, small_batches
 
 #: Words of a benchmark passage at most, of a document window, and from window to window; shorter items aren't searched.
@@ -20,6 +20,9 @@ RANK, EXTRA, ROUNDS = 200, 20, 2
 #: Cosine of a candidate; share of a passage's words in the longest common subsequence that suffices, alone or with
 #: ``ANSWER`` of the answer's words.
 COSINE, STRONG, WEAK, ANSWER = 0.35, 0.75, 0.55, 0.6
+#: Words of a run that a passage must share to be compared without the latent space; runs in more passages than
+#: ``RARE`` count only where a passage has none rarer. Cells in which documents of words outside the benchmark are counted.
+GRAM, RARE, CELLS = 3, 32, 1 << 18
 #: Bounds of the query side, which every task holds: terms and passages of the benchmark.
 MAX_TERMS, MAX_PASSAGES = 500_000, 100_000
 
@@ -57,26 +60,32 @@ def load_benchmark(benchmark: DataFrame) -> Benchmark:
     return Benchmark(terms, [np.searchsorted(terms, p) for p in passages], items, answers)
 
 
-def term_weights(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
-    """Inverse document frequency of each term over all documents, and that of a word in none."""
+def cells_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def term_weights(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequency over all documents of each term, and of the words outside the benchmark by their hash's
+    cell. Words that share a cell seem more frequent than they are, which can only add candidates."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         t = shared.value
-        out = np.zeros(len(t) + 1)
+        out = np.zeros(len(t) + CELLS + 1)
+        width = len(t) + CELLS
         for b in batches:
             for _, h, at in word_hashes(b.column(0).to_pylist()):
                 where = np.minimum(np.searchsorted(t, h), len(t) - 1)
                 known = t[where] == h
                 doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                pairs = np.unique(doc[known] * len(t) + where[known])
-                out[:-1] += np.bincount(pairs % len(t), minlength=len(t))
+                pairs = np.unique(doc * width + np.where(known, where, len(t) + cells_of(h)))
+                out[:-1] += np.bincount(pairs % width, minlength=width)
                 out[-1] += int((np.diff(at) > 0).sum())
         return out
 
-    counts = summed(docs.select("text"), count, len(terms) + 1)
-    n = counts[-1]
-    return np.log((2 + n) / (1 + counts[:-1])), float(np.log(2 + n))
+    counts = summed(docs.select("text"), count, len(terms) + CELLS + 1)
+    idf = np.log((2 + counts[-1]) / (1 + counts[:-1]))
+    return idf[: len(terms)], idf[len(terms) :]
 
 
 def _rows(b: Benchmark, idf: np.ndarray, numbers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -87,6 +96,26 @@ def _rows(b: Benchmark, idf: np.ndarray, numbers) -> Iterator[tuple[np.ndarray,
         yield t, w / np.sqrt((w * w).sum())
 
 
+def rare_runs(b: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of GRAM words by which passages are found exactly: their sorted hashes, where each one's entries start (one
+    more), and the entries' passages and places in them. Each passage has its rarest runs at least, so that a whole copy
+    of it always shares one."""
+    offsets = np.cumsum([0, *map(len, b.passages)])
+    runs, at = shingles(np.concatenate([b.terms[p] for p in b.passages]), offsets, GRAM)
+    passage = np.repeat(np.arange(len(b.passages)), np.diff(at))
+    place = np.arange(len(runs)) - at[:-1][passage]
+    order = np.lexsort((place, passage, runs))
+    runs, passage, place = runs[order], passage[order], place[order]
+    first = np.append(True, (runs[1:] != runs[:-1]) | (passage[1:] != passage[:-1]))
+    runs, passage, place = runs[first], passage[first], place[first]
+    _, of, n = np.unique(runs, return_inverse=True, return_counts=True)
+    least = np.full(len(b.passages), len(b.passages))
+    np.minimum.at(least, passage, n[of])
+    keep = (n[of] <= RARE) | (n[of] == least[passage])
+    grams, starts = np.unique(runs[keep], return_index=True)
+    return grams, np.append(starts, keep.sum()), passage[keep], place[keep]
+
+
 def latent_space(spark, b: Benchmark, idf: np.ndarray) -> np.ndarray:
     """Right singular vectors (terms x rank) of the passages' TF-IDF matrix A, by a distributed randomised decomposition:
     rounds of orthonormalised A^T A Q from a random Q, then the rotation that diagonalises (A Q)^T A Q. Tasks hold rows
@@ -146,7 +175,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     space of the benchmark's passages. Passages with a cosine of at least COSINE are candidates; the words around the
     window are then compared with the passage: a longest common subsequence of STRONG of its words, or of WEAK of them
     with ANSWER of the answer's words nearby, is a leak. The cosine's denominator counts words outside the benchmark, so a
-    window with too little weight inside its vocabulary is passed over without changing a result.
+    window with too little weight inside its vocabulary is passed over without changing a result. Where passages outnumber
+    the rank, the space holds only a share of each, and COSINE is asked of that share.
+
+    Passages that share a rare run of words with the text are candidates too, whatever the rank (see ``rare_runs``), so
+    that no whole copy is lost. Their similarity is the cosine of as many words as the passage has, in the full space.
 
     Documents go through one map over their texts (and one for the counts); only hits are shuffled. Null, empty and very
     short texts have no or one shorter window; texts and null ids repeated give the same pair once. Without documents,
@@ -162,16 +195,31 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = load_benchmark(benchmark)
     if not bench.passages:
         return spark.createDataFrame([], schema)
-    idf, unknown = term_weights(docs, bench.terms)
+    idf, outside = term_weights(docs, bench.terms)
     space = latent_space(spark, bench, idf)
     of_passages = np.array([w @ space[t] for t, w in _rows(bench, idf, range(len(bench.passages)))])
-    of_passages /= np.maximum(np.linalg.norm(of_passages, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((bench, idf, (space * idf[:, None]).astype(np.float32), of_passages.astype(np.float32)))
+    held = np.maximum(np.linalg.norm(of_passages, axis=1), 1e-12)
+    of_passages /= held[:, None]
+    least = (COSINE * np.minimum(held, 1)).astype(np.float32)
+    shared = spark.sparkContext.broadcast((bench, idf, outside.astype(np.float32), (space * idf[:, None]).astype(np.float32), of_passages.astype(np.float32), least, rare_runs(bench)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, weights, project, latent = shared.value
-        terms, squares = b.terms, weights**2
+        b, weights, beyond, project, latent, least, (grams, entries, of_entry, place) = shared.value
+        terms, squares, squares_beyond = b.terms, weights**2, beyond.astype(np.float64) ** 2
         lookup = dict(enumerate(b.passages))
+        lowest, step = float(least.min()), max(16, min(1000, (1 << 23) // len(latent)))
+
+        def cosine(words: np.ndarray, window: np.ndarray, hashes: np.ndarray) -> float:
+            inside = window >= 0
+            t, tf = np.unique(window[inside], return_counts=True)
+            x = tf * weights[t]
+            _, tf_beyond = np.unique(hashes[~inside], return_counts=True)
+            far = tf_beyond * beyond[cells_of(np.unique(hashes[~inside]))]
+            u, n = np.unique(words, return_counts=True)
+            y = n * weights[u]
+            _, i, j = np.intersect1d(t, u, assume_unique=True, return_indices=True)
+            size = np.sqrt(((x**2).sum() + (far**2).sum()) * (y**2).sum())
+            return min(1.0, float((x[i] * y[j]).sum() / size)) if size else 0.0
         for batch in batches:
             ids, hits = batch.column(0).to_pylist(), {}
             for first, h, at in word_hashes(batch.column(1).to_pylist()):
@@ -180,18 +228,41 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 where = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
                 known = terms[where] == h
                 term = np.where(known, where, -1)
-                w2 = np.where(known, squares[where], unknown**2)
+                w2 = np.where(known, squares[where], squares_beyond[cells_of(h)])
                 total, inside = (np.concatenate([[0.0], np.cumsum(x)]) for x in (w2, np.where(known, w2, 0.0)))
                 n = np.diff(at)
+                runs, of_doc = shingles(h, at, GRAM)
+                spot = np.minimum(np.searchsorted(grams, runs), len(grams) - 1)
+                shares = np.flatnonzero(grams[spot] == runs)
+                many = entries[spot[shares] + 1] - entries[spot[shares]]
+                entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(entries[spot[shares]], many)
+                in_doc = np.repeat(np.arange(len(n)), np.diff(of_doc))[shares]
+                places = np.repeat(shares - of_doc[:-1][in_doc] + at[:-1][in_doc], many)
+                in_doc = np.repeat(in_doc, many)
+                order = np.lexsort((places, of_entry[entry], in_doc))
+                last, beyond_place = None, 0
+                for d, p, x, own in zip(in_doc[order].tolist(), of_entry[entry[order]].tolist(), places[order].tolist(), place[entry[order]].tolist()):
+                    words, key = lookup[p], (first + d, b.items[p])
+                    if (d, p) == last and x < beyond_place:
+                        continue  # what is around it has been compared
+                    last, beyond_place = (d, p), x + len(words)
+                    lo, hi = max(at[d], x - len(words)), min(at[d + 1], x + 2 * len(words) + GRAM)
+                    share = common_subsequence(words, term[lo:hi]) / len(words)
+                    if share >= WEAK:
+                        begin = min(max(at[d], x - own), max(at[d], at[d + 1] - len(words)))
+                        end = min(begin + len(words), at[d + 1])
+                        near = cosine(words, term[begin:end], h[begin:end])
+                        if share >= STRONG or near >= COSINE and np.isin(b.answers[p], h[lo:hi]).mean() >= ANSWER:
+                            hits[key] = max(hits.get(key, (0.0, 0.0)), (share, near))
                 per = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
                 doc = np.repeat(np.arange(len(n)), per)
                 nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
                 start = at[:-1][doc] + np.minimum(nth * STRIDE, np.maximum(n[doc] - WINDOW, 0))
                 end = np.minimum(start + WINDOW, at[1:][doc])
                 norm = np.sqrt(total[end] - total[start])
-                good = np.flatnonzero((inside[end] - inside[start] >= (COSINE * norm) ** 2) & (norm > 0))
-                for k in range(0, len(good), 1000):
-                    g = good[k : k + 1000]
+                good = np.flatnonzero((inside[end] - inside[start] >= (lowest * norm) ** 2) & (norm > 0))
+                for k in range(0, len(good), step):
+                    g = good[k : k + step]
                     size = end[g] - start[g]
                     begin = np.cumsum(size) - size
                     word = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(start[g], size)
@@ -199,7 +270,7 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rows = project[np.maximum(t, 0)]
                     rows[t < 0] = 0
                     near = (np.add.reduceat(rows, begin, axis=0) @ latent.T) / norm[g, None]
-                    for i, p in zip(*np.nonzero(near >= COSINE)):
+                    for i, p in zip(*np.nonzero(near >= least)):
                         d, words = doc[g[i]], lookup[p]
                         key = (first + d, b.items[p])
                         if hits.get(key, (0, 0))[1] >= 1:
