@@ -188,6 +188,40 @@ def test_licenses(spark):
 
 
 # op7
+def test_wrapped_licenses(spark):
+    mit = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    led = lambda text, lead: "\n".join((lead + line).rstrip() for line in text.split("\n"))
+    texts = [mit, gpl, "no stop before\nLicensed under the\nMIT License\nnor after", "not licensed under the\nMIT License", "# Licensed under the MIT License", "licensed under the apache license version #", "Permission is\n\nhereby granted"]
+    rows = list(enumerate(texts)) + [(10 + 10 * k + i, led(t, lead)) for k, lead in enumerate(["# ", "// ", " * ", ";; ", "dnl ", "! "]) for i, t in enumerate([mit, gpl])]
+    got = {r["n"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "n long, text string")).collect()}
+    for n in got:
+        if n >= 10 or n < 2:
+            assert got[n]["sentence_ids"] == [["mit-grant", "mit-notice", "mit-as-is"], ["gpl-grant", "gpl-hope"]][n % 10], n
+    assert [got[n]["sentence_ids"] for n in range(2, 7)] == [["mit-tag"], [], ["mit-tag"], [], []]
+
+
 def brute_lines(rows, least=10):
     key = lambda l: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in l.strip(" \t\n\x0b\f\r"))
     n = Counter(k for _, t in rows for k in {key(l) for l in (t or "").split("\n")} if k)

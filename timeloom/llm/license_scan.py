@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Sentences of public licence texts and notices, normalised as by ``sentences_of``, and their identifiers.
+# Sentences of public licence texts and notices, normalised as by ``marked_words``, and their identifiers.
 SENTENCES: dict[str, str] = {
     "released under the mit license": "mit-tag",
     "licensed under the mit license": "mit-tag",
@@ -52,19 +52,30 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 MAX_SENTENCES = 2000
 
 
-def sentences_of(text: Column) -> Column:
-    """Normalised sentences in order: cut at line feeds, and at ``.``, ``!``, ``?``, ``;`` or ``:`` before a blank;
-    A-Z lower-cased, numbers as ``#``, all else but letters as single blanks. Empty ones are left out; null gives none."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    cut = F.split(F.regexp_replace(low, r"[.!?;:]+[ \t\r]+", "\n"), "\n", -1)
-    plain = F.transform(cut, lambda s: F.btrim(F.regexp_replace(F.regexp_replace(s, r"[0-9]+([.][0-9]+)*", " # "), r"[^a-z#]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+def marked_words(text: Column) -> Column:
+    """The text's words between single blanks, with ``|`` where a sentence ends (``.``, ``!`` or ``?`` before a blank or line
+    end, blank lines) and ``~`` where only a line or, at ``;`` or ``:``, a part of it does; A-Z lower-cased, numbers as ``#``, all else but
+    letters left out, comment leaders too. Null gives marks alone."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ#|~", "abcdefghijklmnopqrstuvwxyz   ")
+    led = F.regexp_replace(low, r"(?m)^[ \t]*(?:[;!]+|dnl\b|rem\b)", " ")
+    cut = F.regexp_replace(F.regexp_replace(led, r"[;:]+(?:[ \t\r]+\n?|\n)", " ~ "), r"[.!?;:]+(?:[ \t\r]+|(?=\n))", " | ")
+    cut = F.concat(F.lit(" | "), F.regexp_replace(cut, "\n", " ~ "), F.lit(" | "))
+    plain = F.regexp_replace(F.regexp_replace(cut, r"[0-9]+([.][0-9]+)*", " # "), r"[^a-z#|~]+", " ")
+    return F.regexp_replace(plain, r" *(?:[|~] *){2,}", " | ")
+
+
+def known_sentences(text: Column, sentences: Mapping[str, str]) -> Column:
+    """The known sentences of a text in order: from where a line or sentence begins to where one ends, over any number of
+    lines between; the longest first where several begin."""
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    pattern = "(?<=[|~] )(?:" + "|".join(s.replace(" ", "(?: ~)? ") for s in longest) + ")(?= [|~])"
+    return F.transform(F.regexp_extract_all(marked_words(text), F.lit(pattern), F.lit(0)), lambda s: F.replace(s, F.lit(" ~"), F.lit("")))
 
 
 def scan_licenses(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
     """Add ``license`` (of the first rule that matches), ``licenses`` (all, in rule order) and ``sentence_ids``.
 
-    Each sentence known by its whole normalised form becomes an identifier; other sentences are skipped. A rule
+    Each sentence known by its whole normalised form, on one line or wrapped over several, becomes an identifier; other sentences are skipped. A rule
     matches if its identifiers stand one after another in what is left. All of it happens inside the row: nothing is
     exploded or shuffled, and common licence lines make no hot group. Null and empty texts, and texts without a known
     sentence, have no licence: null, and empty arrays. Columns named like the results are replaced.
@@ -73,8 +84,8 @@ def scan_licenses(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rul
         raise ValueError(f"at most {MAX_SENTENCES} sentences")
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     # cheap test first: a text without any of the sentences' rarest words needs no splitting
-    maybe = F.lower("text").rlike("license|permission is hereby|warrant|redistribut|free software|copyright")
-    ids = F.when(maybe, F.filter(F.transform(sentences_of(F.col("text")), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull()))
+    maybe = F.lower("text").rlike("license|permission|warrant|redistribut|free software|copyright") if sentences is SENTENCES else F.lit(True)
+    ids = F.when(maybe, F.transform(known_sentences(F.col("text"), sentences), lambda s: F.try_element_at(known, s)))
     d = docs.withColumn("sentence_ids", F.coalesce(ids, F.array().cast("array<string>")))
     trail = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
     hits = F.array(*[F.when(trail.contains("|" + "|".join(seq) + "|"), F.lit(name)) for name, seq in rules])
