@@ -17,7 +17,7 @@ from timeloom.plans.scratch import materialise
 
 #: Rows of an Arrow batch, set for the session by the first stage: texts are long, and its result is computed by who writes it.
 BATCH_ROWS = 1000
-#: A document that would lose more than this share of its characters is taken as a copy and left to near-dedup whole.
+#: A document that would lose more than this share of its characters is left to near-dedup whole if it is a copy.
 MOST_DROPPED = 0.5
 
 
@@ -29,11 +29,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that ten or more documents have. All documents stay; of copies, most of whose lines are
-    such, nothing is dropped here: the next stage keeps one of them, whole."""
+    """Texts without lines that ten or more documents have. All documents stay. Of those that would lose most of their
+    text, the copies and near copies of one another lose nothing here: the next stage keeps one of them, whole."""
     d = drop_repeated_lines(docs.withColumn("_was", F.char_length("text")), 10, 1)
-    boilerplate = F.char_length("kept") >= F.col("_was") * (1 - MOST_DROPPED)
-    text = F.when((F.col("n_dropped") > 0) & boilerplate, F.col("kept")).otherwise(F.col("text"))
+    mostly = (F.col("n_dropped") > 0) & (F.char_length("kept") < F.col("_was") * (1 - MOST_DROPPED))
+    # by a hash of the text, so that rows with a null or repeated doc_id are compared too
+    classes = near_duplicates(materialise(d.where(mostly).select(F.xxhash64("text").alias("doc_id"), "text"), "mostly-repeated"))
+    texts = classes.groupBy("doc_id", "class_id").count()
+    copied = texts.groupBy("class_id").agg(F.sum("count").alias("n")).where("n > 1")
+    copies = materialise(texts.join(copied, "class_id", "left_semi").select(F.col("doc_id").alias("_copy")), "whole-copies")
+    d = d.join(copies, F.xxhash64("text") == F.col("_copy"), "left")
+    text = F.when((F.col("n_dropped") > 0) & ~(mostly & F.col("_copy").isNotNull()), F.col("kept")).otherwise(F.col("text"))
     return d.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -7,6 +7,17 @@ import corpus_pipeline as P
 from tests.llm.test_llm import make
 
 
+def test_line_dedup_spares_only_copies(spark):
+    rng = random.Random(2)
+    common = [make(rng, 30) for _ in range(3)]
+    rows = [(i, "\n".join([*rng.sample(common, 2), make(rng, 12)])) for i in range(40)]  # most of each is shared, none is a copy
+    base = "\n".join(make(rng, 12) for _ in range(8))
+    rows += [(100 + i, base) for i in range(12)] + [(200 + i, base.replace(base.split()[i * 3], "edited", 1)) for i in range(5)] + [(None, base)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or -1, r["text"], r["n_chars"]) for r in P.line_dedup(spark, docs, "").collect())
+    assert got == sorted((i or -1, w, len(w)) for i, t in rows for w in [t if i is None or i >= 100 else t.split("\n")[-1]])
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(1)
     text = lambda n: "\n".join(make(rng, 12) for _ in range(n))
