@@ -222,6 +222,16 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
     assert [got[n]["sentence_ids"] for n in range(2, 7)] == [["mit-tag"], [], ["mit-tag"], [], []]
 
 
+def test_training_sample_of_copies(spark):
+    texts = spark.createDataFrame([(f"text number {i}",) for i in range(200)], "text string")
+    u = [(r["text"], r["u"] / 2.0**62) for r in texts.select("text", F.xxhash64("text").bitwiseAND(2**62 - 1).alias("u")).orderBy("u").collect()]
+    high = [t for t, x in u if x > 0.5][:3]
+    rows = [("few", t) for t in high for _ in range(100)] + [("many", u[0][0])] * 300 + [("many", t) for t, _ in u[1:]]
+    got = language_id.training_sample(spark.createDataFrame(rows, "lang string, text string"), 10).collect()
+    assert sorted(r["text"] for r in got if r["lang"] == "few") == sorted(high) and {r["n_lang"] for r in got if r["lang"] == "few"} == {300}
+    assert sorted(r["text"] for r in got if r["lang"] == "many") == sorted(t for t, _ in u[:10])
+
+
 def brute_lines(rows, least=10):
     key = lambda l: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in l.strip(" \t\n\x0b\f\r"))
     n = Counter(k for _, t in rows for k in {key(l) for l in (t or "").split("\n")} if k)

@@ -25,23 +25,25 @@ def letters(text: str) -> str:
 
 
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
-    """At most ``per_lang`` documents (``lang, text``) of each language, those with the smallest hash of their text.
+    """At most ``per_lang`` distinct texts (``lang, text``) of each language, those with the smallest hash.
 
-    Counts by language set a threshold on the hash, so that a language with most of the rows sends about four times
-    ``per_lang`` rows to the ranking, however many it has. Rows without text or lang take no part. ``n_lang`` is the
+    Counts of distinct texts by language set a threshold on the hash, so that a language with most of the rows sends
+    about four times ``per_lang`` texts to the ranking, however many and however often copied it has them. Rows without text or lang take no part. ``n_lang`` is the
     language's count over all rows, by which ties between languages are settled later.
     """
-    d = docs.where("lang is not null and text is not null").select("lang", "text", (F.xxhash64("text").bitwiseAND(2**62 - 1) / 2.0**62).alias("u"))
-    counts = d.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    d = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = d.groupBy("lang", "h").count().groupBy("lang").agg(F.count("*").alias("texts"), F.sum("count").alias("rows")).limit(MAX_LANGS + 1).collect()
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return d.select("lang", "text", F.lit(0).alias("n_lang")).limit(0)
     share, size = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), F.lit(0))
     for r in counts:
-        share = share.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * per_lang / r["count"])))
-        size = size.when(F.col("lang") == r["lang"], F.lit(r["count"]))
-    ranked = d.withColumn("n_lang", size).where(F.col("u") < share).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
+        share = share.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * per_lang / r["texts"])))
+        size = size.when(F.col("lang") == r["lang"], F.lit(r["rows"]))
+    low = d.withColumn("u", F.col("h").bitwiseAND(2**62 - 1) / 2.0**62).where(F.col("u") < share)
+    texts = low.groupBy("lang", "h", "u").agg(F.min("text").alias("text"))
+    ranked = texts.withColumn("n_lang", size).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
     return ranked.where(F.col("n") <= per_lang).select("lang", F.substring("text", 1, 20_000).alias("text"), "n_lang")
 
 
