@@ -91,9 +91,8 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.nd
     rolled = np.zeros(len(hashes), np.uint64)
     for j in range(k):
         part = np.zeros(len(hashes), np.uint64)
-        part[: len(hashes) - j] = hashes[j:]
+        part[: max(0, len(hashes) - j)] = hashes[j:]
         rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + part
-    keep = np.zeros(len(hashes), bool)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     ends = np.cumsum(count)
     # position of each kept shingle: text offset plus its number within the text
