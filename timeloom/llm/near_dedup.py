@@ -295,13 +295,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, row: str | None = N
 def _near_duplicates(docs: DataFrame, threshold: float) -> DataFrame:
     table = shingle_weights(*document_frequencies(docs))
     signed = materialise(signatures(docs, table), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    texts = signed.where("same is not null").groupBy("same").agg(first, F.count("*").alias("n_copies"), F.min(F.struct("ka", "kb")).alias("k"), F.any_value("bands").alias("bands"), F.min("rarity").alias("rarity"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "ka", "kb")).alias("first")
+    texts = signed.where("same is not null").groupBy("same").agg(first, F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.min("rarity").alias("rarity"))
     texts = materialise(texts.withColumn("rep", F.monotonically_increasing_id()), "distinct-texts")
     members = texts.where("bands is not null").select("rep", "rarity", F.posexplode("bands").alias("band", "hash"))
     sizes = materialise(members.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = materialise(members.join(sizes, ["band", "hash"]), "members")
-    keys = texts.select("rep", "k.ka", "k.kb")
+    keys = texts.select("rep", "first.ka", "first.kb", F.col("first.doc_id").alias("id"))
     known = _links(members, lambda pairs: _verify(pairs, docs, keys, table), threshold)
     parts = connected_components(known, "a", "b")
     late = _close(members, parts, docs, keys, table, threshold)
@@ -326,7 +326,7 @@ def _links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresho
     for round_no in range(ROUNDS):
         nth = F.row_number().over(Window.partitionBy("band", "hash").orderBy("rarity", "rep"))
         leaders = large.withColumn("nth", nth).where(F.col("nth") <= LEADERS * (round_no + 1)).where(F.col("nth") > LEADERS * round_no).select("band", "hash", F.col("rep").alias("leader"))
-        met = materialise(rest.join(materialise(leaders, "leaders"), ["band", "hash"]).where("rep <> leader"), "meetings")
+        met = materialise(rest.join(leaders, ["band", "hash"]).where("rep <> leader"), "meetings")
         led = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
         fresh = (led if round_no else fresh.unionByName(led)).distinct()
         if known is not None:
@@ -386,10 +386,11 @@ def _close(members: DataFrame, parts: DataFrame, docs: DataFrame, keys: DataFram
 
 
 def _texts_of(reps: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rep, text`` of the texts numbered ``rep``: one scan of the documents, of which only these texts are shuffled."""
-    wanted = materialise(keys.join(materialise(reps, "compared"), "rep", "left_semi"), "compared-keys")
-    found = docs.where("text is not null").select("text", *[c.alias(k) for k, c in _text_key().items()]).join(wanted, ["ka", "kb"])
-    return materialise(found.groupBy("rep").agg(F.min("text").alias("text")), "compared-texts")
+    """``rep, text`` of the texts numbered ``rep``: one scan of the documents, of which one row of each such text is shuffled."""
+    wanted = materialise(keys.join(reps, "rep", "left_semi"), "compared")
+    found = docs.where("text is not null").select("doc_id", "text", *[c.alias(k) for k, c in _text_key().items()])
+    found = found.join(wanted, (found["ka"] == wanted["ka"]) & (found["kb"] == wanted["kb"]) & found["doc_id"].eqNullSafe(wanted["id"]))
+    return materialise(found.select("rep", "text").dropDuplicates(["rep"]), "compared-texts")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, table: np.ndarray) -> DataFrame:
