@@ -286,6 +286,51 @@ def test_leaks_of_more_passages_than_the_rank(spark):
     assert got == {(i, i) for i in range(2000)} | {(2000 + i, 2000 + j) for i in range(50) for j in range(50)}
 
 
+def test_short_items_are_compared_literally(spark):
+    bench = [("yes", 1), ("forty two", 2), ("the answer is seven", 3), ("Seven, is the answer!", 4), ("the answer is seven", 5), ("", 6), ("alpha beta gamma delta epsilon zeta eta", 7)]
+    docs = [("a", "yes"), ("b", "yes sir"), ("c", "Forty-two"), ("d", "so the ANSWER\nis seven today"), ("e", "the answer is"), ("f", "x " * 500 + "alpha beta gamma delta epsilon zeta eta"), (None, "seven is the answer"), ("g", None)]
+    df, b = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(i, t) for t, i in bench], "item_id long, text string")
+    want = {("a", 1), ("c", 2), ("d", 3), ("d", 5), ("f", 7), (None, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(df, b).collect()} == want
+    long = make(random.Random(62), 30)
+    got = decontamination.find_leaks(df.union(spark.createDataFrame([("h", long)], df.schema)), b.union(spark.createDataFrame([(8, long)], b.schema))).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want | {("h", 8)} and all(r["lcs_share"] == 1 for r in got)
+
+
+def test_paraphrases_against_brute_force(spark):
+    """Items with words changed and left out, against all windows compared with all passages in the full space."""
+    rng = random.Random(63)
+    bench = [make(rng, rng.randint(20, 58)) for _ in range(120)]
+    texts = []
+    for t in bench:
+        words = [rng.choice(WORDS) + "x" if rng.random() < 0.2 else w for w in t.split() if rng.random() > 0.1]
+        texts.append(make(rng, rng.randint(0, 60)) + " " + " ".join(words) + " " + make(rng, rng.randint(0, 60)))
+    texts += [make(rng, 150) for _ in range(100)]
+    n = Counter(w for t in texts for w in set(t.split()))
+    idf = {w: np.log((2 + len(texts)) / (1 + n[w])) for w in n} | {w: np.log(2 + len(texts)) for t in bench for w in t.split() if w not in n}
+    vector = lambda ws: {w: c * idf[w] for w, c in Counter(ws).items()}
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    want = set()
+    for d, t in enumerate(texts):
+        ws = t.split()
+        starts = [min(k * decontamination.STRIDE, max(len(ws) - decontamination.WINDOW, 0)) for k in range(max(1, -(-(len(ws) - decontamination.WINDOW) // decontamination.STRIDE) + 1))]
+        windows = [(a, vector(ws[a : a + decontamination.WINDOW])) for a in starts]
+        for i, p in enumerate(bench):
+            pw = p.split()
+            pv = vector(pw)
+            for a, v in windows:
+                if sum(x * pv.get(w, 0) for w, x in v.items()) >= decontamination.COSINE * size(v) * size(pv):
+                    around = ws[max(0, a - len(pw)) : a + decontamination.WINDOW + len(pw)]
+                    names = {w: k for k, w in enumerate(pw)}
+                    share = decontamination.common_subsequence(np.array([names[w] for w in pw]), np.array([names.get(w, -1) for w in around])) / len(pw)
+                    answer = pw[-max(2, len(pw) // 4) :]
+                    if share >= decontamination.STRONG or share >= decontamination.WEAK and np.mean([w in around for w in answer]) >= decontamination.ANSWER:
+                        want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()}
+    assert len(want) > 90 and len(want & got) >= 0.97 * len(want)
+    assert got <= {(i, i) for i in range(120)}
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +13,9 @@ from timeloom.llm.sums import summed
 from timeloom.llm.words import shingles, word_hashes
 from timeloom.plans.scratch import materialise, small_batches
 
-#: Words of a benchmark passage at most, of a document window, and from window to window; shorter items aren't searched.
-PASSAGE, WINDOW, STRIDE, LEAST_WORDS = 60, 24, 12, 8
+#: Words of a benchmark passage at most, of a document window, and from window to window. Items of fewer than LEAST_WORDS
+#: words are compared literally: as a run of words from LEAST_RUN words on, shorter ones only with whole texts.
+PASSAGE, WINDOW, STRIDE, LEAST_WORDS, LEAST_RUN = 60, 24, 12, 8, 3
 #: Rank of the latent space, extra directions and rounds of the randomised decomposition.
 RANK, EXTRA, ROUNDS = 200, 20, 2
 #: Cosine of a candidate; share of a passage's words in the longest common subsequence that suffices, alone or with
@@ -23,29 +24,35 @@ COSINE, STRONG, WEAK, ANSWER = 0.35, 0.75, 0.55, 0.6
 #: Words of a run that a passage must share to be compared without the latent space; runs in more passages than
 #: ``RARE`` count only where a passage has none rarer. Cells in which documents of words outside the benchmark are counted.
 GRAM, RARE, CELLS = 3, 32, 1 << 18
-#: Bounds of the query side, which every task holds: terms and passages of the benchmark.
-MAX_TERMS, MAX_PASSAGES = 500_000, 100_000
+#: Bounds of the query side, which every task holds: terms and passages of the benchmark, and bytes of the latent space (by
+#: which the rank falls where there are many terms, down to LEAST_RANK).
+MAX_TERMS, MAX_PASSAGES, SPACE_BYTES, LEAST_RANK = 500_000, 100_000, 1 << 28, 16
 
 
 @dataclass
 class Benchmark:
-    """The query side: terms (sorted hashes), passages as term numbers, their items and which words are the answer."""
+    """The query side: terms (sorted hashes), passages as term numbers, their items and which words are the answer; and of
+    short items by their number of words the sorted hashes of all their words, and their ids."""
 
     terms: np.ndarray
     passages: list[np.ndarray]
     items: list[int]
     answers: list[np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def load_benchmark(benchmark: DataFrame) -> Benchmark:
     """Passages of at most PASSAGE words of each item. The answer is the column ``answer`` if there is one, else the last
-    quarter of the passage. Items with a null id or fewer than LEAST_WORDS words are left out. Refuses benchmarks over
-    the bounds."""
+    quarter of the passage. Items with a null id or without words are left out, and those of
+    fewer than LEAST_WORDS words kept apart. Refuses benchmarks over the bounds."""
     has_answer = "answer" in benchmark.columns
     rows = benchmark.select(F.col("item_id").cast("long"), "text", (F.col("answer") if has_answer else F.lit(None).cast("string")).alias("answer")).where("item_id is not null").distinct().orderBy("item_id", "text", "answer").limit(MAX_PASSAGES + 1).collect()
     passages, items, answers = [], [], []
+    few: dict[int, list[tuple[int, int]]] = {}
     for r in rows:
         words = np.concatenate([h for _, h, _ in word_hashes([r["text"]])] or [np.zeros(0, np.uint64)])
+        if 0 < len(words) < LEAST_WORDS:
+            few.setdefault(len(words), []).append((int(shingles(words, np.array([0, len(words)]), len(words))[0][0]), r["item_id"]))
         if len(words) < LEAST_WORDS:
             continue
         told = np.concatenate([h for _, h, _ in word_hashes([r["answer"]])]) if r["answer"] else None
@@ -55,9 +62,10 @@ def load_benchmark(benchmark: DataFrame) -> Benchmark:
             items.append(r["item_id"])
             answers.append(told if told is not None and len(told) else p[-max(2, len(p) // 4) :])
     terms = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
-    if len(terms) > MAX_TERMS or len(passages) > MAX_PASSAGES:
+    if len(terms) > MAX_TERMS or len(passages) > MAX_PASSAGES or len(rows) > MAX_PASSAGES:
         raise ValueError(f"the benchmark has {len(terms)} terms and {len(passages)} passages or more")
-    return Benchmark(terms, [np.searchsorted(terms, p) for p in passages], items, answers)
+    short = {k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)])) for k, v in few.items()}
+    return Benchmark(terms, [np.searchsorted(terms, p) for p in passages], items, answers, short)
 
 
 def cells_of(h: np.ndarray) -> np.ndarray:
@@ -120,7 +128,7 @@ def latent_space(spark, b: Benchmark, idf: np.ndarray) -> np.ndarray:
     """Right singular vectors (terms x rank) of the passages' TF-IDF matrix A, by a distributed randomised decomposition:
     rounds of orthonormalised A^T A Q from a random Q, then the rotation that diagonalises (A Q)^T A Q. Tasks hold rows
     of A; what comes to the driver is terms x rank and rank x rank, within the benchmark's bounds."""
-    rank = min(RANK, len(b.passages), len(b.terms))
+    rank = min(RANK, len(b.passages), len(b.terms), max(LEAST_RANK, SPACE_BYTES // (8 * len(b.terms)) - EXTRA))
     width = min(rank + EXTRA, len(b.terms))
     q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(b.terms), width)))[0]
     shared = spark.sparkContext.broadcast((b, idf))
@@ -181,7 +189,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Passages that share a rare run of words with the text are candidates too, whatever the rank (see ``rare_runs``), so
     that no whole copy is lost. Their similarity is the cosine of as many words as the passage has, in the full space.
 
-    Documents go through one map over their texts (and one for the counts); only hits are shuffled. Null, empty and very
+    Short items (fewer than LEAST_WORDS words) are leaks where all their words stand in a row, those of one or two words
+    where they are the whole text; both figures are 1 then.
+
+    doc_ids may be of any type. Documents go through one map over their texts (and one for the counts); only hits are shuffled. Null, empty and very
     short texts have no or one shorter window; texts and null ids repeated give the same pair once. Without documents,
     items or words the result is empty.
     """
@@ -191,10 +202,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, similarity double, lcs_share double"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, lcs_share double"
     bench = load_benchmark(benchmark)
     if not bench.passages:
-        return spark.createDataFrame([], schema)
+        return _best(docs.select("doc_id", "text").mapInArrow(_literal(bench.short), schema)) if bench.short else spark.createDataFrame([], schema)
     idf, outside = term_weights(docs, bench.terms)
     space = latent_space(spark, bench, idf)
     of_passages = np.array([w @ space[t] for t, w in _rows(bench, idf, range(len(bench.passages)))])
@@ -221,10 +232,11 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             size = np.sqrt(((x**2).sum() + (far**2).sum()) * (y**2).sum())
             return min(1.0, float((x[i] * y[j]).sum() / size)) if size else 0.0
         for batch in batches:
-            ids, hits = batch.column(0).to_pylist(), {}
+            hits: dict[tuple[int, int], tuple[float, float]] = {}
             for first, h, at in word_hashes(batch.column(1).to_pylist()):
                 if not len(h):
                     continue
+                hits |= dict.fromkeys(((first + d, item) for d, item in short_runs(b.short, h, at)), (1.0, 1.0))
                 where = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
                 known = terms[where] == h
                 term = np.where(known, where, -1)
@@ -273,20 +285,53 @@ def _find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for i, p in zip(*np.nonzero(near >= least)):
                         d, words = doc[g[i]], lookup[p]
                         key = (first + d, b.items[p])
-                        if hits.get(key, (0, 0))[1] >= 1:
-                            continue
+                        if hits.get(key, (0.0, 0.0))[0] >= 1:
+                            continue  # nothing is a better copy
                         lo, hi = max(at[d], start[g[i]] - len(words)), min(at[d + 1], end[g[i]] + len(words))
                         share = common_subsequence(words, term[lo:hi]) / len(words)
                         if share >= STRONG or share >= WEAK and np.isin(b.answers[p], h[lo:hi]).mean() >= ANSWER:
                             hits[key] = max(hits.get(key, (0.0, 0.0)), (share, float(near[i, p])))
             if hits:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64()), pa.array([v[1] for v in hits.values()], pa.float64()), pa.array([v[0] for v in hits.values()], pa.float64())],
-                    ["doc_id", "item_id", "similarity", "lcs_share"],
-                )
+                yield _found(batch.column(0), hits)
+
+    return _best(docs.select("doc_id", "text").mapInArrow(search, schema))
+
+
+def _found(ids: pa.Array, hits: dict[tuple[int, int], tuple[float, float]]) -> pa.RecordBatch:
+    share, near = zip(*hits.values())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array([d for d, _ in hits], pa.int64())), pa.array([int(i) for _, i in hits], pa.int64()), pa.array(near, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "similarity", "lcs_share"])
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """One row per pair: the figures of the passage of which the largest share was found."""
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs_share", "similarity")).alias("x"))
+    return materialise(best.select("doc_id", "item_id", "x.similarity", "x.lcs_share"), "leaks")
+
+
+def short_runs(short: dict[int, tuple[np.ndarray, np.ndarray]], h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Which texts of a stretch hold which short item."""
+    for k, (hashes, items) in short.items():
+        runs, of_doc = shingles(h, at, k)
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(of_doc))
+        size = np.diff(at)[doc]
+        ok = size >= k if k >= LEAST_RUN else size == k
+        runs, doc = runs[ok], doc[ok]
+        low, high = np.searchsorted(hashes, runs), np.searchsorted(hashes, runs, "right")
+        for i in np.flatnonzero(high > low):
+            for x in range(low[i], high[i]):
+                yield int(doc[i]), int(items[x])
+
+
+def _literal(short: dict[int, tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A benchmark of short items alone."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = {(first + d, i): (1.0, 1.0) for first, h, at in word_hashes(batch.column(1).to_pylist()) if len(h) for d, i in short_runs(short, h, at)}
+            if hits:
+                yield _found(batch.column(0), hits)
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, schema)
-    return materialise(found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("lcs_share").alias("lcs_share")), "leaks")
+    return search
 
 
 def op8_latent_leaks(spark, sf_dir: str) -> DataFrame:
