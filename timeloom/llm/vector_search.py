@@ -8,23 +8,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
 from timeloom.plans.scratch import materialise
 
-#: Vectors from which centroids are fitted, rounds of fitting, and most centroids a half.
-FIT_ROWS, FIT_ROUNDS, MAX_CENTROIDS = 20_000, 12, 1024
-#: Entries a block and queries a block that meet in one task's group.
-BLOCK = 8192
+#: Vectors from which centroids are fitted, rounds of fitting, most centroids a half, and entries a cell before that is reached:
+#: with few, the same share of the entries holds more of the nearest.
+FIT_ROWS, FIT_ROUNDS, MAX_CENTROIDS, PER_CELL = 20_000, 12, 1024, 3
+#: Entries and queries that meet in one task's group, at most and at least (as many groups as the cluster has cores twice
+#: over come first), and queries that are compared at once.
+BLOCK, LEAST_BLOCK, AT_ONCE = 8192, 512, 512
+#: Steps in which summed nearness is counted before the heap takes over.
+STEPS = 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows that take part: id and vector not null, no null or non-finite component, not all zero, and of the
-    commonest length if lengths differ (ties to the longer)."""
+    """Rows that take part: id and vector not null, no null or non-finite component, not all zero."""
     e = F.col("embedding")
     ok = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
-    d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").where(ok)
-    length = d.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return d.where(F.size("embedding") == (length[0]["n"] if length else 0))
+    kind = vectors.schema["embedding"].dataType.elementType
+    e = e if isinstance(kind, FloatType) else e.cast("array<double>")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where("vec_id is not null and embedding is not null").where(ok)
 
 
 def fit_centroids(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -41,138 +45,153 @@ def fit_centroids(vectors: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest_centroid(v: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(1)[None] - 2 * v @ c.T, axis=1)
+    size = (c * c).sum(1)[None]
+    return np.concatenate([np.argmin(size - 2 * v[i : i + AT_ONCE] @ c.T, axis=1) for i in range(0, len(v), AT_ONCE)])
 
 
-def traverse(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: int) -> list[tuple[int, int]]:
-    """Cells in the order of summed nearness ``a[i] + b[j]``, by a heap over the two sorted halves, until they hold ``wanted`` entries."""
+def traverse(a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: int) -> float:
+    """How near a cell must be: cells (i, j) in the order of summed nearness ``a[i] + b[j]`` hold ``wanted`` entries down to
+    the sum that is returned (that of the last cell, if all hold fewer).
+
+    Cells are taken by a heap over the two sorted halves. Nearly all of the way is first covered in steps, by counting the
+    entries between STEPS even sums: the heap starts at the frontier below them.
+    """
     oa, ob = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-    sa, sb, ia, ib = a[oa].tolist(), b[ob].tolist(), oa.tolist(), ob.tolist()
-    heap, seen, got, out = [(-(sa[0] + sb[0]), 0, 0)], set(), 0, []
-    cells = counts.tolist() if isinstance(counts, np.ndarray) else counts
+    a, b, counts = a[oa], b[ob], counts[oa][:, ob]
+    sums = a[:, None] + b[None]
+    top, low = float(sums[0, 0]), float(sums[-1, -1])
+    step = (top - low) / STEPS or 1.0
+    at = np.minimum(((top - sums) / step).astype(np.int64), STEPS)
+    held = np.cumsum(np.bincount(at.ravel(), weights=counts.ravel(), minlength=STEPS + 1))
+    before = int(np.searchsorted(held, wanted))  # the step in which enough is reached
+    got = int(held[before - 1]) if before else 0
+    frontier = (at < before).sum(1)  # by row the first cell that isn't covered: sums fall along a row
+    heap = [(-(a[i] + b[j]), i, j) for i, j in enumerate(frontier.tolist()) if j < len(b)]
+    heapq.heapify(heap)
+    last = low if not heap else -heap[0][0]
     while heap and got < wanted:
-        _, i, j = heapq.heappop(heap)
-        n = cells[ia[i]][ib[j]]
-        if n:
-            out.append((ia[i], ib[j]))
-            got += n
-        if i + 1 < len(sa) and (j == 0 or (i + 1, j - 1) in seen):
-            heapq.heappush(heap, (-(sa[i + 1] + sb[j]), i + 1, j))
-        if j + 1 < len(sb) and (i == 0 or (i - 1, j + 1) in seen):
-            heapq.heappush(heap, (-(sa[i] + sb[j + 1]), i, j + 1))
-        seen.add((i, j))
-    return out
+        near, i, j = heapq.heappop(heap)
+        last = -near
+        got += int(counts[i, j])
+        if j + 1 < len(b):
+            heapq.heappush(heap, (-(a[i] + b[j + 1]), i, j + 1))
+    return float(last)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = len(column)
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows as doubles; shorter ones end in zeros."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
+    out = np.zeros((len(flat), width))
+    if len(flat):
+        size = np.diff(flat.offsets.to_numpy())
+        values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if (size == width).all():
+            return values.reshape(-1, width)
+        out[np.arange(width)[None] < size[:, None]] = values
+    return out
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.7, least: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.7) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each usable row of ``vectors`` (``vec_id, embedding``) where the Column
     ``is_query`` holds, its ``k`` nearest other rows found, by inner product in double precision, ties to the smaller id.
 
     Index: each half of the vectors has its own centroids, fitted on at most FIT_ROWS vectors (those with the smallest
     hash of their id); every vector is an entry of the cell of its two nearest centroids. Search: pairs of centroids are
-    taken by summed inner product with a heap until their cells hold ``share`` of all entries, ``least`` at any rate,
-    and those entries are reranked exactly. Unstructured vectors need a large share (README has recall figures).
+    taken by summed inner product with a heap until their cells hold ``share`` of all entries (``4 * k`` at least), and
+    those entries are reranked exactly. Unstructured vectors need a large share (README has recall figures).
 
     Equal vectors are one entry with its k + 1 smallest ids, which is all that ``k`` results can need, so copies make no
-    heavy cell; equal queries are searched once. Entries of a centroid of the first half are dealt in blocks of about
-    BLOCK, and so are queries; each pair of blocks is one small group. With ``k`` or fewer candidates all are returned.
-    Repeated ids count once per row; rows without usable vectors (see ``usable``) neither ask nor answer.
+    heavy cell; equal queries are searched once. A query is sent only with the sum it goes down to, to those groups of
+    lists (first centroids) that can hold such a cell; each group meets it in blocks of at most BLOCK queries and entries.
+    With ``k`` or fewer candidates all are returned. Repeated ids count once per row; rows without usable vectors (see
+    ``usable``) neither ask nor answer; vectors of fewer components than the longest are compared as if they ended in zeros.
     """
+    spark = vectors.sparkSession
     rows = materialise(usable(vectors), "vectors")
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     entries = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = materialise(entries.withColumn("entry", F.element_at("ids", 1)), "entries")
-    n = entries.count()
+    n, size = entries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     asked = rows.where(is_query)
     if not n or asked.isEmpty():
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    vector = entries.schema["embedding"].dataType.simpleString()
 
     sample = entries.select("embedding", F.xxhash64("entry").alias("h"), "entry").orderBy("h", "entry").limit(FIT_ROWS)
-    fit = np.array([r[0] for r in sample.select("embedding").collect()])
-    half = (fit.shape[1] + 1) // 2
-    size = int(min(MAX_CENTROIDS, max(4, round((n / 50) ** 0.5))))
-    one, two = fit_centroids(fit[:, :half], size), fit_centroids(fit[:, half:], size) if fit.shape[1] > half else np.zeros((1, 0))
-    width = len(two)
+    fit = _matrix(sample.select("embedding").toArrow().column(0), size)
+    half = (size + 1) // 2
+    centroids = int(min(MAX_CENTROIDS, max(4, round((n / PER_CELL) ** 0.5))))
+    one, two = fit_centroids(fit[:, :half], centroids), fit_centroids(fit[:, half:], centroids) if size > half else np.zeros((1, 0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column(1))
-            if not len(v):
-                continue
-            i = nearest_centroid(v[:, :half], one)
-            j = nearest_centroid(v[:, half:], two) if v.shape[1] > half else np.zeros(len(v), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["entry", "embedding", "ids", "i", "j"])
-
-    indexed = materialise(entries.select("entry", "embedding", "ids").mapInArrow(assign, "entry long, embedding array<double>, ids array<long>, i int, j int"), "index")
-    counts = np.zeros((len(one), width), np.int64)  # at most MAX_CENTROIDS^2 cells at any input size
+            if b.num_rows:
+                v = _matrix(b.column(1), size)
+                i, j = nearest_centroid(v[:, :half], one), nearest_centroid(v[:, half:], two)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["entry", "embedding", "ids", "i", "j"])
+
+    indexed = materialise(entries.select("entry", "embedding", "ids").mapInArrow(assign, f"entry long, embedding {vector}, ids array<long>, i int, j int"), "index")
+    counts = np.zeros((len(one), len(two)), np.int64)  # at most MAX_CENTROIDS^2 cells at any input size
     for r in indexed.groupBy("i", "j").count().collect():
         counts[r["i"], r["j"]] = r["count"]
-    per_list = counts.sum(1)
+    queries = materialise(asked.groupBy("embedding").agg(F.min("vec_id").alias("q")), "queries")
+    n_queries, cores = queries.count(), spark.sparkContext.defaultParallelism
+    deals = -(-n_queries // BLOCK)
+    block = max(LEAST_BLOCK, min(BLOCK, n // (2 * cores)))
     # neighbouring lists share a group up to a block of entries; longer lists are dealt in several blocks
-    group_of, filled, g = np.zeros(len(one), np.int64), 0, 0
+    per_list, group_of, filled, g = counts.sum(1), np.zeros(len(one), np.int64), 0, 0
     for i in range(len(one)):
-        if filled and filled + per_list[i] > BLOCK:
+        if filled and filled + per_list[i] > block:
             g, filled = g + 1, 0
         group_of[i] = g
         filled += per_list[i]
-    blocks = [max(1, int(-(-per_list[group_of == x].sum() // BLOCK))) for x in range(g + 1)]
-    wanted = max(least, int(share * n))
-    queries = asked.groupBy("embedding").agg(F.min("vec_id").alias("q"))
-    queries = materialise(queries, "queries")
-    deals = max(1, -(-queries.count() // BLOCK))
-    table, lists = counts.tolist(), group_of.tolist()
+    blocks = [max(1, int(-(-per_list[group_of == x].sum() // block))) for x in range(g + 1)]
+    wanted = max(4 * k, int(share * n))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, ids = _matrix(b.column(1)), b.column(0).to_pylist()
-            out: list[tuple] = []
-            for q, x in zip(ids, v):
-                cells: dict[int, list[int]] = {}
-                for i, j in traverse(one @ x[:half], two @ x[half:], table, wanted):
-                    cells.setdefault(lists[i], []).append(i * width + j)
-                out += [(q, x, c, g, s, q % deals) for g, c in cells.items() for s in range(blocks[g])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.list_(pa.int32())), *(pa.array([o[t] for o in out], pa.int32()) for t in (3, 4, 5))], ["q", "embedding", "cells", "grp", "block", "deal"])
-
-    probes = queries.select("q", "embedding").mapInArrow(probe, "q long, embedding array<double>, cells array<int>, grp int, block int, deal int")
-    grp = F.element_at(F.array(*map(F.lit, lists)), F.col("i") + 1)
-    dealt = indexed.withColumn("grp", grp).withColumn("block", F.pmod(F.xxhash64("entry"), F.element_at(F.array(*map(F.lit, blocks)), F.col("grp") + 1)).cast("int"))
-    dealt = dealt.select("entry", "embedding", "ids", (F.col("i") * width + F.col("j")).alias("cell"), "grp", "block", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+            v, row, grp, part, reach = _matrix(b.column(1), size), [], [], [], []
+            for r, x in enumerate(v):
+                near_one, near_two = one @ x[:half], two @ x[half:]
+                least = traverse(near_one, near_two, counts, wanted)
+                least -= 1e-9 * (1 + abs(least))
+                for c in np.unique(group_of[near_one + near_two.max() >= least]).tolist():
+                    row += [r] * blocks[c]
+                    grp += [c] * blocks[c]
+                    part += range(blocks[c])
+                    reach += [least] * blocks[c]
+            if row:
+                yield pa.RecordBatch.from_arrays([*(b.column(t).take(pa.array(row)) for t in (0, 1)), pa.array(reach, pa.float64()), pa.array(grp, pa.int32()), pa.array(part, pa.int32())], ["q", "embedding", "reach", "grp", "block"])
+
+    probes = queries.select("q", "embedding").repartition(max(1, min(cores, n_queries // 64)), "q").mapInArrow(probe, f"q long, embedding {vector}, reach double, grp int, block int")
+    probes = probes.withColumn("deal", F.pmod(F.xxhash64("q"), F.lit(deals)).cast("int"))
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at + 1)
+    dealt = indexed.withColumn("grp", pick(group_of.tolist(), F.col("i")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("entry"), pick(blocks, F.col("grp"))).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        got: dict[str, list] = {"q": [], "score": [], "ids": []}
+        found_q, found_score, found_at = [], [], []
         if left.num_rows and right.num_rows:
-            qv, ev = _matrix(left.column("embedding")), _matrix(right.column("embedding"))
-            cell, first = right.column("cell").to_numpy(), right.column("entry").to_numpy()
-            order = np.lexsort((first, cell))
-            cell, first, ev = cell[order], first[order], ev[order]
-            names, at = np.unique(cell, return_index=True)
-            span = dict(zip(names.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(cell)])))
-            ids = right.column("ids").to_pylist()
-            for row, (q, x, cells) in enumerate(zip(left.column("q").to_pylist(), qv, left.column("cells").to_pylist())):
-                parts = [span[c] for c in cells if c in span]
-                if not parts:
-                    continue
-                take = np.concatenate([np.arange(a, z) for a, z in parts])
-                rough = ev[take] @ x
-                if len(take) > k + 1:  # what may be among the first, rounding aside
-                    edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-                    take = take[rough >= edge - 1e-9 * (1 + abs(edge))]
-                score = np.zeros(len(take))
-                for d in range(len(x)):  # term by term, so that equal vectors have equal scores wherever they stand
-                    score += ev[take, d] * x[d]
-                best = np.lexsort((first[take], -score))[: k + 1]
-                got["q"] += [q] * len(best)
-                got["score"] += score[best].tolist()
-                got["ids"] += [ids[order[t]] for t in take[best]]
-        return pa.table({"q": pa.array(got["q"], pa.int64()), "score": pa.array(got["score"], pa.float64()), "ids": pa.array(got["ids"], pa.list_(pa.int64()))})
+            q, least = left.column("q").to_numpy(), left.column("reach").to_numpy()
+            qv, ev = _matrix(left.column("embedding"), size), _matrix(right.column("embedding"), size)
+            i, j, first = (right.column(c).to_numpy() for c in ("i", "j", "entry"))
+            for start in range(0, len(q), AT_ONCE):
+                x = qv[start : start + AT_ONCE]
+                cells = (x[:, :half] @ one.T)[:, i] + (x[:, half:] @ two.T)[:, j]
+                rough = np.where(cells >= least[start : start + AT_ONCE, None], x @ ev.T, -np.inf)
+                edge = np.partition(rough, max(0, rough.shape[1] - k - 1), axis=1)[:, max(0, rough.shape[1] - k - 1)]
+                for r in range(len(x)):  # what may be among the first, rounding aside
+                    limit = edge[r] - 1e-9 * (1 + abs(edge[r])) if np.isfinite(edge[r]) else -np.inf
+                    take = np.flatnonzero((rough[r] >= limit) & (rough[r] > -np.inf))
+                    score = np.zeros(len(take))
+                    for d in range(size):  # term by term, so that equal vectors have equal scores wherever they stand
+                        score += ev[take, d] * x[r, d]
+                    best = np.lexsort((first[take], -score))[: k + 1]
+                    found_q += [int(q[start + r])] * len(best)
+                    found_score += score[best].tolist()
+                    found_at += take[best].tolist()
+        return pa.table({"q": pa.array(found_q, pa.int64()), "score": pa.array(found_score, pa.float64()), "ids": right.column("ids").take(pa.array(found_at, pa.int64()))})
 
     keys = ["grp", "block", "deal"]
     hits = probes.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(rerank, "q long, score double, ids array<long>")
