@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Bounds of the sample that dictionaries are made of: documents and letters a language, and languages.
-SAMPLE_DOCS, DICT_BYTES, MAX_LANGS = 400, 110_000, 400
+#: Bounds of the sample that dictionaries are made of: documents and bytes a language, letters a document at least (where a
+#: language has few, as many more as fill the dictionary twice), and languages.
+SAMPLE_DOCS, DICT_BYTES, LEAST_LETTERS, MAX_LANGS = 400, 110_000, 500, 400
 #: Letters that are compressed at once: the dictionary's help must not be drowned by the text's own repetition.
 CHUNK = 1500
 #: Levels of a first pass and of a closer look at texts whose first margin is below CLOSE.
 LEVELS, CLOSE = (3, 9), 0.1
 #: Below this share of saved bytes between the best two languages a text is rejected.
 MIN_MARGIN = 0.002
-_NOISE = re.compile(r"[\W\d_]+")
+_NOISE, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> str:
-    """Lower-cased words, everything but letters as single blanks."""
-    return _NOISE.sub(" ", text.lower()).strip()
+    """Lower-cased words, everything but letters and the marks on them as single blanks; empty without a letter."""
+    plain = _NOISE.sub(" ", text.lower()).strip()
+    return plain if _LETTER.search(plain) else ""
 
 
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
     """At most ``per_lang`` distinct texts (``lang, text``) of each language, those with the smallest hash.
 
     Counts of distinct texts by language set a threshold on the hash, so that a language with most of the rows sends
-    about four times ``per_lang`` texts to the ranking, however many and however often copied it has them. Rows without text or lang take no part. ``n_lang`` is the
+    about four times ``per_lang`` texts to the ranking, however many and however often copied it has them. Rows without text or lang take no part. Of a text twice as many characters come
+    along as its letters are wanted of (``letters_each``). ``n_lang`` is the
     language's count over all rows, by which ties between languages are settled later.
     """
     d = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
@@ -37,14 +40,20 @@ def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return d.select("lang", "text", F.lit(0).alias("n_lang")).limit(0)
-    share, size = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), F.lit(0))
+    share, size, most = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.lit(0))
     for r in counts:
+        most = most.when(F.col("lang") == r["lang"], F.lit(2 * letters_each(min(per_lang, r["texts"]))))
         share = share.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * per_lang / r["texts"])))
         size = size.when(F.col("lang") == r["lang"], F.lit(r["rows"]))
     low = d.withColumn("u", F.col("h").bitwiseAND(2**62 - 1) / 2.0**62).where(F.col("u") < share)
     texts = low.groupBy("lang", "h", "u").agg(F.min("text").alias("text"))
     ranked = texts.withColumn("n_lang", size).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
-    return ranked.where(F.col("n") <= per_lang).select("lang", F.substring("text", 1, 20_000).alias("text"), "n_lang")
+    return ranked.where(F.col("n") <= per_lang).select("lang", F.left("text", most).alias("text"), "n_lang")
+
+
+def letters_each(texts: int, size: int = DICT_BYTES) -> int:
+    """Letters that each of so many sampled texts of a language may give to its dictionary."""
+    return max(LEAST_LETTERS, 2 * size // max(1, texts))
 
 
 def make_dictionaries(sample: DataFrame, size: int = DICT_BYTES) -> dict[str, bytes]:
@@ -57,7 +66,7 @@ def make_dictionaries(sample: DataFrame, size: int = DICT_BYTES) -> dict[str, by
         frequent[r["lang"]] = r["n_lang"]
     made = {}
     for lang, texts in found.items():
-        each = max(500, 2 * size // max(1, len(texts)))
+        each = letters_each(len(texts), size)
         blob = " ".join(sorted((t[:each] for t in set(texts) if t), key=lambda t: (-len(t), t))).encode()[-size:]
         if blob:
             made[lang] = blob
