@@ -124,10 +124,20 @@ def test_language(spark):
     assert all(0 <= s <= 1 for _, _, s, _ in got)
     assert [(p, s, x) for i, p, s, x in got if 1000 <= i <= 1002] == [("und", 0.0, True)] * 3
     assert {p for i, p, _, _ in got if i == 1003} == {rows[0][2]}
+    signs = language_id.identify(spark.createDataFrame([("\u00b2\u00b3 \u00bd",), ("\u2163 \u0301 _ 7",), ("a\u00b2",)], "text string"), made).collect()
+    assert [r["lang_pred"] == "und" for r in signs] == [True, True, False] and language_id.letters("\u0928\u092e\u0938\u094d\u0924\u0947") == "\u0928\u092e\u0938\u094d\u0924\u0947"
     none = language_id.make_dictionaries(language_id.training_sample(docs.limit(0)))
     assert none == {} and {r["lang_pred"] for r in language_id.identify(test, none).collect()} == {"und"}
 
 
+def test_held_out_accuracy(spark):
+    """On the given documents: of those that no dictionary has seen, nearly all are told."""
+    sf = "/root/testdata/sf0.01"
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in language_id.op3_zstd_language(spark, sf).collect() if r["held_out"] and langs[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(got) > 150 and sum(r["lang_pred"] == langs[r["doc_id"]] for r in got) >= 0.97 * len(got)
+
+
 # op4
 def test_vector_search(spark):
     rng = np.random.default_rng(3)
@@ -204,6 +214,14 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
     seq = license_scan.scan_licenses(df, {"a": "1", "b": "2", "license": "3"}, [("X", ("1", "2")), ("Y", ("2", "1"))])
     assert {r["license"] for r in seq.collect()} == {None}
+    own = license_scan.scan_licenses(spark.createDataFrame([("Alpha beta\ngamma.",), ("alpha beta gamma delta",), ("7",)], "text string"), {"alpha beta gamma": "x", "#": "y"}, [("X", ("x",)), ("Y", ("y",))])
+    assert [r["license"] for r in own.collect()] == ["X", None, "Y"]  # sentences of a caller's, one of them without a word
+
+
+def test_telling_words_are_in_each_sentence():
+    words = license_scan.telling_words(license_scan.SENTENCES)
+    assert len(words) < 8 and all(any(w in s.split() for w in words) for s in license_scan.SENTENCES)
+    assert license_scan.telling_words({"#": "x", "alpha": "y"}) == [] and license_scan.telling_words({}) == []
 
 
 # op7
@@ -239,6 +257,87 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
         if n >= 10 or n < 2:
             assert got[n]["sentence_ids"] == [["mit-grant", "mit-notice", "mit-as-is"], ["gpl-grant", "gpl-hope"]][n % 10], n
     assert [got[n]["sentence_ids"] for n in range(2, 7)] == [["mit-tag"], [], ["mit-tag"], [], []]
+    con = __import__("duckdb").connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*rows, (1000, None)])
+    sql = {r[0]: r[1:] for r in con.execute(license_scan.OP6_SQL).fetchall()}
+    assert sql == {n: (r["license"], ",".join(r["licenses"]), len(r["sentence_ids"])) for n, r in got.items()} | {1000: (None, "", 0)}
+
+
+HEADS = {
+    "Apache": """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR""",
+    "LGPL": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""",
+    "AGPL": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published
+    by the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU Affero General Public License for more details.
+
+    You should have received a copy of the GNU Affero General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "MPL": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "CC-BY-NC-SA": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0\nInternational License.",
+    "GPL": "// SPDX-License-Identifier: GPL-2.0-or-later",
+}
+
+
+def test_public_licence_texts(spark):
+    got = {r["k"]: r["license"] for r in license_scan.scan_licenses(spark.createDataFrame(list(HEADS.items()), "k string, text string")).collect()}
+    assert got == {k: k for k in HEADS}
+    without = HEADS["BSD-3-Clause"].split("\n\n")
+    two = spark.createDataFrame([("\n\n".join(without[:3] + without[4:]),)], "text string")
+    assert license_scan.scan_licenses(two).first()["license"] == "BSD-2-Clause"
 
 
 def test_training_sample_of_copies(spark):
