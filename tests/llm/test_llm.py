@@ -52,6 +52,19 @@ def test_urls_rules_and_aliases(spark):
     assert len(url_filters.judge_urls(pages.drop("html"), url_filters.alias_edges(pages), RULES).collect()) == len(rows)
 
 
+def test_alias_targets(spark):
+    link = lambda href, base="": f'{base}<link rel="canonical" href="{href}">'
+    cases = [
+        (link("../c?x=1&amp;y=2"), "h.org/a/c?x=1&y=2"), (link("?p=2"), "h.org/a/b/page?p=2"), (link("./d/./e/.."), "h.org/a/b/d/"), (link("http://H.org:80"), "h.org/"), (link("https://h.org:8080/#f"), "h.org:8080/"),
+        (link("x", '<base href="//other.net/q/r">'), "other.net/q/x"), (link("/y", '<base href="/z/">'), "h.org/y"), (link("#top"), None), (link("mailto:me@h.org"), None), (link("../../../up"), "h.org/up"),
+        ("<!-- " + link("/no") + " -->", None), ("<script>var s = '" + link("/no").replace("'", "") + "'</script>", None), ("<meta content='5; URL=\"/re\"' HTTP-EQUIV=Refresh>", "h.org/re"), ("<link rel='next canonical' href=/n>", "h.org/n"),
+        ("<link rel=canonicals href=/no>", None), ("<meta http-equiv=refresh content=30>", None), (link("go?u=http://z.com/"), "h.org/a/b/go?u=http://z.com/"), ("<link data-rel=canonical href=/no>", None),
+    ]
+    rows = [(f"http://h.org/a/b/page?n={i}", h) for i, (h, _) in enumerate(cases)]
+    got = {r["src"]: r["dst"] for r in url_filters.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {f"h.org/a/b/page?n={i}": to for i, (_, to) in enumerate(cases) if to}
+
+
 def test_urls_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filters.judge_urls(pages, url_filters.alias_edges(pages), RULES).count() == 0

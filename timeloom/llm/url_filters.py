@@ -30,9 +30,40 @@ def path_of(url: Column) -> Column:
 
 
 def address_of(url: Column) -> Column:
-    """The node of a URL in the alias graph: host, path and query, without scheme and fragment; null without ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), rest))
+    """The node of a URL in the alias graph: host without a default port, path without ``.`` and ``..`` (``/`` if empty) and
+    query; no scheme and fragment; null without ``://``."""
+    host = F.regexp_replace(host_of(url), r":(?:80|443)?$", "")
+    parts = F.split(F.regexp_replace(path_of(url), "^/", ""), "/", -1)
+    whole = F.aggregate(
+        F.transform(parts, lambda x, i: F.struct(x.alias("x"), (i == F.size(parts) - 1).alias("last"))), F.array().cast("array<string>"),
+        lambda done, p: F.when(p["x"] == "..", F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.when(p["last"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))
+        .when(p["x"] == ".", F.when(p["last"], F.array_append(done, F.lit(""))).otherwise(done)).otherwise(F.array_append(done, p["x"])),
+    )
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*([?][^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(host, F.lit("/"), F.array_join(whole, "/"), query))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as a URL, seen from the URL ``base``; null for other schemes than those with ``://``."""
+    start = F.concat(F.lit("http://"), host_of(base))
+    path = path_of(base)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(start, target))
+        .when(target.startswith("?"), F.concat(start, path, target))
+        .when((target == "") | target.startswith("#"), base)
+        .otherwise(F.concat(start, F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")), target))
+    )
+
+
+def _value(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not, with the character references that URLs hold decoded; null without it."""
+    found = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^"'\s>]+)""", 1)
+    plain = F.btrim(F.regexp_replace(found, r"""^["']|["']$""", ""))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)&(?:amp|#38|#x26);", "&"), r"(?i)&(?:#47|#x2f|sol);", "/")
+    return F.when(found != "", plain)
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -56,27 +87,21 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``src, dst`` addresses from canonical links and from redirects by meta refresh in the pages' HTML.
 
-    Targets may be absolute, relative to the scheme, to the host or to the page's folder. Pages without
-    address, html or such a tag give no edge.
+    Targets are seen from the page's ``base`` element, else from its URL (``resolved``). Tags in comments, scripts, styles
+    and templates don't count. Pages without address, html or such a tag give no edge, nor do links to the page itself.
     """
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    wanted = F.filter(tags, lambda t: t.rlike(r"""(?i)rel\s*=\s*["']?canonical\b""") | t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh\b"""))
-    t = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from"), F.explode(wanted).alias("tag"))
     # explode of a single value keeps each step computed once: filters aren't pushed through it
     once = lambda c: F.explode(F.array(c))
-    target = F.coalesce(
-        F.nullif(F.regexp_extract("tag", r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1), F.lit("")),
-        F.nullif(F.regexp_extract("tag", r"""(?i)content\s*=\s*["']?\s*[\d.]*\s*;?\s*url\s*=\s*["']?([^"'\s>]+)""", 1), F.lit("")),
-    )
-    t = t.select("from", once(target).alias("raw"))
-    raw, host, folder = F.col("raw"), host_of(F.col("from")), F.regexp_extract(path_of(F.col("from")), r"(?s)^(.*/)", 1)
-    full = (
-        F.when(raw.contains("://"), raw)
-        .when(raw.startswith("//"), F.concat(F.lit("http:"), raw))
-        .when(raw.startswith("/"), F.concat(F.lit("http://"), host, raw))
-        .otherwise(F.concat(F.lit("http://"), host, F.when(folder == "", "/").otherwise(folder), raw))
-    )
-    t = t.select("from", once(full).alias("to"))
+    t = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from"), once(F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style|template|noscript|textarea)\b.*?(?:</\1\s*>|$)", "")).alias("html"))
+    tags = F.regexp_extract_all("html", F.lit(r"""(?is)<(?:link|meta|base)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+    t = t.select("from", once(tags).alias("tags"))
+    base = F.try_element_at(F.filter("tags", lambda x: x.rlike(r"(?i)^<base\b")), F.lit(1))
+    wanted = F.filter("tags", lambda x: _value(x, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)") | _value(x, "http-equiv").rlike(r"(?i)^refresh$"))
+    t = t.select("from", F.coalesce(resolved(_value(base, "href"), F.col("from")), "from").alias("base"), F.explode(wanted).alias("tag"))
+    refresh = F.regexp_extract(_value(F.col("tag"), "content"), r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?([^"']*)""", 1)
+    target = F.when(F.col("tag").rlike(r"(?i)^<link\b"), _value(F.col("tag"), "href")).otherwise(F.nullif(F.btrim(refresh), F.lit("")))
+    t = t.select("from", "base", once(target).alias("target")).where("target is not null")
+    t = t.select("from", once(resolved(F.col("target"), F.col("base"))).alias("to"))
     ends = t.select(once(F.struct(address_of(F.col("from")).alias("src"), address_of(F.col("to")).alias("dst"))).alias("e"))
     return ends.select("e.*").where("src is not null and dst is not null and src <> dst")
 
