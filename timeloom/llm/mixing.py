@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timeloom.plans.scratch import materialise
 
+#: Sources that targets are found for in one task: one sorted row each.
+MAX_SOURCES = 1_000_000
 #: Schedules by knots (training time in 0..1, weight): sources fade out, stay level or fade in.
 FADING, LEVEL, RISING = ((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5))
 
@@ -23,7 +25,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     Sources in code point order, nulls last, get ``weights`` in turn; together they take ``share`` times all sizes.
     Targets stop at ``most`` times their source's size and the excess is shared anew by weight until none is above:
     sorted by the level at which each source is full, the first level that its own source doesn't reach is final.
-    The windows run over sources, of which there are as many as weights are worth keeping for, not over documents.
+    The windows run over sources in one task, not over documents; ``mix_sources`` refuses more than MAX_SOURCES.
     """
     everything = Window.partitionBy()
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
@@ -76,6 +78,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float], share: float = 1.5, m
     d = docs.drop(*extra).withColumns({"size": word_count(F.col("text")), "_h": h})
     d = d.withColumn("_range", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * F.lit(ranges)).cast("int"))
     sums = materialise(d.groupBy("source", "_range").agg(F.sum("size").alias("n")), "range-sizes")
+    if sums.select("source").distinct().count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most).withColumnRenamed("schedule_no", "_schedule")
