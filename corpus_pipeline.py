@@ -2,11 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. ``run`` applies them to the documents of ``sf_dir``, writing each result before the next stage reads it.
+Rows are told apart by their text or by numbers given here, never by doc_id, which may be null, repeated or no number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timeloom.llm.decontamination import find_leaks
 from timeloom.llm.language_id import identify, make_dictionaries, training_sample
@@ -19,6 +20,13 @@ from timeloom.plans.scratch import materialise
 BATCH_ROWS = 1000
 #: A document that would lose more than this share of its characters is left to near-dedup whole if it is a copy.
 MOST_DROPPED = 0.5
+#: Column of row numbers while a stage runs.
+ROW = "_corpus_pipeline_row"
+
+
+def text_key() -> Column:
+    """128 bits of the text, as a string; null texts have one too."""
+    return F.concat_ws(".", F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,28 +41,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, the copies and near copies of one another lose nothing here: the next stage keeps one of them, whole."""
     d = drop_repeated_lines(docs.withColumn("_was", F.char_length("text")), 10, 1)
     mostly = (F.col("n_dropped") > 0) & (F.char_length("kept") < F.col("_was") * (1 - MOST_DROPPED))
-    # by a hash of the text, so that rows with a null or repeated doc_id are compared too
-    classes = near_duplicates(materialise(d.where(mostly).select(F.xxhash64("text").alias("doc_id"), "text"), "mostly-repeated"))
+    classes = near_duplicates(materialise(d.where(mostly).select(text_key().alias("doc_id"), "text"), "mostly-repeated"))
     texts = classes.groupBy("doc_id", "class_id").count()
     copied = texts.groupBy("class_id").agg(F.sum("count").alias("n")).where("n > 1")
     copies = materialise(texts.join(copied, "class_id", "left_semi").select(F.col("doc_id").alias("_copy")), "whole-copies")
-    d = d.join(copies, F.xxhash64("text") == F.col("_copy"), "left")
+    d = d.join(copies, text_key() == F.col("_copy"), "left")
     text = F.when((F.col("n_dropped") > 0) & ~(mostly & F.col("_copy").isNotNull()), F.col("kept")).otherwise(F.col("text"))
     return d.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest doc_id."""
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    gone = materialise(classes.where("not is_kept and doc_id is not null").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each class of near duplicates, that with the smallest doc_id (of equal ones the first)."""
+    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    classes = near_duplicates(rows.select("doc_id", "text", ROW), row=ROW)
+    gone = materialise(classes.where("not is_kept").select(ROW), "near-copies")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = find_leaks(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = materialise(leaks.where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    leaks = find_leaks(docs.select(text_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = materialise(leaks.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
+    return docs.join(gone, text_key() == F.col("_gone"), "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
