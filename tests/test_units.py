@@ -1,5 +1,6 @@
 """Edge rows and properties of the operators, and the stream against its batch twin."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -9,7 +10,10 @@ from timeloom.operators import intervals as I
 from timeloom.operators import windows as W
 from timeloom.operators.graph import connected_components
 from timeloom.operators.projections import parse_reply
+from timeloom import registry
+from timeloom.operators import vision as V
 from timeloom.operators.vision import stabilize_short
+from timeloom.sources.fixtures import fixture
 from timeloom.streaming import progress as P
 
 
@@ -111,20 +115,90 @@ def test_loose_replies(spark):
     assert [x["j"].asDict() if x["j"] else None for x in r.select(parse_reply(F.col("raw")).alias("j")).collect()] == [{"start": 1, "end": 2, "score": "a"}, None, None, None]
 
 
+def test_stage_machine(spark):
+    """A later stage completes the earlier ones; percents never fall; only the pipeline's own events run or complete the job."""
+    E = "job long, seq long, stage string, status string, percent int"
+    events = frame(spark, E, (1, 1, "vad", "running", 40), (1, 2, "vad", "running", 20), (1, 3, "scenes", "started", None), (1, 4, "scenes", "failed", None), (2, 1, "pipeline", "started", None), (2, 2, "audio", "skipped", None), (2, 3, "pipeline", "complete", None), (3, 1, "audio", "running", None))
+    got = {(r["job"], r["stage"]): (r["state"], r["percent"]) for r in P.stage_states(events).collect()}
+    assert len(got) == 60 and got[1, "audio"] == got[1, "highlights"] == ("complete", 100) and got[1, "scenes"] == ("failed", 0) and got[1, "faces"] == ("pending", 0) and got[2, "audio"] == ("pending", 0)
+    jobs = {r["job"]: (r["percent"], r["status"], r["stage"]) for r in P.job_states(events).collect()}
+    assert jobs == {1: (40, "failed", "scenes"), 2: (0, "complete", "pipeline"), 3: (0, "idle", "audio")}
+
+
+LINES = "job long, seq long, emitted_at timestamp, line string"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(s, rng.randint(0, 5), rng.choice(["audio", "vad", "cut"]), rng.choice(["running", "complete", "error"]), rng.randint(0, 100)) for s in range(200)]
+    rows, stages = [], ["pipeline", "audio", "vad", "cut", "thumbnails", "nothing"]
+    for n in range(600):
+        kind = rng.random()
+        line = "Error: stage lost" if kind < 0.1 else f"note {n}" if kind < 0.3 else "{broken" if kind < 0.33 else None
+        if line is None:
+            percent = rng.choice(["null", str(rng.randint(0, 100))])
+            line = f'{{"type":"progress","stage":"{rng.choice(stages)}","status":"{rng.choice(["running", "started", "complete", "failed", "error", "skipped"])}","percent":{percent}}}'
+        rows.append((rng.randint(0, 3), n, datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=n), line))
     for k in range(4):
-        frame(spark, "seq long, job long, stage string, status string, percent int", *rows[k * 50 : k * 50 + 50]).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("seq long, job long, stage string, status string, percent int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        frame(spark, LINES, *rows[k * 150 : k * 150 + 150]).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     q = P.job_state_stream(stream).writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    final = {}
-    for r in spark.sql("select * from job_states").collect():  # updates in order
-        best = final.get(r["job"], r)
-        final[r["job"]] = r if r["percent"] >= best["percent"] else best
-    batch = {r["job"]: r["percent"] for r in P.job_states(frame(spark, "seq long, job long, stage string, status string, percent int", *rows)).collect()}
-    assert {j: r["percent"] for j, r in final.items()} == batch
+    assert q.awaitTermination(180)
+    final = {r["job"]: r for r in spark.sql("select * from job_states").collect()}  # files, and so updates, in order
+    lines = frame(spark, LINES, *rows)
+    events = P.parse_lines(lines).where("kind = 'progress'")
+    assert {(j, r["percent"], r["status"], r["stage"]) for j, r in final.items()} == {tuple(r) for r in P.job_states(events).select("job", "percent", "status", "stage").collect()}
+    states = {(j, s, a, b) for j, r in final.items() for s, a, b in zip(P.STAGE_IDS, r["states"], r["percents"])}
+    assert states == {tuple(r) for r in P.stage_states(events).select("job", "stage", "state", "percent").collect()}
+    ring = {}
+    for r in P.stream_log_ring(lines).orderBy("job", "seq").collect():
+        ring.setdefault(r["job"], []).append(r["line"])
+    assert {j: list(r["log"]) for j, r in final.items()} == ring and max(map(len, ring.values())) == 80
+    assert {j: r["error"] for j, r in final.items()} == {r["job"]: r["error"] for r in P.stream_error_extract(lines).collect()}
+
+
+def test_left_rows_stay(spark):
+    """Equal left rows each keep their pairs, rows with nulls stay, rows over several bins come once."""
+    a = frame(spark, "video_id long, k int, start_ms long, end_ms long", (1, None, 0, 100), (1, None, 0, 100), (1, 5, 500_000, 900_000), (2, 6, None, 10), (1, 7, 0, 300_000))
+    b = frame(spark, "video_id long, start_ms long, end_ms long, n int", (1, 50, 60, 1), (1, 70, 200_000, 2))
+    got = sorted(((r["k"], r["n"]) for r in I.interval_join(a, I.as_right(b, n="n"), how="left").collect()), key=str)
+    assert got == sorted([(None, 1), (None, 2), (None, 1), (None, 2), (5, None), (6, None), (7, 1), (7, 2)], key=str)
+    clips = frame(spark, "video_id long, k string, start_ms long, end_ms long", (1, None, 0, 100), (1, None, 0, 100), (3, "x", 0, 50))
+    assert len(K.min_duration(clips, b, 1000, 5000).collect()) == 3
+
+
+def face_tracks_by_hand(rows):
+    """Each detection in time order joins the best of the tracks seen within two seconds, or opens one."""
+    tracks, out = [], {}
+    for d in sorted(rows, key=lambda r: (r["t_ms"], r["event_id"])):
+        best, where = 0.48, None
+        for i, t in enumerate(tracks):
+            if 0 < d["t_ms"] - t["t_ms"] <= 2000:
+                iw = max(0, min(d["x"] + d["w"], t["x"] + t["w"]) - max(d["x"], t["x"]))
+                ih = max(0, min(d["y"] + d["h"], t["y"] + t["h"]) - max(d["y"], t["y"]))
+                far = ((d["x"] + d["w"] / 2 - t["x"] - t["w"] / 2) ** 2 + (d["y"] + d["h"] / 2 - t["y"] - t["h"] / 2) ** 2) ** 0.5
+                u, v = d["appearance"], t["appearance"]
+                cos = sum(p * q for p, q in zip(u, v)) / (sum(p * p for p in u) * sum(q * q for q in v)) ** 0.5
+                score = 0.55 * iw * ih / max(1, d["w"] * d["h"] + t["w"] * t["h"] - iw * ih) + 0.25 * max(0, 1 - far / 400) + 0.2 * max(0, cos)
+                if score >= best and (where is None or score > best):
+                    best, where = score, i
+        if where is None:
+            tracks.append(d)
+            where = len(tracks) - 1
+        tracks[where] = d
+        out[d["event_id"]] = where
+    return out
+
+
+def test_face_tracks_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    f = V.faces(fixture(spark, sf, "fx_samples"), spark.read.parquet(f"{sf}/embeddings.parquet"))
+    groups = {}
+    for r in f.collect():
+        groups.setdefault((r["video_id"], r["scene"]), []).append(r)
+    got = {r["event_id"]: r["track"] for r in V.face_tracks(f).collect()}
+    assert got == {e: t for rows in groups.values() for e, t in face_tracks_by_hand(rows).items()}
+    spans = {(r["video_id"], r["scene"], r["track"]): (r["n"], r["start_ms"], r["end_ms"]) for r in registry.queries()["udtf_face_tracks"](spark, sf).collect()}
+    assert sum(n for n, _, _ in spans.values()) == len(got) and all(a <= b for _, a, b in spans.values())
 
 
 def test_lines_parse(spark):

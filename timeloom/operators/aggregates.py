@@ -157,19 +157,19 @@ def agg_subject_selection(fx_samples):
     return t.withColumn("k", F.row_number().over(Window.partitionBy("video_id", "scene").orderBy(F.desc("score"), "track_id"))).where("k = 1").select("video_id", "scene", "track_id", "score", "accepted")
 
 
-@query("agg_scene_layout", "select video_id, scene, case when avg(case when persons > 1 then 1.0 else 0.0 end) >= 0.35 then 'pad' else 'crop' end as layout from (select video_id, (t_ms // 10000)::bigint as scene, t_ms, count(*) as persons from fx_samples where track_id % 3 = 0 group by all) t group by all")
+@query("agg_scene_layout", "select video_id, scene, case when avg(case when persons > 1 then 1.0 else 0.0 end) >= 0.35 then 'pad' else 'crop' end as layout from (select video_id, (t_ms // 10000)::bigint as scene, t_ms, count(*) as persons from fx_samples group by all) t group by all")
 def agg_scene_layout(fx_samples):
     """Padding where over a third of the frames show several persons, else a crop."""
-    p = _scenes(fx_samples.where("track_id % 3 = 0")).groupBy("video_id", "scene", "t_ms").agg(F.count("*").alias("persons"))
+    p = _scenes(fx_samples).groupBy("video_id", "scene", "t_ms").agg(F.count("*").alias("persons"))
     return p.groupBy("video_id", "scene").agg(F.when(F.avg(F.when(F.col("persons") > 1, 1.0).otherwise(0.0)) >= 0.35, "pad").otherwise("crop").alias("layout"))
 
 
-@query("agg_weighted_centroid", "select video_id, t_ms, sum((x + w / 2.0) * (conf_pct * w * h)) / sum(conf_pct * w * h) as cx, sum((y + h * 0.2) * (conf_pct * w * h)) / sum(conf_pct * w * h) as cy from (select * from fx_samples order by video_id, t_ms, event_id) t where track_id < 15 group by all")
+@query("agg_weighted_centroid", "select video_id, t_ms, sum((x + w / 2.0) * (conf_pct * w * h)) / sum(conf_pct * w * h) as cx, sum((y + h * 0.2) * (conf_pct * w * h)) / sum(conf_pct * w * h) as cy from (select * from fx_samples order by video_id, t_ms, event_id) t group by all")
 def agg_weighted_centroid(fx_samples):
     """Confidence times area as weight of each frame's boxes."""
     k = F.col("conf_pct") * F.col("w") * F.col("h")
     mean = lambda v: F.sum(v * k) / F.sum(k)
-    return fx_samples.where("track_id < 15").groupBy("video_id", "t_ms").agg(mean(F.col("x") + F.col("w") / 2.0).alias("cx"), mean(F.col("y") + F.col("h") * 0.2).alias("cy"))
+    return fx_samples.groupBy("video_id", "t_ms").agg(mean(F.col("x") + F.col("w") / 2.0).alias("cx"), mean(F.col("y") + F.col("h") * 0.2).alias("cy"))
 
 
 @query("agg_weighted_median", "select video_id, min(x) as weighted_median from (select video_id, x, sum(conf_pct) over (partition by video_id order by x) as c, sum(conf_pct) over (partition by video_id) as t from fx_samples) s where c >= t / 2 group by all")

@@ -177,10 +177,10 @@ def gen_fallback_windows(fx_words):
     return w.join(n, ["video_id", "i"], "left").select("video_id", "i", "start_ms", "end_ms", "score", F.coalesce("words", F.lit(0)).alias("words"))
 
 
-@query("gen_fallback_segments", f"""with recursive f as (select a.video_id, a.seg_idx as cand, a.start_ms, min(b.end_ms) as end_ms from fx_segments a join fx_segments b on b.video_id = a.video_id and b.seg_idx >= a.seg_idx and b.end_ms - a.start_ms >= 8000 and b.end_ms - a.start_ms <= 20000 where a.seg_idx < 40 group by all), {nms_sql('f', 'start_ms, cand', _CLASH + ' > 0')} select video_id, kept::int as kept, k.c as cand, k.e as end_ms from r""")
+@query("gen_fallback_segments", f"""with recursive f as (select a.video_id, a.seg_idx as cand, a.start_ms, min(b.end_ms) as end_ms from fx_segments a join fx_segments b on b.video_id = a.video_id and b.seg_idx >= a.seg_idx and b.end_ms - a.start_ms >= 8000 and b.end_ms - a.start_ms <= 20000 group by all), {nms_sql('f', 'start_ms, cand', _CLASH + ' > 0')} select video_id, kept::int as kept, k.c as cand, k.e as end_ms from r""")
 def gen_fallback_segments(fx_segments):
     """Each segment extended forward to 8 s, at most 20 s, then those that don't overlap an earlier one."""
-    a = fx_segments.where("seg_idx < 40").select("video_id", F.col("seg_idx").alias("cand"), "start_ms", (F.col("start_ms") + 20_000).alias("end_ms"))
+    a = fx_segments.select("video_id", F.col("seg_idx").alias("cand"), "start_ms", (F.col("start_ms") + 20_000).alias("end_ms"))
     b = fx_segments.select("video_id", F.col("seg_idx").alias("last"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
     f = interval_join(a, b, "contained").where("last >= cand and r_end - start_ms >= 8000").groupBy("video_id", "cand", "start_ms").agg(F.min("r_end").alias("end_ms"))
     clash = lambda k, r: (r["start_ms"] < k["end_ms"]) & (r["end_ms"] > k["start_ms"])
@@ -189,11 +189,11 @@ def gen_fallback_segments(fx_segments):
 
 def min_duration(clips: DataFrame, segments: DataFrame, target_ms: int, max_ms: int) -> DataFrame:
     """Clips shorter than the target grow by whole segments within the target around them, then by equal padding."""
-    c = clips.withColumns({"_need": F.greatest(F.lit(0), target_ms - (F.col("end_ms") - F.col("start_ms")))})
-    around = c.select(*clips.columns, F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), "_need").withColumns({"start_ms": F.col("start_ms") - F.col("_need"), "end_ms": F.col("end_ms") + F.col("_need")}).drop("_need")
-    keys = [k for k in clips.columns if k not in ("start_ms", "end_ms")]
-    grown = interval_join(around, as_right(segments), "contained").groupBy(*keys, "_s", "_e").agg(F.min("r_start").alias("a"), F.max("r_end").alias("b"))
-    j = clips.join(grown.drop("_s", "_e"), keys, "left")
+    need = F.greatest(F.lit(0), target_ms - (F.col("end_ms") - F.col("start_ms")))
+    c = clips.withColumns({"_id": F.monotonically_increasing_id(), "_need": need})
+    around = c.select(*[k for k in c.columns if k not in ("start_ms", "end_ms", "_need")], F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), (F.col("start_ms") - F.col("_need")).alias("start_ms"), (F.col("end_ms") + F.col("_need")).alias("end_ms"))
+    rows = interval_join(around, as_right(segments), "contained", "left").groupBy("_id")
+    j = rows.agg(*[F.first(k).alias(k) for k in clips.columns if k not in ("start_ms", "end_ms")], F.first("_s").alias("start_ms"), F.first("_e").alias("end_ms"), F.min("r_start").alias("a"), F.max("r_end").alias("b")).drop("_id")
     s, e = F.least("start_ms", F.coalesce("a", "start_ms")), F.greatest("end_ms", F.coalesce("b", "end_ms"))
     pad = F.greatest(F.lit(0), target_ms - (e - s))
     s2 = F.greatest(F.lit(0), s - F.floor(pad / 2))
@@ -270,13 +270,26 @@ def set_union_retry(fx_candidates):
     return greedy_keep(a.unionByName(b), ["video_id"], [-F.col("score"), F.col("src"), F.col("cand")], ["cand", "start_ms", "end_ms"], clash, 4).select("video_id", "kept", "cand")
 
 
-def duplicate_pairs(candidates: DataFrame, near_ms: int | None = None) -> DataFrame:
-    """``video_id, a, b, similarity, duplicate, reason`` for pairs of a video's candidates (a < b) that share a token, a topic
-    or time: pairs that share nothing can't reach a threshold. The pairs of a video meet through the video alone, since
-    its candidates are few (windows kept by suppression), never all words."""
+def pairs_to_compare(d: DataFrame) -> DataFrame:
+    """``video_id, a, b`` (a < b) of candidates (``video_id, cand, start_ms, end_ms, tok``) that can be duplicates: those that
+    share time, and those whose tokens can be half alike. Without common time a pair needs a Jaccard of a half, so each
+    of the two must hold one of the other's rarest tokens (one more than half of them): only those are joined."""
+    time = interval_join(d.select("video_id", F.col("cand").alias("a"), "start_ms", "end_ms"), as_right(d, b="cand")).where("a < b").select("video_id", "a", "b")
+    t = d.select("video_id", "cand", F.size("tok").alias("n"), F.explode("tok").alias("t"))
+    rare = t.join(t.groupBy("video_id", "t").agg(F.count("*").alias("df")), ["video_id", "t"])
+    nth = F.row_number().over(Window.partitionBy("video_id", "cand").orderBy("df", "t"))
+    rare = materialise(rare.withColumn("nth", nth).where(F.col("nth") <= F.floor(F.col("n") / 2) + 1).select("video_id", "t", "cand"), "rare-tokens")
+    words = rare.withColumnRenamed("cand", "a").join(rare.withColumnRenamed("cand", "b"), ["video_id", "t"]).where("a < b").select("video_id", "a", "b")
+    return time.unionByName(words).distinct()
+
+
+def duplicate_pairs(candidates: DataFrame) -> DataFrame:
+    """``video_id, a, b, similarity, duplicate, reason`` for pairs of a video's candidates (a < b) that are duplicates by time,
+    vocabulary or all signs together; pairs that can't be are never made (``pairs_to_compare``)."""
     d = candidates.select("video_id", "cand", "topic_id", "start_ms", "end_ms", F.array_distinct(C.tokens("text")).alias("tok"), F.array_distinct(C.tokens(C.first_sentence(F.col("text")))).alias("hook"))
-    side = lambda p: d.select("video_id", *[F.col(c).alias(p + c) for c in d.columns if c != "video_id"])
-    j = side("a_").join(side("b_"), "video_id").where("a_cand < b_cand")
+    d = materialise(d, "candidate-tokens")
+    side = lambda p: d.select("video_id", *[F.col(c).alias(p + c) for c in d.columns if c != "video_id"], F.col("cand").alias(p[0]))
+    j = pairs_to_compare(d).join(side("a_"), ["video_id", "a"]).join(side("b_"), ["video_id", "b"])
     jac, iou = C.jaccard(F.col("a_tok"), F.col("b_tok")), C.iou_union(*[F.col(c) for c in ("a_start_ms", "a_end_ms", "b_start_ms", "b_end_ms")])
     j = j.withColumns({"jac": jac, "iou": iou, "top": (F.col("a_topic_id") == F.col("b_topic_id")).cast("double"), "hk": C.jaccard(F.col("a_hook"), F.col("b_hook"))})
     j = j.withColumn("comp", F.col("jac") * 0.40 + F.col("iou") * 0.30 + F.col("top") * 0.15 + F.col("hk") * 0.15)
@@ -285,19 +298,19 @@ def duplicate_pairs(candidates: DataFrame, near_ms: int | None = None) -> DataFr
     for test, col, name in dup:
         sim = F.when(test, F.col(col)) if sim is None else sim.when(test, F.col(col))
         why = F.when(test, name) if why is None else why.when(test, name)
-    return j.select("video_id", F.col("a_cand").alias("a"), F.col("b_cand").alias("b"), sim.otherwise(F.col("comp")).alias("similarity"), why.isNotNull().alias("duplicate"), why.alias("reason"))
+    return j.select("video_id", "a", "b", sim.alias("similarity"), why.isNotNull().alias("duplicate"), why.alias("reason")).where("duplicate")
 
 
-_PAIRS = """d as (select video_id, cand, topic_id, start_ms, end_ms, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) as tok, list_distinct(regexp_extract_all(lower(regexp_extract(text, '^[^.?!]*[.?!]?')), '[a-z0-9'']+')) as hk from fx_candidates where cand < 6),
+_PAIRS = """d as (select video_id, cand, topic_id, start_ms, end_ms, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) as tok, list_distinct(regexp_extract_all(lower(regexp_extract(text, '^[^.?!]*[.?!]?')), '[a-z0-9'']+')) as hk from fx_candidates),
 q as (select a.video_id, a.cand as a, b.cand as b, case when len(list_distinct(list_concat(a.tok, b.tok))) = 0 then 0.0 else len(list_intersect(a.tok, b.tok)) / len(list_distinct(list_concat(a.tok, b.tok))) end as jac, case when len(list_distinct(list_concat(a.hk, b.hk))) = 0 then 0.0 else len(list_intersect(a.hk, b.hk)) / len(list_distinct(list_concat(a.hk, b.hk))) end as hook,
   case when a.topic_id = b.topic_id then 1.0 else 0.0 end as top, greatest(0, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) as cut, (a.end_ms - a.start_ms) + (b.end_ms - b.start_ms) as len2 from d a join d b on a.video_id = b.video_id and a.cand < b.cand),
 s as (select *, cut / greatest(100, len2 - cut) as iou, jac * 0.40 + cut / greatest(100, len2 - cut) * 0.30 + top * 0.15 + hook * 0.15 as comp from q),
 pairs as (select video_id, a, b, case when iou >= 0.7 then iou when jac >= 0.65 then jac else comp end as similarity, iou >= 0.7 or jac >= 0.65 or comp >= 0.5 as duplicate, case when iou >= 0.7 then 'time' when jac >= 0.65 then 'vocabulary' when comp >= 0.5 then 'composite' end as reason from s)"""
 
 
-@query("score_duplicate_pair", f"with {_PAIRS} select * from pairs")
+@query("score_duplicate_pair", f"with {_PAIRS} select * from pairs where duplicate")
 def score_duplicate_pair(fx_candidates):
-    return duplicate_pairs(fx_candidates.where("cand < 6"))
+    return duplicate_pairs(fx_candidates)
 
 
 @query("join_pairwise_theta", "select a.video_id, a.cand as a, b.cand as b from fx_candidates a join fx_candidates b on a.video_id = b.video_id and a.cand < b.cand and a.end_ms > b.start_ms and a.start_ms < b.end_ms")
@@ -320,10 +333,10 @@ def components_of(candidates: DataFrame) -> DataFrame:
 
 @query("graph_components", f"with recursive {_COMP} select * from comp")
 def graph_components(fx_candidates):
-    return components_of(fx_candidates.where("cand < 6"))
+    return components_of(fx_candidates)
 
 
-_DEDUPE = f"{_COMP}, m as (select c.video_id, c.cand, c.score, coalesce(component, c.cand) as cluster, count(*) over (partition by c.video_id, coalesce(component, c.cand)) as n, row_number() over (partition by c.video_id, coalesce(component, c.cand) order by c.score desc, c.cand) as k from fx_candidates c left join comp on comp.video_id = c.video_id and comp.node = c.cand where c.cand < 6)"
+_DEDUPE = f"{_COMP}, m as (select c.video_id, c.cand, c.score, coalesce(component, c.cand) as cluster, count(*) over (partition by c.video_id, coalesce(component, c.cand)) as n, row_number() over (partition by c.video_id, coalesce(component, c.cand) order by c.score desc, c.cand) as k from fx_candidates c left join comp on comp.video_id = c.video_id and comp.node = c.cand)"
 
 
 def dedupe_candidates(candidates: DataFrame) -> DataFrame:
@@ -336,12 +349,12 @@ def dedupe_candidates(candidates: DataFrame) -> DataFrame:
 
 @query("graph_dedupe", f"with recursive {_DEDUPE} select video_id, cand, cluster, case when n = 1 then 'UNIQUE' when k = 1 then 'RETAINED' else 'REJECTED_DUPLICATE' end as status from m")
 def graph_dedupe(fx_candidates):
-    return dedupe_candidates(fx_candidates.where("cand < 6")).select("video_id", "cand", "cluster", "status")
+    return dedupe_candidates(fx_candidates).select("video_id", "cand", "cluster", "status")
 
 
 @query("agg_cluster_summary", f"with recursive {_DEDUPE} select video_id, cluster, arg_max(cand, -k) as retained, string_agg(case when k > 1 then cand::varchar end, ',' order by cand) as rejected, count(*) as members from m where n > 1 group by all")
 def agg_cluster_summary(fx_candidates):
-    d = dedupe_candidates(fx_candidates.where("cand < 6")).where("n > 1")
+    d = dedupe_candidates(fx_candidates).where("n > 1")
     lost = F.sort_array(F.collect_list(F.when(F.col("status") == "REJECTED_DUPLICATE", F.col("cand"))))
     return d.groupBy("video_id", "cluster").agg(F.max(F.when(F.col("status") == "RETAINED", F.col("cand"))).alias("retained"), F.array_join(F.transform(lost, lambda x: x.cast("string")), ",").alias("rejected"), F.count("*").alias("members"))
 

@@ -8,6 +8,7 @@ from timeloom.functions import columns as C
 from timeloom.operators.candidates import greedy_keep, nms_sql
 from timeloom.operators.windows import by_idx, by_turn, sentence_bounds
 from timeloom.plans.catalog import query
+from timeloom.plans.scratch import materialise
 
 # Fixed values of the role rules; replaceable by callers.
 CONCLUSIONS, TRANSITIONS = "in conclusion|to sum up|finally|at last", "moving on|anyway|next up"
@@ -161,20 +162,20 @@ def _sql_points(kind: str, penalty: bool) -> str:
     return f"greatest(0.0, least(1.0, 0.5 + case when closes then 0.30 else 0.0 end + case when ga >= 500 then 0.20 else 0.0 end + case when not conn then 0.10 else {-0.2 if penalty else 0.0} end))"
 
 
-@query("score_boundary_start", f"with {_BC} select video_id, idx, {_sql_points('start', True)} as conf from e where idx % 5 = 0")
+@query("score_boundary_start", f"with {_BC} select video_id, idx, {_sql_points('start', True)} as conf from e")
 def score_boundary_start(fx_words):
-    return boundary_columns(fx_words).where("idx % 5 = 0").select("video_id", "idx", start_confidence().alias("conf"))
+    return boundary_columns(fx_words).select("video_id", "idx", start_confidence().alias("conf"))
 
 
-@query("score_boundary_end", f"with {_BC} select video_id, idx, {_sql_points('end', True)} as conf, {_sql_points('start', True)} * 0.45 + {_sql_points('end', True)} * 0.55 as overall from e where idx % 5 = 0")
+@query("score_boundary_end", f"with {_BC} select video_id, idx, {_sql_points('end', True)} as conf, {_sql_points('start', True)} * 0.45 + {_sql_points('end', True)} * 0.55 as overall from e")
 def score_boundary_end(fx_words):
-    return boundary_columns(fx_words).where("idx % 5 = 0").select("video_id", "idx", end_confidence().alias("conf"), (start_confidence() * 0.45 + end_confidence() * 0.55).alias("overall"))
+    return boundary_columns(fx_words).select("video_id", "idx", end_confidence().alias("conf"), (start_confidence() * 0.45 + end_confidence() * 0.55).alias("overall"))
 
 
-@query("score_boundary_eval", f"with {_BC} select video_id, idx, {_sql_points('start', False)} as start_conf, {_sql_points('end', False)} as end_conf from e where idx % 5 = 0")
+@query("score_boundary_eval", f"with {_BC} select video_id, idx, {_sql_points('start', False)} as start_conf, {_sql_points('end', False)} as end_conf from e")
 def score_boundary_eval(fx_words):
     """The variants of refinement, without penalties."""
-    return boundary_columns(fx_words).where("idx % 5 = 0").select("video_id", "idx", start_confidence(False).alias("start_conf"), end_confidence(False).alias("end_conf"))
+    return boundary_columns(fx_words).select("video_id", "idx", start_confidence(False).alias("start_conf"), end_confidence(False).alias("end_conf"))
 
 
 @query("score_editorial_quality", "select video_id, cand, greatest(0.0, least(1.0, boundary / 100.0 * 0.35 + score / 100.0 * 0.25 + retention / 100.0 * 0.15 + standalone / 5.0 * 0.15 + retention / 100.0 * 0.10)) as quality from fx_candidates")
@@ -200,22 +201,23 @@ sb as (select *, max(case when o then start_ms end) over (partition by video_id
 rf as (select *, lag(s) over w as ps, lag(s, 3) over w as p3, lag(start_ms) over w as pw, lead(end_ms) over w as ne, min(start_ms) over (partition by video_id) as fs from sb window w as (partition by video_id order by idx))"""
 
 
-@query("gen_refine_start", f"with {_BND} select video_id, idx, (case when conn and ps is not null then ps when pron and pw is not null then coalesce(p3, fs) when prob_pct < 60 and pw is not null then pw else start_ms end)::bigint as start_to from rf where idx % 9 = 0")
+@query("gen_refine_start", f"with {_BND} select video_id, idx, (case when conn and ps is not null then ps when pron and pw is not null then coalesce(p3, fs) when prob_pct < 60 and pw is not null then pw else start_ms end)::bigint as start_to from rf")
 def gen_refine_start(fx_words):
-    return refine_ends(fx_words).where("idx % 9 = 0").select("video_id", "idx", "start_to")
+    return refine_ends(fx_words).select("video_id", "idx", "start_to")
 
 
-@query("gen_refine_end", f"with {_BND} select video_id, idx, (case when not closes and z > end_ms and z - end_ms <= 8000 then z when prob_pct < 60 and closes and ne is not null then ne else end_ms end)::bigint as end_to from rf where idx % 9 = 0")
+@query("gen_refine_end", f"with {_BND} select video_id, idx, (case when not closes and z > end_ms and z - end_ms <= 8000 then z when prob_pct < 60 and closes and ne is not null then ne else end_ms end)::bigint as end_to from rf")
 def gen_refine_end(fx_words):
-    return refine_ends(fx_words).where("idx % 9 = 0").select("video_id", "idx", "end_to")
+    return refine_ends(fx_words).select("video_id", "idx", "end_to")
 
 
 def refine_boundaries(clips: DataFrame, words: DataFrame, rounds: int = 3, good: float = 0.85, gain: float = 0.02) -> DataFrame:
     """Up to ``rounds`` passes that move a clip's ends as ``refine_ends`` says; a clip stops when its boundary confidence
     is good or a pass after the first gains too little. The passes are unrolled: nothing is looped over on the driver."""
     r = refine_ends(words).withColumns({"cs": start_confidence(False), "ce": end_confidence(False)})
-    starts = r.select("video_id", F.col("start_ms").alias("s"), F.col("start_to").alias("s_to"), "cs")
-    ends = r.select("video_id", F.col("end_ms").alias("e"), F.col("end_to").alias("e_to"), "ce")
+    # written, as each is joined in every round; of words that begin (or end) at one time the first counts
+    starts = materialise(r.groupBy("video_id", F.col("start_ms").alias("s")).agg(F.min_by(F.struct(F.col("start_to").alias("s_to"), "cs"), "idx").alias("x")).select("video_id", "s", "x.*"), "starts")
+    ends = materialise(r.groupBy("video_id", F.col("end_ms").alias("e")).agg(F.min_by(F.struct(F.col("end_to").alias("e_to"), "ce"), "idx").alias("x")).select("video_id", "e", "x.*"), "ends")
     c = clips.withColumns({"s": F.col("start_ms"), "e": F.col("end_ms"), "done": F.lit(False), "rounds": F.lit(0), "conf": F.lit(0.0)})
     keys = clips.columns
     for n in range(rounds):

@@ -11,7 +11,11 @@ BIN_MS = 60_000
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
+    return F.explode(_dealt(start, end, width))
+
+
+def _dealt(start: Column, end: Column, width: int) -> Column:
+    return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
 
 
 def interval_join(left: DataFrame, right: DataFrame, kind: str = "overlap", how: str = "inner", on: str = "video_id", width: int = BIN_MS) -> DataFrame:
@@ -24,12 +28,17 @@ def interval_join(left: DataFrame, right: DataFrame, kind: str = "overlap", how:
     """
     a, b, c, d = F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")
     rule = {"overlap": (d > a) & (c < b), "closed": (d >= a) & (c <= b), "contained": (c >= a) & (d <= b), "contains": (c <= a) & (d >= b)}[kind]
-    l, r = left.withColumn("_bin", _bins(a, b, width)), right.withColumn("_bin", _bins(c, d, width))
-    pairs = l.join(r, [on, "_bin"]).where(rule & (F.col("_bin") == F.floor(F.greatest(a, c) / width))).drop("_bin")
+    r = right.withColumn("_bin", _bins(c, d, width))
+    meet = rule & (F.col("_bin") == F.floor(F.greatest(a, c) / width))
     if how == "inner":
-        return pairs
-    keys = [x for x in left.columns]
-    return left.join(pairs.select(*keys, *[x for x in right.columns if x != on]), keys, "left")
+        return left.withColumn("_bin", _bins(a, b, width)).join(r, [on, "_bin"]).where(meet).drop("_bin")
+    # rows are numbered before they are dealt, so that equal ones stay apart and those with nulls stay at all
+    l = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", F.explode_outer(_dealt(a, b, width)))
+    theirs = [x for x in right.columns if x != on]
+    w = Window.partitionBy("_row")
+    j = l.join(r, [on, "_bin"], "left").withColumn("_met", F.coalesce(meet, F.lit(False)))
+    j = j.withColumns({"_any": F.max("_met").over(w), "_nth": F.row_number().over(w.orderBy(F.desc("_met")))}).where("_met or (not _any and _nth = 1)")
+    return j.select(*left.columns, *[F.when(F.col("_met"), F.col(x)).alias(x) for x in theirs])
 
 
 def as_right(df: DataFrame, **names: str) -> DataFrame:
@@ -47,9 +56,11 @@ def nearest(points: DataFrame, times: DataFrame, at: str, r_at: str, carry: list
     v = times.select(*on, F.col(r_at).alias("_t"), F.lit(0).alias("_side"), row.alias("_row"))
     both = u.unionByName(v, allowMissingColumns=True)
     w = Window.partitionBy(*on).orderBy("_t", "_side", F.col("_row.t"), *[F.col(f"_row.{c}") for c in carry])
+    # the same order backwards: a frame that grows is summed up row by row, one that shrinks is read anew for each
+    back = Window.partitionBy(*on).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_row.t"), *[F.desc(f"_row.{c}") for c in carry])
     before = F.last("_row", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # of rows at the same earlier time the first counts, as in a scan with a strict comparison
-    after = F.first("_row", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # of rows at the same later time the first counts, as in a scan with a strict comparison
+    after = F.last("_row", True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumns({"_b": before, "_a": after}).where("_side = 1")
     pick = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_t") - F.col("_b.t") <= F.col("_a.t") - F.col("_t"), F.col("_b")).otherwise(F.col("_a"))
     return both.withColumn("_p", pick).select(*points.columns, F.col("_p.t").alias(r_at), *[F.col(f"_p.{c}").alias(c) for c in carry])
@@ -104,8 +115,13 @@ def snap_speech(clips: DataFrame, speech: DataFrame, max_ms: int) -> DataFrame:
     e = F.least("b", F.col("end_ms") + 250)
     hit = j.select(*keys, s.alias("s"), F.least(e, s + max_ms).alias("e"))
     missed = clips.join(hit.select(*keys), keys, "left_anti")
-    gap = F.least(F.abs(F.col("r_start") - F.col("start_ms")), F.abs(F.col("r_end") - F.col("end_ms")))
-    near = missed.join(as_right(speech), "video_id", "left").groupBy(*keys).agg(F.min_by(F.struct("r_start", "r_end"), F.struct(gap, F.col("r_start"))).alias("n"))
+    # the nearest by start and the nearest by end, of which the nearer counts: no clip meets all speech of its video
+    times = as_right(speech)
+    near = nearest(missed, times.select("video_id", F.col("r_start").alias("at_start"), "r_end"), "start_ms", "at_start", ["r_end"]).withColumnRenamed("r_end", "at_start_end")
+    near = nearest(near, times.select("video_id", F.col("r_end").alias("at_end"), "r_start"), "end_ms", "at_end", ["r_start"]).withColumnRenamed("r_start", "at_end_start")
+    one = F.struct(F.abs(F.col("at_start") - F.col("start_ms")).alias("gap"), F.col("at_start").alias("r_start"), F.col("at_start_end").alias("r_end"))
+    two = F.struct(F.abs(F.col("at_end") - F.col("end_ms")).alias("gap"), F.col("at_end_start").alias("r_start"), F.col("at_end").alias("r_end"))
+    near = near.withColumn("n", F.when(F.col("at_start").isNotNull(), F.least(one, two)))
     near = near.select(*keys, F.coalesce("n.r_start", "start_ms").alias("s"), F.coalesce(F.least("n.r_end", F.col("n.r_start") + max_ms), "end_ms").alias("e"))
     return hit.unionByName(near)
 
@@ -158,10 +174,10 @@ def join_scene_midpoint(fx_scenes, fx_clips):
     return s.select("video_id", "scene_idx").join(hit, ["video_id", "scene_idx"], "left").select("video_id", "scene_idx", F.coalesce("layout", F.lit(0)).cast("long").alias("layout"))
 
 
-@query("join_point_in_scene", "select w.video_id, w.idx, s.scene_idx from fx_words w left join fx_scenes s on w.video_id = s.video_id and w.start_ms >= s.start_ms and w.start_ms < s.end_ms where w.idx % 7 = 0")
+@query("join_point_in_scene", "select w.video_id, w.idx, case when w.start_ms < s.end_ms then s.scene_idx end as scene_idx from fx_words w asof left join fx_scenes s on w.video_id = s.video_id and w.start_ms >= s.start_ms")
 def join_point_in_scene(fx_words, fx_scenes):
     """The scene of each point: the last that started, as-of, if it hasn't ended."""
-    p = fx_words.where("idx % 7 = 0").select("video_id", "idx", "start_ms")
+    p = fx_words.select("video_id", "idx", "start_ms")
     u = p.select("video_id", F.col("start_ms").alias("t"), F.lit(1).alias("side"), "idx", F.lit(None).cast("struct<scene_idx:bigint,e:bigint>").alias("s")).unionByName(
         fx_scenes.select("video_id", F.col("start_ms").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("idx"), F.struct(F.col("scene_idx").cast("long").alias("scene_idx"), F.col("end_ms").cast("long").alias("e")).alias("s"))
     )
@@ -190,14 +206,14 @@ def join_nearest_word(fx_clips, fx_words):
     return nearest(p, fx_words.select("video_id", "start_ms", "idx"), "at_ms", "start_ms", ["idx"]).select("video_id", "clip", "idx")
 
 
-@query("join_nearest_tolerance", """with g as (select distinct video_id, (t_ms / 700)::bigint * 700 as at_ms from fx_samples where track_id = video_id), s as (select video_id, t_ms, min(conf_pct) as conf from fx_samples where track_id = video_id group by all)
-select g.video_id, g.at_ms, (select arg_min(t_ms, (abs(t_ms - at_ms), t_ms)) from s where s.video_id = g.video_id and abs(t_ms - at_ms) <= 200)::bigint as near_ms from g""")
+@query("join_nearest_tolerance", """with g as (select distinct video_id, track_id, (t_ms / 700)::bigint * 700 as at_ms from fx_samples), s as (select video_id, track_id, t_ms, min(conf_pct) as conf from fx_samples group by all)
+select g.video_id, g.track_id, g.at_ms, arg_min(t_ms, (abs(t_ms - at_ms), t_ms))::bigint as near_ms from g left join s on s.video_id = g.video_id and s.track_id = g.track_id and abs(t_ms - at_ms) <= 200 group by all""")
 def join_nearest_tolerance(fx_samples):
     """The sample nearest to each grid time if within the tolerance, else null."""
-    own = fx_samples.where("track_id = video_id")
-    g = own.select("video_id", (F.round(F.col("t_ms") / 700).cast("long") * 700).alias("at_ms")).distinct()
-    near = nearest(g, own.groupBy("video_id", F.col("t_ms").cast("long").alias("near_ms")).agg(F.min("conf_pct").alias("conf")), "at_ms", "near_ms", ["conf"])
-    return near.select("video_id", "at_ms", F.when(F.abs(F.col("near_ms") - F.col("at_ms")) <= 200, F.col("near_ms")).alias("near_ms"))
+    g = fx_samples.select("video_id", "track_id", (F.round(F.col("t_ms") / 700).cast("long") * 700).alias("at_ms")).distinct()
+    times = fx_samples.groupBy("video_id", "track_id", F.col("t_ms").cast("long").alias("near_ms")).agg(F.min("conf_pct").alias("conf"))
+    near = nearest(g, times, "at_ms", "near_ms", ["conf"], ["video_id", "track_id"])
+    return near.select("video_id", "track_id", "at_ms", F.when(F.abs(F.col("near_ms") - F.col("at_ms")) <= 200, F.col("near_ms")).alias("near_ms"))
 
 
 @query("join_face_to_track", """with f as (select video_id, event_id, t_ms + 100 as t, x + w / 2.0 as cx, y + h / 2.0 as cy from fx_samples where event_id % 3 = 0), p as (select video_id, event_id as pid, t_ms, x, y, w, h from fx_samples where event_id % 3 <> 0)
@@ -231,10 +247,10 @@ def join_first_in_interval(fx_clips, fx_words):
     return interval_join(fx_clips.select("video_id", "clip", "start_ms", "end_ms"), r, "closed").where("r_start < end_ms").groupBy("video_id", "clip").agg(F.min_by("word", "r_start").alias("word"))
 
 
-@query("prj_clip_relative", "select c.video_id, c.clip, w.idx, greatest(w.start_ms - c.start_ms, 0)::bigint as from_ms, (least(w.end_ms, c.end_ms) - c.start_ms)::bigint as to_ms from fx_clips c join fx_words w on c.video_id = w.video_id and w.end_ms > c.start_ms and w.start_ms < c.end_ms where c.clip <= 2")
+@query("prj_clip_relative", "select c.video_id, c.clip, w.idx, greatest(w.start_ms - c.start_ms, 0)::bigint as from_ms, (least(w.end_ms, c.end_ms) - c.start_ms)::bigint as to_ms from (select *, unnest(range((start_ms // 60000)::bigint, (end_ms // 60000 + 1)::bigint)) as bin from fx_clips) c join (select *, unnest(range((start_ms // 60000)::bigint, (end_ms // 60000 + 1)::bigint)) as bin from fx_words) w on c.video_id = w.video_id and c.bin = w.bin and w.end_ms > c.start_ms and w.start_ms < c.end_ms and c.bin = greatest(c.start_ms, w.start_ms) // 60000")
 def prj_clip_relative(fx_clips, fx_words):
     """Word times shifted to the clip's origin."""
-    j = interval_join(fx_clips.where("clip <= 2").select("video_id", "clip", "start_ms", "end_ms"), as_right(fx_words, idx="idx"))
+    j = interval_join(fx_clips.select("video_id", "clip", "start_ms", "end_ms"), as_right(fx_words, idx="idx"))
     return j.select("video_id", "clip", "idx", F.greatest(F.col("r_start") - F.col("start_ms"), F.lit(0)).alias("from_ms"), (F.least("r_end", "end_ms") - F.col("start_ms")).alias("to_ms"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from timeloom.functions import columns as C
 from timeloom.plans.catalog import query
+from timeloom.plans.scratch import listed, shared_folder
 
 
 @query("prj_clean_text", "select doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) as clean from documents")
@@ -233,17 +236,22 @@ def src_event_log(fx_lines):
     return fx_lines.withColumn("j", j).select("seq", F.coalesce("j.status", F.lit("log")).alias("status"), F.col("j.percent").alias("percent"), F.when(F.col("j").isNull(), F.col("line")).alias("plain"))
 
 
-@query("src_transcript", "select video_id, seg_idx, unnest(w) as word, unnest(range(len(w)))::int as pos from (select video_id, seg_idx, string_split(text, ' ') as w from fx_segments where seg_idx < 2) t")
+@query("src_transcript", "select video_id, seg_idx, unnest(w) as word, unnest(range(len(w)))::int as pos from (select video_id, seg_idx, string_split(text, ' ') as w from fx_segments) t")
 def src_transcript(fx_segments):
     """Segments with nested words, flattened."""
-    nested = fx_segments.where("seg_idx < 2").select("video_id", "seg_idx", F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"))).alias("words"))
+    nested = fx_segments.select("video_id", "seg_idx", F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"))).alias("words"))
     return nested.select("video_id", "seg_idx", F.posexplode("words").alias("pos", "w")).select("video_id", "seg_idx", "w.word", "pos")
 
 
-@query("src_asset_listing", "select path, regexp_extract(path, '[.]([a-z0-9]+)$', 1) as ext, length, mtime from fx_assets where path like '%.mp3' or path like '%.mp4'")
+@query("src_asset_listing", "select project, regexp_extract(path, '[.]([a-z0-9]+)$', 1) as ext, (sum(strlen(path)) + count(*))::bigint as length from fx_assets where path like '%.mp3' or path like '%.mp4' group by all")
 def src_asset_listing(fx_assets):
-    """Files of the wanted kinds with size and time (a listing table; ``binaryFile`` without content gives the same columns)."""
-    return fx_assets.where(F.col("path").rlike("[.](mp3|mp4)$")).select("path", F.regexp_extract("path", "[.]([a-z0-9]+)$", 1).alias("ext"), "length", "mtime")
+    """Files of the wanted kinds with their size, listed in a shared folder to which each project's lists of assets were written."""
+    ext = F.regexp_extract("path", "[.]([a-z0-9]+)$", 1)
+    lists = fx_assets.select("project", "path", F.concat(F.lit("p"), "project", F.lit("_"), ext).alias("list")).repartition("list").select(F.col("path").alias("value"), "list")
+    folder = f"{shared_folder(lists.sparkSession)}/{lists.sparkSession.sparkContext.applicationId}/assets-{uuid.uuid4().hex}"
+    lists.write.partitionBy("list").text(folder)
+    found = listed(lists.sparkSession, folder, "*.txt").select(F.regexp_extract("path", "list=p([0-9]+)_([a-z0-9]+)/", 1).cast("long").alias("project"), F.regexp_extract("path", "list=p([0-9]+)_([a-z0-9]+)/", 2).alias("ext"), "length")
+    return found.where("ext in ('mp3', 'mp4')").groupBy("project", "ext").agg(F.sum("length").alias("length"))
 
 
 @query("src_ingest_cache", """with u as (select page_id, case when url like '%watch?v=%' then regexp_extract(url, 'v=([0-9a-f]{11})', 1) when url like '%short.example/%' then regexp_extract(url, 'short.example/([0-9a-f]{11})', 1) when url like '%/embed/%' then regexp_extract(url, 'embed/([0-9a-f]{11})', 1) end as media from fx_urls)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timeloom.functions import columns as C
 from timeloom.operators.windows import chunk_words
 from timeloom.plans.catalog import query
-from timeloom.plans.scratch import materialise
+from timeloom.plans.scratch import materialise, written_text
+
+#: Folders that text is written to, a share of the videos each.
+SHARES = 32
 
 
 @query("join_score_map", "select c.video_id, c.cand, coalesce(o.score, c.score) as score from fx_candidates c left join (select video_id, cand, score + 100 as score from fx_candidates where cand % 3 = 1) o using (video_id, cand)")
@@ -156,43 +159,77 @@ def score_metadata(fx_candidates):
     return fx_candidates.select("video_id", "cand", (sum(points[1:], points[0]) / 5.0).alias("quality"))
 
 
-@query("fn_hook", "with s as (select video_id, cand, list_filter(list_transform(string_split_regex(text, '[.?!]+'), lambda x: trim(regexp_replace(x, '[^A-Za-z0-9'' ]+', ' ', 'g'))), lambda x: len(list_filter(string_split(x, ' '), lambda w: w <> '')) between 3 and 9)[1] as hook from fx_candidates) select video_id, cand, coalesce(upper(regexp_replace(hook, ' +', ' ', 'g')), 'WATCH THIS ' || (cand % 3)::varchar) as hook from s")
+# Hooks for clips without a sentence of their own, where there is no text and where there is some.
+NO_TEXT_HOOKS = ("This Changed Everything...", "The Secret Most People Miss", "Don't Make This Mistake!", "Watch What Happens Next...", "The Truth They Hid From You")
+NO_SENTENCE_HOOKS = NO_TEXT_HOOKS[:4]
+
+
+def hook_of(text: Column, nth: Column) -> Column:
+    """The first sentence of 3 to 9 words in title case with three dots; else the first seven words of a longer first
+    sentence; else a fixed hook, in turn."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    sentences = F.filter(F.transform(F.split(trimmed, "[.!?]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    short = F.filter(sentences, lambda s: F.size(words(s)).between(3, 9))
+    first = words(F.try_element_at(sentences, F.lit(1)))
+    start = F.when(F.size(first) > 8, F.array_join(F.slice(first, 1, 7), " "))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_element_at(short, F.lit(1)), start), r"[^a-zA-Z0-9\s']", ""), r"^\s+|\s+$", "")
+    chars = F.regexp_extract_all(F.lower(plain), F.lit("(?s)."), F.lit(0))
+    upper = F.transform(chars, lambda c, i: F.when((i > 0) & F.element_at(chars, F.greatest(i, F.lit(1))).rlike("[a-z]"), c).otherwise(F.upper(c)))  # as in a title: after anything but a letter
+    in_turn = lambda hooks: F.element_at(F.array(*map(F.lit, hooks)), (nth % len(hooks) + 1).cast("int"))
+    return F.when(trimmed == "", in_turn(NO_TEXT_HOOKS)).when(plain.isNotNull(), F.concat(F.array_join(upper, ""), F.lit("..."))).otherwise(in_turn(NO_SENTENCE_HOOKS))
+
+
+_LIST = lambda hooks: "[" + ", ".join("'" + h.replace("'", "''") + "'" for h in hooks) + "]"
+_HOOK = rf"""h0 as (select video_id, cand, trim(text) as text from fx_candidates), h1 as (select *, list_filter(list_transform(string_split_regex(text, '[.!?]'), lambda x: trim(x)), lambda x: x <> '') as s from h0),
+h2 as (select *, list_filter(s, lambda x: len(list_filter(string_split(x, ' '), lambda w: w <> '')) between 3 and 9)[1] as short, list_filter(string_split(s[1], ' '), lambda w: w <> '') as f from h1),
+h3 as (select *, lower(trim(regexp_replace(coalesce(short, case when len(f) > 8 then array_to_string(f[1:7], ' ') end), '[^a-zA-Z0-9\s'']', '', 'g'))) as p from h2),
+h4 as (select *, regexp_extract_all(p, '.') as c from h3),
+hooks as (select video_id, cand, case when text = '' then {_LIST(NO_TEXT_HOOKS)}[cand % 5 + 1] when p is not null then coalesce(array_to_string(list_transform(c, lambda x, i: case when i > 1 and regexp_matches(c[i - 1], '[a-z]') then x else upper(x) end), ''), '') || '...' else {_LIST(NO_SENTENCE_HOOKS)}[cand % 4 + 1] end as hook from h4)"""
+
+
+@query("fn_hook", f"with {_HOOK} select * from hooks")
 def fn_hook(fx_candidates):
-    """The first sentence of 3 to 9 words without punctuation, else a default in turn."""
-    plain = F.transform(F.split("text", "[.?!]+"), lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z0-9' ]+", " ")))
-    fits = F.filter(plain, lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != "")).between(3, 9))
-    hook = F.upper(F.regexp_replace(F.try_element_at(fits, F.lit(1)), " +", " "))
-    return fx_candidates.select("video_id", "cand", F.coalesce(hook, F.concat(F.lit("WATCH THIS "), (F.col("cand") % 3).cast("string"))).alias("hook"))
+    return fx_candidates.select("video_id", "cand", hook_of(F.col("text"), F.col("cand")).alias("hook"))
 
 
-@query("fn_wrap", "with recursive w as (select video_id, clip, list_filter(string_split(text, ' '), lambda x: x <> '') as l from fx_clips where clip <= 3), g as (select video_id, clip, 1 as i, l[1] as line, '' as done, l from w union all select video_id, clip, i + 1, case when length(line) + 1 + length(l[i + 1]) <= 22 then line || ' ' || l[i + 1] else l[i + 1] end, case when length(line) + 1 + length(l[i + 1]) <= 22 then done else done || line || '|' end, l from g where i < len(l)) select video_id, clip, done || line as wrapped from g where i = len(l)")
-def fn_wrap(fx_clips):
-    """Greedy line breaks at 22 characters."""
-    words = F.filter(F.split("text", " "), lambda x: x != "")
+@query("fn_wrap", f"with recursive {_HOOK}, w as (select video_id, cand, list_filter(string_split(hook, ' '), lambda x: x <> '') as l from hooks), g as (select video_id, cand, 1 as i, l[1] as line, '' as done, l from w union all select video_id, cand, i + 1, case when length(line) + 1 + length(l[i + 1]) <= 22 then line || ' ' || l[i + 1] else l[i + 1] end, case when length(line) + 1 + length(l[i + 1]) <= 22 then done else done || line || '|' end, l from g where i < len(l)) select video_id, cand, done || line as wrapped from g where i = len(l)")
+def fn_wrap(fx_candidates):
+    """Greedy line breaks of a hook at 22 characters."""
+    words = F.filter(F.split(hook_of(F.col("text"), F.col("cand")), " "), lambda x: x != "")
     start = F.struct(F.lit("").alias("done"), F.lit(None).cast("string").alias("line"))
 
     def step(s, w):
         fits = F.length(s["line"]) + 1 + F.length(w) <= 22
         return F.struct(F.when(s["line"].isNull() | fits, s["done"]).otherwise(F.concat(s["done"], s["line"], F.lit("|"))).alias("done"), F.when(s["line"].isNull(), w).when(fits, F.concat(s["line"], F.lit(" "), w)).otherwise(w).alias("line"))
 
-    return fx_clips.where("clip <= 3").select("video_id", "clip", F.aggregate(words, start, step, lambda s: F.concat(s["done"], s["line"])).alias("wrapped"))
+    return fx_candidates.select("video_id", "cand", F.aggregate(words, start, step, lambda s: F.concat(s["done"], s["line"])).alias("wrapped"))
 
 
-@query("snk_captions", "with recursive s as (select *, sum(case when regexp_matches(p, '[.?!]$') or p is null then 1 else 0 end) over (partition by video_id order by idx) as sentence from (select *, lag(word) over (partition by video_id order by idx) as p from fx_words where video_id < 100) x), k as (select *, ((row_number() over (partition by video_id, sentence order by idx) - 1) // 4)::bigint as part from s) select video_id, min(start_ms)::bigint as start_ms, 'Dialogue: 0,' || min(start_ms) || ',' || max(end_ms) || ',' || string_agg(word, ' ' order by idx) as line from k group by video_id, sentence, part")
+@query("snk_captions", "with s as (select *, sum(case when regexp_matches(p, '[.?!]$') or p is null then 1 else 0 end) over (partition by video_id order by idx) as sentence from (select *, lag(word) over (partition by video_id order by idx) as p from fx_words) x), k as (select *, ((row_number() over (partition by video_id, sentence order by idx) - 1) // 4)::bigint as part from s) select video_id, min(start_ms)::bigint as start_ms, 'Dialogue: 0,' || min(start_ms) || ',' || max(end_ms) || ',' || string_agg(word, ' ' order by idx) as line from k group by video_id, sentence, part")
 def snk_captions(fx_words):
-    """Cue lines, written as text by video and read back."""
-    k = chunk_words(fx_words.where("video_id < 100"), 4)
+    """Cue lines, written as text and read back: a video's cues stand in order in one file of its share of the videos."""
+    k = chunk_words(fx_words, 4)
     cue = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ")
     c = k.groupBy("video_id", "sentence", "part").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("e"), cue.alias("cue"))
-    return materialise(c.select("video_id", "start_ms", F.concat_ws(",", F.lit("Dialogue: 0"), "start_ms", "e", "cue").alias("line")), "captions")
+    return text_of_videos(c.select("video_id", F.col("start_ms").alias("at"), F.concat_ws(",", F.lit("Dialogue: 0"), "start_ms", "e", "cue").alias("text")), "captions").select("video_id", F.col("at").alias("start_ms"), F.col("text").alias("line"))
+
+
+def text_of_videos(rows: DataFrame, label: str) -> DataFrame:
+    """``video_id, at, text`` written as text, records in order of both, a share of the videos a folder, and read back."""
+    line = F.concat_ws("\t", "video_id", "at", "text").alias("value")
+    shared = rows.withColumn("share", F.pmod(F.xxhash64("video_id"), F.lit(SHARES))).repartition("share").sortWithinPartitions("share", "video_id", "at")
+    back = written_text(shared.select("share", line), label, "share")
+    parts = F.split("value", "\t", 3)
+    return back.select(parts[0].cast("long").alias("video_id"), parts[1].cast("long").alias("at"), parts[2].alias("text"))
 
 
-@query("snk_metadata_text", "select video_id, clip, 'TITLE' || chr(10) || left(text, 40) || chr(10) || chr(10) || 'WORDS' || chr(10) || word_count as block from fx_clips where clip <= 3")
+@query("snk_metadata_text", "select video_id, clip, 'TITLE' || chr(10) || left(text, 40) || chr(10) || chr(10) || 'WORDS' || chr(10) || word_count as block from fx_clips")
 def snk_metadata_text(fx_clips):
-    """A key/value text block per clip."""
+    """A key/value text block per clip, written as text and read back."""
     part = lambda k, v: F.concat(F.lit(k + "\n"), v)
-    c = fx_clips.where("clip <= 3").select("video_id", "clip", F.concat_ws("\n\n", part("TITLE", F.left("text", F.lit(40))), part("WORDS", F.col("word_count").cast("string"))).alias("block"))
-    return materialise(c, "metadata-text")
+    c = fx_clips.select("video_id", F.col("clip").alias("at"), F.concat_ws("\n\n", part("TITLE", F.left("text", F.lit(40))), part("WORDS", F.col("word_count").cast("string"))).alias("text"))
+    return text_of_videos(c, "metadata-text").select("video_id", F.col("at").alias("clip"), F.col("text").alias("block"))
 
 
 @query("snk_report", "select video_id, count(*) as rows_written, avg(score) as mean_score, max(end_ms)::bigint as last_ms from fx_candidates group by all")
@@ -236,30 +273,32 @@ def translate(cues: DataFrame, factory: Callable[[], DictionaryProvider], lang:
     return cues.join(cues.select("cue").where("cue is not null").distinct().mapInPandas(run, "cue string, translated string, status string"), "cue", "left")
 
 
-@query("udf_translate_cues", "select video_id, clip, regexp_replace(cue, '(^| )the( |$)', '\\1der\\2', 'g') as translated, 'translated' as status from (select video_id, clip, regexp_extract(text, '^[^ ]+( [^ ]+)?') as cue from fx_clips where clip <= 2) t")
+@query("udf_translate_cues", "select video_id, clip, regexp_replace(cue, '(^| )the( |$)', '\\1der\\2', 'g') as translated, 'translated' as status from (select video_id, clip, regexp_extract(text, '^[^ ]+( [^ ]+)?') as cue from fx_clips) t")
 def udf_translate_cues(fx_clips):
-    cues = fx_clips.where("clip <= 2").select("video_id", "clip", F.regexp_extract("text", "^[^ ]+( [^ ]+)?", 0).alias("cue"))
+    cues = fx_clips.select("video_id", "clip", F.regexp_extract("text", "^[^ ]+( [^ ]+)?", 0).alias("cue"))
     return translate(cues, lambda: DictionaryProvider({"de": {"the": "der"}}), "de").select("video_id", "clip", "translated", "status")
 
 
-#: Ordered stages: id and function of a DataFrame. ``run_stages`` applies those a video hasn't completed.
+#: Ordered stages: id and function of a DataFrame of candidates. ``run_stages`` applies those that a video hasn't completed.
 STAGES: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [
-    ("double", lambda d: d.withColumn("v", F.col("v") * 2)),
-    ("plus", lambda d: d.withColumn("v", F.col("v") + 1)),
+    ("hooks", lambda d: d.withColumn("hook", hook_of(F.col("text"), F.col("cand")))),
+    ("trim", lambda d: d.withColumn("end_ms", F.least("end_ms", F.col("start_ms") + 30_000))),
+    ("rank", lambda d: d.withColumn("score", C.clamp(F.col("score") + F.when(F.col("end_ms") - F.col("start_ms") >= 20_000, 5).otherwise(-5), 0, 100))),
 ]
 
 
 def run_stages(df: DataFrame, done: DataFrame, stages=None) -> DataFrame:
-    """Each stage on the videos that don't have it in ``done`` (``video_id, stage``); the others pass unchanged."""
+    """Each stage on the videos that don't have it in the table ``done`` (``video_id, stage``); the others pass unchanged, with
+    null in columns that the stage adds. What a stage makes is written before the next one reads it twice."""
     for name, f in stages or STAGES:
-        seen = done.where(F.col("stage") == name).select("video_id")
-        df = f(df.join(seen, "video_id", "left_anti")).unionByName(df.join(seen, "video_id", "left_semi"))
+        seen = done.where(F.col("stage") == name).select("video_id").distinct()
+        df = materialise(f(df.join(seen, "video_id", "left_anti")).unionByName(df.join(seen, "video_id", "left_semi"), allowMissingColumns=True), name)
     return df
 
 
-@query("udf_stage_registry", "select video_id, (case when video_id % 3 = 0 then n else n * 2 end + case when video_id % 2 = 0 then 0 else 1 end)::bigint as v from (select video_id, count(*) as n from fx_candidates group by all) t")
+@query("udf_stage_registry", f"with {_HOOK}, e as (select c.*, h.hook, case when c.video_id % 2 = 0 then end_ms else least(end_ms, start_ms + 30000) end as e from fx_candidates c join hooks h using (video_id, cand)) select video_id, cand, case when video_id % 3 <> 0 then hook end as hook, e::bigint as end_ms, greatest(0, least(100, score + case when e - start_ms >= 20000 then 5 else -5 end))::bigint as score from e")
 def udf_stage_registry(fx_candidates):
-    d = fx_candidates.groupBy("video_id").agg(F.count("*").alias("v"))
+    """Candidates through the stages, where a written progress table says that some videos have had some of them."""
     ids = fx_candidates.select("video_id").distinct()
-    done = ids.where("video_id % 3 = 0").withColumn("stage", F.lit("double")).unionByName(ids.where("video_id % 2 = 0").withColumn("stage", F.lit("plus")))
-    return run_stages(d, done)
+    done = ids.where("video_id % 3 = 0").withColumn("stage", F.lit("hooks")).unionByName(ids.where("video_id % 2 = 0").withColumn("stage", F.lit("trim")))
+    return run_stages(fx_candidates.select("video_id", "cand", "text", "start_ms", "end_ms", "score"), materialise(done, "progress")).select("video_id", "cand", "hook", "end_ms", "score")

@@ -21,13 +21,13 @@ def fn_description(fx_candidates):
     return fx_candidates.select("video_id", "cand", F.concat(F.left("text", F.lit(60)), F.lit("...\nTopic "), "topic_id", F.lit(", "), F.floor((F.col("end_ms") - F.col("start_ms")) / 1000).cast("string"), F.lit(" s")).alias("description"))
 
 
-@query("fn_transcript_lines", "select video_id, string_agg('[' || (start_ms // 1000)::varchar || '-' || (end_ms // 1000)::varchar || '] ' || text, chr(10) order by seg_idx) as transcript from fx_segments where seg_idx < 5 group by all")
+@query("fn_transcript_lines", "select video_id, string_agg('[' || (start_ms // 1000)::varchar || '-' || (end_ms // 1000)::varchar || '] ' || text, chr(10) order by seg_idx) as transcript from fx_segments group by all")
 def fn_transcript_lines(fx_segments):
     """Segments as lines with their seconds."""
     s = lambda c: F.floor(F.col(c) / 1000).cast("string")
     line = F.concat(F.lit("["), s("start_ms"), F.lit("-"), s("end_ms"), F.lit("] "), "text")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", line.alias("line")))), lambda x: x["line"])
-    return fx_segments.where("seg_idx < 5").groupBy("video_id").agg(F.array_join(lines, "\n").alias("transcript"))
+    return fx_segments.groupBy("video_id").agg(F.array_join(lines, "\n").alias("transcript"))
 
 
 @query("fn_hashtags", "select video_id, cand, '#' || lower(topic_id) || ' #' || case when score >= 50 then 'viral' else 'clips' end || ' #' || case when end_ms - start_ms < 30000 then 'short' else 'long' end as tags from fx_candidates")

@@ -77,12 +77,14 @@ def block_segmentation(words: DataFrame) -> DataFrame:
     return islands(flat, F.coalesce((F.col("island") != F.lag("island").over(by_idx())) | (F.col("part") != F.lag("part").over(by_idx())), F.lit(True)), ["video_id"], ["idx"], "block").select("video_id", "idx", "block")
 
 
-@query("win_block_segmentation", """with a as (select *, last_value(speaker ignore nulls) over (partition by video_id order by idx) as who from fx_words where video_id < 60), b as (select *, coalesce(start_ms - lag(end_ms) over w >= 1200 or who is distinct from lag(who) over w, false) as cut, idx as i from a window w as (partition by video_id order by idx)),
-f as (select video_id, idx, start_ms, end_ms, word, 1 as block, start_ms as from_ms from b where idx = 0
- union all select b.video_id, b.idx, b.start_ms, b.end_ms, b.word, f.block + x.cut, case when x.cut = 1 then b.start_ms else f.from_ms end from f join b on b.video_id = f.video_id and b.idx = f.idx + 1, lateral (select case when b.cut or (regexp_matches(f.word, '[.?!]$') and f.end_ms - f.from_ms > 15000) then 1 else 0 end as cut) x)
-select video_id, count(*) as words, max(block) as blocks, sum(block)::bigint as block_sum from f group by all""")
+@query("win_block_segmentation", """with recursive a as (select *, last_value(speaker ignore nulls) over (partition by video_id order by idx) as who from fx_words), b as (select *, coalesce(start_ms - lag(end_ms) over w >= 1200 or who is distinct from lag(who) over w, false) as cut from a window w as (partition by video_id order by idx)),
+i as (select *, sum(cut::int) over (partition by video_id order by idx) as island from b), r as (select *, row_number() over (partition by video_id, island order by idx) as n from i),
+f as (select video_id, island, n, idx, 0 as part, start_ms as from_ms, regexp_matches(word, '[.?!]$') and end_ms - start_ms > 15000 as due from r where n = 1
+ union all select r.video_id, r.island, r.n, r.idx, f.part + f.due::int, x.s, regexp_matches(r.word, '[.?!]$') and r.end_ms - x.s > 15000 from f join r on r.video_id = f.video_id and r.island = f.island and r.n = f.n + 1, lateral (select case when f.due then r.start_ms else f.from_ms end as s) x),
+k as (select video_id, sum(c) over (partition by video_id order by idx) as block from (select *, case when part is distinct from lag(part) over w or island is distinct from lag(island) over w then 1 else 0 end as c from f window w as (partition by video_id order by idx)) y)
+select video_id, count(*) as words, max(block)::bigint as blocks, sum(block)::bigint as block_sum from k group by all""")
 def win_block_segmentation(fx_words):
-    return block_segmentation(fx_words.where("video_id < 60")).groupBy("video_id").agg(F.count("*").alias("words"), F.max("block").alias("blocks"), F.sum("block").alias("block_sum"))
+    return block_segmentation(fx_words).groupBy("video_id").agg(F.count("*").alias("words"), F.max("block").alias("blocks"), F.sum("block").alias("block_sum"))
 
 
 @query("win_silence_complement", "with s as (select video_id, start_ms, end_ms, lag(end_ms, 1, 0) over (partition by video_id order by start_ms) as prev from fx_speech) select video_id, prev::bigint as start_ms, start_ms as end_ms from s where start_ms - prev >= 100 union all select video_id, max(end_ms)::bigint, max(end_ms) + 700 from fx_speech group by video_id")
@@ -97,17 +99,18 @@ def sentence_bounds(words: DataFrame) -> DataFrame:
     """Each word with the start of its sentence and the end, sentences being cut at final punctuation and pauses over 1.2 s."""
     opens = F.coalesce(F.lag(C.sentence_final(F.col("word"))).over(by_idx()) | (F.col("start_ms") - F.lag("end_ms").over(by_idx()) > 1200), F.lit(True))
     closes = F.coalesce(C.sentence_final(F.col("word")) | (F.lead("start_ms").over(by_idx()) - F.col("end_ms") > 1200), F.lit(True))
+    back = Window.partitionBy("video_id").orderBy(F.desc("idx"))
     w = words.withColumns({"_o": F.when(opens, F.col("start_ms")), "_c": F.when(closes | F.lead("idx").over(by_idx()).isNull(), F.col("end_ms"))})
-    return w.withColumns({"sentence_start": F.last("_o", True).over(by_idx().rowsBetween(Window.unboundedPreceding, 0)), "sentence_end": F.first("_c", True).over(by_idx().rowsBetween(0, Window.unboundedFollowing))}).drop("_o", "_c")
+    return w.withColumns({"sentence_start": F.last("_o", True).over(by_idx().rowsBetween(Window.unboundedPreceding, 0)), "sentence_end": F.last("_c", True).over(back.rowsBetween(Window.unboundedPreceding, 0))}).drop("_o", "_c")
 
 
 _BOUNDS = """f as (select *, coalesce(regexp_matches(lag(word) over w, '[.?!]$') or start_ms - lag(end_ms) over w > 1200, true) as o, coalesce(regexp_matches(word, '[.?!]$') or lead(start_ms) over w - end_ms > 1200, true) or lead(idx) over w is null as c from fx_words window w as (partition by video_id order by idx)),
 b as (select *, max(case when o then start_ms end) over (partition by video_id order by idx) as s, min(case when c then end_ms end) over (partition by video_id order by idx rows between current row and unbounded following) as e from f)"""
 
 
-@query("win_sentence_bounds", f"with {_BOUNDS} select video_id, idx, s as sentence_start, e as sentence_end from b where idx % 10 = 0")
+@query("win_sentence_bounds", f"with {_BOUNDS} select video_id, idx, s as sentence_start, e as sentence_end from b")
 def win_sentence_bounds(fx_words):
-    return sentence_bounds(fx_words).where("idx % 10 = 0").select("video_id", "idx", "sentence_start", "sentence_end")
+    return sentence_bounds(fx_words).select("video_id", "idx", "sentence_start", "sentence_end")
 
 
 def sentence_snap(clips: DataFrame, words: DataFrame, back_ms: int = 15_000, ahead_ms: int = 20_000) -> DataFrame:
@@ -150,8 +153,9 @@ def win_gap_fill(fx_samples):
     c = F.col
     v = F.when(c("conf_pct") >= 60, c("x")).when(c("conf_pct") >= 40, c("x") + 10)
     a = fx_samples.withColumns({"v": v, "src": F.when(c("conf_pct") >= 60, "face").when(c("conf_pct") >= 40, "body"), "vt": F.when(c("conf_pct") >= 40, c("t_ms"))})
-    back, on = by_track().rowsBetween(Window.unboundedPreceding, 0), by_track().rowsBetween(0, Window.unboundedFollowing)
-    b = a.withColumns({"pv": F.last("v", True).over(back), "pt": F.last("vt", True).over(back), "nv": F.first("v", True).over(on)})
+    back = by_track().rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy("video_id", "track_id").orderBy(F.desc("t_ms")).rowsBetween(Window.unboundedPreceding, 0)
+    b = a.withColumns({"pv": F.last("v", True).over(back), "pt": F.last("vt", True).over(back), "nv": F.last("v", True).over(on)})
     near = c("t_ms") - c("pt") <= 1500
     return b.select("video_id", "track_id", "t_ms", F.when(c("v").isNotNull(), c("v")).when(c("pt").isNull(), c("nv")).when(near, c("pv")).alias("value"), F.when(c("src").isNotNull(), c("src")).when(c("pt").isNull() & c("nv").isNotNull(), "backfill").when(near, "carry").otherwise("lost").alias("source"))
 
@@ -197,17 +201,18 @@ def win_transition_events(fx_scenes):
     return b.unionByName(cuts).withColumn("duration_ms", F.when(F.col("kind") == "cut", 0).otherwise(600))
 
 
-@query("win_cut_keyframes", """with cuts as (select distinct video_id, (t_ms // 5000 * 5000 + 333)::bigint as t_ms from fx_samples where track_id < 30), k as (select video_id, t_ms, min(x) as x from fx_samples where track_id < 30 group by all)
-select * from (select video_id, t_ms::bigint as t_ms, x, false as inserted from k union all select c.video_id, c.t_ms, (select arg_min(k.x, k.t_ms) from k where k.video_id = c.video_id and k.t_ms >= c.t_ms) as x, true from cuts c where not exists (select 1 from k where k.video_id = c.video_id and abs(k.t_ms - c.t_ms) <= 1)) u where x is not null""")
+@query("win_cut_keyframes", """with cuts as (select distinct video_id, (t_ms // 5000 * 5000 + 333)::bigint as t_ms from fx_samples), k as (select video_id, t_ms, min(x) as x from fx_samples group by all)
+select * from (select video_id, t_ms::bigint as t_ms, x, false as inserted from k union all select c.video_id, c.t_ms, k.x, true from cuts c asof left join k on k.video_id = c.video_id and k.t_ms >= c.t_ms where not exists (select 1 from k where k.video_id = c.video_id and k.t_ms in (c.t_ms - 1, c.t_ms, c.t_ms + 1))) u where x is not null""")
 def win_cut_keyframes(fx_samples):
     """At each cut a copy of the next frame, unless a frame is within 1 ms."""
-    s = fx_samples.where("track_id < 30")
+    s = fx_samples
     k = s.groupBy("video_id", "t_ms").agg(F.min("x").alias("x")).withColumn("inserted", F.lit(False))
     cuts = s.select("video_id", (F.floor(F.col("t_ms") / 5000) * 5000 + 333).cast("long").alias("t_ms")).distinct()
     both = k.unionByName(cuts.withColumns({"x": F.lit(None).cast("long"), "inserted": F.lit(True)}))
     w = Window.partitionBy("video_id").orderBy("t_ms", F.desc("inserted"))
+    back = Window.partitionBy("video_id").orderBy(F.desc("t_ms"), "inserted").rowsBetween(Window.unboundedPreceding, 0)
     near = F.least(F.col("t_ms") - F.lag(F.when(~F.col("inserted"), F.col("t_ms"))).over(w), F.lead(F.when(~F.col("inserted"), F.col("t_ms"))).over(w) - F.col("t_ms"))
-    filled = both.withColumns({"_near": near, "x": F.when(F.col("inserted"), F.first("x", True).over(w.rowsBetween(0, Window.unboundedFollowing))).otherwise(F.col("x"))})
+    filled = both.withColumns({"_near": near, "x": F.when(F.col("inserted"), F.last("x", True).over(back)).otherwise(F.col("x"))})
     return filled.where("x is not null and not (inserted and coalesce(_near, 99) <= 1)").select("video_id", "t_ms", "x", "inserted")
 
 
@@ -231,9 +236,9 @@ def chunk_words(words: DataFrame, size: int) -> DataFrame:
 _CHUNK = "s as (select *, sum(case when regexp_matches(p, '[.?!]$') or p is null then 1 else 0 end) over (partition by video_id order by idx) as sentence from (select *, lag(word) over (partition by video_id order by idx) as p from fx_words) x), k as (select *, ((row_number() over (partition by video_id, sentence order by idx) - 1) // 4)::bigint as part from s)"
 
 
-@query("win_chunk_words", f"with {_CHUNK} select video_id, sentence::bigint as sentence, part, string_agg(word, ' ' order by idx) as cue, count(*) as n from k where video_id < 300 group by all")
+@query("win_chunk_words", f"with {_CHUNK} select video_id, sentence::bigint as sentence, part, string_agg(word, ' ' order by idx) as cue, count(*) as n from k group by all")
 def win_chunk_words(fx_words):
-    k = chunk_words(fx_words.where("video_id < 300"), 4)
+    k = chunk_words(fx_words, 4)
     cue = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]), " ")
     return k.groupBy("video_id", "sentence", "part").agg(cue.alias("cue"), F.count("*").alias("n"))
 

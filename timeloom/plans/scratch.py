@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one is set on a single machine; a cluster
+    must name one, since its executors don't share local folders."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="timeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -31,6 +34,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_text(df: DataFrame, label: str, by: str) -> DataFrame:
+    """Write the column ``value`` as text, a folder per ``by``, in the shared folder, and read it back with the column ``by``.
+    Records end in a control character, so that they may hold line feeds."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.option("lineSep", "\x1e").partitionBy(by).text(path)
+    return spark.read.option("lineSep", "\x1e").schema(f"value string, {by} long").text(path)
+
+
+def listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``path, length, modificationTime`` of the files below ``path`` whose name fits the pattern; their content isn't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "length", "modificationTime")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While it holds, Arrow batches to and from Python have at most ``rows`` rows: of long texts the default of 10,000

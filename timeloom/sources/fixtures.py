@@ -47,22 +47,22 @@ FIXTURES: dict[str, tuple[str, str]] = {
       select *, sum(case when start_ms - prev < 300 then 0 else 1 end) over (partition by video_id order by idx) as island from (
         select *, lag(end_ms, 1, -9999) over (partition by video_id order by idx) as prev from fx_words) a) b group by video_id, island"""),
     "fx_scenes": _both("""select video_id, row_number() over (partition by video_id order by start_ms) - 1 as scene_idx, start_ms, coalesce(lead(start_ms) over (partition by video_id order by start_ms), last_ms) as end_ms from (
-      select video_id, case when idx = 0 then 0 else start_ms end as start_ms, max(end_ms) over (partition by video_id) as last_ms, idx from fx_words) a
-      where video_id % 10 <> 0 and (idx = 0 or (video_id * 31 + idx) % 23 = 0)"""),
-    "fx_samples": _both("""select * from (select user_id % 15 as video_id, user_id as track_id, event_id, event_type,
+      select video_id, case when idx = 0 then 0 else start_ms end as start_ms, max(end_ms) over (partition by video_id) as last_ms, idx, count(*) over (partition by video_id) as words from fx_words) a
+      where words >= 30 and (idx = 0 or (video_id * 31 + idx) % 23 = 0)"""),
+    "fx_samples": _both("""select * from (select DIV(user_id; 10) as video_id, user_id as track_id, event_id, event_type,
         500 * (row_number() over (partition by user_id order by ts, event_id) - 1) as t_ms, cast(floor(value * 3) as bigint) as x, event_id % 300 as y,
         60 + event_id % 400 as w, 120 + event_id % 700 as h, 20 + event_id % 80 as conf_pct from events) a where event_type <> 'error'"""),
-    "fx_clips": _both("""select video_id, row_number() over (partition by video_id order by start_ms) as clip, start_ms, end_ms, text, word_count from fx_segments where seg_idx % 5 = 1 and end_ms - start_ms >= 2000"""),
+    "fx_clips": _both("""select video_id, DIV(seg_idx; 5) + 1 as clip, min(start_ms) as start_ms, max(end_ms) as end_ms, STRJOIN(text; seg_idx) as text, cast(sum(word_count) as bigint) as word_count from fx_segments group by video_id, DIV(seg_idx; 5) + 1"""),
     "fx_candidates": _both("""select video_id, cand, 'T' || cast((video_id + cand) % 3 as string) as topic_id, start_ms, end_ms, text, word_count,
         (video_id * 37 + cand * 53) % 100 as score, 50 + (video_id * 11 + cand * 29) % 50 as retention, 1 + (video_id + cand) % 5 as standalone, 40 + (video_id * 3 + cand * 17) % 60 as boundary from (
       select video_id, cand, min(start_ms) as start_ms, max(end_ms) as end_ms, STRJOIN(text; seg_idx) as text, sum(word_count) as word_count from (
         select *, DIV(seg_idx; 4) as cand from fx_segments union all select *, DIV(seg_idx; 4) - 1 as cand from fx_segments where seg_idx >= 4) a
-      where cand < 12 group by video_id, cand) b"""),
+      group by video_id, cand) b"""),
     "fx_progress": (
-        """select event_id as seq, ts as emitted_at, user_id as job, element_at(array(STAGES), cast(event_id % 20 + 1 as int)) as stage, case event_type when 'view' then 'running' when 'click' then 'complete' when 'signup' then 'started' when 'purchase' then 'skipped' else 'error' end as status, event_id % 101 as percent from events""".replace("STAGES", ", ".join(f"'{s}'" for s in STAGE_IDS)),
-        """select event_id as seq, ts as emitted_at, user_id as job, list_extract(STAGES, event_id % 20 + 1) as stage, case event_type when 'view' then 'running' when 'click' then 'complete' when 'signup' then 'started' when 'purchase' then 'skipped' else 'error' end as status, event_id % 101 as percent from events""".replace("STAGES", _PROGRESS),
+        """select event_id as seq, ts as emitted_at, user_id as job, case when event_id % 23 = 0 then 'pipeline' else element_at(array(STAGES), cast(event_id % 20 + 1 as int)) end as stage, case event_type when 'view' then 'running' when 'click' then 'complete' when 'signup' then 'started' when 'purchase' then 'skipped' else 'error' end as status, case when event_id % 11 <> 0 then event_id % 101 end as percent from events""".replace("STAGES", ", ".join(f"'{s}'" for s in STAGE_IDS)),
+        """select event_id as seq, ts as emitted_at, user_id as job, case when event_id % 23 = 0 then 'pipeline' else list_extract(STAGES, event_id % 20 + 1) end as stage, case event_type when 'view' then 'running' when 'click' then 'complete' when 'signup' then 'started' when 'purchase' then 'skipped' else 'error' end as status, case when event_id % 11 <> 0 then event_id % 101 end as percent from events""".replace("STAGES", _PROGRESS),
     ),
-    "fx_lines": _both("""select seq, emitted_at, job, case when status = 'error' then 'Error: stage ' || stage || ' failed' else '{"type":"progress","jobId":"' || cast(job as string) || '","stage":"' || stage || '","status":"' || status || '","percent":' || cast(percent as string) || '}' end as line from fx_progress"""),
+    "fx_lines": _both("""select seq, emitted_at, job, case when status = 'error' then 'Error: stage ' || stage || ' failed' else '{"type":"progress","jobId":"' || cast(job as string) || '","stage":"' || stage || '","status":"' || status || '","percent":' || coalesce(cast(percent as string), 'null') || '}' end as line from fx_progress"""),
     "fx_replies": _both("""select video_id, case when cand % 11 = 10 then 'Sorry, no clips.' else 'Here you go: ```json {"start": ' || cast(case when cand % 5 = 4 then end_ms else start_ms end as string) || ', "end": ' || cast(case when cand % 5 = 4 then start_ms else end_ms end as string) || ', "score": ' || case when cand % 7 = 6 then '"high"' else cast(score as string) end || '}``` done' end as raw, cand from fx_candidates"""),
     "fx_probe": _both("""select p_partkey as video_id, '{"streams":[' || case when p_partkey % 6 = 0 then '' when p_partkey % 2 = 0 then '{"codec_type":"audio","codec_name":"aac"},' else '' end || '{"codec_type":"video","codec_name":"h264","width":' || cast(640 + p_size * 16 as string) || ',"avg_frame_rate":"' || case p_partkey % 3 when 0 then '30000/1001' when 1 then '25/1' else '0/0' end || '"}' || case when p_partkey % 6 <> 0 and p_partkey % 2 = 1 then ',{"codec_type":"audio","codec_name":"aac"}' else '' end || '],"format":{"duration":' || cast(p_size as string) || '}}' as json from part"""),
     "fx_assets": _both("""select 'uploads/' || cast(doc_id % 40 as string) || '/' || lang || '_' || cast(doc_id as string) || case doc_id % 4 when 0 then '.mp4' when 1 then '.mp3' when 2 then '.json' else '.png' end as path, doc_id % 40 as project, n_chars as length, doc_id * 1000 as mtime from documents"""),

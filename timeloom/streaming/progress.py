@@ -35,49 +35,119 @@ def ordinal(stage):
 _ORD = "list_position([" + ", ".join(f"'{s}'" for s in STAGE_IDS) + "], stage)"
 
 
+PIPELINE = "pipeline"
+
+
+def stage_history(events: DataFrame) -> DataFrame:
+    """``job, seq, o, s, state, percent``: after each event of a job, each of the twenty stages with its state and percent.
+
+    An event of a stage completes every earlier one. Its own stage is complete, running or failed by the event's status
+    (other statuses leave it); a stage's percent never falls, and is 100 once complete. ``pipeline`` is no stage. Events
+    become twenty short rows each, in windows over a stage of a job.
+    """
+    own = F.when(F.col("status") == "complete", "complete").when(F.col("status").isin("started", "running"), "running").when(F.col("status").isin("failed", "error"), "failed")
+    stages = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i + 1).alias("o")) for i, s in enumerate(STAGE_IDS)])
+    e = events.select("job", "seq", ordinal(F.col("stage")).alias("at"), own.alias("own"), "percent", F.explode(stages).alias("x")).select("job", "seq", "at", "own", "percent", "x.*")
+    news = F.when(F.col("o") < F.col("at"), "complete").when(F.col("o") == F.col("at"), F.col("own"))
+    e = e.withColumn("news", news)
+    w = Window.partitionBy("job", "o").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    gain = F.when(F.col("news") == "complete", 100).when(F.col("news") == "running", F.coalesce("percent", F.lit(0))).otherwise(0)
+    return e.select("job", "seq", "o", "s", F.coalesce(F.last("news", True).over(w), F.lit("pending")).alias("state"), F.max(gain).over(w).alias("percent"))
+
+
 def stage_states(events: DataFrame) -> DataFrame:
-    """``job, stage, state``: a stage's last status, but complete once a later stage has reported after it. Job by job there
-    are twenty stages at most, so the window is over stage rows, not events."""
-    last = events.groupBy("job", "stage").agg(F.max("seq").alias("seq"), F.max_by("status", "seq").alias("status")).withColumn("o", ordinal(F.col("stage")))
-    later = F.max("seq").over(Window.partitionBy("job").orderBy(F.desc("o")).rowsBetween(Window.unboundedPreceding, -1))
-    return last.select("job", "stage", F.when(F.coalesce(later > F.col("seq"), F.lit(False)), "complete").otherwise(F.col("status")).alias("state"))
+    """``job, stage, state, percent`` of each of the twenty stages after the last event (see ``stage_history``)."""
+    last = stage_history(events).groupBy("job", F.col("s").alias("stage")).agg(F.max_by(F.struct("state", "percent"), "seq").alias("x"))
+    return last.select("job", "stage", "x.state", "x.percent")
 
 
-@query("stream_stage_state", f"with l as (select job, stage, max(seq) as seq, arg_max(status, seq) as status, {_ORD} as o from fx_progress where status <> 'error' group by all) select job, stage, case when coalesce(max(seq) over (partition by job order by o desc rows between unbounded preceding and 1 preceding) > seq, false) then 'complete' else status end as state from l")
-def stream_stage_state(fx_progress):
-    return stage_states(fx_progress.where("status <> 'error'"))
+_STAGE = f"""ev as (select job, seq, {_ORD} as place, case when status = 'complete' then 'complete' when status in ('started', 'running') then 'running' when status in ('failed', 'error') then 'failed' end as own, percent from fx_progress),
+ex as (select ev.*, d.stage as s, d.o + 1 as o, case when d.o + 1 < place then 'complete' when d.o + 1 = place then own end as news from ev cross join (select unnest([{", ".join(f"'{s}'" for s in STAGE_IDS)}]) as stage, unnest(range(20)) as o) d),
+h as (select job, seq, o, s, coalesce(last_value(news ignore nulls) over w, 'pending') as state, max(case when news = 'complete' then 100 when news = 'running' then coalesce(percent, 0) else 0 end) over w as percent from ex window w as (partition by job, o order by seq))"""
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """``job, percent, status, stage``: percent never falls; the last event's status counts, an error as failed."""
-    status = F.max_by("status", "seq")
-    return events.groupBy("job").agg(F.max("percent").alias("percent"), F.when(status == "error", "failed").otherwise(status).alias("status"), F.max_by("stage", "seq").alias("stage"))
+@query("stream_stage_state", f"with {_STAGE} select job, s as stage, arg_max(state, seq) as state, arg_max(percent, seq)::int as percent from h group by all")
+def stream_stage_state(fx_progress):
+    return stage_states(fx_progress)
 
 
-@query("stream_status_override", "select job, max(percent) as percent, case arg_max(status, seq) when 'error' then 'failed' else arg_max(status, seq) end as status, arg_max(stage, seq) as stage from fx_progress group by all")
+def job_states(events: DataFrame) -> DataFrame:
+    """``job, percent, status, stage`` after the last event: the stage it named; a percent that never falls, from the events or,
+    where they have none, from the share of complete stages; a status that only events of the ``pipeline`` itself set to
+    running or complete, and any failure to failed (idle before that)."""
+    done = stage_history(events).groupBy("job", "seq").agg(F.floor(F.count(F.when(F.col("state") == "complete", 1)) * 100 / len(STAGE_IDS)).alias("done"))
+    whole = F.col("stage") == PIPELINE
+    status = F.when(whole & (F.col("status") == "complete"), "complete").when(whole & F.col("status").isin("started", "running"), "running").when(F.col("status").isin("failed", "error"), "failed")
+    e = events.select("job", "seq", "stage", "percent", status.alias("to")).join(done, ["job", "seq"])
+    agg = e.groupBy("job").agg(F.max(F.coalesce("percent", "done")).alias("percent"), F.max_by("to", F.when(F.col("to").isNotNull(), F.col("seq"))).alias("status"), F.max_by("stage", "seq").alias("stage"))
+    return agg.select("job", F.col("percent").cast("long").alias("percent"), F.coalesce("status", F.lit("idle")).alias("status"), "stage")
+
+
+@query("stream_status_override", f"with {_STAGE}, c as (select job, seq, count(*) filter (state = 'complete') * 100 // 20 as done from h group by all), j as (select e.*, c.done, case when stage = 'pipeline' and status = 'complete' then 'complete' when stage = 'pipeline' and status in ('started', 'running') then 'running' when status in ('failed', 'error') then 'failed' end as t from fx_progress e join c using (job, seq)) select job, max(coalesce(percent, done))::bigint as percent, coalesce(arg_max(t, seq) filter (t is not null), 'idle') as status, arg_max(stage, seq) as stage from j group by all")
 def stream_status_override(fx_progress):
     return job_states(fx_progress)
 
 
-def _fold_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    percent, seq, status, stage = state.get if state.exists else (0, -1, "", "")
-    for pdf in batches:
-        percent = max(percent, int(pdf["percent"].max()))
-        last = pdf.loc[pdf["seq"].idxmax()]
-        if last["seq"] > seq:
-            seq, status, stage = int(last["seq"]), last["status"], last["stage"]
-    state.update((percent, seq, status, stage))
-    yield pd.DataFrame({"job": [key[0]], "percent": [percent], "status": ["failed" if status == "error" else status], "stage": [stage]})
+#: Lines of a job that are kept; milliseconds of event time without a line after which a stream forgets a job; how late a line may be.
+LOG_LINES, IDLE_MS, LATE = 80, 24 * 3600 * 1000, "10 minutes"
+_STATE = "job long, percent long, status string, stage string, states array<string>, percents array<long>, log array<string>, error string"
+
+
+def apply_event(state: dict, seq: int, line: str | None, stage: str | None, status: str | None, percent: int | None) -> None:
+    """One event or line of a job on its state, as ``stage_history`` and ``job_states`` have it for tables."""
+    state["seq"] = seq
+    if line is not None:
+        state["log"] = [*state["log"], line][-LOG_LINES:]
+    if line is not None and any(w in line.lower() for w in ("error", "exception")):
+        state["error"] = line.removeprefix("Error: ")
+    if stage is None:
+        return
+    state["stage"], at = stage, STAGE_IDS.index(stage) if stage in STAGE_IDS else -1
+    for i in range(at):
+        state["states"][i], state["percents"][i] = "complete", 100
+    if at >= 0 and status == "complete":
+        state["states"][at], state["percents"][at] = "complete", 100
+    elif at >= 0 and status in ("started", "running"):
+        state["states"][at], state["percents"][at] = "running", max(state["percents"][at], percent or 0)
+    elif at >= 0 and status in ("failed", "error"):
+        state["states"][at] = "failed"
+    if stage == PIPELINE and status in ("complete", "started", "running"):
+        state["status"] = "complete" if status == "complete" else "running"
+    elif status in ("failed", "error"):
+        state["status"] = "failed"
+    done = state["states"].count("complete") * 100 // len(STAGE_IDS)
+    state["percent"] = max(state["percent"], done if percent is None else percent)
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """The same as ``job_states`` over a stream of ``job, seq, stage, status, percent``, updated with every micro-batch."""
-    return events.groupBy("job").applyInPandasWithState(_fold_job, "job long, percent long, status string, stage string", "percent long, seq long, status string, stage string", "update", GroupStateTimeout.NoTimeout)
+def _fold_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    n = len(STAGE_IDS)
+    now = json.loads(state.get[0]) if state.exists else {"seq": -1, "percent": 0, "status": "idle", "stage": None, "states": ["pending"] * n, "percents": [0] * n, "log": [], "error": None}
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    text = lambda v: None if v is None or v != v else v
+    for r in rows.itertuples(index=False):
+        percent = text(r.percent)
+        apply_event(now, int(r.seq), text(r.line), text(r.stage), text(r.status), None if percent is None else int(percent))
+    state.update((json.dumps(now),))
+    state.setTimeoutTimestamp(max(int(rows["emitted_at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
+    yield pd.DataFrame([[key[0], now["percent"], now["status"], now["stage"], now["states"], now["percents"], now["log"], now["error"]]], columns=[c.split(" ")[0] for c in _STATE.split(", ")])
+
+
+def job_state_stream(lines: DataFrame) -> DataFrame:
+    """The state of each job over a stream of ``job, seq, emitted_at, line`` (JSON events, errors and plain log lines), anew after every
+    micro-batch with lines of it: what ``job_states``, ``stage_states`` (two arrays in the order of the stages),
+    ``stream_log_ring`` and ``stream_error_extract`` say of the lines so far. Lines of a job must come in order of ``seq``,
+    within a micro-batch in any. Lines later than LATE go by the watermark, and a job without
+    lines for IDLE_MS of it is forgotten. Lines without progress change the log only."""
+    parsed = parse_lines(lines.withWatermark("emitted_at", LATE)).select("job", "seq", "emitted_at", "line", "stage", "status", F.col("percent").cast("double").alias("percent"))
+    return parsed.groupBy("job").applyInPandasWithState(_fold_job, _STATE, "state string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def completions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Extension: completed stages per hour of event time; late rows go by the watermark, and a stage that is announced again
-    within it counts once."""
+    within it counts once; a table counts every announcement."""
     done = events.where("status = 'complete'").withWatermark("emitted_at", delay)
     if events.isStreaming:
         done = done.dropDuplicatesWithinWatermark(["job", "stage", "status"])
