@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timeloom.llm.decontamination import find_leaks
 from timeloom.llm.language_id import identify, make_dictionaries, training_sample
-from timeloom.llm.line_dedup import drop_repeated_lines
+from timeloom.llm.line_dedup import drop_repeated_lines, line_key, lines_of
 from timeloom.llm.mixing import mix_sources, training_order
 from timeloom.llm.near_dedup import near_duplicates
 from timeloom.plans.scratch import materialise
@@ -20,6 +20,8 @@ from timeloom.plans.scratch import materialise
 BATCH_ROWS = 1000
 #: A document that would lose more than this share of its characters is left to near-dedup whole if it is a copy.
 MOST_DROPPED = 0.5
+#: Likeness of near copies in line dedup, and hash functions of lines by which they meet.
+COPY_LIKENESS, LINE_BANDS = 0.8, 6
 #: Column of row numbers while a stage runs.
 ROW = "_corpus_pipeline_row"
 
@@ -36,15 +38,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, dictionaries).where("not rejected").select(docs.columns)
 
 
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """Keys (``_copy``, see ``text_key``) of the texts of ``docs`` that several rows have, or that are near copies of another:
+    with a Jaccard of COPY_LIKENESS over five-word shingles to a leader of a bucket of texts that share the smallest hash of
+    their lines, by one of LINE_BANDS hash functions. Each text meets two leaders a bucket, whatever its size."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice("_w", i + 1, 5))))
+    lines = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(line_key(x))))
+    t = docs.select(text_key().alias("k"), words.alias("_w"), lines.alias("lines")).select("k", "lines", shingles.alias("shingles"))
+    t = materialise(t.groupBy("k").agg(F.count("*").alias("n"), F.any_value("lines").alias("lines"), F.any_value("shingles").alias("shingles")), "mostly-repeated")
+    bands = F.array(*[F.array_min(F.transform("lines", lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(LINE_BANDS)])
+    b = t.select("k", F.posexplode(bands).alias("band", "hash"))
+    leaders = materialise(b.groupBy("band", "hash").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high"), "leaders")
+    met = b.join(leaders, ["band", "hash"]).select("k", F.explode(F.array("low", "high")).alias("leader")).where("k <> leader").distinct()
+    side = lambda name, key: t.select(F.col("k").alias(key), F.col("shingles").alias(name))
+    both = materialise(met, "meetings").join(side("a", "k"), "k").join(side("b", "leader"), "leader")
+    like = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= COPY_LIKENESS
+    near = both.where(like).select(F.explode(F.array("k", "leader")).alias("k"))
+    return t.where("n > 1").select("k").unionByName(near).distinct().withColumnRenamed("k", "_copy")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that ten or more documents have. All documents stay. Of those that would lose most of their
-    text, the copies and near copies of one another lose nothing here: the next stage keeps one of them, whole."""
+    text, the copies and near copies of one another (``copied_texts``) lose nothing here: the next stage keeps one of them, whole."""
     d = drop_repeated_lines(docs.withColumn("_was", F.char_length("text")), 10, 1)
     mostly = (F.col("n_dropped") > 0) & (F.char_length("kept") < F.col("_was") * (1 - MOST_DROPPED))
-    classes = near_duplicates(materialise(d.where(mostly).select(text_key().alias("doc_id"), "text"), "mostly-repeated"))
-    texts = classes.groupBy("doc_id", "class_id").count()
-    copied = texts.groupBy("class_id").agg(F.sum("count").alias("n")).where("n > 1")
-    copies = materialise(texts.join(copied, "class_id", "left_semi").select(F.col("doc_id").alias("_copy")), "whole-copies")
+    copies = materialise(copied_texts(d.where(mostly)), "whole-copies")
     d = d.join(copies, text_key() == F.col("_copy"), "left")
     text = F.when((F.col("n_dropped") > 0) & ~(mostly & F.col("_copy").isNotNull()), F.col("kept")).otherwise(F.col("text"))
     return d.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
