@@ -47,7 +47,8 @@ def copied_texts(docs: DataFrame) -> DataFrame:
     lines = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(line_key(x))))
     t = docs.select(text_key().alias("k"), words.alias("_w"), lines.alias("lines")).select("k", "lines", shingles.alias("shingles"))
     t = materialise(t.groupBy("k").agg(F.count("*").alias("n"), F.any_value("lines").alias("lines"), F.any_value("shingles").alias("shingles")), "mostly-repeated")
-    bands = F.array(*[F.array_min(F.transform("lines", lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(LINE_BANDS)])
+    smallest = lambda j: F.array_min(F.transform("lines", lambda x: F.xxhash64(x, F.lit(j))))
+    bands = F.array(*map(smallest, range(LINE_BANDS)))
     b = t.select("k", F.posexplode(bands).alias("band", "hash"))
     leaders = materialise(b.groupBy("band", "hash").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high"), "leaders")
     met = b.join(leaders, ["band", "hash"]).select("k", F.explode(F.array("low", "high")).alias("leader")).where("k <> leader").distinct()
