@@ -302,9 +302,10 @@ def _near_duplicates(docs: DataFrame, threshold: float) -> DataFrame:
     sizes = materialise(members.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = materialise(members.join(sizes, ["band", "hash"]), "members")
     keys = texts.select("rep", "first.ka", "first.kb", F.col("first.doc_id").alias("id"))
-    known = _links(members, lambda pairs: _verify(pairs, docs, keys, table), threshold)
+    bodies = _texts_of(members.select("rep").distinct(), docs, keys)
+    known = _links(members, lambda pairs: _verify(pairs, bodies, table), threshold)
     parts = connected_components(known, "a", "b")
-    late = _close(members, parts, docs, keys, table, threshold)
+    late = _close(members, parts, bodies, table, threshold)
     if late is not None:
         parts = connected_components(known.unionByName(late), "a", "b")
     info = texts.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("same", "first", "n_copies", F.coalesce("component", "rep").alias("class"))
@@ -342,7 +343,7 @@ def _links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresho
     return materialise(known.where(F.col("similarity") >= threshold).select("a", "b"), "links")
 
 
-def _close(members: DataFrame, parts: DataFrame, docs: DataFrame, keys: DataFrame, table: np.ndarray, threshold: float) -> DataFrame | None:
+def _close(members: DataFrame, parts: DataFrame, bodies: DataFrame, table: np.ndarray, threshold: float) -> DataFrame | None:
     """Links ``a, b`` between classes within large buckets, None if no such bucket holds two classes.
 
     Buckets of over SPLIT members are dealt anew by further bands of other samples first: of texts that share a passage
@@ -355,8 +356,7 @@ def _close(members: DataFrame, parts: DataFrame, docs: DataFrame, keys: DataFram
     if buckets.isEmpty():
         return None
     open_ = materialise(large.join(buckets, ["band", "hash"]), "open-members")
-    texts = _texts_of(open_.select("rep").distinct(), docs, keys)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = members.sparkSession.sparkContext.broadcast(table)
     huge = open_.where(F.col("n") > SPLIT)
     if not huge.isEmpty():
 
@@ -368,7 +368,7 @@ def _close(members: DataFrame, parts: DataFrame, docs: DataFrame, keys: DataFram
                     out.append(band_hashes(s, w, np.array([0, len(s)]), BANDS * ROWS)[0].tolist())
                 yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(out, pa.list_(pa.int64()))], ["rep", "more"])
 
-        bands = materialise(texts.join(huge.select("rep").distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(more, "rep long, more array<long>"), "more-bands")
+        bands = materialise(bodies.join(huge.select("rep").distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(more, "rep long, more array<long>"), "more-bands")
         dealt = huge.drop("n").join(bands, "rep").select("rep", "class", "band", F.posexplode("more").alias("i", "h"), "hash")
         dealt = materialise(dealt.select("rep", "class", (F.col("band") * 100 + F.col("i") + 100).alias("band"), F.xxhash64("hash", "h").alias("hash")), "dealt-members")
         open_ = open_.where(F.col("n") <= SPLIT).unionByName(dealt.join(mixed(dealt), ["band", "hash"]))
@@ -381,21 +381,21 @@ def _close(members: DataFrame, parts: DataFrame, docs: DataFrame, keys: DataFram
         found = links_between(group.column("text").to_pylist(), classes, group.column("side").to_numpy(), shared.value, threshold) if len(np.unique(classes)) > 1 else []
         return pa.table({"a": pa.array([int(rep[i]) for i, _ in found], pa.int64()), "b": pa.array([int(rep[j]) for _, j in found], pa.int64())})
 
-    met = own.join(texts, "rep").groupBy("band", "hash", "p", "q").applyInArrow(close, "a long, b long")
+    met = own.join(bodies, "rep").groupBy("band", "hash", "p", "q").applyInArrow(close, "a long, b long")
     return materialise(met.distinct(), "late-links")
 
 
 def _texts_of(reps: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rep, text`` of the texts numbered ``rep``: one scan of the documents, of which one row of each such text is shuffled."""
+    """``rep, text`` of the texts numbered ``rep``, which all comparisons read: one scan of the documents and one shuffle of their
+    texts. The wanted keys grow with the documents, so they are merged, not broadcast, at every size."""
     wanted = materialise(keys.join(reps, "rep", "left_semi"), "compared")
     found = docs.where("text is not null").select("doc_id", "text", *[c.alias(k) for k, c in _text_key().items()])
-    found = found.join(wanted, (found["ka"] == wanted["ka"]) & (found["kb"] == wanted["kb"]) & found["doc_id"].eqNullSafe(wanted["id"]))
+    found = found.join(wanted.hint("merge"), (found["ka"] == wanted["ka"]) & (found["kb"] == wanted["kb"]) & found["doc_id"].eqNullSafe(wanted["id"]))
     return materialise(found.select("rep", "text").dropDuplicates(["rep"]), "compared-texts")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, table: np.ndarray) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, table: np.ndarray) -> DataFrame:
     """Similarity of candidate pairs (a, b) of numbered texts."""
-    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, keys)
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     return similarity(both, table)
 
