@@ -34,6 +34,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote, once nothing reads it any more; other tables are left alone."""
+    spark = table.sparkSession
+    own = f"/{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if own in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written_text(df: DataFrame, label: str, by: str) -> DataFrame:
     """Write the column ``value`` as text, a folder per ``by``, in the shared folder, and read it back with the column ``by``.
     Records end in a control character, so that they may hold line feeds."""
