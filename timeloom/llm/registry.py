@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_weighted_minhash": ("near_dedup", None),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
     "op10_wrapper_text": ("html_extract", None),
+    "op11_norm_of_sum_codes": ("vector_codes", "OP11_SQL"),
 }
 
 
