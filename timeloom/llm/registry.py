@@ -17,6 +17,7 @@ _QUERIES = {
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
     "op10_wrapper_text": ("html_extract", None),
     "op11_norm_of_sum_codes": ("vector_codes", "OP11_SQL"),
+    "op12_pair_counts": ("token_alignment", None),
     "op13_boosted_quality": ("quality", None),
 }
 
