@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -27,6 +28,9 @@ REMEMBERED, KEPT_LENGTH, AT_ONCE, AT_ONCE_CHARS = 200_000, 64, 256, 4_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that any library's tables class alike; other chunks go to the model's own library.
 _SETTLED = re.compile("[ -~\n\u00c0-\u024f]*").fullmatch
+#: Chunks that may follow each other in any order; blanks at which a text is cut, and what shows one that isn't such.
+_JOINED = re.compile("[ \n][!-~\u00c0-\u024f]+").fullmatch
+_BLANK, _ODD = re.compile(r"(?<=[!-~\w]) "), re.compile(r" (?<=[^!-~\w] )|^ ").search
 #: Pairs that a task counts before it sends them on, pairs of a hash table at most, and of a part of one that is built in one task about.
 TALLY, MAX_PAIRS, SHARD = 1_000_000, 4_000_000, 65_536
 #: Bits a pair at each level of the hash, and levels at most.
@@ -46,6 +50,7 @@ class Aligned(NamedTuple):
     n_a: int
     n_b: int
     n_groups: int
+    n_links: int
     groups: str
     links: tuple[int, ...]
 
@@ -54,7 +59,7 @@ class Aligner:
     """Tokens of both models for texts, chunk by chunk.
 
     A chunk ends before a blank or line feed that follows a visible character, and between an ASCII letter and a mark
-    such as a full stop. Proved from the files before any text is read: the byte-level model's pattern never takes a
+    such as a full stop. Parts between such blanks are looked up first, chunks only for new parts. Proved from the files before any text is read: the byte-level model's pattern never takes a
     visible character together with white space after it, nor letters with marks; no piece of the other model has a blank after
     another character, a line feed beside any, or such a letter and mark side by side. So tokens never cross those places, and equal chunks have equal tokens. Models
     for which that can't be proved have each text as one chunk.
@@ -88,6 +93,7 @@ class Aligner:
         #: Two generations: when the younger is full it becomes the older, from which what is used again is taken over.
         self.known: dict[str, Aligned | None] = {}
         self.older: dict[str, Aligned | None] = {}
+        self.pieces: dict[str, Aligned | None] = {}
 
     def _merger(self, model: dict):
         """Encoding of one chunk by ``tiktoken``; None where it can't be proved the same."""
@@ -115,23 +121,52 @@ class Aligner:
             cut += r"|(?<=[A-Za-z])(?=[.,;:!?])"
         return re.compile(cut).split
 
-    def chunks(self, text: str) -> list[str]:
-        return self.split(" " + text) if self.split else [" " + text]
-
-    def _aligned(self, chunks: list[str], of_a: list[list[int]], of_b: list[list[int]]) -> list[Aligned | None]:
+    def parts(self, text: str) -> list[str]:
+        """A text cut at blanks where chunks may end; each part stands for a blank and itself."""
+        if not self.split:
+            return [text]
+        return _BLANK.split(text) if _ODD(text) else text.split(" ")
+
+    def _encoded(self, chunks: list[str]) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks in another order, their bytes, all tokens of A and of B, and how many each chunk has.
+
+        Chunks that may stand side by side in a text are encoded as one text; its tokens are dealt to chunks by their bytes.
+        """
+        joined = [c for c in chunks if _JOINED(c)] if self.quick else []
+        single = list(set(chunks).difference(joined)) if joined else chunks
+        settled = [c for c in single if self.quick and _SETTLED(c)]
+        single = settled + ([c for c in single if not _SETTLED(c)] if self.quick else single)
+        of_a = [self.quick(c) for c in settled] + ([e.ids for e in self.a.encode_batch_fast(single[len(settled) :], add_special_tokens=False)] if len(single) > len(settled) else [])
+        if self.split:  # a line feed before keeps the model's own blank away
+            of_b = [ids[len(self.lead) :] for ids in self.b.encode(["\n" + c for c in single], num_threads=1)] if single else []
+        else:
+            of_b = self.b.encode([c[1:] for c in single], num_threads=1)
+        data = [c.encode("utf-8", "surrogatepass") for c in joined]
+        until = np.cumsum([0, *map(len, data)])
+        out = []
+        for ids, of, size in ((self.quick("".join(joined)) if joined else [], of_a, self.a_size), (self.b.encode("\n" + "".join(joined), num_threads=1)[len(self.lead) :] if joined else [], of_b, self.b_size)):
+            ids = np.array(ids, np.int64)
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            at = np.searchsorted(ends, until)
+            if len(ends) <= at[-1] or not np.array_equal(ends[at], until):
+                raise ValueError("tokens cross the ends of chunks")
+            out.append((np.concatenate([ids, np.fromiter(chain.from_iterable(of), np.int64)]), np.concatenate([np.diff(at), np.fromiter(map(len, of), np.int64, len(of))])))
+        (a, n_a), (b, n_b) = out
+        return joined + single, data + [c.encode("utf-8", "surrogatepass") for c in single], a, b, n_a, n_b
+
+    def _aligned(self, data: list[bytes], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[Aligned | None]:
         """All chunks at once; None where the tokens' bytes differ from the chunk's."""
-        data = [c.encode("utf-8", "surrogatepass") for c in chunks]
-        n_a, n_b, size = (np.fromiter(map(len, x), np.int64, len(chunks)) for x in (of_a, of_b, data))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (of_a, of_b))
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        until = np.cumsum(size)
+        until = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
         last = lambda ends, n: np.concatenate([[0], ends])[np.cumsum(n)]
         whole = b"".join(data)
         if not (np.array_equal(last(ends_a, n_a), until) and np.array_equal(last(ends_b, n_b), until) and b"".join([self.a_bytes[t] for t in a.tolist()]) == whole and b"".join([self.b_bytes[t] for t in b.tolist()]) == whole):
-            right = [b"".join([self.a_bytes.get(t, b"") for t in x]) == d == b"".join([self.b_bytes[t] for t in y]) for d, x, y in zip(data, of_a, of_b)]
-            good = iter(self._aligned(*([v for v, r in zip(x, right) if r] for x in (chunks, of_a, of_b))))
-            return [next(good) if r else None for r in right]
+            same = lambda d, x, y: b"".join([self.a_bytes.get(t, b"") for t in x]) == d == b"".join([self.b_bytes[t] for t in y])
+            right = [same(d, a[i : i + n].tolist(), b[j : j + m].tolist()) for d, i, n, j, m in zip(data, first_a, n_a, first_b, n_b)]
+            r = np.array(right)
+            good = iter(self._aligned([d for d, ok in zip(data, right) if ok], a[np.repeat(r, n_a)], b[np.repeat(r, n_b)], n_a[r], n_b[r]))
+            return [next(good) if ok else None for ok in right]
         # tokens that end where one of the other model does close a group
         close_a, close_b = (np.isin(x, y, assume_unique=True) for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
         # tokens of B that overlap each token of A: from the one that holds its first byte to the one that holds its last
@@ -152,33 +187,49 @@ class Aligner:
         groups = np.concatenate([[0], np.cumsum(close_a)])
         out = []
         for fa, fb, na, nb, g, h, x, y in zip(*(v.tolist() for v in (first_a, first_b, n_a, n_b, groups[first_a], groups[first_a + n_a], of_chunk[first_a], of_chunk[first_a + n_a]))):
-            out.append(Aligned(na, nb, h - g, "".join(names[fa + fb : fa + fb + na + nb]), tuple(links[x:y])))
+            out.append(Aligned(na, nb, h - g, y - x, "".join(names[fa + fb : fa + fb + na + nb]), tuple(links[x:y])))
         return out
 
+    def _chunks_of(self, chunks: list[str]) -> dict[str, Aligned | None]:
+        new = [c for c in set(chunks) if c not in self.pieces]
+        if new:
+            if len(self.pieces) > REMEMBERED:
+                self.pieces, new = {}, list(set(chunks))
+            order, data, *tokens = self._encoded(new)
+            self.pieces.update(zip(order, self._aligned(data, *tokens)))
+        return self.pieces
+
     def align(self, texts: list[str]) -> tuple[list[list[str]], dict[str, Aligned | None]]:
-        """The texts' chunks, and the alignment of each of them."""
-        cut = [self.chunks(t) for t in texts]
-        wanted = set().union(*cut)
+        """The texts' parts, and the alignment of each of them."""
+        gc.disable()  # what is made here holds no cycles, and the collector would walk all that is kept again and again
+        cut = [self.parts(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        found = {}
-        new, known, older, none = [], self.known, self.older, ()
-        for c in wanted:
-            v = known.get(c, none)
-            v = older.get(c, none) if v is none else v
+        found, new, known, older, none = {}, [], self.known, self.older, ()
+        for p in set().union(*cut):
+            v = known.get(p, none)
             if v is none:
-                new.append(c)
+                v = older.get(p, none)
+                if v is none:
+                    new.append(p)
+                    continue
+                known[p] = v
+            found[p] = v
+        chunks = [self.split(" " + p) if self.split else [" " + p] for p in new]
+        of = self._chunks_of(list(chain.from_iterable(chunks)))
+        for p, own in zip(new, chunks):
+            if len(own) == 1:
+                v = of[own[0]]
             else:
-                found[c] = v
-        plain = [c for c in new if self.quick and _SETTLED(c)]
-        other = [c for c in new if not (self.quick and _SETTLED(c))]
-        of_a = [self.quick(c) for c in plain] + ([e.ids for e in self.a.encode_batch_fast(other, add_special_tokens=False)] if other else [])
-        if self.split:  # a line feed before keeps the model's own blank away
-            of_b = [ids[len(self.lead) :] for ids in self.b.encode(["\n" + c for c in plain + other], num_threads=1)]
-        else:
-            of_b = self.b.encode([c[1:] for c in plain + other], num_threads=1)
-        found.update(zip(plain + other, self._aligned(plain + other, of_a, of_b)))
-        self.known.update((c, v) for c, v in found.items() if len(c) <= KEPT_LENGTH)
+                each = [of[c] for c in own]
+                v = None if None in each else Aligned(*(sum(x) for x in list(zip(*each))[:4]), "".join([x.groups for x in each]), tuple(chain.from_iterable([x.links for x in each])))
+            found[p] = v
+            if len(p) <= KEPT_LENGTH:
+                known[p] = v
+        if any(len(p) > 4 * KEPT_LENGTH for p in new):  # long chunks are held for these texts only
+            self.pieces = {}
+        gc.freeze()
+        gc.enable()
         return cut, found
 
 
@@ -291,10 +342,10 @@ def _tally(a_file: str, b_file: str):
         for b in batches:
             for _, texts in stretches(b.column(0).to_pylist()):
                 cut, known = of.align(texts)
-                for text, chunks in zip(texts, cut):
-                    own = set(chunks)
-                    if text and all(known[c] is not None for c in own):
-                        counts.update(set().union(*(known[c].links for c in own)))
+                for text, parts in zip(texts, cut):
+                    own = [known[p] for p in set(parts)]
+                    if text and None not in own:
+                        counts.update(set().union(*[v[5] for v in own]))
                 if len(counts) > TALLY:
                     yield sent(counts)
                     counts = Counter()
@@ -367,21 +418,17 @@ def _look_up(a_file: str, b_file: str, text: str, table: PairCounts, more: bool)
                 both = [np.concatenate([[0], x.cumsum()])[ends] for x in (count, best)]
                 sums.update(zip(new, zip(np.diff(both[0]).tolist(), np.diff(both[1]).tolist())))
                 rows = []
-                for t, chunks in zip(texts, cut):
-                    own = Counter(chunks)
-                    if not t or any(known[c] is None for c in own):
+                for t, parts in zip(texts, cut):
+                    own = [known[p] for p in parts]
+                    if not t or None in own:
                         rows.append((0, 0, 0, 0, 0, 0, ""))
                         continue
-                    best_sum = sum(sums[c][1] * n for c, n in own.items())
-                    count_sum = sum(sums[c][0] * n for c, n in own.items())
+                    counted, best_sum = map(sum, zip(*[sums[p] for p in parts]))
                     if more:
-                        rows.append((0, 0, 0, 0, best_sum, count_sum, ""))
+                        rows.append((0, 0, 0, 0, best_sum, counted, ""))
                         continue
-                    parts = [(known[c], n) for c, n in own.items()]
-                    rows.append((
-                        sum(v.n_a * n for v, n in parts), sum(v.n_b * n for v, n in parts), sum(v.n_groups * n for v, n in parts), sum(len(v.links) * n for v, n in parts), best_sum, count_sum,
-                        "".join([known[c].groups for c in chunks])[:-1],
-                    ))
+                    n_a, n_b, n_groups, n_links, groups, _ = zip(*own)
+                    rows.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links), best_sum, counted, "".join(groups)[:-1]))
                 if len(sums) > REMEMBERED:
                     sums = {}
                 found = dict(zip((n for n, _ in _FOUND), zip(*rows)))
