@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
@@ -116,13 +117,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 MAX_SENTENCES = 2000
 
 
+#: Possessive and never begun inside a run, so that Java's matcher neither recurses nor goes over a long run from each of its characters.
 #: Replacements, one after another, that turn a text into words and marks: comment leaders, parts and ends of sentences, line ends,
 #: numbers, the rest; and the last one, by which marks that stand together become an end.
 MARKS = (
-    (r"(?m)^[ \t]*(?:[;!]+|dnl\b|rem\b)", " "), (r"[;:]+(?:[ \t\r]+\n?|\n)", " ~ "), (r"[.!?;:]+[ \t\r]+", " | "), (r"[.!?;:]+\n", " | ~ "), (r"\n", " ~ "),
-    (r"[0-9]+([.][0-9]+)*", " # "), (r"[^a-z#|~]+", " "),
+    (r"(?m)^[ \t]*+(?:[;!]++|dnl\b|rem\b)", " "), (r"(?<![;:])[;:]++(?:[ \t\r]++\n?|\n)", " ~ "), (r"(?<![.!?;:])[.!?;:]++[ \t\r]++", " | "), (r"(?<![.!?;:])[.!?;:]++\n", " | ~ "), (r"\n", " ~ "),
+    (r"[0-9]++(?:[.][0-9]++)*+", " # "), (r"[^a-z#|~]++", " "),
 )
-TOGETHER = (r" *(?:[|~] *){2,}", " | ")
+TOGETHER = (r" *+(?:[|~] *+){2,}+", " | ")
 
 
 def marked_words(text: Column) -> Column:
@@ -185,14 +187,16 @@ def op6_license_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same marks; each stands twice, so that neighbouring sentences can both have one on either side."""
+    """The same marks; each stands twice, so that neighbouring sentences can both have one on either side. DuckDB's matcher
+    is linear by itself and knows neither possessive repeats nor looking back."""
+    bare = lambda p: re.sub(r"([*+}])[+]", r"\1", re.sub(r"\(\?<![^)]*\)", "", p))
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(s)}, {q(i)})" for s, i in SENTENCES.items())
     rules = ", ".join(f"({n}, {q(name)}, {q('|' + '|'.join(seq) + '|')})" for n, (name, seq) in enumerate(RULES))
     marked = f"translate(chr(10) || coalesce(text, '') || chr(10), {q(UPPER + '#|~')}, {q(LOWER + '   ')})"
     for pattern, mark in MARKS:
-        marked = f"regexp_replace({marked}, {q(pattern)}, {q(mark)}, 'g')"
-    marked = f"regexp_replace({marked}, {q(TOGETHER[0])}, {q(TOGETHER[1])}, 'g')"
+        marked = f"regexp_replace({marked}, {q(bare(pattern))}, {q(mark)}, 'g')"
+    marked = f"regexp_replace({marked}, {q(bare(TOGETHER[0]))}, {q(TOGETHER[1])}, 'g')"
     any_of = "|".join(s.replace(" ", "(?: ~ ~)? ") for s in sorted(SENTENCES, key=lambda s: (-len(s), s)))
     return f"""
 with known(s, id) as (values {known}), rules(n, name, seq) as (values {rules}),
