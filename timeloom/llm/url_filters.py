@@ -60,7 +60,7 @@ def resolved(target: Column, base: Column) -> Column:
 
 def _value(tag: Column, name: str) -> Column:
     """An attribute's value, quoted or not, with the character references that URLs hold decoded; null without it."""
-    found = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^"'\s>]+)""", 1)
+    found = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*+=\s*+("[^"]*+"|'[^']*+'|[^"'\s>]++)""", 1)
     plain = F.btrim(F.regexp_replace(found, r"""^["']|["']$""", ""))
     plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)&(?:amp|#38|#x26);", "&"), r"(?i)&(?:#47|#x2f|sol);", "/")
     return F.when(found != "", plain)
@@ -92,9 +92,10 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     """
     # explode of a single value keeps each step computed once: filters aren't pushed through it
     once = lambda c: F.explode(F.array(c))
-    t = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from"), once(F.regexp_replace(html, r"(?is)<!--.*?(?:-->|$)|<(script|style|template|noscript|textarea)\b.*?(?:</\1\s*>|$)", "")).alias("html"))
-    tags = F.regexp_extract_all("html", F.lit(r"""(?is)<(?:link|meta|base)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
-    t = t.select("from", once(tags).alias("tags"))
+    t = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("from"), once(F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|textarea)\b.*?(?:</\1\s*+>|\z)", "")).alias("html"))
+    # possessive throughout, and what isn't closed is taken to the end: Java's matcher neither recurses nor starts over from each tag
+    tags = F.regexp_extract_all(F.concat("html", F.lit("\n")), F.lit(r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""), F.lit(0))
+    t = t.select("from", once(F.filter(tags, lambda x: x.endswith(">"))).alias("tags"))
     base = F.try_element_at(F.filter("tags", lambda x: x.rlike(r"(?i)^<base\b")), F.lit(1))
     wanted = F.filter("tags", lambda x: _value(x, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)") | _value(x, "http-equiv").rlike(r"(?i)^refresh$"))
     t = t.select("from", F.coalesce(resolved(_value(base, "href"), F.col("from")), "from").alias("base"), F.explode(wanted).alias("tag"))
