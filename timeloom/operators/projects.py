@@ -144,13 +144,6 @@ def set_tag_union(documents):
     return documents.select("doc_id", F.array_join(F.slice(unique, 1, 16), " ").alias("tags"))
 
 
-@query("gen_music_choice", "select video_id, clip, (('0x' || left(md5(video_id::varchar || ':' || clip::varchar), 8))::bigint % case when video_id % 2 = 0 then 3 else 7 end)::bigint as track from fx_clips")
-def gen_music_choice(fx_clips):
-    """A track from the niche's pool by a stable hash of the clip."""
-    pool = F.when(F.col("video_id") % 2 == 0, 3).otherwise(7)
-    return fx_clips.select("video_id", "clip", C.stable_choice(F.concat_ws(":", "video_id", "clip"), pool).alias("track"))
-
-
 @query("score_metadata", "select video_id, cand, (case when length(text) >= 200 then 100 else 60 end + case when word_count >= 30 then 90 else 50 end + case when regexp_matches(text, '[?!]') then 95 else 70 end + case when score >= 50 then 100 else 40 end + case when retention >= 70 then 85 else 65 end) / 5.0 as quality from fx_candidates")
 def score_metadata(fx_candidates):
     """Threshold points for five aspects, and their mean."""

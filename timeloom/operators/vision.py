@@ -37,51 +37,6 @@ def win_short_stabilize(fx_scenes):
     return stabilize_short(d, ["video_id"], "scene_idx", "label", "m", 9000)
 
 
-def breach_hysteresis(df: DataFrame, keys: list[str], order: str, value: str, dead: int, patience: int) -> DataFrame:
-    """A camera position that is taken anew only after ``patience`` consecutive rows beyond ``dead`` from it."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("long").alias("v"))))
-    kind = "struct<pos:bigint,n:int,out:array<bigint>>"
-
-    def step(s, r):
-        pos = F.coalesce(s["pos"], r["v"])
-        n = F.when(F.abs(r["v"] - pos) > dead, s["n"] + 1).otherwise(0)
-        move = n >= patience
-        now = F.when(move, r["v"]).otherwise(pos)
-        return F.struct(now.alias("pos"), F.when(move, 0).otherwise(n).alias("n"), F.array_append(s["out"], now).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(None).cast("long").alias("pos"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("out")).cast(kind)
-    g = df.groupBy(*keys).agg(rows.alias("r")).withColumn("s", F.aggregate("r", start, step, lambda s: s["out"]))
-    return g.select(*keys, F.explode(F.arrays_zip("r", "s")).alias("z")).select(*keys, F.col("z.r.o").alias(order), F.col("z.s").alias("camera"))
-
-
-@query("win_breach_hysteresis", """with recursive o as (select video_id, track_id, t_ms, x, row_number() over (partition by video_id, track_id order by t_ms) as n from fx_samples),
-g as (select video_id, track_id, n, x as pos, 0 as k from o where n = 1 union all select g.video_id, g.track_id, o.n, case when y.b >= 3 then o.x else g.pos end, case when y.b >= 3 then 0 else y.b end from g join o on o.video_id = g.video_id and o.track_id = g.track_id and o.n = g.n + 1, lateral (select case when abs(o.x - g.pos) > 80 then g.k + 1 else 0 end as b) y)
-select o.video_id, o.track_id, o.t_ms, g.pos as camera from o join g using (video_id, track_id, n)""")
-def win_breach_hysteresis(fx_samples):
-    return breach_hysteresis(fx_samples, ["video_id", "track_id"], "t_ms", "x", 80, 3)
-
-
-@query("win_subject_switch", """with recursive f as (select video_id, t_ms, arg_max(track_id, (w * h, -track_id)) as big, list(track_id) as seen from fx_samples group by all), o as (select *, row_number() over (partition by video_id order by t_ms) as n from f),
-g as (select video_id, n, big as subject, t_ms as seen_ms, true as sw from o where n = 1 union all select g.video_id, o.n, case when list_contains(o.seen, g.subject) or o.t_ms - g.seen_ms <= 2000 then g.subject else o.big end, case when list_contains(o.seen, g.subject) then o.t_ms when o.t_ms - g.seen_ms <= 2000 then g.seen_ms else o.t_ms end, not (list_contains(o.seen, g.subject) or o.t_ms - g.seen_ms <= 2000) from g join o on o.video_id = g.video_id and o.n = g.n + 1)
-select o.video_id, o.t_ms, g.subject from g join o using (video_id, n) where g.sw""")
-def win_subject_switch(fx_samples):
-    """The first subject is the largest; after 2 s without it the largest of that moment takes over."""
-    f = fx_samples.groupBy("video_id", "t_ms").agg(F.max_by("track_id", F.struct(F.col("w") * F.col("h"), -F.col("track_id"))).alias("big"), F.collect_set("track_id").alias("seen"))
-    rows = F.sort_array(F.collect_list(F.struct("t_ms", "big", "seen")))
-    kind = "struct<subject:bigint,seen_ms:bigint,out:array<struct<t_ms:bigint,subject:bigint>>>"
-
-    def step(s, r):
-        here = F.array_contains(r["seen"], F.coalesce(s["subject"], F.lit(-1)))
-        keep = here | (s["subject"].isNotNull() & (r["t_ms"] - s["seen_ms"] <= 2000))
-        subject = F.when(keep, s["subject"]).otherwise(r["big"])
-        out = F.when(keep, s["out"]).otherwise(F.array_append(s["out"], F.struct(r["t_ms"].cast("long").alias("t_ms"), r["big"].cast("long").alias("subject"))))
-        return F.struct(subject.alias("subject"), F.when(keep & ~here, s["seen_ms"]).otherwise(r["t_ms"]).alias("seen_ms"), out.alias("out")).cast(kind)
-
-    start = F.struct(F.lit(None).cast("long").alias("subject"), F.lit(None).cast("long").alias("seen_ms"), F.array().cast("array<struct<t_ms:bigint,subject:bigint>>").alias("out")).cast(kind)
-    g = f.groupBy("video_id").agg(rows.alias("r")).withColumn("o", F.aggregate("r", start, step, lambda s: s["out"]))
-    return g.select("video_id", F.explode("o").alias("x")).select("video_id", "x.t_ms", "x.subject")
-
-
 @query("score_face_match", "select a.video_id, a.event_id as a, b.event_id as b, 0.55 * (greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) / greatest(1, a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) + 0.25 * greatest(0.0, 1.0 - sqrt(pow(a.x + a.w / 2.0 - b.x - b.w / 2.0, 2.0) + pow(a.y + a.h / 2.0 - b.y - b.h / 2.0, 2.0)) / 400.0) as score from fx_samples a join fx_samples b on a.video_id = b.video_id and a.track_id = b.track_id and b.t_ms = a.t_ms + 500")
 def score_face_match(fx_samples):
     """Box overlap and closeness of two detections half a second apart."""

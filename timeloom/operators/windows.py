@@ -145,21 +145,6 @@ def win_rolling_median3(fx_samples):
     return d.select("video_id", "track_id", "t_ms", trailing_median3("v", w).alias("smooth"))
 
 
-@query("win_gap_fill", """with a as (select *, case when conf_pct >= 60 then x when conf_pct >= 40 then x + 10 end as v, case when conf_pct >= 60 then 'face' when conf_pct >= 40 then 'body' end as src, case when conf_pct >= 40 then t_ms end as vt from fx_samples),
-b as (select *, last_value(v ignore nulls) over w as pv, last_value(vt ignore nulls) over w as pt, first_value(v ignore nulls) over (partition by video_id, track_id order by t_ms rows between current row and unbounded following) as nv from a window w as (partition by video_id, track_id order by t_ms))
-select video_id, track_id, t_ms, case when v is not null then v when pt is null then nv when t_ms - pt <= 1500 then pv end as value, case when src is not null then src when pt is null and nv is not null then 'backfill' when t_ms - pt <= 1500 then 'carry' else 'lost' end as source from b""")
-def win_gap_fill(fx_samples):
-    """Face, else body, else carried for 1.5 s, else lost; the head is filled from the first value."""
-    c = F.col
-    v = F.when(c("conf_pct") >= 60, c("x")).when(c("conf_pct") >= 40, c("x") + 10)
-    a = fx_samples.withColumns({"v": v, "src": F.when(c("conf_pct") >= 60, "face").when(c("conf_pct") >= 40, "body"), "vt": F.when(c("conf_pct") >= 40, c("t_ms"))})
-    back = by_track().rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("video_id", "track_id").orderBy(F.desc("t_ms")).rowsBetween(Window.unboundedPreceding, 0)
-    b = a.withColumns({"pv": F.last("v", True).over(back), "pt": F.last("vt", True).over(back), "nv": F.last("v", True).over(on)})
-    near = c("t_ms") - c("pt") <= 1500
-    return b.select("video_id", "track_id", "t_ms", F.when(c("v").isNotNull(), c("v")).when(c("pt").isNull(), c("nv")).when(near, c("pv")).alias("value"), F.when(c("src").isNotNull(), c("src")).when(c("pt").isNull() & c("nv").isNotNull(), "backfill").when(near, "carry").otherwise("lost").alias("source"))
-
-
 def merge_adjacent(df: DataFrame, keys: list[str], order: str, label: str, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Runs of rows with the same label as one row each."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -216,15 +201,6 @@ def win_cut_keyframes(fx_samples):
     return filled.where("x is not null and not (inserted and coalesce(_near, 99) <= 1)").select("video_id", "t_ms", "x", "inserted")
 
 
-@query("win_hermite", "select video_id, track_id, t_ms, case when next_t is null or next_t - t_ms > 1000 then x::double else (2 * pow(0.5, 3.0) - 3 * pow(0.5, 2.0) + 1) * x + (-2 * pow(0.5, 3.0) + 3 * pow(0.5, 2.0)) * next_x end as mid from (select *, lead(t_ms) over w as next_t, lead(x) over w as next_x from fx_samples window w as (partition by video_id, track_id order by t_ms)) t")
-def win_hermite(fx_samples):
-    """The middle between neighbouring frames on the smooth cubic (resting ends), where they are a second apart at most."""
-    n = fx_samples.withColumns({"nt": F.lead("t_ms").over(by_track()), "nx": F.lead("x").over(by_track())})
-    zero, half = F.lit(0.0), F.lit(0.5)
-    mid = C.hermite(F.col("x"), zero, F.col("nx"), zero, half, zero)
-    return n.select("video_id", "track_id", "t_ms", F.when(F.col("nt").isNull() | (F.col("nt") - F.col("t_ms") > 1000), F.col("x").cast("double")).otherwise(mid).alias("mid"))
-
-
 def chunk_words(words: DataFrame, size: int) -> DataFrame:
     """Caption cues: every ``size`` words, and at sentence ends."""
     opens = F.coalesce(F.lag(C.sentence_final(F.col("word"))).over(by_idx()), F.lit(True))
