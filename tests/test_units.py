@@ -138,12 +138,18 @@ def test_stream_equals_batch(spark, tmp_path):
             percent = rng.choice(["null", str(rng.randint(0, 100))])
             line = f'{{"type":"progress","stage":"{rng.choice(stages)}","status":"{rng.choice(["running", "started", "complete", "failed", "error", "skipped"])}","percent":{percent}}}'
         rows.append((rng.randint(0, 3), n, datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=n), line))
-    for k in range(4):
-        frame(spark, LINES, *rows[k * 150 : k * 150 + 150]).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = P.job_state_stream(stream).writeStream.outputMode("update").format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(180)
-    final = {r["job"]: r for r in spark.sql("select * from job_states").collect()}  # files, and so updates, in order
+    seen = []
+
+    def keep(df, n):
+        seen.extend(df.collect())
+
+    for half in (0, 2):  # stopped and started again from its checkpoint in between
+        for k in (half, half + 1):
+            frame(spark, LINES, *rows[k * 150 : k * 150 + 150]).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        q = P.job_state_stream(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+    final = {r["job"]: r for r in seen}  # files, and so updates, in order
     lines = frame(spark, LINES, *rows)
     events = P.parse_lines(lines).where("kind = 'progress'")
     assert {(j, r["percent"], r["status"], r["stage"]) for j, r in final.items()} == {tuple(r) for r in P.job_states(events).select("job", "percent", "status", "stage").collect()}
@@ -156,6 +162,45 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {j: r["error"] for j, r in final.items()} == {r["job"]: r["error"] for r in P.stream_error_extract(lines).collect()}
 
 
+def run_stream(spark, make, schema, batches, tmp_path):
+    """What a stream gives of batches of rows, one file each, until the watermark has passed all but the last file."""
+    out = []
+    for k, rows in enumerate(batches):
+        frame(spark, schema, *rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        q = make(stream).writeStream.outputMode("append").foreachBatch(lambda df, n: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+    return out
+
+
+def test_streamed_sessions_merge(spark, tmp_path):
+    at = lambda m: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)
+    schema = "job long, seq long, emitted_at timestamp, status string"
+    first = [(1, 1, at(0), "running"), (1, 2, at(8), "error"), (2, 3, at(1), "running"), (1, 4, at(30), "running")]
+    batches = [first, [(1, 5, at(24), "running"), (1, 6, at(27), "failed"), (2, 9, at(4), "late")], [(9, 7, at(200), "running")], [(9, 8, at(400), "running")]]
+    got = {(r["job"], r["start_at"]): (r["last_at"], r["events"], r["failures"]) for r in run_stream(spark, P.job_sessions, schema, batches, tmp_path)}
+    on_time = [r for b in batches for r in b if r[3] != "late"]
+    want = {(r["job"], r["start_at"]): (r["last_at"], r["events"], r["failures"]) for r in P.job_sessions(frame(spark, schema, *on_time)).collect() if r["start_at"] < at(400)}
+    assert got == want and want[1, at(24)] == (at(30), 3, 1)  # late rows join what came before; the one beyond the watermark is gone
+
+
+def test_streamed_median_in_order_of_time(spark, tmp_path):
+    at = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
+    schema = "job long, seq long, emitted_at timestamp, value double"
+    rng = random.Random(8)
+    values = [(j, n, at(60 * n), float(rng.randint(0, 99))) for n in range(60) for j in (1, 2)]
+    shuffled = sorted(values, key=lambda r: (r[1] + rng.randint(0, 6), r[0]))
+    batches = [shuffled[k : k + 30] for k in range(0, 120, 30)] + [[(3, 999, at(100_000), 1.0)], [(3, 1000, at(100_001), 2.0)]]
+    got = {(r["job"], r["seq"]): r["smooth"] for r in run_stream(spark, P.trailing_median_stream, schema, batches, tmp_path)}
+    want = {}
+    for j in (1, 2):
+        own = [r[3] for r in values if r[0] == j]
+        for n in range(60):
+            last = sorted(own[max(0, n - 2) : n + 1])
+            want[j, n] = (last[(len(last) - 1) // 2] + last[len(last) // 2]) / 2
+    assert got == want
+
+
 def test_left_rows_stay(spark):
     """Equal left rows each keep their pairs, rows with nulls stay, rows over several bins come once."""
     a = frame(spark, "video_id long, k int, start_ms long, end_ms long", (1, None, 0, 100), (1, None, 0, 100), (1, 5, 500_000, 900_000), (2, 6, None, 10), (1, 7, 0, 300_000))

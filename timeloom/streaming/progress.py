@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from timeloom.plans.catalog import query
 from timeloom.sources.fixtures import STAGE_IDS
@@ -91,48 +90,89 @@ def stream_status_override(fx_progress):
 #: Lines of a job that are kept; milliseconds of event time without a line after which a stream forgets a job; how late a line may be.
 LOG_LINES, IDLE_MS, LATE = 80, 24 * 3600 * 1000, "10 minutes"
 _STATE = "job long, percent long, status string, stage string, states array<string>, percents array<long>, log array<string>, error string"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def apply_event(state: dict, seq: int, line: str | None, stage: str | None, status: str | None, percent: int | None) -> None:
-    """One event or line of a job on its state, as ``stage_history`` and ``job_states`` have it for tables."""
-    state["seq"] = seq
-    if line is not None:
-        state["log"] = [*state["log"], line][-LOG_LINES:]
-    if line is not None and any(w in line.lower() for w in ("error", "exception")):
-        state["error"] = line.removeprefix("Error: ")
+def apply_event(job: dict, stages: dict[int, tuple[str, int]], stage: str | None, status: str | None, percent: int | None) -> None:
+    """One event of a job on its state, as ``stage_history`` and ``job_states`` have it for tables. ``stages`` holds those that any event has touched."""
     if stage is None:
         return
-    state["stage"], at = stage, STAGE_IDS.index(stage) if stage in STAGE_IDS else -1
+    job["stage"], at = stage, STAGE_IDS.index(stage) if stage in STAGE_IDS else -1
     for i in range(at):
-        state["states"][i], state["percents"][i] = "complete", 100
+        stages[i] = ("complete", 100)
+    had = stages.get(at, ("pending", 0))[1]
     if at >= 0 and status == "complete":
-        state["states"][at], state["percents"][at] = "complete", 100
+        stages[at] = ("complete", 100)
     elif at >= 0 and status in ("started", "running"):
-        state["states"][at], state["percents"][at] = "running", max(state["percents"][at], percent or 0)
+        stages[at] = ("running", max(had, percent or 0))
     elif at >= 0 and status in ("failed", "error"):
-        state["states"][at] = "failed"
+        stages[at] = ("failed", had)
     if stage == PIPELINE and status in ("complete", "started", "running"):
-        state["status"] = "complete" if status == "complete" else "running"
+        job["status"] = "complete" if status == "complete" else "running"
     elif status in ("failed", "error"):
-        state["status"] = "failed"
-    done = state["states"].count("complete") * 100 // len(STAGE_IDS)
-    state["percent"] = max(state["percent"], done if percent is None else percent)
-
-
-def _fold_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    n = len(STAGE_IDS)
-    now = json.loads(state.get[0]) if state.exists else {"seq": -1, "percent": 0, "status": "idle", "stage": None, "states": ["pending"] * n, "percents": [0] * n, "log": [], "error": None}
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    text = lambda v: None if v is None or v != v else v
-    for r in rows.itertuples(index=False):
-        percent = text(r.percent)
-        apply_event(now, int(r.seq), text(r.line), text(r.stage), text(r.status), None if percent is None else int(percent))
-    state.update((json.dumps(now),))
-    state.setTimeoutTimestamp(max(int(rows["emitted_at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
-    yield pd.DataFrame([[key[0], now["percent"], now["status"], now["stage"], now["states"], now["percents"], now["log"], now["error"]]], columns=[c.split(" ")[0] for c in _STATE.split(", ")])
+        job["status"] = "failed"
+    done = sum(x == "complete" for x, _ in stages.values()) * 100 // len(STAGE_IDS)
+    job["percent"] = max(job["percent"], done if percent is None else percent)
+
+
+def _text(v):
+    return None if v is None or v != v else v
+
+
+class JobStates(StatefulProcessor):
+    """A job's figures in one value, its stages in a map by number, and its last lines in a map by slot, a ring in which a line
+    is one write however long the log: of each micro-batch only what it changes is written. A timer forgets idle jobs."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "percent long, status string, stage string, error string, lines long, timer long")
+        self.stages = handle.getMapState("stages", "o int", "state string, percent long")
+        self.ring = handle.getMapState("ring", "slot long", "line string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = ("percent", "status", "stage", "error", "lines", "timer")
+        job = dict(zip(names, self.job.get() if self.job.exists() else (0, "idle", None, None, 0, None)))
+        stages = {int(k[0]): (v[0], int(v[1])) for k, v in self.stages.iterator()}
+        before, timer, new = dict(stages), job["timer"], []
+        given = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for r in given.itertuples(index=False):
+            line, percent = _text(r.line), _text(r.percent)
+            if line is not None:
+                new.append(line)
+                if any(w in line.lower() for w in ("error", "exception")):
+                    job["error"] = line.removeprefix("Error: ")
+            apply_event(job, stages, _text(r.stage), _text(r.status), None if percent is None else int(percent))
+        for n, line in enumerate(new):
+            if n >= len(new) - LOG_LINES:
+                self.ring.updateValue(((job["lines"] + n) % LOG_LINES,), (line,))
+        for o, v in stages.items():
+            if before.get(o) != v:
+                self.stages.updateValue((o,), v)
+        job["lines"] += len(new)
+        job["timer"] = max(int(given["emitted_at"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs(), (timer or IDLE_MS) - IDLE_MS) + IDLE_MS
+        if job["timer"] != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(job["timer"])
+        self.job.update(tuple(job[n] for n in names))
+        slots = {int(k[0]): v[0] for k, v in self.ring.iterator()}
+        log = [slots[n % LOG_LINES] for n in range(max(0, job["lines"] - LOG_LINES), job["lines"])]
+        each = [stages.get(o, ("pending", 0)) for o in range(len(STAGE_IDS))]
+        yield pd.DataFrame([[key[0], job["percent"], job["status"], job["stage"], [x for x, _ in each], [x for _, x in each], log, job["error"]]], columns=[c.split(" ")[0] for c in _STATE.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.job, self.stages, self.ring):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def with_state_store(df: DataFrame) -> DataFrame:
+    """Stateful processors keep their state in RocksDB: sets that store for the session of ``df``."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    return df
 
 
 def job_state_stream(lines: DataFrame) -> DataFrame:
@@ -140,9 +180,75 @@ def job_state_stream(lines: DataFrame) -> DataFrame:
     micro-batch with lines of it: what ``job_states``, ``stage_states`` (two arrays in the order of the stages),
     ``stream_log_ring`` and ``stream_error_extract`` say of the lines so far. Lines of a job must come in order of ``seq``,
     within a micro-batch in any. Lines later than LATE go by the watermark, and a job without
-    lines for IDLE_MS of it is forgotten. Lines without progress change the log only."""
-    parsed = parse_lines(lines.withWatermark("emitted_at", LATE)).select("job", "seq", "emitted_at", "line", "stage", "status", F.col("percent").cast("double").alias("percent"))
-    return parsed.groupBy("job").applyInPandasWithState(_fold_job, _STATE, "state string", "update", GroupStateTimeout.EventTimeTimeout)
+    lines for IDLE_MS of it is forgotten. Lines without progress change the log only. Sets the session's state store to RocksDB."""
+    parsed = parse_lines(with_state_store(lines).withWatermark("emitted_at", LATE)).select("job", "seq", "emitted_at", "line", "stage", "status", F.col("percent").cast("double").alias("percent"))
+    return parsed.groupBy("job").transformWithStateInPandas(JobStates(), _STATE, "update", "eventTime")
+
+
+def job_sessions(events: DataFrame, gap: str = "5 minutes", late: str = LATE) -> DataFrame:
+    """Extension: runs of a job's events at most ``gap`` apart: start, last event, events and failures. On a stream, sessions that
+    a late event connects are merged until the watermark passes their end; then each is given out once (append)."""
+    d = events.where("job is not null and emitted_at is not null").withWatermark("emitted_at", late)
+    s = d.groupBy("job", F.session_window("emitted_at", gap).alias("w")).agg(F.count("*").alias("events"), F.count(F.when(F.col("status").isin("failed", "error"), 1)).alias("failures"), F.max("emitted_at").alias("last_at"))
+    return s.select("job", F.col("w.start").alias("start_at"), "last_at", "events", "failures")
+
+
+@query("ext_job_sessions", """with s as (select *, case when emitted_at - lag(emitted_at) over w >= interval 5 minutes or lag(emitted_at) over w is null then 1 else 0 end as opens from fx_progress window w as (partition by job order by emitted_at)),
+r as (select *, sum(opens) over (partition by job order by emitted_at) as run from s)
+select job, min(emitted_at)::timestamp as start_at, max(emitted_at)::timestamp as last_at, count(*) as events, count(*) filter (where status in ('failed', 'error')) as failures from r group by job, run""")
+def ext_job_sessions(fx_progress):
+    return job_sessions(fx_progress)
+
+
+class TrailingMedian(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them, then go out in order of time with the median of
+    the last ``width`` values; the values before are kept in a list of that length."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, seq long, value double")
+        self.last = handle.getListState("last", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows))
+        at = [int(x.timestamp() * 1000) for x in given["emitted_at"]]
+        self.waiting.appendList(list(zip(at, map(int, given["seq"]), map(float, given["value"]))))
+        for t in sorted(set(at)):
+            self.handle.registerTimer(t)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, now = [], expiredTimerInfo.getExpiryTimeInMs()
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted(x for x in waiting if x[0] <= now)
+        left = [x for x in waiting if x[0] > now]
+        if not due:
+            return
+        values = [x[0] for x in self.last.get()] if self.last.exists() else []
+        out = []
+        for _, seq, value in due:
+            values = [*values, value][-self.width :]
+            out.append((key[0], seq, float(pd.Series(values).median())))
+        self.last.put([(v,) for v in values])
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["job", "seq", "smooth"])
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_median_stream(events: DataFrame, width: int = 3, late: str = LATE) -> DataFrame:
+    """Extension: ``job, seq, smooth`` of a stream of ``job, seq, emitted_at, value``: the median of a job's last ``width`` values in order of
+    time (then ``seq``), given out once the watermark has passed a row, so out-of-order rows within ``late`` count in their place and later ones go. Sets the session's
+    state store to RocksDB."""
+    d = with_state_store(events).where("value is not null").withWatermark("emitted_at", late).select("job", "seq", "emitted_at", F.col("value").cast("double").alias("value"))
+    return d.groupBy("job").transformWithStateInPandas(TrailingMedian(width), "job long, seq long, smooth double", "append", "eventTime")
 
 
 def completions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
