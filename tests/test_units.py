@@ -212,25 +212,30 @@ def test_left_rows_stay(spark):
 
 
 def face_tracks_by_hand(rows):
-    """Each detection in time order joins the best of the tracks seen within two seconds, or opens one."""
+    """Frame by frame, from the surest and largest face on: each joins the best of the tracks that wait, or opens one."""
     tracks, out = [], {}
-    for d in sorted(rows, key=lambda r: (r["t_ms"], r["event_id"])):
-        best, where = 0.48, None
-        for i, t in enumerate(tracks):
-            if 0 < d["t_ms"] - t["t_ms"] <= 2000:
+    for at in sorted({r["t_ms"] for r in rows}):
+        waiting, taken = [i for i, t in enumerate(tracks) if at - t["t_ms"] <= 2000], set()
+        for d in sorted((r for r in rows if r["t_ms"] == at), key=lambda r: (-r["weight"], r["event_id"])):
+            best, where = 0.0, None
+            for i in waiting:
+                t = tracks[i]
+                if i in taken:
+                    continue
                 iw = max(0, min(d["x"] + d["w"], t["x"] + t["w"]) - max(d["x"], t["x"]))
                 ih = max(0, min(d["y"] + d["h"], t["y"] + t["h"]) - max(d["y"], t["y"]))
-                far = ((d["x"] + d["w"] / 2 - t["x"] - t["w"] / 2) ** 2 + (d["y"] + d["h"] / 2 - t["y"] - t["h"] / 2) ** 2) ** 0.5
+                far = ((d["x"] + d["w"] / 2 - t["x"] - t["w"] / 2) ** 2 + (d["y"] + d["h"] / 2 - t["y"] - t["h"] / 2) ** 2) ** 0.5 / max(1, (d["w"] + d["h"] + t["w"] + t["h"]) / 4)
                 u, v = d["appearance"], t["appearance"]
                 cos = sum(p * q for p, q in zip(u, v)) / (sum(p * p for p in u) * sum(q * q for q in v)) ** 0.5
-                score = 0.55 * iw * ih / max(1, d["w"] * d["h"] + t["w"] * t["h"] - iw * ih) + 0.25 * max(0, 1 - far / 400) + 0.2 * max(0, cos)
-                if score >= best and (where is None or score > best):
+                score = 0.55 * iw * ih / (d["w"] * d["h"] + t["w"] * t["h"] - iw * ih) + 0.25 * max(0, 1 - far) + 0.2 * min(1, max(0, cos))
+                if score > best:
                     best, where = score, i
-        if where is None:
-            tracks.append(d)
-            where = len(tracks) - 1
-        tracks[where] = d
-        out[d["event_id"]] = where
+            if best < 0.48:
+                tracks.append(d)
+                where = len(tracks) - 1
+            tracks[where] = d
+            taken.add(where)
+            out[d["event_id"]] = where
     return out
 
 

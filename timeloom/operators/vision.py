@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from timeloom.functions import columns as C
@@ -65,50 +63,77 @@ def score_composition(fx_samples):
     return fx_samples.select("event_id", (0.4 * (1.0 - F.abs(c("y") / 1080.0 - 0.12)) + 0.3 * (1.0 - F.abs((c("y") + c("h") * 0.2) / 1080.0 - 0.33)) + 0.3 * F.when(safe, 1.0).otherwise(0.0)).alias("score"), (~safe).alias("breach"))
 
 
+#: Shares of overlap, closeness and likeness in a match, the least score, and how long a track waits for its next face.
+MATCH, LEAST_MATCH, TRACK_GAP_MS = (0.55, 0.25, 0.20), 0.48, 2000
+
+
 def match_score(a: dict, b: dict) -> float:
+    """How well two faces match: overlap of boxes, closeness of centres against the boxes' mean side, likeness of appearance
+    (a half where one is unknown)."""
     w = max(0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
     h = max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
-    iou = w * h / max(1, a["w"] * a["h"] + b["w"] * b["h"] - w * h)
-    far = math.hypot(a["x"] + a["w"] / 2 - b["x"] - b["w"] / 2, a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2)
-    va, vb = a["appearance"], b["appearance"]
-    dot, na, nb = sum(p * q for p, q in zip(va, vb)), math.sqrt(sum(p * p for p in va)), math.sqrt(sum(q * q for q in vb))
-    return 0.55 * iou + 0.25 * max(0.0, 1 - far / 400) + 0.20 * (max(0.0, dot / (na * nb)) if na and nb else 0.0)
-
-
-def _tracks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching in time order: the best open track of at least 0.48 seen within 2 s, else a new one."""
-    open_: list[dict] = []
-    out = []
-    for d in pdf.sort_values(["t_ms", "event_id"]).to_dict("records"):
-        scored = [(match_score(t, d), -i) for i, t in enumerate(open_) if 0 < d["t_ms"] - t["t_ms"] <= 2000]
-        best = max(scored, default=(0.0, 0))
-        if best[0] >= 0.48:
-            i = -best[1]
-            open_[i] = d
-        else:
-            i = len(open_)
-            open_.append(d)
-        out.append((d["video_id"], d["scene"], d["event_id"], i))
-    return pd.DataFrame(out, columns=["video_id", "scene", "event_id", "track"])
+    union = a["w"] * a["h"] + b["w"] * b["h"] - w * h
+    far = math.hypot(a["x"] + a["w"] / 2 - b["x"] - b["w"] / 2, a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2) / max(1, (a["w"] + a["h"] + b["w"] + b["h"]) / 4)
+    u, v = a["appearance"], b["appearance"]
+    size = math.sqrt(sum(p * p for p in u) * sum(q * q for q in v)) if u and v and len(u) == len(v) else 0.0
+    like = max(0.0, min(1.0, sum(p * q for p, q in zip(u, v)) / size)) if size else 0.5
+    return MATCH[0] * (w * h / union if union > 0 else 0.0) + MATCH[1] * max(0.0, 1 - far) + MATCH[2] * like
+
+
+class FaceTracks:
+    """Table function over the faces of a scene, sorted by time and, within a frame, from the surest and largest on: each joins the best track that
+    another frame within TRACK_GAP_MS left (one face of a frame each; ties to the older track), or opens one. Only such
+    tracks are held, however long the scene."""
+
+    def __init__(self):
+        self.waiting: dict[int, dict] = {}
+        self.opened = 0
+
+    def eval(self, row):
+        face = row.asDict()
+        t = face["t_ms"]
+        self.waiting = {k: v for k, v in self.waiting.items() if t - v["t_ms"] <= TRACK_GAP_MS}
+        score, k = max(((match_score(v, face), -k) for k, v in self.waiting.items() if v["t_ms"] < t), default=(0.0, 0))
+        track = -k
+        if score < LEAST_MATCH:
+            track = self.opened
+            self.opened += 1
+        self.waiting[track] = face
+        yield face["video_id"], face["scene"], face["event_id"], track
 
 
 def face_tracks(detections: DataFrame) -> DataFrame:
-    """``video_id, scene, event_id, track`` by greedy matching within each scene, one small group each."""
-    return detections.groupBy("video_id", "scene").applyInPandas(_tracks, "video_id long, scene long, event_id long, track int")
+    """``video_id, scene, event_id, track`` of faces (``video_id, scene, event_id, t_ms, x, y, w, h, weight, appearance``), tracks numbered
+    from 0 in each scene. Spark partitions by scene and sorts; the table function sees one row after the other."""
+    of = F.udtf(FaceTracks, returnType="video_id long, scene long, event_id long, track int")
+    return of(detections.asTable().partitionBy("video_id", "scene").orderBy(F.col("t_ms"), F.desc("weight"), F.col("event_id")))
 
 
 def faces(samples: DataFrame, embeddings: DataFrame) -> DataFrame:
-    look = embeddings.select(F.col("vec_id").alias("k"), F.slice("embedding", 1, 16).alias("appearance"))
+    look = embeddings.select(F.col("vec_id").alias("k"), F.slice("embedding", 1, 16).cast("array<double>").alias("appearance"))
     s = samples.withColumns({"k": F.col("event_id") % 200, "scene": F.floor(F.col("t_ms") / 5000), "w": F.floor(F.col("w") / 4), "h": F.floor(F.col("h") / 5)})
-    return s.join(look, "k").select("video_id", "scene", "event_id", "t_ms", "x", "y", "w", "h", "appearance")
+    s = s.withColumn("weight", F.col("conf_pct") * F.col("w") * F.col("h"))
+    return s.join(look, "k").select("video_id", "scene", "event_id", "t_ms", "x", "y", "w", "h", "weight", "appearance")
+
+
+_SCORE = """0.55 * (case when z.u > 0 then z.o / z.u::double else 0.0 end) + 0.25 * greatest(0.0, 1 - sqrt(pow(t.x + t.w / 2.0 - d.x - d.w / 2.0, 2.0) + pow(t.y + t.h / 2.0 - d.y - d.h / 2.0, 2.0)) / greatest(1.0, (t.w + t.h + d.w + d.h) / 4.0)) + 0.2 * greatest(0.0, least(1.0, list_inner_product(t.app, d.app) / sqrt(list_inner_product(t.app, t.app) * list_inner_product(d.app, d.app))))"""
+_OVERLAP = "(greatest(0, least(t.x + t.w, d.x + d.w) - greatest(t.x, d.x)) * greatest(0, least(t.y + t.h, d.y + d.h) - greatest(t.y, d.y)))"
+_FACES = f"""fc as (select s.video_id, s.t_ms // 5000 as scene, s.event_id, s.t_ms, s.x, s.y, s.w // 4 as w, s.h // 5 as h, s.conf_pct * (s.w // 4) * (s.h // 5) as weight, e.embedding[1:16]::double[] as app from fx_samples s join embeddings e on e.vec_id = s.event_id % 200),
+o as materialized (select *, row_number() over (partition by video_id, scene order by t_ms, weight desc, event_id) as n from fc),
+ft as (select video_id, scene, 0::bigint as n, null::bigint as event_id, null::int as track, []::struct(x bigint, y bigint, w bigint, h bigint, t_ms bigint, app double[])[] as held from o where n = 1
+  union all select f.video_id, f.scene, d.n, d.event_id, (case when q.best >= 0.48 then q.pos - 1 else len(f.held) end)::int,
+    case when q.best >= 0.48 then f.held[1:q.pos - 1] || [q.own] || f.held[q.pos + 1:] else list_append(f.held, q.own) end
+  from ft f join o d on d.video_id = f.video_id and d.scene = f.scene and d.n = f.n + 1,
+    lateral (select list_transform(f.held, lambda t: case when d.t_ms - t.t_ms > 0 and d.t_ms - t.t_ms <= 2000 then {_SCORE.replace('z.o', _OVERLAP).replace('z.u', f'(t.w * t.h + d.w * d.h - {_OVERLAP})')} else -1.0 end) as scores, {{'x': d.x::bigint, 'y': d.y::bigint, 'w': d.w::bigint, 'h': d.h::bigint, 't_ms': d.t_ms::bigint, 'app': d.app}} as own) r,
+    lateral (select coalesce(list_max(r.scores), -1.0) as best, list_position(r.scores, list_max(r.scores)) as pos, r.own) q)"""
 
 
-@query("win_face_tracking")
+@query("win_face_tracking", f"with recursive {_FACES} select video_id, scene, event_id, track from ft where n > 0")
 def win_face_tracking(fx_samples, embeddings):
     return face_tracks(faces(fx_samples, embeddings))
 
 
-@query("udtf_face_tracks")
+@query("udtf_face_tracks", f"with recursive {_FACES} select ft.video_id, ft.scene, track, count(*) as n, min(t_ms) as start_ms, max(t_ms) as end_ms from ft join o using (video_id, scene, n) where ft.n > 0 group by ft.video_id, ft.scene, track")
 def udtf_face_tracks(fx_samples, embeddings):
     """Tracks as a table: members and span of each."""
     f = faces(fx_samples, embeddings)
