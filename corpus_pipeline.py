@@ -7,12 +7,13 @@ Rows are told apart by their text or by numbers given here, never by doc_id, whi
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from timeloom.llm.decontamination import find_leaks
 from timeloom.llm.language_id import identify, make_dictionaries, training_sample
 from timeloom.llm.line_dedup import drop_repeated_lines, line_key, lines_of
-from timeloom.llm.mixing import mix_sources, training_order
+from timeloom.llm.mixing import mix_sources
 from timeloom.llm.near_dedup import near_duplicates
 from timeloom.plans.scratch import materialise
 
@@ -20,8 +21,8 @@ from timeloom.plans.scratch import materialise
 BATCH_ROWS = 1000
 #: A document that would lose more than this share of its characters is left to near-dedup whole if it is a copy.
 MOST_DROPPED = 0.5
-#: Likeness of near copies in line dedup, and hash functions of lines by which they meet.
-COPY_LIKENESS, LINE_BANDS = 0.8, 6
+#: Likeness of near copies in line dedup, and shingles of a text by which they meet.
+COPY_LIKENESS, SAMPLES = 0.8, 8
 #: Column of row numbers while a stage runs.
 ROW = "_corpus_pipeline_row"
 
@@ -40,18 +41,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copied_texts(docs: DataFrame) -> DataFrame:
     """Keys (``_copy``, see ``text_key``) of the texts of ``docs`` that several rows have, or that are near copies of another:
-    with a Jaccard of COPY_LIKENESS over five-word shingles to a leader of a bucket of texts that share the smallest hash of
-    their lines, by one of LINE_BANDS hash functions. Each text meets two leaders a bucket, whatever its size."""
+    with a Jaccard of COPY_LIKENESS over five-word shingles.
+
+    Shingles that one text alone has link nothing and are left out; of the others each text takes one by each of SAMPLES hash functions, the
+    more readily the fewer texts have it. So texts that share most of their lines with everybody still meet by what
+    they share with their copies. Texts with the same sample, and those with the same two, meet the two
+    leaders of their bucket, whatever its size; one near copy found is enough."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice("_w", i + 1, 5))))
-    lines = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(line_key(x))))
-    t = docs.select(text_key().alias("k"), words.alias("_w"), lines.alias("lines")).select("k", "lines", shingles.alias("shingles"))
-    t = materialise(t.groupBy("k").agg(F.count("*").alias("n"), F.any_value("lines").alias("lines"), F.any_value("shingles").alias("shingles")), "mostly-repeated")
-    smallest = lambda j: F.array_min(F.transform("lines", lambda x: F.xxhash64(x, F.lit(j))))
-    bands = F.array(*map(smallest, range(LINE_BANDS)))
-    b = t.select("k", F.posexplode(bands).alias("band", "hash"))
-    leaders = materialise(b.groupBy("band", "hash").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high"), "leaders")
-    met = b.join(leaders, ["band", "hash"]).select("k", F.explode(F.array("low", "high")).alias("leader")).where("k <> leader").distinct()
+    t = docs.select(text_key().alias("k"), words.alias("_w")).select("k", shingles.alias("shingles"))
+    t = materialise(t.groupBy("k").agg(F.count("*").alias("n"), F.any_value("shingles").alias("shingles")), "mostly-repeated")
+    each = t.select("k", F.explode("shingles").alias("s"))
+    shared = materialise(each.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1"), "shared-shingles")
+    u = lambda i: (F.xxhash64("s", F.lit(i)).bitwiseAND(2**52 - 1) + 0.5) / 2.0**52
+    picks = [F.min(F.struct((-F.log(u(i)) * F.col("texts")).alias("order"), "s")).alias(f"s{i}") for i in range(SAMPLES)]
+    sampled = each.join(shared, "s").groupBy("k").agg(*picks).select("k", *[F.col(f"s{i}.s").alias(f"s{i}") for i in range(SAMPLES)])
+    pairs = [F.struct(F.lit(i).alias("band"), F.col(f"s{i}").alias("x"), F.lit(0).cast("long").alias("y")) for i in range(SAMPLES)]
+    pairs += [F.struct(F.lit(SAMPLES + i).alias("band"), F.col(f"s{i}").alias("x"), F.col(f"s{(i + 1) % SAMPLES}").alias("y")) for i in range(SAMPLES)]
+    b = materialise(sampled.select("k", F.explode(F.array(*pairs)).alias("b")).select("k", "b.*"), "sampled-shingles")
+    leaders = materialise(b.groupBy("band", "x", "y").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high"), "leaders")
+    met = b.join(leaders, ["band", "x", "y"]).select("k", F.explode(F.array("low", "high")).alias("leader")).where("k <> leader").distinct()
     side = lambda name, key: t.select(F.col("k").alias(key), F.col("shingles").alias(name))
     both = materialise(met, "meetings").join(side("a", "k"), "k").join(side("b", "leader"), "leader")
     like = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= COPY_LIKENESS
@@ -85,10 +94,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, text_key() == F.col("_gone"), "left_anti").select(docs.columns)
 
 
+def with_row_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row in its file, by which a second scan finds it again; what isn't read from files is written first."""
+    place = [F.col("_metadata.file_name").alias("_row_file"), F.col("_metadata.row_index").alias("_row_at")]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return materialise(docs, "rows").select("*", *place)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: a row per taken copy with its position, sources weighed 5, 2, 1 in turn."""
-    mixed = mix_sources(docs, (5, 2, 1)).select("doc_id", "text", "lang", "source", "size", "positions")
-    return training_order(mixed)
+    """The mix in training order: a row per taken copy with its position, sources weighed 5, 2, 1 in turn. Positions are worked out without
+    the texts, which are joined by their rows' places, and only those that are taken, and then sorted once."""
+    rows = with_row_ids(docs)
+    mixed = mix_sources(rows, (5, 2, 1)).select("_row_file", "_row_at", "size", "positions")
+    taken = materialise(mixed.select("_row_file", "_row_at", "size", F.explode("positions").alias("position")), "positions")
+    found = rows.select("_row_file", "_row_at", "doc_id", "text", "lang", "source").join(taken, ["_row_file", "_row_at"])
+    return found.select("doc_id", "text", "lang", "source", "size", "position").orderBy("position", "doc_id")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
