@@ -119,3 +119,36 @@ def test_stages_against_brute_force(spark):
             items = [" ".join(words(r["text"])) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             holds = {r["doc_id"] for r in before if any(t in " ".join(words(r["text"])) for t in items)}
             assert not holds & ids
+
+
+def test_copies_among_shared_lines_are_found(spark):
+    """Pairs of near copies four fifths of whose lines are shared by all, and groups of edited copies: every one is known as a copy, nothing else is."""
+    rng = random.Random(11)
+    common = [make(rng, 14) for _ in range(60)]
+    rows, copies = [], set()
+
+    def near(a, b):
+        sh = lambda t: {tuple(w[i : i + 5]) for w in [re.split(r"\W+", t)] for i in range(len(w) - 4)}
+        return len(sh(a) & sh(b)) / len(sh(a) | sh(b)) >= 0.8
+
+    for n in range(100):
+        lines = [*rng.sample(common, 16), *(make(rng, 14) for _ in range(4))]
+        rng.shuffle(lines)
+        a = "\n".join(lines)
+        words = a.split(" ")
+        words[rng.randrange(len(words))] = "edited"
+        b = " ".join(words)
+        rows += [(2 * n, a), (2 * n + 1, b)]
+        if near(a, b):
+            copies |= {2 * n, 2 * n + 1}
+    rows += [(1000 + n, "\n".join([*rng.sample(common, 16), *(make(rng, 14) for _ in range(4))])) for n in range(100)]
+    base = [*rng.sample(common, 16), *(make(rng, 14) for _ in range(4))]
+    for n in range(60):
+        edit = list(base)
+        edit[n % 20] = edit[n % 20].replace(" ", f" x{n} ", 1)
+        rows.append((2000 + n, "\n".join(edit)))
+        copies.add(2000 + n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = docs.select("doc_id", P.text_key().alias("_copy"))
+    got = {r["doc_id"] for r in P.copied_texts(docs).join(keys, "_copy").collect()}
+    assert len(copies) > 200 and len(got & copies) >= 0.99 * len(copies) and not got - copies
