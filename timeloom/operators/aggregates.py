@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timeloom.functions import columns as C
 from timeloom.operators.intervals import as_right, interval_join
@@ -28,11 +30,25 @@ def agg_frame_best_person(fx_samples):
     return fx_samples.groupBy("video_id", "t_ms").agg(F.max_by("event_id", F.struct(area * F.col("conf_pct"), -F.col("event_id"))).alias("best"), F.count("*").alias("persons"), F.count_if(area / F.lit(1920.0 * 1080.0) >= 0.03).alias("primaries"))
 
 
-@query("agg_log_milestones", "select job, milestone, min(seq) as first_seq from (select job, seq, case when status = 'error' then 'failed' when stage = 'audio' then 'Listening' when stage = 'highlights' then 'Finding moments' when stage = 'captions' then 'Writing captions' end as milestone from fx_progress) t where milestone is not null group by all")
-def agg_log_milestones(fx_progress):
-    """Lines as milestones by pattern, each job's first of a kind."""
-    m = F.when(F.col("status") == "error", "failed").when(F.col("stage") == "audio", "Listening").when(F.col("stage") == "highlights", "Finding moments").when(F.col("stage") == "captions", "Writing captions")
-    return fx_progress.select("job", "seq", m.alias("milestone")).where("milestone is not null").groupBy("job", "milestone").agg(F.min("seq").alias("first_seq"))
+#: Milestones by what a log line says, whatever its case; of several the first in this order. A caller's own list takes its place.
+MILESTONES = (
+    ("extracting audio|\"stage\":\"audio\"", "Extracting audio"), ("voice activity|\"stage\":\"vad\"", "Detecting speech"), ("transcribing|transcription", "Understanding conversation"), ("diarization", "Identifying speakers"),
+    ("highlight", "Finding moments"), ("candidate", "Selecting highlights"), ("scene", "Detecting scenes"), ("tracking|faces", "Tracking faces"), ("camera|anchors|framing", "Framing"), ("rendering clip|\"stage\":\"cut\"", "Rendering clips"),
+    ("captions", "Writing captions"), ("metadata", "Generating metadata"), ("export", "Preparing export"), ("complete|finished|done", "Completed"),
+)
+
+
+def log_milestones(lines: DataFrame, milestones=MILESTONES) -> DataFrame:
+    """Each job's first line (by ``seq``) of every milestone."""
+    text, m = F.lower("line"), F.lit(None).cast("string")
+    for pattern, name in reversed(milestones):
+        m = F.when(text.rlike(pattern), name).otherwise(m)
+    return lines.select("job", "seq", m.alias("milestone")).where("milestone is not null").groupBy("job", "milestone").agg(F.min("seq").alias("first_seq"))
+
+
+@query("agg_log_milestones", "select job, milestone, min(seq) as first_seq from (select job, seq, case " + " ".join(f"when regexp_matches(lower(line), '{p}') then '{m}'" for p, m in MILESTONES) + " end as milestone from fx_lines) t where milestone is not null group by all")
+def agg_log_milestones(fx_lines):
+    return log_milestones(fx_lines)
 
 
 @query("agg_track_summary", "select video_id, track_id, min(t_ms) as start_ms, max(t_ms) as end_ms, count(*) as n, avg(conf_pct) as conf, string_agg(event_id::varchar, ',' order by t_ms, event_id) as frames from fx_samples group by all")
@@ -239,12 +255,39 @@ def agg_coverage(fx_clips):
     return fx_clips.groupBy("video_id").agg(c.alias("coverage"), (c >= 0.6).alias("enough"))
 
 
-@query("agg_content_profile", "select video_id, max(x) - min(x) as span, avg(d) as drift, count(distinct track_id) as tracks, case when count(distinct track_id) >= 10 then 'crowd' when avg(d) > 100 then 'dynamic' else 'static' end as profile from (select *, sqrt(pow(x - lag(x) over w, 2.0) + pow(y - lag(y) over w, 2.0)) as d from fx_samples window w as (partition by video_id, track_id order by t_ms)) t group by all")
+#: Anchors that a profile needs, mean step of the body and spans of the anchor (pixels) beyond which a talk is dynamic or a presentation.
+PROFILE_ANCHORS, DYNAMIC_STEP, DYNAMIC_SPAN, PRESENTED_SPAN = 4, 40.0, 400.0, 250.0
+
+
+def content_profile(anchors: DataFrame, keys: list[str], order: str, tracks: Column) -> DataFrame:
+    """``profile, certainty, span, step`` of each group of anchors (``anchor_x``, ``body_x``, ``body_y``, null where nobody is seen):
+    dynamic if bodies or anchors move far, a conversation if there are several ``tracks``, a presentation if the
+    anchor wanders, else a podcast, with little certainty where anchors are few."""
+    c = F.col
+    seen = anchors.withColumn("_tracks", tracks)
+    last = F.lag(F.struct("body_x", "body_y")).over(Window.partitionBy(*keys).orderBy(order))
+    valid = seen.where("anchor_x is not null")
+    steps = valid.where("body_x is not null").withColumn("_last", last).withColumn("step", F.sqrt(F.pow(c("body_x") - c("_last.body_x"), 2.0) + F.pow(c("body_y") - c("_last.body_y"), 2.0)))
+    steps = steps.groupBy(*keys).agg(F.avg("step").alias("step"))
+    g = seen.groupBy(*keys).agg(F.count("anchor_x").alias("n"), (F.max("anchor_x") - F.min("anchor_x")).alias("span"), F.max("_tracks").alias("tracks")).join(steps, keys, "left")
+    far = (F.coalesce("step", F.lit(0.0)) > DYNAMIC_STEP) | (c("span") > DYNAMIC_SPAN)
+    few = c("n") < PROFILE_ANCHORS
+    pick = lambda *v: F.when(few, F.lit(v[0])).when(far, v[1]).when(c("tracks") > 1, v[2]).when(c("span") > PRESENTED_SPAN, v[3]).otherwise(v[4])
+    return g.select(*keys, pick("podcast", "dynamic", "conversation", "presentation", "podcast").alias("profile"), pick(0.60, 0.88, 0.84, 0.82, 0.94).alias("certainty"), F.coalesce("span", F.lit(0.0)).alias("span"), F.coalesce("step", F.lit(0.0)).alias("step"))
+
+
+@query("agg_content_profile", """with t as (select video_id, count(distinct track_id) as tracks from fx_samples where track_id % 10 < 4 + video_id % 5 and (video_id % 3 > 0 or track_id % 10 = 0) group by all),
+a as (select s.video_id, s.track_id, s.t_ms, case when conf_pct >= 40 then (x + w / 2.0) / (1 + s.track_id % 4) end as ax, x / 10.0 / (1 + s.track_id % 7) as bx, y / 10.0 / (1 + s.track_id % 7) as by_ from fx_samples s where s.track_id % 10 < 4 + s.video_id % 5 and (s.video_id % 3 > 0 or s.track_id % 10 = 0)),
+d as (select *, sqrt(pow(bx - lag(bx) over w, 2.0) + pow(by_ - lag(by_) over w, 2.0)) as step from a where ax is not null window w as (partition by video_id, track_id order by t_ms)),
+g as (select a.video_id, a.track_id, count(ax) as n, max(ax) - min(ax) as span, max(t.tracks) as tracks from a join t using (video_id) group by all), m as (select video_id, track_id, avg(step) as step from d group by all)
+select video_id, track_id, case when n < 4 then 'podcast' when coalesce(step, 0) > 40 or span > 400 then 'dynamic' when tracks > 1 then 'conversation' when span > 250 then 'presentation' else 'podcast' end as profile,
+  case when n < 4 then 0.60 when coalesce(step, 0) > 40 or span > 400 then 0.88 when tracks > 1 then 0.84 when span > 250 then 0.82 else 0.94 end::double as certainty, coalesce(span, 0.0) as span, coalesce(step, 0.0) as step from g left join m using (video_id, track_id)""")
 def agg_content_profile(fx_samples):
-    w = Window.partitionBy("video_id", "track_id").orderBy("t_ms")
-    d = fx_samples.withColumn("d", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2.0) + F.pow(F.col("y") - F.lag("y").over(w), 2.0)))
-    n = F.countDistinct("track_id")
-    return d.groupBy("video_id").agg((F.max("x") - F.min("x")).alias("span"), F.avg("d").alias("drift"), n.alias("tracks"), F.when(n >= 10, "crowd").when(F.avg("d") > 100, "dynamic").otherwise("static").alias("profile"))
+    c = F.col
+    s = fx_samples.where("track_id % 10 < 4 + video_id % 5 and (video_id % 3 > 0 or track_id % 10 = 0)")
+    n = s.groupBy("video_id").agg(F.countDistinct("track_id").alias("n_tracks"))
+    a = s.withColumns({"anchor_x": F.when(c("conf_pct") >= 40, (c("x") + c("w") / 2.0) / (1 + c("track_id") % 4)), "body_x": c("x") / 10.0 / (1 + c("track_id") % 7), "body_y": c("y") / 10.0 / (1 + c("track_id") % 7)})
+    return content_profile(a.join(n, "video_id"), ["video_id", "track_id"], "t_ms", c("n_tracks"))
 
 
 @query("agg_segment_median", "select video_id, (t_ms // 10000)::bigint as scene, median(x + w / 2.0) as cx, median(y) as cy from fx_samples group by all")
@@ -252,10 +295,57 @@ def agg_segment_median(fx_samples):
     return _scenes(fx_samples).groupBy("video_id", "scene").agg(F.median(F.col("x") + F.col("w") / 2.0).alias("cx"), F.median("y").alias("cy"))
 
 
-@query("agg_quality_grade", "select video_id, 100.0 * count(*) filter (where word_count >= 20) / count(*) as layout, 100.0 * count(distinct topic_id) / count(*) as hooks, (100.0 * count(*) filter (where word_count >= 20) / count(*) + 100.0 * count(distinct topic_id) / count(*)) / 2 as mean, case when (100.0 * count(*) filter (where word_count >= 20) / count(*) + 100.0 * count(distinct topic_id) / count(*)) / 2 >= 60 then 'A' else 'B' end as grade from fx_candidates group by all")
-def agg_quality_grade(fx_candidates):
-    a, b = 100.0 * F.count_if(F.col("word_count") >= 20) / F.count("*"), 100.0 * F.countDistinct("topic_id") / F.count("*")
-    return fx_candidates.groupBy("video_id").agg(a.alias("layout"), b.alias("hooks"), ((a + b) / 2).alias("mean"), F.when((a + b) / 2 >= 60, "A").otherwise("B").alias("grade"))
+#: What a fault takes off (short segment, other ratio, crop outside, stock hook, no brand tag, poor title), and the grades.
+FAULTS = {"short": 10, "ratio": 15, "outside": 25, "stock": 10, "brand": 15, "title": 20}
+GRADES = ((93, "A+"), (87, "A"), (80, "B+"))
+
+
+def quality_grades(videos: DataFrame, segments: DataFrame, crops: DataFrame, hooks: DataFrame, metadata: DataFrame, source: tuple[int, int], brands: list[str], stock: list[str], shortest: int = 1200) -> DataFrame:
+    """``layout, crop, hooks, metadata, overall, grade`` of each video: four scores of 0 to 100, a quarter each; 50 where a video has no rows.
+
+    ``segments`` (start_ms, end_ms) lose by each short one, ``crops`` (x, y, w, h) by each that isn't 9:16 or leaves the
+    source, ``hooks`` (hook) by the share of repeats and by stock phrases, ``metadata`` (title, tags) by missing brand tags and poor titles.
+    """
+    c = F.col
+    clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(100.0), v.cast("double")))
+    outside = (c("x") < 0) | (c("y") < 0) | (c("x") + c("w") > source[0] + 1) | (c("y") + c("h") > source[1] + 1)
+    ratio = F.abs(F.when(c("h") == 0, 0.0).otherwise(c("w") / c("h")) - F.lit(9.0 / 16.0)) > 0.02
+    hook = F.lower(F.trim("hook"))
+    said = F.lit(False)
+    for phrase in stock:
+        said = said | F.contains(hook, F.lit(phrase))
+    branded = F.exists("tags", lambda t: F.lower(t).isin([b.lower() for b in brands]))
+    poor = F.coalesce(F.char_length("title"), F.lit(0)) < 5
+    scores = {
+        "layout": segments.groupBy("video_id").agg(clip(100 - FAULTS["short"] * F.count_if(c("end_ms") - c("start_ms") < shortest)).alias("layout")),
+        "crop": crops.groupBy("video_id").agg(clip(100 - FAULTS["ratio"] * F.count_if(ratio) - FAULTS["outside"] * F.count_if(outside)).alias("crop")),
+        "hooks": hooks.groupBy("video_id").agg(clip(100.0 * F.countDistinct(hook) / F.count("*") - FAULTS["stock"] * F.count_if(said)).alias("hooks")),
+        "metadata": metadata.groupBy("video_id").agg(clip(100 - FAULTS["brand"] * F.count_if(~F.coalesce(branded, F.lit(False))) - FAULTS["title"] * F.count_if(poor)).alias("metadata")),
+    }
+    d = videos.select("video_id").distinct()
+    for name, score in scores.items():
+        d = d.join(score, "video_id", "left").withColumn(name, F.coalesce(name, F.lit(50.0)))
+    d = d.withColumn("overall", F.round((c("layout") + c("crop") + c("hooks") + c("metadata")) * 0.25, 2))
+    grade = F.when(c("overall") >= GRADES[0][0], GRADES[0][1])
+    for least, name in GRADES[1:]:
+        grade = grade.when(c("overall") >= least, name)
+    return d.withColumn("grade", grade.otherwise("B"))
+
+
+@query("agg_quality_grade", """with v as (select distinct video_id from fx_candidates), h as (select video_id, lower(trim(case when cand % 9 = 8 then 'Watch What Happens next' else topic_id || left(text, 14) end)) as hook, case when cand % 6 = 5 then ['#Other'] else ['#x', '#Timeloom'] end as tags, case when cand % 8 = 7 then 'abc' else text end as title from fx_candidates),
+l as (select video_id, greatest(0.0, 100.0 - 10 * count(*) filter (where end_ms - start_ms < 1200)) as layout from fx_scenes group by all),
+c as (select video_id, greatest(0.0, 100.0 - 15 * count(*) filter (where abs(case when h = 0 then 0.0 else w / h::double end - 9.0 / 16.0) > 0.02) - 25 * count(*) filter (where x < 0 or y < 0 or x + w > 1921 or y + h > 1081)) as crop from fx_samples where t_ms < 1000 and track_id % 10 < 3 group by all),
+k as (select video_id, greatest(0.0, 100.0 * count(distinct hook) / count(*) - 10 * count(*) filter (where contains(hook, 'this changed everything') or contains(hook, 'watch what happens'))) as hooks,
+  greatest(0.0, 100.0 - 15 * count(*) filter (where not list_contains(list_transform(tags, lambda t: lower(t)), '#timeloom')) - 20 * count(*) filter (where length(title) < 5)) as metadata from h group by all),
+s as (select v.video_id, coalesce(layout, 50.0)::double as layout, coalesce(crop, 50.0)::double as crop, coalesce(hooks, 50.0)::double as hooks, coalesce(metadata, 50.0)::double as metadata from v left join l using (video_id) left join c using (video_id) left join k using (video_id)),
+o as (select *, round((layout + crop + hooks + metadata) * 0.25, 2) as overall from s)
+select *, case when overall >= 93 then 'A+' when overall >= 87 then 'A' when overall >= 80 then 'B+' else 'B' end as grade from o""")
+def agg_quality_grade(fx_candidates, fx_scenes, fx_samples):
+    c = F.col
+    few = fx_candidates
+    hooks = few.select("video_id", F.when(c("cand") % 9 == 8, "Watch What Happens next").otherwise(F.concat("topic_id", F.left("text", F.lit(14)))).alias("hook"))
+    metadata = few.select("video_id", F.when(c("cand") % 6 == 5, F.array(F.lit("#Other"))).otherwise(F.array(F.lit("#x"), F.lit("#Timeloom"))).alias("tags"), F.when(c("cand") % 8 == 7, "abc").otherwise(c("text")).alias("title"))
+    return quality_grades(fx_candidates, fx_scenes, fx_samples.where("t_ms < 1000 and track_id % 10 < 3"), hooks, metadata, (1920, 1080), ["#timeloom"], ["this changed everything", "watch what happens"])
 
 
 @query("agg_storage_breakdown", "select case when path like '%.mp4' then 'video' when path like '%.mp3' then 'audio' when path like '%.json' then 'data' else 'images' end as category, sum(length)::bigint as bytes, count(*) as files from fx_assets group by all")
@@ -299,12 +389,30 @@ def agg_distinct(fx_candidates):
     return fx_candidates.groupBy("video_id").agg(F.countDistinct("topic_id").alias("topics"), F.array_join(F.sort_array(F.collect_set("topic_id")), ",").alias("names"))
 
 
-@query("agg_motion_metrics", "select video_id, track_id, abs(d) * 1.5 / s as peak_velocity, abs(d) * 6.0 / (s * s) as peak_acceleration, abs(d) * 12.0 / (s * s * s) as peak_jerk, abs(d) > 5 as moving from (select video_id, track_id, arg_max(x, t_ms) - arg_min(x, t_ms) as d, greatest(0.001, (max(t_ms) - min(t_ms)) / 1000.0) as s from fx_samples group by all) t")
+#: Peak velocity, acceleration and jerk of a move by its easing, as multiples of distance over powers of the duration; and the least pan and zoom.
+PEAKS = {"cubic": (1.5, 6.0, 12.0), "sine": (math.pi / 2, math.pi**2 / 2, math.pi**3 / 2)}
+LEAST_PAN, LEAST_ZOOM = 12.0, 0.004
+
+
+def motion_metrics(moves: DataFrame) -> DataFrame:
+    """Peaks along x, y and zoom of moves (``dx, dy, dzoom, seconds, easing``: sine, else cubic) and whether they mean anything;
+    a move lasts a quarter of a second at least."""
+    s = F.greatest(F.lit(0.25), F.col("seconds"))
+    out = moves
+    for n, (name, digits) in enumerate((("velocity", 4), ("acceleration", 4), ("jerk", 5))):
+        factor = F.when(F.col("easing") == "sine", F.lit(PEAKS["sine"][n])).otherwise(F.lit(PEAKS["cubic"][n]))
+        power = s if n == 0 else s * s if n == 1 else s * s * s
+        for axis in ("x", "y", "zoom"):
+            out = out.withColumn(f"peak_{name}_{axis}", F.round(F.abs(f"d{axis}") * factor / power, digits))
+    return out.withColumn("moving", (F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) >= LEAST_PAN) | (F.abs("dzoom") >= LEAST_ZOOM))
+
+
+@query("agg_motion_metrics", "with t as (select video_id, track_id, arg_max(x, t_ms) - arg_min(x, t_ms) as dx, arg_max(y, t_ms) - arg_min(y, t_ms) as dy, (arg_max(conf_pct, t_ms) - arg_min(conf_pct, t_ms)) / 1000.0 as dz, greatest(0.25, (max(t_ms) - min(t_ms)) / 1000.0) as s, case when track_id % 2 = 0 then 'sine' else 'cubic' end as easing from fx_samples group by all), f as (select *, case when easing = 'sine' then [pi() / 2, pi() * pi() / 2, pi() * pi() * pi() / 2] else [1.5, 6.0, 12.0] end as f from t) select video_id, track_id, easing, " + ", ".join(f"round(abs({d}) * f[{n}] / ({p}), {g}) as peak_{m}_{a}" for n, m, p, g in ((1, "velocity", "s", 4), (2, "acceleration", "s * s", 4), (3, "jerk", "s * s * s", 5)) for a, d in (("x", "dx"), ("y", "dy"), ("zoom", "dz"))) + f", sqrt(dx * dx + dy * dy) >= {LEAST_PAN} or abs(dz) >= {LEAST_ZOOM} as moving from f")
 def agg_motion_metrics(fx_samples):
-    """Peaks of a smooth move from first to last position: fixed factors of distance over powers of the duration."""
-    t = fx_samples.groupBy("video_id", "track_id").agg((F.max_by("x", "t_ms") - F.min_by("x", "t_ms")).alias("d"), F.greatest(F.lit(0.001), (F.max("t_ms") - F.min("t_ms")) / 1000.0).alias("s"))
-    d, s = F.abs("d"), F.col("s")
-    return t.select("video_id", "track_id", (d * 1.5 / s).alias("peak_velocity"), (d * 6.0 / (s * s)).alias("peak_acceleration"), (d * 12.0 / (s * s * s)).alias("peak_jerk"), (d > 5).alias("moving"))
+    """Each track's move from its first to its last position."""
+    change = lambda v: F.max_by(v, "t_ms") - F.min_by(v, "t_ms")
+    t = fx_samples.groupBy("video_id", "track_id").agg(change("x").alias("dx"), change("y").alias("dy"), (change("conf_pct") / 1000.0).alias("dzoom"), ((F.max("t_ms") - F.min("t_ms")) / 1000.0).alias("seconds"))
+    return motion_metrics(t.withColumn("easing", F.when(F.col("track_id") % 2 == 0, "sine").otherwise("cubic"))).drop("dx", "dy", "dzoom", "seconds")
 
 
 @query("agg_drift", "select video_id, track_id, min(case when abs(x - x0) > 5 then t_ms end) as first_drift_ms, max(x) - min(x) as span, max(abs(x + w / 2.0 - 960)) as off_centre from (select *, first_value(x) over (partition by video_id, track_id order by t_ms) as x0 from fx_samples) t group by all")

@@ -37,16 +37,25 @@ def win_memory(fx_turns):
     return fx_turns.select("video_id", "turn", *[f("speaker", n, "").over(by_turn()).alias(f"{name}_{n}") for f, name in ((F.lag, "before"), (F.lead, "after")) for n in (1, 2)])
 
 
-_ROLE = "case when text like '%?%' then 'question' when length(text) % 3 = 0 then 'statement' else 'story' end"
+#: Roles that a block after a question turns from into its answer.
+ANSWERING = ["statement", "answer", "explanation"]
 
 
-@query("win_qa_link", f"with r as (select video_id, turn, {_ROLE} as role from fx_turns) select video_id, turn, case when lag(role) over w = 'question' and role = 'statement' then 'answer' else role end as role, case when role = 'question' then lead(turn) over w when lag(role) over w = 'question' and role = 'statement' then lag(turn) over w end as linked from r window w as (partition by video_id order by turn)")
+def qa_links(blocks: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``role, linked``: questions link to the next block, whatever it is; a statement, answer or explanation after one is its answer and links back."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    answer = (F.lag("role").over(w) == "question") & F.col("role").isin(ANSWERING)
+    return blocks.select(*keys, order, F.when(answer, "answer").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "question", F.lead(order).over(w)).when(answer, F.lag(order).over(w)).alias("linked"))
+
+
+_TURN_ROLE = "case when contains(text, '?') then 'question' when length(text) % 5 = 0 then 'statement' when length(text) % 5 = 1 then 'explanation' when length(text) % 5 = 2 then 'answer' else 'story' end"
+
+
+@query("win_qa_link", f"with r as (select video_id, turn, {_TURN_ROLE} as role from fx_turns) select video_id, turn, case when lag(role) over w = 'question' and role in ('statement', 'answer', 'explanation') then 'answer' else role end as role, case when role = 'question' then lead(turn) over w when lag(role) over w = 'question' and role in ('statement', 'answer', 'explanation') then lag(turn) over w end as linked from r window w as (partition by video_id order by turn)")
 def win_qa_link(fx_turns):
-    """Questions link to the next block; a statement after one becomes its answer and links back."""
-    role = F.when(F.col("text").contains("?"), "question").when(F.length("text") % 3 == 0, "statement").otherwise("story")
-    r = fx_turns.select("video_id", "turn", role.alias("role"))
-    answer = (F.lag("role").over(by_turn()) == "question") & (F.col("role") == "statement")
-    return r.select("video_id", "turn", F.when(answer, "answer").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "question", F.lead("turn").over(by_turn())).when(answer, F.lag("turn").over(by_turn())).alias("linked"))
+    n = F.length("text") % 5
+    role = F.when(F.col("text").contains("?"), "question").when(n == 0, "statement").when(n == 1, "explanation").when(n == 2, "answer").otherwise("story")
+    return qa_links(fx_turns.select("video_id", "turn", role.alias("role")), ["video_id"], "turn")
 
 
 @query("win_silence_gap", "select video_id, idx, coalesce(start_ms - lag(end_ms) over w, 0)::bigint as before_ms, coalesce(lead(start_ms) over w - end_ms, 0)::bigint as after_ms from fx_words window w as (partition by video_id order by idx)")
