@@ -96,7 +96,7 @@ def test_chunks_give_whole_encodings():
     assert of.split and of.quick
     rng = random.Random(9)
     for t in odd_texts()[1:] + ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0xC0, 0x24F), rng.randint(0x300, 0x3000)])) for _ in range(40)) for _ in range(200)]:
-        (chunks,), known = of.align([t or ""])
+        (chunks,), _, known = of.align([t or ""])
         assert " ".join(chunks) == (t or "")
         if t and all(known[c] for c in chunks):
             ids = [x.split("|") for x in "".join(known[c].groups for c in chunks)[:-1].split(";")]

@@ -23,7 +23,7 @@ from timeloom.plans.scratch import materialise
 
 SPACE = "▁"
 #: Chunks whose alignment a worker keeps, characters of a chunk that is kept at most, documents and characters that are aligned at once.
-REMEMBERED, KEPT_LENGTH, AT_ONCE, AT_ONCE_CHARS = 200_000, 64, 256, 4_000_000
+REMEMBERED, KEPT_LENGTH, AT_ONCE, AT_ONCE_CHARS = 200_000, 64, 1024, 4_000_000
 #: What the byte-level model's library cuts texts by before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that any library's tables class alike; other chunks go to the model's own library.
@@ -94,6 +94,7 @@ class Aligner:
         self.known: dict[str, Aligned | None] = {}
         self.older: dict[str, Aligned | None] = {}
         self.pieces: dict[str, Aligned | None] = {}
+        self.long: list[str] = []
 
     def _merger(self, model: dict):
         """Encoding of one chunk by ``tiktoken``; None where it can't be proved the same."""
@@ -199,38 +200,39 @@ class Aligner:
             self.pieces.update(zip(order, self._aligned(data, *tokens)))
         return self.pieces
 
-    def align(self, texts: list[str]) -> tuple[list[list[str]], dict[str, Aligned | None]]:
-        """The texts' parts, and the alignment of each of them."""
+    def align(self, texts: list[str]) -> tuple[list[list[str]], set[str], dict[str, Aligned | None]]:
+        """The texts' parts, all of them as a set, and a table that holds the alignment of each (and of others)."""
         gc.disable()  # what is made here holds no cycles, and the collector would walk all that is kept again and again
         cut = [self.parts(t) for t in texts]
+        for p in self.long:  # held for one call only
+            self.known.pop(p, None)
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        found, new, known, older, none = {}, [], self.known, self.older, ()
-        for p in set().union(*cut):
-            v = known.get(p, none)
-            if v is none:
-                v = older.get(p, none)
-                if v is none:
-                    new.append(p)
-                    continue
-                known[p] = v
-            found[p] = v
+        known, older, wanted = self.known, self.older, set().union(*cut)
+        fresh = wanted.difference(known)
+        known.update((p, older[p]) for p in fresh if p in older)
+        new = list(fresh.difference(older))
         chunks = [self.split(" " + p) if self.split else [" " + p] for p in new]
         of = self._chunks_of(list(chain.from_iterable(chunks)))
         for p, own in zip(new, chunks):
             if len(own) == 1:
-                v = of[own[0]]
+                known[p] = of[own[0]]
+                continue
+            each = [of[c] for c in own]
+            if None in each:
+                known[p] = None
+            elif len(each) == 2:
+                x, y = each
+                known[p] = Aligned(x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + y[4], x[5] + y[5])
             else:
-                each = [of[c] for c in own]
-                v = None if None in each else Aligned(*(sum(x) for x in list(zip(*each))[:4]), "".join([x.groups for x in each]), tuple(chain.from_iterable([x.links for x in each])))
-            found[p] = v
-            if len(p) <= KEPT_LENGTH:
-                known[p] = v
-        if any(len(p) > 4 * KEPT_LENGTH for p in new):  # long chunks are held for these texts only
+                n_a, n_b, n_groups, n_links, groups, links = zip(*each)
+                known[p] = Aligned(sum(n_a), sum(n_b), sum(n_groups), sum(n_links), "".join(groups), tuple(chain.from_iterable(links)))
+        self.long = [p for p in new if len(p) > KEPT_LENGTH]
+        if any(len(p) > 4 * KEPT_LENGTH for p in self.long):
             self.pieces = {}
         gc.freeze()
         gc.enable()
-        return cut, found
+        return cut, wanted, known
 
 
 @lru_cache(maxsize=2)
@@ -341,7 +343,7 @@ def _tally(a_file: str, b_file: str):
         of, counts = aligner(a_file, b_file), Counter()
         for b in batches:
             for _, texts in stretches(b.column(0).to_pylist()):
-                cut, known = of.align(texts)
+                cut, _, known = of.align(texts)
                 for text, parts in zip(texts, cut):
                     own = [known[p] for p in set(parts)]
                     if text and None not in own:
@@ -407,8 +409,8 @@ def _look_up(a_file: str, b_file: str, text: str, table: PairCounts, more: bool)
             names = whole.schema.names
             for first, texts in stretches(whole.column(names.index(text)).to_pylist()):
                 b = whole.slice(first, len(texts))
-                cut, known = of.align(texts)
-                new = [c for c, v in known.items() if c not in sums and v is not None]
+                cut, wanted, known = of.align(texts)
+                new = [p for p in wanted.difference(sums) if known[p] is not None]
                 links = np.array([k for c in new for k in known[c].links], np.int64)
                 inside = (links >= low) & (links < high)
                 count, best = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
