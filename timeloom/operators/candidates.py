@@ -153,11 +153,46 @@ def merge_overlaps(fx_candidates):
     return merge_overlaps_of(fx_candidates, 60_000)
 
 
-@query("win_zone_top1", "select video_id, zone, cand from (select *, row_number() over (partition by video_id, zone order by score desc, cand) as n from (select *, (start_ms // 120000)::bigint as zone from fx_candidates) z) t where n = 1")
+def zone_picks(cands: DataFrame, limit: int = 5, long_ms: int = 600_000, long_zone_ms: int = 300_000, zone_ms: int = 120_000) -> DataFrame:
+    """Clips that cover a whole video: ``video_id, kept, cand, zone, filled``.
+
+    Zone by zone (five minutes in videos of ten and more, else two) the best candidate that overlaps none chosen before by more
+    than 35 % of the shorter; a zone may stay empty. While fewer than ``limit`` are chosen, the best of the video's other candidates
+    follow by the same rule (``filled``). Ties go to the smaller ``cand``. Two folds over a video's candidates in one pass; what is kept is at most ``limit``."""
+    total = Window.partitionBy("video_id")
+    c = cands.where("start_ms is not null and end_ms is not null and score is not null").withColumn("_z", F.when(F.max("end_ms").over(total) >= long_ms, long_zone_ms).otherwise(zone_ms))
+    fields = ["cand", "start_ms", "end_ms", "zone"]
+    row = F.struct(F.floor(F.col("start_ms") / F.col("_z")).alias("zone"), (-F.col("score")).alias("_o"), "cand", "start_ms", "end_ms")
+    one = c.select(F.struct("cand", "start_ms", "end_ms", F.lit(0).cast("long").alias("zone"), F.lit(False).alias("filled")).alias("x"))
+    kind = one.select(F.struct(F.array("x").alias("kept"), F.lit(0).cast("long").alias("done"))).schema[0].dataType.simpleString()
+
+    def taken(s, r, filled):
+        return F.array_append(s["kept"], F.struct(*[r[f].alias(f) for f in fields], F.lit(filled).alias("filled")))
+
+    def free(s, r):
+        return (F.size(s["kept"]) < limit) & ~F.exists(s["kept"], lambda k: overlap_share(0.35)(k, r))
+
+    def by_zone(s, r):
+        fits = (s["done"].isNull() | (s["done"] != r["zone"])) & free(s, r)
+        return F.when(fits, F.struct(taken(s, r, False).alias("kept"), r["zone"].alias("done"))).otherwise(s).cast(kind)
+
+    def by_score(s, r):
+        return F.when(free(s, r), F.struct(taken(s, r, True).alias("kept"), s["done"].alias("done"))).otherwise(s).cast(kind)
+
+    g = c.groupBy("video_id").agg(F.sort_array(F.collect_list(row)).alias("_r"))
+    start = F.struct(F.array().alias("kept"), F.lit(None).cast("long").alias("done")).cast(kind)
+    ranked = F.array_sort("_r", lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).when(a["cand"] < b["cand"], -1).when(a["cand"] > b["cand"], 1).otherwise(0))
+    g = g.withColumn("_s", F.aggregate("_r", start, by_zone)).withColumn("_s", F.aggregate(ranked, F.col("_s"), by_score))
+    return g.select("video_id", F.posexplode("_s.kept").alias("kept", "x")).select("video_id", "kept", "x.cand", "x.zone", "x.filled")
+
+
+@query("win_zone_top1", f"""with recursive z as (select *, start_ms // case when max(end_ms) over (partition by video_id) >= 600000 then 300000 else 120000 end as zone from fx_candidates),
+u as (select *, false as filled from z union all select *, true as filled from z), o as (select *, row_number() over (partition by video_id order by filled, case when not filled then zone end, score desc, cand) as n from u),
+g as (select video_id, n, [{{'c': cand, 's': start_ms, 'e': end_ms, 'z': zone, 'f': false}}] as kept from o where n = 1
+ union all select g.video_id, t.n, case when len(g.kept) >= 5 or (not t.filled and g.kept[-1].z = t.zone) or len(list_filter(g.kept, lambda k: {_CLASH} > least(k.e - k.s, t.end_ms - t.start_ms) * 0.35)) > 0 then g.kept else list_append(g.kept, {{'c': t.cand, 's': t.start_ms, 'e': t.end_ms, 'z': t.zone, 'f': t.filled}}) end from g join o t on t.video_id = g.video_id and t.n = g.n + 1)
+select video_id, i::int as kept, kept[i + 1].c as cand, kept[i + 1].z::bigint as zone, kept[i + 1].f as filled from (select video_id, kept, unnest(range(len(kept))) as i from (select video_id, arg_max(kept, n) as kept from g group by video_id) x) y""")
 def win_zone_top1(fx_candidates):
-    """The best of each 120 s zone."""
-    z = fx_candidates.withColumn("zone", F.floor(F.col("start_ms") / 120_000))
-    return z.groupBy("video_id", "zone").agg(F.max_by("cand", F.struct("score", -F.col("cand"))).alias("cand"))
+    return zone_picks(fx_candidates)
 
 
 @query("gen_zone_labels", "select video_id, string_agg((z * 2)::varchar || '-' || (z * 2 + 2)::varchar || 'min', ', ' order by z) as zones from (select video_id, unnest(range(0, (max(end_ms) // 120000)::bigint + 1)) as z from fx_segments group by video_id) t group by all")

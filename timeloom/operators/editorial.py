@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from timeloom.functions import columns as C
 from timeloom.operators.candidates import greedy_keep, nms_sql
-from timeloom.operators.windows import by_idx, by_turn, sentence_bounds
+from timeloom.operators.intervals import nearest
+from timeloom.operators.windows import by_idx, by_turn, sentence_bounds, sentence_words
 from timeloom.plans.catalog import query
 from timeloom.plans.scratch import materialise
 
@@ -250,17 +251,78 @@ def gen_candidates(fx_turns):
     return turns_scored(fx_turns).select("video_id", "turn", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"), "importance", "peak", (F.col("end_ms") - F.col("start_ms") <= 30000).alias("fits"))
 
 
-@query("gen_peak_subcandidates", f"""with recursive {_BLOCKS}, po as (select video_id, start_ms::double as t, row_number() over (partition by video_id order by start_ms) as k from b where peak >= 0.55),
-pg as (select video_id, k, [{{'n': 1::bigint, 'total': t}}] as c from po where k = 1 union all select pg.video_id, po.k, case when h.i > 0 then list_transform(pg.c, lambda x, j: case when j = h.i then {{'n': x.n + 1, 'total': x.total + po.t}} else x end) else list_append(pg.c, {{'n': 1::bigint, 'total': po.t}}) end from pg join po on po.video_id = pg.video_id and po.k = pg.k + 1, lateral (select coalesce(list_position(list_transform(pg.c, lambda x: abs(po.t - x.total / x.n) <= 25000), true), 0) as i) h),
-pw as (select video_id, i::int as cand, c[i + 1].n as n, greatest(0, floor(c[i + 1].total / c[i + 1].n) - 18000)::bigint as start_ms, greatest(0, floor(c[i + 1].total / c[i + 1].n) - 18000)::bigint + 40000 as end_ms from (select video_id, c, unnest(range(len(c))) as i from (select video_id, arg_max(c, k) as c from pg group by video_id) x) y),
-{nms_sql('pw', 'n desc, cand', 'greatest(0, least(k.e, t.end_ms) - greatest(k.s, t.start_ms)) / greatest(100, greatest(k.e, t.end_ms) - least(k.s, t.start_ms)) > 0.35')}
-select video_id, kept::int as kept, k.c as cand, k.s as start_ms, k.e as end_ms from r""")
-def gen_peak_subcandidates(fx_turns):
-    """Clusters of peaks as windows from 18 s before to 40 s after their start, those that hardly overlap, best first."""
-    p = peak_clusters(turns_scored(fx_turns).where("peak >= 0.55"))
-    w = p.select("video_id", F.col("cluster").alias("cand"), "n", F.greatest(F.lit(0), F.floor("centre") - 18_000).cast("long").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 40_000)
+#: Roles whose blocks carry a point of their own; fixed values.
+POINT_ROLES = ["question", "hook", "story", "joke", "rebuttal"]
+
+
+def led_clusters(peaks: DataFrame, near_ms: int = 25_000) -> DataFrame:
+    """``peak_clusters`` with the peak that leads each (the best, of equals the first): ``video_id, cluster, at_ms, pointed``.
+    ``peaks`` hold ``start_ms, peak`` and ``pointed`` (whether the block carries a main point)."""
+    kind = "array<struct<n:bigint,total:double,peak:double,at_ms:bigint,pointed:boolean>>"
+
+    def step(cl, p):
+        t = p["start_ms"].cast("double")
+        hit = F.array_position(F.transform(cl, lambda c: F.abs(t - c["total"] / c["n"]) <= near_ms), True)
+        lead = lambda c: p["peak"] > c["peak"]
+        taken = lambda c: F.struct((c["n"] + 1).alias("n"), (c["total"] + t).alias("total"), F.greatest(c["peak"], p["peak"]).alias("peak"), F.when(lead(c), p["start_ms"]).otherwise(c["at_ms"]).alias("at_ms"), F.when(lead(c), p["pointed"]).otherwise(c["pointed"]).alias("pointed"))
+        new = F.struct(F.lit(1).cast("long").alias("n"), t.alias("total"), p["peak"].alias("peak"), p["start_ms"].alias("at_ms"), p["pointed"].alias("pointed"))
+        return F.when(hit > 0, F.transform(cl, lambda c, i: F.when(i + 1 == hit, taken(c)).otherwise(c))).otherwise(F.array_append(cl, new)).cast(kind)
+
+    rows = F.sort_array(F.collect_list(F.struct(F.col("start_ms").cast("long").alias("start_ms"), F.col("peak").cast("double").alias("peak"), "pointed")))
+    g = peaks.where("start_ms is not null and peak is not null").groupBy("video_id").agg(F.aggregate(rows, F.array().cast(kind), step).alias("c"))
+    return g.select("video_id", F.posexplode("c").alias("cluster", "x")).select("video_id", "cluster", "x.at_ms", "x.pointed")
+
+
+def peak_subcandidates(blocks: DataFrame, words: DataFrame, least_peak: float = 0.55, oversized_ms: int = 90_000, min_ms: int = 20_000, max_ms: int = 60_000, complete: float = 0.70) -> DataFrame:
+    """Story-complete windows inside talks that are too long for one clip: ``video_id, kept, cand, start_ms, end_ms, completeness``.
+
+    Peaks of a talk over ``oversized_ms`` form clusters. From the best peak of each, a window begins 18 s before and ends 40 s
+    after its begin, both snapped to the sentence around the nearest word where that is within 10 s; it must last
+    ``min_ms`` to ``max_ms`` and be complete (hook 30, context 20, main point 30, payoff 20 per cent). Of windows that
+    overlap by more than 0.35 of their hull the more complete stays, of equals the earlier cluster's. Talks without
+    words or peaks give no rows."""
+    talk = blocks.groupBy("video_id").agg(F.min("start_ms").alias("talk_start"), F.max("end_ms").alias("talk_end")).where(F.col("talk_end") - F.col("talk_start") > oversized_ms)
+    pointed = (F.col("importance") >= 0.55) | (F.col("emotion") >= 0.40) | F.col("role").isin(POINT_ROLES)
+    c = led_clusters(blocks.where(F.col("peak") >= least_peak).withColumn("pointed", pointed)).join(talk, "video_id")
+    w = sentence_words(words).select("video_id", "start_ms", "end_ms", "idx", "word", "opening", "closing")
+    w = materialise(w.select("video_id", F.col("start_ms").alias("w_ms"), F.struct("start_ms", "end_ms", "idx", "word", "opening", "closing").alias("w")), "turn-words")
+    c = nearest(c.withColumn("from_ms", F.greatest("talk_start", F.col("at_ms") - 18_000)), w, "from_ms", "w_ms", ["w"])
+    own = lambda at: F.struct(F.col(f"w.{at}").alias("at_ms"), F.col("w.idx").alias("idx"), F.col("w.word").alias("word"))
+    c = c.withColumn("first", F.when(F.col("w.start_ms") - F.col("w.opening.at_ms") <= 10_000, F.col("w.opening")).otherwise(own("start_ms"))).drop("w", "w_ms")
+    c = nearest(c.withColumn("to_ms", F.least("talk_end", F.col("first.at_ms") + 40_000)), w, "to_ms", "w_ms", ["w"])
+    c = c.withColumn("last", F.when(F.col("w.closing.at_ms") - F.col("w.end_ms") <= 10_000, F.col("w.closing")).otherwise(own("end_ms")))
+    c = c.select("video_id", F.col("cluster").alias("cand"), "pointed", "first", "last", F.col("first.at_ms").alias("start_ms"), F.col("last.at_ms").alias("end_ms"))
+    c = c.where((F.col("end_ms") - F.col("start_ms")).between(min_ms, max_ms))
+    starter = F.col("first.word")
+    context = (F.col("last.idx") - F.col("first.idx") >= 29) & ~C.is_connector(starter)
+    points = [(~C.has_floating_pronoun(starter), 30), (context, 20), (F.col("pointed"), 30), (C.sentence_final(F.col("last.word")), 20)]
+    c = c.withColumn("completeness", sum((F.when(t, n).otherwise(0) for t, n in points), F.lit(0)) / 100.0).where(F.col("completeness") >= complete)
     clash = lambda k, r: C.iou_hull(k["start_ms"], k["end_ms"], r["start_ms"], r["end_ms"]) > 0.35
-    return greedy_keep(w, ["video_id"], [-F.col("n"), F.col("cand")], ["cand", "start_ms", "end_ms"], clash)
+    return greedy_keep(c, ["video_id"], [-F.col("completeness"), F.col("cand")], ["cand", "start_ms", "end_ms", "completeness"], clash)
+
+
+_NEAR = "(select arg_min({{'a': w.start_ms, 'z': w.end_ms, 'i': w.idx, 'w': w.word, 'oa': w.o.a, 'oi': w.o.i, 'ow': w.o.w, 'ca': w.c.a, 'ci': w.c.i, 'cw': w.c.w}}, (abs(w.start_ms - {at}), w.start_ms)) from tw w where w.video_id = {row}.video_id)"
+
+
+@query("gen_peak_subcandidates", f"""with recursive {_BLOCKS}, talk as (select video_id, min(start_ms) as a, max(end_ms) as z from fx_turns group by video_id having max(end_ms) - min(start_ms) > 90000),
+po as (select video_id, start_ms::bigint as at_ms, start_ms::double as t, peak::double as peak, (importance >= 0.55 or emotion >= 0.40 or role in ('question', 'hook', 'story', 'joke', 'rebuttal')) as pointed, row_number() over (partition by video_id order by start_ms) as k from b where peak >= 0.55),
+pg as (select video_id, k, [{{'n': 1::bigint, 'total': t, 'peak': peak, 'at_ms': at_ms, 'pointed': pointed}}] as c from po where k = 1
+ union all select pg.video_id, po.k, case when h.i > 0 then list_transform(pg.c, lambda x, j: case when j = h.i then {{'n': x.n + 1, 'total': x.total + po.t, 'peak': greatest(x.peak, po.peak), 'at_ms': case when po.peak > x.peak then po.at_ms else x.at_ms end, 'pointed': case when po.peak > x.peak then po.pointed else x.pointed end}} else x end)
+  else list_append(pg.c, {{'n': 1::bigint, 'total': po.t, 'peak': po.peak, 'at_ms': po.at_ms, 'pointed': po.pointed}}) end
+  from pg join po on po.video_id = pg.video_id and po.k = pg.k + 1, lateral (select coalesce(list_position(list_transform(pg.c, lambda x: abs(po.t - x.total / x.n) <= 25000), true), 0) as i) h),
+pc as (select x.video_id, i::int as cand, c[i + 1].at_ms as at_ms, c[i + 1].pointed as pointed, talk.a, talk.z from (select video_id, c, unnest(range(len(c))) as i from (select video_id, arg_max(c, k) as c from pg group by video_id) y) x join talk on talk.video_id = x.video_id),
+tf as (select *, coalesce(regexp_matches(lag(word) over v, '[.?!]$') or start_ms - lag(end_ms) over v > 1200, true) as o1, coalesce(regexp_matches(word, '[.?!]$') or lead(start_ms) over v - end_ms > 1200, true) or lead(idx) over v is null as c1 from fx_turn_words window v as (partition by video_id order by idx)),
+tw as (select *, last_value(case when o1 then {{'a': start_ms, 'i': idx, 'w': word}} end ignore nulls) over (partition by video_id order by idx) as o, first_value(case when c1 then {{'a': end_ms, 'i': idx, 'w': word}} end ignore nulls) over (partition by video_id order by idx rows between current row and unbounded following) as c from tf),
+p1 as (select pc.*, {_NEAR.format(at="greatest(pc.a, pc.at_ms - 18000)", row="pc")} as n from pc),
+p2 as (select video_id, cand, pointed, z, case when n.a - n.oa <= 10000 then n.oa else n.a end as s, case when n.a - n.oa <= 10000 then n.oi else n.i end as si, case when n.a - n.oa <= 10000 then n.ow else n.w end as word from p1 where n is not null),
+p3 as (select p2.*, {_NEAR.format(at="least(p2.z, p2.s + 40000)", row="p2")} as n from p2),
+p4 as (select video_id, cand, pointed, s, si, word, {_TOK} as first_token, case when n.ca - n.z <= 10000 then n.ca else n.z end as e, case when n.ca - n.z <= 10000 then n.ci else n.i end as ei, case when n.ca - n.z <= 10000 then n.cw else n.w end as ew from p3),
+pw as (select video_id, cand, s::bigint as start_ms, e::bigint as end_ms, (case when first_token not in ({_FP}) then 30 else 0 end + case when ei - si >= 29 and first_token not in ({_CN}) then 20 else 0 end + case when pointed then 30 else 0 end + case when regexp_matches(ew, '[.?!]$') then 20 else 0 end) / 100.0 as completeness from p4 where e - s between 20000 and 60000),
+pq as (select * from pw where completeness >= 0.70),
+{nms_sql('pq', 'completeness desc, cand', 'greatest(0, least(k.e, t.end_ms) - greatest(k.s, t.start_ms)) / greatest(100, greatest(k.e, t.end_ms) - least(k.s, t.start_ms)) > 0.35')}
+select r.video_id, kept::int as kept, k.c as cand, k.s as start_ms, k.e as end_ms, pq.completeness from r join pq on pq.video_id = r.video_id and pq.cand = k.c""")
+def gen_peak_subcandidates(fx_turns, fx_turn_words):
+    return peak_subcandidates(turns_scored(fx_turns), fx_turn_words)
 
 
 @query("gen_llm_selection", r"""with j as (select r.video_id, r.cand, json_extract(j, '$.start')::bigint as s, json_extract(j, '$.end')::bigint as e, greatest(1, least(100, coalesce(try_cast(json_extract_string(j, '$.score') as int), 70))) as score from (select *, nullif(regexp_extract(raw, '(?s)(\{.*\})', 1), '')::json as j from fx_replies) r where j is not null)

@@ -113,6 +113,17 @@ def sentence_bounds(words: DataFrame) -> DataFrame:
     return w.withColumns({"sentence_start": F.last("_o", True).over(by_idx().rowsBetween(Window.unboundedPreceding, 0)), "sentence_end": F.last("_c", True).over(back.rowsBetween(Window.unboundedPreceding, 0))}).drop("_o", "_c")
 
 
+def sentence_words(words: DataFrame) -> DataFrame:
+    """Each word with the first and the last word of its sentence, as structs ``opening`` and ``closing`` of ``at_ms, idx, word``
+    (the opening's start, the closing's end); sentences are cut as in ``sentence_bounds``."""
+    opens = F.coalesce(F.lag(C.sentence_final(F.col("word"))).over(by_idx()) | (F.col("start_ms") - F.lag("end_ms").over(by_idx()) > 1200), F.lit(True))
+    closes = F.coalesce(C.sentence_final(F.col("word")) | (F.lead("start_ms").over(by_idx()) - F.col("end_ms") > 1200), F.lit(True))
+    back = Window.partitionBy("video_id").orderBy(F.desc("idx"))
+    own = lambda at: F.struct(F.col(at).alias("at_ms"), "idx", "word")
+    w = words.withColumns({"_o": F.when(opens, own("start_ms")), "_c": F.when(closes | F.lead("idx").over(by_idx()).isNull(), own("end_ms"))})
+    return w.withColumns({"opening": F.last("_o", True).over(by_idx().rowsBetween(Window.unboundedPreceding, 0)), "closing": F.last("_c", True).over(back.rowsBetween(Window.unboundedPreceding, 0))}).drop("_o", "_c")
+
+
 _BOUNDS = """f as (select *, coalesce(regexp_matches(lag(word) over w, '[.?!]$') or start_ms - lag(end_ms) over w > 1200, true) as o, coalesce(regexp_matches(word, '[.?!]$') or lead(start_ms) over w - end_ms > 1200, true) or lead(idx) over w is null as c from fx_words window w as (partition by video_id order by idx)),
 b as (select *, max(case when o then start_ms end) over (partition by video_id order by idx) as s, min(case when c then end_ms end) over (partition by video_id order by idx rows between current row and unbounded following) as e from f)"""
 

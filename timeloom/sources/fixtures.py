@@ -40,6 +40,14 @@ FIXTURES: dict[str, tuple[str, str]] = {
       select *, sum(dur + gap) over (partition by video_id order by turn) - dur - gap as start_ms from (
         select conv_id as video_id, turn, role as speaker, case when (conv_id + turn) % 3 = 0 then text || '?' else text end as text,
           400 + 60 * length(text) as dur, case when (conv_id + turn) % 4 = 0 then 1400 else 250 end as gap from conversations where text is not null) a) b"""),
+    "fx_turn_words": tuple(_both(w)[i] for i, w in enumerate((
+        """select video_id, row_number() over (partition by video_id order by turn, pos) - 1 as idx, word, start_ms, start_ms + 60 * length(word) as end_ms from (
+      select video_id, turn, pos, word, from_ms + 60 * (sum(length(word) + 1) over (partition by video_id, turn order by pos) - length(word) - 1) as start_ms from (
+        select video_id, turn, start_ms as from_ms, p.pos as pos, p.col as word from fx_turns lateral view posexplode(filter(split(trim(text), '[ \\t\\n\\r]+'), x -> x <> '')) p as pos, col) a) b""",
+        """select video_id, row_number() over (partition by video_id order by turn, pos) - 1 as idx, word, start_ms, start_ms + 60 * length(word) as end_ms from (
+      select video_id, turn, pos, word, from_ms + 60 * (sum(length(word) + 1) over (partition by video_id, turn order by pos) - length(word) - 1) as start_ms from (
+        select video_id, turn, from_ms, unnest(w) as word, unnest(range(len(w))) as pos from (select video_id, turn, start_ms as from_ms, list_filter(string_split_regex(trim(text), '[ \\t\\n\\r]+'), lambda x: x <> '') as w from fx_turns) t) a) b""",
+    ))),
     "fx_segments": _both("""select video_id, seg_idx, min(start_ms) as start_ms, max(end_ms) as end_ms, STRJOIN(word; idx) as text, count(*) as word_count from (
       select *, cast(coalesce(sum(case when word like '%.' or word like '%?' or word like '%!' then 1 else 0 end) over (partition by video_id order by idx rows between unbounded preceding and 1 preceding), 0) as bigint) as seg_idx from fx_words) a
       group by video_id, seg_idx"""),
