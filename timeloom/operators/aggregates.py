@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from timeloom.functions import columns as C
 from timeloom.operators.intervals import as_right, interval_join
 from timeloom.plans.catalog import query
+from timeloom.plans.scratch import materialise
 
 
 def upper_median(values):
@@ -23,6 +24,29 @@ def weighted_median(df, keys: list[str], value: str, weight: str):
     return d.where(F.col("_c") >= F.col("_t") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 
+def selected_median(df: DataFrame, keys: list[str], value: str, weight: str, bins: int = 1024, small: int = 50_000) -> DataFrame:
+    """``weighted_median`` for groups of any size: no group is sorted in one task.
+
+    Equal values are added up first. While a group's range holds more than ``small`` distinct values, the range is cut into ``bins``
+    parts, their weights are summed on all tasks, and the part in which half is reached is the next range; only then the values left
+    are sorted. Exact at any size: each pass halves the range at least, since its least and largest value fall in different parts. The
+    driver asks once a pass whether a group is still large. Values must be finite, weights not negative; rows where either is null don't count,
+    groups without any are left out as those of null keys are, groups of no weight give their smallest value."""
+    c, w = F.col, Window.partitionBy(*keys)
+    v = materialise(df.where(c(value).isNotNull() & c(weight).isNotNull()).groupBy(*keys, c(value).alias("_v")).agg(F.sum(weight).alias("_w")), "median-values")
+    state = materialise(v.groupBy(*keys).agg((F.sum("_w") / 2).alias("_half"), (F.sum("_w") * 0).alias("_below"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")), "median-ranges")
+    while not state.where((c("_n") > small) & (c("_lo") < c("_hi"))).isEmpty():
+        large = (c("_n") > small) & (c("_lo") < c("_hi"))
+        lo, hi = c("_lo").cast("double"), c("_hi").cast("double")
+        part = F.least(F.lit(bins - 1), F.floor((c("_v") - lo) / (hi - lo) * bins))
+        h = v.join(state.where(large), keys).where("_v between _lo and _hi").groupBy(*keys, "_half", "_below", part.alias("_part"))
+        h = h.agg(F.sum("_w").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+        h = h.withColumn("_upto", c("_below") + F.sum("_in").over(w.orderBy("_part"))).where("_upto >= _half").withColumn("_nth", F.row_number().over(w.orderBy("_part"))).where("_nth = 1")
+        state = materialise(state.where(~large).unionByName(h.select(*keys, "_half", (c("_upto") - c("_in")).alias("_below"), "_lo", "_hi", "_n")), "median-ranges")
+    last = v.join(state, keys).where("_v between _lo and _hi")
+    return last.withColumn("_upto", c("_below") + F.sum("_w").over(w.orderBy("_v"))).where("_upto >= _half").groupBy(*keys).agg(F.min("_v").alias("weighted_median"))
+
+
 @query("agg_frame_best_person", "select video_id, t_ms, arg_max(event_id, (w * h * conf_pct, -event_id)) as best, count(*) as persons, count(*) filter (where w * h / (1920.0 * 1080.0) >= 0.03) as primaries from fx_samples group by all")
 def agg_frame_best_person(fx_samples):
     """Best person of a frame by area and confidence, counts, and how many are large."""
@@ -190,7 +214,7 @@ def agg_weighted_centroid(fx_samples):
 
 @query("agg_weighted_median", "select video_id, min(x) as weighted_median from (select video_id, x, sum(conf_pct) over (partition by video_id order by x) as c, sum(conf_pct) over (partition by video_id) as t from fx_samples) s where c >= t / 2 group by all")
 def agg_weighted_median(fx_samples):
-    return weighted_median(fx_samples, ["video_id"], "x", "conf_pct")
+    return selected_median(fx_samples, ["video_id"], "x", "conf_pct")
 
 
 @query("agg_stable_anchor", "select video_id, edge, min(x) as weighted_median from (select *, sum(conf_pct) over (partition by video_id, edge order by x) as c, sum(conf_pct) over (partition by video_id, edge) as t from (select video_id, x, conf_pct, case when t_ms <= a + 1500 then 'start' when t_ms >= b - 1500 then 'end' end as edge from (select *, min(t_ms) over (partition by video_id) as a, max(t_ms) over (partition by video_id) as b from fx_samples) p) q where edge is not null) s where c >= t / 2 group by all")
@@ -201,22 +225,105 @@ def agg_stable_anchor(fx_samples):
     return weighted_median(fx_samples.withColumn("edge", edge).where("edge is not null"), ["video_id", "edge"], "x", "conf_pct")
 
 
-_QA = "select video_id, count(*) as n, avg(case when x >= 0 and x + w <= 608 then 1.0 else 0.0 end) as containment, min(608 - x - w) as worst_margin, median(w) as mid_w from fx_samples group by all"
+#: Reasons that force the padded fallback; of a clipped subject only where no face was measured.
+FATAL_REASONS = ["crop_outside_source_bounds", "no_selected_subject_detections", "selected_subject_missing_for_most_of_clip", "face_missing_for_most_of_clip", "face_materially_clipped", "face_near_horizontal_edge", "forehead_headroom_unsafe", "chin_clearance_unsafe"]
+FATAL_WITHOUT_FACE = "selected_subject_materially_clipped"
+
+
+def _places3(c: Column) -> Column:
+    return F.floor(c * 1000 + 0.5) / 1000.0
 
 
-@query("agg_composition_qa", f"select *, case when containment < 0.5 then 'fail' when worst_margin < -200 then 'warn' else 'ok' end as status from ({_QA}) t")
+def _against_crop(boxes: DataFrame, crops: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """Per crop: number of boxes (``x, y, w, h``), least and mean share inside the crop, least margins of the box in it and median share of the crop's area."""
+    c = F.col
+    d = boxes.select(*keys, *[c(n).cast("double").alias(n) for n in "xywh"]).where("x is not null and y is not null and w is not null and h is not null").join(crops.select(*keys, "cx", "cy", "cw", "ch"), keys)
+    inside = F.greatest(F.lit(0.0), F.least(c("x") + c("w"), c("cx") + c("cw")) - F.greatest("x", "cx")) * F.greatest(F.lit(0.0), F.least(c("y") + c("h"), c("cy") + c("ch")) - F.greatest("y", "cy"))
+    area, centre = F.greatest(F.lit(1.0), c("w") * c("h")), c("x") + c("w") / 2.0
+    side = F.least(centre - c("cx"), c("cx") + c("cw") - centre) / F.greatest("cw", F.lit(1.0))
+    top, bottom = (c("y") - c("cy")) / F.greatest("ch", F.lit(1.0)), (c("cy") + c("ch") - (c("y") + c("h"))) / F.greatest("ch", F.lit(1.0))
+    figures = {"n": F.count("*"), "least": F.min(inside / area), "mean": F.avg(inside / area), "side": F.min(side), "top": F.min(top), "bottom": F.min(bottom), "body": F.median(area / F.greatest(c("cw") * c("ch"), F.lit(1.0)))}
+    return d.groupBy(*keys).agg(*[f.alias(prefix + n) for n, f in figures.items()])
+
+
+def composition_report(crops: DataFrame, subjects: DataFrame, faces: DataFrame, keys: list[str], interval_ms: int = 500) -> DataFrame:
+    """A static crop (``cx, cy, cw, ch`` in a source of ``width, height`` over ``duration_ms``) against the selected subject's boxes
+    and its faces (``x, y, w, h``), by ``keys``: status, reasons in order, an index and the figures they rest on.
+
+    Where faces were measured they alone decide on failure (besides the source's bounds); else coverage and clipping of the subject
+    do. Any other reason is a warning. Crops without boxes are reported, boxes with nulls are left out, figures are null where
+    nothing was measured."""
+    c = F.col
+    frame = crops.select(*keys, *[c(n).cast("double").alias(n) for n in ("cx", "cy", "cw", "ch")], "width", "height", "duration_ms")
+    q = frame.join(_against_crop(subjects, frame, keys, "s_"), keys, "left").join(_against_crop(faces, frame, keys, "f_"), keys, "left")
+    q = q.withColumns({"bounds_valid": (c("cw") > 0) & (c("ch") > 0) & (c("cx") >= 0) & (c("cy") >= 0) & (c("cx") + c("cw") <= c("width")) & (c("cy") + c("ch") <= c("height")), "_expected": F.ceil(F.greatest(c("duration_ms"), F.lit(0)) / float(interval_ms)) + 1})
+    share = lambda n: F.least(F.lit(1.0), F.coalesce(n, F.lit(0)) / c("_expected"))
+    q = q.withColumns({"coverage": share(c("s_n")), "face_coverage": F.when(c("f_n").isNotNull(), share(c("f_n")))})
+    measured = c("f_n").isNotNull()
+    no = lambda test: F.coalesce(test, F.lit(False))
+    face_faults = [(c("face_coverage") < 0.50, "face_missing_for_most_of_clip"), (c("f_least") < 0.98, "face_materially_clipped"), (c("f_side") < 0.15, "face_near_horizontal_edge"), (c("f_top") < 0.06, "forehead_headroom_unsafe"), (c("f_bottom") < 0.10, "chin_clearance_unsafe")]
+    rules = [
+        (~no(c("bounds_valid")), "crop_outside_source_bounds"), (c("s_n").isNull(), "no_selected_subject_detections"), (c("coverage") < 0.50, "selected_subject_missing_for_most_of_clip"),
+        ((c("coverage") >= 0.50) & (c("coverage") < 0.75), "selected_subject_tracking_incomplete"), (c("s_least") < 0.70, "selected_subject_materially_clipped"),
+        ((c("s_least") >= 0.70) & (c("s_least") < 0.90), "selected_subject_partially_clipped"), (c("s_side") < 0.15, "selected_subject_near_horizontal_edge"), *face_faults,
+    ]
+    reasons = F.array_compact(F.array(*[F.when(no(t), F.lit(r)) for t, r in rules]))
+    face_failed = F.lit(False)
+    for test, _ in face_faults:
+        face_failed = face_failed | no(test)
+    failed = ~no(c("bounds_valid")) | F.when(measured, face_failed).otherwise((c("coverage") < 0.50) | no(c("s_least") < 0.70))
+    parts = [F.when(no(c("bounds_valid")), 1.0).otherwise(0.0), c("coverage"), c("s_mean"), F.when(c("s_side").isNotNull(), F.least(F.lit(1.0), c("s_side") / 0.15))]
+    index = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / sum((F.when(p.isNull(), 0).otherwise(1) for p in parts), F.lit(0))
+    named = {"coverage": "coverage", "min_containment": "s_least", "avg_containment": "s_mean", "min_side_margin": "s_side", "body_coverage": "s_body", "face_coverage": "face_coverage", "face_min_containment": "f_least", "face_min_side_margin": "f_side", "face_min_top_margin": "f_top", "face_min_bottom_margin": "f_bottom"}
+    status = F.when(failed, "fail").when(F.size("reasons") > 0, "warning").otherwise("pass")
+    return q.withColumn("reasons", reasons).select(*keys, status.alias("status"), "reasons", "bounds_valid", measured.alias("face_measured"), _places3(index).alias("quality_index"), *[_places3(c(v)).alias(k) for k, v in named.items()])
+
+
+def fit_guard(report: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether a report's reasons force the padded fallback, and which of them do."""
+    fatal = lambda r: r.isin(FATAL_REASONS) | (~F.col("face_measured") & (r == FATAL_WITHOUT_FACE))
+    return report.select(*keys, F.filter("reasons", fatal).alias("reasons")).select(*keys, (F.size("reasons") > 0).alias("forced"), "reasons")
+
+
+def _static_crops(fx_samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per track a crop around the mean of its boxes, kept inside on the left only; subjects where detection is fair, faces where it is good."""
+    c = F.col
+    centre = F.floor(F.sum(2 * c("x") + c("w")) / (2 * F.count("*")))
+    crops = fx_samples.groupBy("video_id", "track_id").agg(F.greatest(F.lit(0), centre - 304).alias("cx"), (F.max("t_ms") - F.min("t_ms")).alias("duration_ms"))
+    crops = crops.select("*", F.lit(0).alias("cy"), F.lit(608).alias("cw"), F.lit(1080).alias("ch"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    subjects = fx_samples.where((c("conf_pct") >= 30) & (c("track_id") % 7 != 0))
+    faces = fx_samples.where((c("conf_pct") >= 45) & (c("track_id") % 3 != 0)).select("video_id", "track_id", (c("x") + c("w") * 0.31).alias("x"), (c("y") + c("h") * 0.07).alias("y"), (c("w") * 0.38).alias("w"), (c("h") * 0.22).alias("h"))
+    return crops, subjects, faces
+
+
+_SHARE_IN = "greatest(0.0, least(x + w, cx + 608.0) - greatest(x, cx)) * greatest(0.0, least(y + h, 1080.0) - greatest(y, 0.0)) / greatest(1.0, w * h)"
+_SIDE_IN = "least(x + w / 2.0 - cx, cx + 608.0 - (x + w / 2.0)) / 608.0"
+_FACE_FAULTS = {"face_missing_for_most_of_clip": "fcov < 0.50", "face_materially_clipped": "f_least < 0.98", "face_near_horizontal_edge": "f_side < 0.15", "forehead_headroom_unsafe": "f_top < 0.06", "chin_clearance_unsafe": "f_bottom < 0.10"}
+_FAULTS = {
+    "crop_outside_source_bounds": "not valid", "no_selected_subject_detections": "s_n is null", "selected_subject_missing_for_most_of_clip": "cov < 0.50", "selected_subject_tracking_incomplete": "cov >= 0.50 and cov < 0.75",
+    "selected_subject_materially_clipped": "s_least < 0.70", "selected_subject_partially_clipped": "s_least >= 0.70 and s_least < 0.90", "selected_subject_near_horizontal_edge": "s_side < 0.15", **_FACE_FAULTS,
+}
+_QA = f"""k as (select video_id, track_id, greatest(0, floor(sum(2 * x + w) / (2 * count(*))) - 304)::double as cx, max(t_ms) - min(t_ms) as ms from fx_samples group by all),
+s as (select video_id, track_id, count(*) as s_n, min({_SHARE_IN}) as s_least, avg({_SHARE_IN}) as s_mean, min({_SIDE_IN}) as s_side, median(greatest(1.0, w * h) / 656640.0) as s_body from (select video_id, track_id, x::double as x, y::double as y, w::double as w, h::double as h from fx_samples where conf_pct >= 30 and track_id % 7 <> 0) b join k using (video_id, track_id) group by all),
+f as (select video_id, track_id, count(*) as f_n, min({_SHARE_IN}) as f_least, min({_SIDE_IN}) as f_side, min(y / 1080.0) as f_top, min((1080.0 - (y + h)) / 1080.0) as f_bottom from (select video_id, track_id, x + w * 0.31 as x, y + h * 0.07 as y, w * 0.38 as w, h * 0.22 as h from fx_samples where conf_pct >= 45 and track_id % 3 <> 0) b join k using (video_id, track_id) group by all),
+m as (select *, cx + 608 <= 1920 as valid, least(1.0, coalesce(s_n, 0) / (ceil(greatest(ms, 0) / 500.0) + 1)) as cov, case when f_n is not null then least(1.0, f_n / (ceil(greatest(ms, 0) / 500.0) + 1)) end as fcov from k left join s using (video_id, track_id) left join f using (video_id, track_id)),
+qa as (select *, list_filter([{", ".join(f"case when {t} then '{r}' end" for r, t in _FAULTS.items())}], lambda x: x is not null) as reasons,
+ not valid or case when f_n is not null then {" or ".join(f"coalesce({t}, false)" for t in _FACE_FAULTS.values())} else cov < 0.50 or coalesce(s_least < 0.70, false) end as failed,
+ (case when valid then 1.0 else 0.0 end + cov + coalesce(s_mean, 0.0) + case when s_side is null then 0.0 else least(1.0, s_side / 0.15) end) / (2 + case when s_n is null then 0 else 2 end) as q from m)"""
+_R3 = ", ".join(f"floor({v} * 1000 + 0.5) / 1000.0 as {k}" for k, v in {"quality_index": "q", "coverage": "cov", "min_containment": "s_least", "avg_containment": "s_mean", "min_side_margin": "s_side", "body_coverage": "s_body", "face_coverage": "fcov", "face_min_containment": "f_least", "face_min_side_margin": "f_side", "face_min_top_margin": "f_top", "face_min_bottom_margin": "f_bottom"}.items())
+
+
+@query("agg_composition_qa", f"with {_QA} select video_id, track_id, case when failed then 'fail' when len(reasons) > 0 then 'warning' else 'pass' end as status, array_to_string(reasons, ',') as reasons, valid as bounds_valid, f_n is not null as face_measured, {_R3} from qa")
 def agg_composition_qa(fx_samples):
-    """Containment of boxes in the window, margins and a status."""
-    q = fx_samples.groupBy("video_id").agg(F.count("*").alias("n"), F.avg(F.when((F.col("x") >= 0) & (F.col("x") + F.col("w") <= 608), 1.0).otherwise(0.0)).alias("containment"), F.min(608 - F.col("x") - F.col("w")).alias("worst_margin"), F.median("w").alias("mid_w"))
-    return q.withColumn("status", F.when(F.col("containment") < 0.5, "fail").when(F.col("worst_margin") < -200, "warn").otherwise("ok"))
+    """The report of a static crop for each track."""
+    return composition_report(*_static_crops(fx_samples), ["video_id", "track_id"]).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("agg_fit_guard", f"select video_id, concat_ws(',', case when containment < 0.95 then 'containment' end, case when worst_margin < -200 then 'margin' end, case when mid_w > 258 then 'size' end) as reasons from ({_QA}) t")
+@query("agg_fit_guard", f"with {_QA}, x as (select *, list_filter(reasons, lambda r: r in ({', '.join(f"'{r}'" for r in FATAL_REASONS)}) or (f_n is null and r = '{FATAL_WITHOUT_FACE}')) as fatal from qa) select video_id, track_id, len(fatal) > 0 as forced, array_to_string(fatal, ',') as reasons from x")
 def agg_fit_guard(fx_samples):
     """Reasons that force the fallback, those among the fatal ones."""
-    q = agg_composition_qa(fx_samples)
-    found = F.array_compact(F.array(F.when(F.col("containment") < 0.95, F.lit("containment")), F.when(F.col("worst_margin") < -200, F.lit("margin")), F.when(F.col("mid_w") > 258, F.lit("size")), F.when(F.col("n") > 0, F.lit("seen"))))
-    return q.select("video_id", F.array_join(F.array_intersect(found, F.array(*map(F.lit, ("containment", "margin", "size")))), ",").alias("reasons"))
+    keys = ["video_id", "track_id"]
+    return fit_guard(composition_report(*_static_crops(fx_samples), keys), keys).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("agg_topic_diversity", "select video_id, cand, case when score < 20 then 0.0 else greatest(0.5, 1.0 - (count(*) filter (where score >= 20) over (partition by video_id, topic_id) - 1) * 0.2) end as diversity from fx_candidates")
@@ -428,4 +535,4 @@ def udaf_upper_median(fx_samples):
 
 @query("udaf_weighted_median", "select track_id, min(y) as weighted_median from (select track_id, y, sum(w) over (partition by track_id order by y) as c, sum(w) over (partition by track_id) as t from fx_samples) s where c >= t / 2 group by all")
 def udaf_weighted_median(fx_samples):
-    return weighted_median(fx_samples, ["track_id"], "y", "w")
+    return selected_median(fx_samples, ["track_id"], "y", "w")
