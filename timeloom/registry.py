@@ -6,7 +6,7 @@ import importlib
 
 from timeloom.plans.catalog import ORACLES, QUERIES
 
-MODULES = ["operators.intervals", "operators.projections", "operators.aggregates", "operators.windows", "operators.candidates", "operators.editorial", "operators.vision", "operators.camera", "operators.projects", "operators.scalars", "streaming.progress"]
+MODULES = ["operators.intervals", "operators.projections", "operators.aggregates", "operators.windows", "operators.candidates", "operators.editorial", "operators.lexicon", "operators.vision", "operators.camera", "operators.projects", "operators.scalars", "streaming.progress"]
 
 
 def _load() -> None:
