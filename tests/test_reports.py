@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timeloom.operators.aggregates import composition_report, fit_guard, selected_median, weighted_median
 from timeloom.operators.candidates import zone_picks
 from timeloom.operators.editorial import peak_subcandidates
+from timeloom.operators.projections import aliased
 
 BOX = "clip long, x double, y double, w double, h double"
 CROP = "clip long, cx double, cy double, cw double, ch double, width int, height int, duration_ms long"
@@ -114,3 +115,10 @@ def test_medians_by_narrowing_equal_sorted_ones(spark):
 def test_median_of_one_group_with_all_rows(spark):
     d = spark.range(400_000, numPartitions=8).selectExpr("1 as g", "pow(id * 7919 % 400000, 2) as v", "id % 3 as w")
     assert selected_median(d, ["g"], "v", "w", small=100).collect() == weighted_median(d, ["g"], "v", "w").collect()
+
+
+def test_aliases_of_drifting_artifacts(spark):
+    raw = ['{"a": 1}', '{"b": {"c": [5, 6]}}', '{"a": "x", "b": {"c": [7]}}', '{"a": 1.0}', "{broken", "", None, "[1]", '{"a": null}', '{"a": "12", "z": {}}']
+    d = spark.createDataFrame(list(enumerate(raw)), "id int, raw string")
+    got = {r.id: (r.v, r.w) for r in d.select("id", aliased(F.col("raw"), "bigint", "$.a", "$.b.c[0]").alias("v"), aliased(F.col("raw"), "bigint", "$.a", default=F.lit(9)).alias("w")).collect()}
+    assert got == {0: (1, 1), 1: (5, 9), 2: (7, 9), 3: (1, 1), 4: (None, 9), 5: (None, 9), 6: (None, 9), 7: (None, 9), 8: (None, 9), 9: (12, 12)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from timeloom.functions import columns as C
 from timeloom.plans.catalog import query
@@ -221,12 +221,30 @@ def src_word_cleanup(fx_words):
     return w.where("word is not null and start is not null").select("video_id", "idx", "word", F.coalesce("probability", "prob", F.lit(0)).cast("int").alias("prob"))
 
 
-@query("src_alias_reader", "select video_id, cand, start_ms as start_time, coalesce(case when cand % 2 = 0 then score end, 50)::bigint as quality from fx_candidates")
+def aliased(raw: Column, kind: str, *paths: str, default: Column | None = None) -> Column:
+    """The first of ``paths`` (as ``$.clip.startTime``) at which a JSON text of any shape holds a value of ``kind``, else the default.
+
+    The text is parsed as a variant, so artifacts whose keys, depth and types drift need no common schema; a value that can't
+    be cast, a missing path and a text that isn't JSON count as absent, and null texts too."""
+    doc = F.try_parse_json(raw)
+    found = [F.try_variant_get(doc, p, kind) for p in paths]
+    return F.coalesce(*found, *([] if default is None else [default.cast(kind)]))
+
+
+_ARTIFACT = """case cand % 4 when 0 then '{"startTime":' || cast(start_ms as string) || ',"qualityScore":' || cast(score as string) || '}' when 1 then '{"start_time":"' || cast(start_ms as string) || '","quality_score":"n/a"}'
+ when 2 then '{"clip":{"timing":{"startTime":' || cast(start_ms as string) || '},"scores":[{"quality":"' || cast(score as string) || '"}]}}' else '{"start_time":' || cast(start_ms as string) end"""
+_STARTS, _QUALITIES = ("$.startTime", "$.start_time", "$.clip.timing.startTime"), ("$.qualityScore", "$.quality_score", "$.clip.scores[0].quality")
+
+
+def _first_of(paths: tuple[str, ...]) -> str:
+    return ", ".join(f"try_cast(json_extract_string(j, '{p}') as bigint)" for p in paths)
+
+
+@query("src_alias_reader", f"select video_id, cand, coalesce({_first_of(_STARTS)}) as start_time, coalesce({_first_of(_QUALITIES)}, 50) as quality from (select *, try_cast({_ARTIFACT} as json) as j from fx_candidates) t")
 def src_alias_reader(fx_candidates):
-    """JSON artifacts with camel or snake keys and defaults."""
-    doc = F.when(F.col("cand") % 2 == 0, F.to_json(F.struct(F.col("start_ms").alias("startTime"), F.col("score").alias("qualityScore")))).otherwise(F.to_json(F.struct(F.col("start_ms").alias("start_time"))))
-    j = fx_candidates.select("video_id", "cand", F.from_json(doc, "startTime long, start_time long, qualityScore long, quality_score long").alias("j"))
-    return j.select("video_id", "cand", F.coalesce("j.startTime", "j.start_time").alias("start_time"), F.coalesce("j.qualityScore", "j.quality_score", F.lit(50).cast("long")).alias("quality"))
+    """JSON artifacts with camel or snake keys, nested ones, numbers as texts, broken ones, and defaults."""
+    raw = F.expr(_ARTIFACT)
+    return fx_candidates.select("video_id", "cand", aliased(raw, "bigint", *_STARTS).alias("start_time"), aliased(raw, "bigint", *_QUALITIES, default=F.lit(50)).alias("quality"))
 
 
 @query("src_event_log", "select seq, case when line like '{%' then json_extract_string(line, '$.status') else 'log' end as status, case when line like '{%' then (json_extract(line, '$.percent'))::int end as percent, case when line like '{%' then null else line end as plain from fx_lines")
