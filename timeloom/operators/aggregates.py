@@ -449,10 +449,10 @@ o as (select *, round((layout + crop + hooks + metadata) * 0.25, 2) as overall f
 select *, case when overall >= 93 then 'A+' when overall >= 87 then 'A' when overall >= 80 then 'B+' else 'B' end as grade from o""")
 def agg_quality_grade(fx_candidates, fx_scenes, fx_samples):
     c = F.col
-    few = fx_candidates
+    few = materialise(fx_candidates.select("video_id", "cand", "topic_id", "text"), "titled")  # read three times
     hooks = few.select("video_id", F.when(c("cand") % 9 == 8, "Watch What Happens next").otherwise(F.concat("topic_id", F.left("text", F.lit(14)))).alias("hook"))
     metadata = few.select("video_id", F.when(c("cand") % 6 == 5, F.array(F.lit("#Other"))).otherwise(F.array(F.lit("#x"), F.lit("#Timeloom"))).alias("tags"), F.when(c("cand") % 8 == 7, "abc").otherwise(c("text")).alias("title"))
-    return quality_grades(fx_candidates, fx_scenes, fx_samples.where("t_ms < 1000 and track_id % 10 < 3"), hooks, metadata, (1920, 1080), ["#timeloom"], ["this changed everything", "watch what happens"])
+    return quality_grades(few, fx_scenes, fx_samples.where("t_ms < 1000 and track_id % 10 < 3"), hooks, metadata, (1920, 1080), ["#timeloom"], ["this changed everything", "watch what happens"])
 
 
 @query("agg_storage_breakdown", "select case when path like '%.mp4' then 'video' when path like '%.mp3' then 'audio' when path like '%.json' then 'data' else 'images' end as category, sum(length)::bigint as bytes, count(*) as files from fx_assets group by all")
