@@ -700,3 +700,18 @@ def test_deep_and_broken_pages():
     for source in ("<i>" * 20_000 + "deep", "<div>" * 5000 + "x" + "</div>" * 5000, "</p></div>", "a < b", "<!-- open", "<td>" * 300 + "y"):
         text = html_extract.Extractor(html_extract.infer([source]))(source)
         assert text == {"<i": "deep", "<d": "x", "<t": "y", "a ": "a < b"}.get(source[:2], ""), source[:20]
+
+
+def test_kinds_of_page_too_large_together_are_both_kept(monkeypatch):
+    """Two kinds of page that can't be aligned within the bounds: what both learned is kept, whichever comes first, and read by."""
+    monkeypatch.setattr(html_extract, "MAX_NODES", 16)
+    rng = random.Random(17)
+    made = [unmarked(rng, i) for i in range(12)]
+    other = [(s.replace("<body>", "<body><table><tr><td><b>old</b></td></tr></table>").replace("<h1>", "<blockquote>same words</blockquote><h1>"), t) for s, t in made]
+    dumped = __import__("json").dumps
+    a, b = (html_extract.infer([s for s, _ in x]) for x in (made, other))
+    for w in (html_extract.infer([s for pair in zip(made, other) for s, _ in pair]), html_extract.widened(a, b), html_extract.widened(b, a)):
+        assert dumped(w).count('"pages": 12') >= 8 and '"blockquote"' in dumped(w)
+        of = html_extract.Extractor(w)
+        assert [of(s) for s, _ in made + other] == [t for _, t in made + other]  # the fixed quotation, too, is known to be fixed
+        assert html_extract.widened(w, w) and len(dumped(html_extract.widened(w, w))) < 1.1 * len(dumped(w))

@@ -18,7 +18,7 @@ from timeloom.llm.url_filters import host_of
 from timeloom.plans.scratch import materialise, small_batches
 
 #: Longest unit of tokens that is looked for as a repeated group; nodes of a wrapper beyond which pages that don't fit it
-#: no longer widen it (they are aligned with it when read); and the most that two token streams may have in pairs to be aligned.
+#: are a kind of page beside it; and the most that two token streams may have in pairs to be aligned.
 MAX_UNIT, MAX_NODES, MAX_PAIRS = 24, 1500, 2_000_000
 #: Wrappers that a task holds before it sends them on.
 HELD_HOSTS = 500
@@ -268,45 +268,61 @@ def size_of(nodes: list) -> int:
     return sum(1 if not isinstance(x, list) else size_of(x[1]) for x in nodes)
 
 
-def widened(wrapper: list, other: list) -> list:
-    """The wrapper widened by a folded page or by another wrapper of its host; as it is where it or the work is at its bound."""
-    if not wrapper or not other:
-        return wrapper or other
-    if list(map(shape, wrapper)) == list(map(shape, other)):
-        return [joined(x, y, True) for x, y in zip(wrapper, other)]
-    if size_of(wrapper) + size_of(other) > 2 * MAX_NODES or len(wrapper) * len(other) > MAX_PAIRS:
-        return max(wrapper, other, key=lambda w: max((x["pages"] for x in slots_of(w)), default=0))
-    return fold(align(wrapper, other))
+def kinds_of(wrapper: list) -> list[list]:
+    """The kinds of page that a host's wrapper tells apart, each an expression of its own; mostly one. Several stand in one node ``["|", kinds]``."""
+    if wrapper and isinstance(wrapper[0], list) and wrapper[0][0] == "|":
+        return list(wrapper[0][1])
+    return [wrapper] if wrapper else []
 
 
-def slots_of(nodes: list) -> Iterator[dict]:
-    for x in nodes:
-        if isinstance(x, dict):
-            yield x
-        elif isinstance(x, list):
-            yield from slots_of(x[1])
+def widened(wrapper: list, other: list) -> list:
+    """The wrapper widened by a folded page or by another wrapper of its host. Kinds of page that are too large together to be
+    aligned stay apart, so what either has learned is kept."""
+    kinds = kinds_of(wrapper)
+    for own in kinds_of(other):
+        shapes = list(map(shape, own))
+        like = next((i for i, k in enumerate(kinds) if list(map(shape, k)) == shapes), None)
+        if like is not None:
+            kinds[like] = [joined(x, y, True) for x, y in zip(kinds[like], own)]
+            continue
+        near = next((i for i, k in enumerate(kinds) if size_of(k) + size_of(own) <= 2 * MAX_NODES and len(k) * len(own) <= MAX_PAIRS), None)
+        if near is None:
+            kinds.append(own)
+        else:
+            kinds[near] = fold(align(kinds[near], own))
+    return [["|", kinds]] if len(kinds) > 1 else kinds[0] if kinds else []
 
 
 def infer(sources: list[str]) -> list:
     """A wrapper of pages of one host: the first page folded, then widened by each other page; a page that it fits only adds
     its texts to the slots."""
-    nodes: list = []
+    learned = Learned()
     for s in sources:
-        nodes = learn(nodes, Page(s))
-    return nodes
-
-
-def learn(nodes: list, page: Page) -> list:
-    own = nodes_of(page)
-    at = Wrapper(nodes).read([x if isinstance(x, str) else "#" for x in own]) if nodes else None
-    if at is None:
-        return widened(nodes, fold(own))
-    held, seen = list(flat(nodes)), set()
-    for x, i in zip(own, at):
-        if isinstance(x, dict):
-            held[i].update(joined(held[i], x, i not in seen))
-            seen.add(i)
-    return nodes
+        learned.add(Page(s))
+    return learned.nodes
+
+
+class Learned:
+    """A host's wrapper while pages are added; what reads pages by it is made anew only when its nodes change."""
+
+    def __init__(self):
+        self.nodes: list = []
+        self.readers: list[Wrapper] = []
+
+    def add(self, page: Page) -> None:
+        own = nodes_of(page)
+        kinds = [x if isinstance(x, str) else "#" for x in own]
+        for reader in self.readers:
+            at = reader.read(kinds)
+            if at is not None:
+                held, seen = reader.flat, set()  # the wrapper's own slots
+                for x, i in zip(own, at):
+                    if isinstance(x, dict):
+                        held[i].update(joined(held[i], x, i not in seen))
+                        seen.add(i)
+                return
+        self.nodes = widened(self.nodes, fold(own))
+        self.readers = [Wrapper(k) for k in kinds_of(self.nodes)]
 
 
 def flat(nodes: list) -> Iterator:
@@ -424,8 +440,9 @@ class Extractor:
     """Reads pages of a host by its wrapper."""
 
     def __init__(self, nodes: list, roles: bool = True, alone: bool = False):
-        self.wrapper, self.roles, self.alone = Wrapper(nodes), roles, alone
-        self.region, self.drop = self.wrapper.article(roles)
+        self.roles, self.alone = roles, alone
+        self.kinds = [(w, *w.article(roles)) for w in map(Wrapper, kinds_of(nodes) or [[]])]
+        self.wrapper, self.region, self.drop = self.kinds[0]
 
     def __call__(self, source: str) -> str:
         """The article's text: the slots in the element that the wrapper found to hold the article, without those that it
@@ -437,14 +454,17 @@ class Extractor:
         page = Page(source)
         at = [i for i, k in enumerate(page.kinds) if k != "_"]
         kinds = [page.kinds[i] for i in at]
-        found = self.wrapper.read(kinds)
-        number = dict(zip(at, self.wrapper.aligned(kinds) if found is None else found))
-        regions = {i for i, n in number.items() if n == self.region and self.region is not None}
-        if self.region != -1 and not regions:
+        wrapper, region, drop, found = next(((*k, f) for k in self.kinds if (f := k[0].read(kinds)) is not None), (*self.kinds[0], None))
+        if found is None:  # of several kinds of page the one that it has most in common with
+            near = [(*k, k[0].aligned(kinds)) for k in self.kinds]
+            wrapper, region, drop, found = max(near, key=lambda k: sum(n is not None for n in k[3]))
+        number = dict(zip(at, found))
+        regions = {i for i, n in number.items() if n == region and region is not None}
+        if region != -1 and not regions:
             own = None if self.alone else Extractor(infer([source]), self.roles, True)
             return "" if own is None or own.region is None else own(source)
         e = Elements(page.kinds)
-        inside = [True] * len(page.kinds) if self.region == -1 else e.within(regions)
+        inside = [True] * len(page.kinds) if region == -1 else e.within(regions)
         blocks, now = [], []
 
         def close() -> None:
@@ -457,7 +477,7 @@ class Extractor:
             if k == "_":
                 now.append(text)
             elif k == "#":
-                if inside[i] and number[i] not in self.drop and not e.never[i] and not (self.roles and e.aside[i]):
+                if inside[i] and number[i] not in drop and not e.never[i] and not (self.roles and e.aside[i]):
                     now.append(text)
             else:
                 name = k.lstrip("/").split(" ")[0]
@@ -477,16 +497,18 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str, Learned] = {}
 
         def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(x) for x in held.values()], pa.string())], ["host", "wrapper"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(x.nodes) for x in held.values()], pa.string())], ["host", "wrapper"])
             held.clear()
             return out
 
         for b in batches:
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                held[host] = learn(held.get(host, []), Page(source))
+                if host not in held:
+                    held[host] = Learned()
+                held[host].add(Page(source))
             if len(held) > HELD_HOSTS:
                 yield sent()
         if held:
