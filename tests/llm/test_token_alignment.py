@@ -121,3 +121,14 @@ def test_hash_is_minimal_and_perfect(n, parts):
             table.places(np.array([2**40]))
     with pytest.raises(ValueError):
         T.MinimalHash.part_of(np.array([3, 3]))
+
+
+def test_texts_are_read_and_aligned_once(spark, tmp_path):
+    """Counts are looked up by what the first pass wrote, not by reading and encoding the texts again."""
+    path = tmp_path / "docs"
+    spark.createDataFrame([(1, "some words, twice"), (2, "some words"), (3, None)], "doc_id long, text string").write.parquet(str(path))
+    found = T.align_tokens(spark.read.parquet(str(path)), A, B, keep=["doc_id"])
+    for f in path.glob("*.parquet"):
+        f.unlink()
+    assert found.columns == ["doc_id", *COLUMNS]
+    assert [tuple(r[c] for c in COLUMNS) for r in found.orderBy("doc_id").collect()] == plain(["some words, twice", "some words", None])

@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from timeloom.llm.sums import summed
@@ -33,6 +35,8 @@ _JOINED = re.compile("[ \n][!-~\u00c0-\u024f]+").fullmatch
 _BLANK, _ODD = re.compile(r"(?<=[!-~\w]) "), re.compile(r" (?<=[^!-~\w] )|^ ").search
 #: Pairs that a task counts before it sends them on, pairs of a hash table at most, and of a part of one that is built in one task about.
 TALLY, MAX_PAIRS, SHARD = 1_000_000, 4_000_000, 65_536
+#: Tokens that are looked up at once about.
+LOOKED_UP = 200_000
 #: Bits a pair at each level of the hash, and levels at most.
 SPARE, LEVELS = 2, 200
 
@@ -44,15 +48,46 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+#: What stands behind a token by its mark.
+MARKS = ",|,;"
+
+
+def id_type(width: int) -> np.dtype:
+    """Unsigned whole numbers of so many bytes, the lowest first."""
+    return np.dtype(f"<u{max(2, width)}")
+
+
 class Aligned(NamedTuple):
-    """Tokens of a chunk: their numbers, groups between common ends as text (each with ``;`` behind), and a key for each link."""
+    """Tokens of a chunk, group by group, those of A before those of B: ids as bytes of unsigned numbers, a mark for each (0 and 1 for
+    A, 2 and 3 for B, the odd one where it ends its side of a group), and a key for each link, as bytes of 64-bit numbers."""
+
+    tokens: bytes
+    marks: bytes
+    links: bytes
+
+    @property
+    def groups(self) -> str:
+        """The groups as text, each with ``;`` behind."""
+        ids = np.frombuffer(self.tokens, id_type(len(self.tokens) // max(1, len(self.marks))))
+        return "".join([f"{i}{MARKS[m]}" for i, m in zip(ids.tolist(), self.marks)])
+
+
+def overlapping(ends_a: np.ndarray, size_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of A the first token of B that shares a byte with it, and how many do: from the one that holds its first byte to
+    the one that holds its last. Ends count bytes from one place."""
+    begin = np.searchsorted(ends_b, ends_a - size_a, "right")
+    return begin, np.searchsorted(ends_b, ends_a, "left") + 1 - begin
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    links: tuple[int, ...]
+
+def link_keys(a: np.ndarray, b: np.ndarray, begin: np.ndarray, n_links: np.ndarray, width: int) -> np.ndarray:
+    """A key for each link, in the order of A's tokens."""
+    through = np.cumsum(n_links)
+    other = np.arange(through[-1] if len(through) else 0) - np.repeat(through - n_links - begin, n_links)
+    return np.repeat(a, n_links) * width + b[other]
+
+
+#: A worker's aligners, whose tables are let go when it does other work.
+MADE: WeakSet = WeakSet()
 
 
 class Aligner:
@@ -86,7 +121,7 @@ class Aligner:
         self.width = len(pieces)
         n = max(self.a_bytes, default=-1) + 1
         self.a_size, self.b_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(n)], np.int64), np.array(list(map(len, self.b_bytes)), np.int64)
-        self.a_name, self.a_last, self.b_name, self.b_last = (np.array([f"{i}{mark}" for i in range(m)], object) for m, mark in ((n, ","), (n, "|"), (len(pieces), ","), (len(pieces), ";")))
+        self.kind = id_type(2 if max(n, len(pieces)) <= 1 << 16 else 4)
         self.split = self._cuts(json.loads(self.a.to_str()), [p for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))])
         self.lead = self.b.encode("\n", num_threads=1)
         self.quick = self._merger(json.loads(self.a.to_str())["model"]) if self.split else None
@@ -95,6 +130,7 @@ class Aligner:
         self.older: dict[str, Aligned | None] = {}
         self.pieces: dict[str, Aligned | None] = {}
         self.long: list[str] = []
+        MADE.add(self)
 
     def _merger(self, model: dict):
         """Encoding of one chunk by ``tiktoken``; None where it can't be proved the same."""
@@ -170,26 +206,20 @@ class Aligner:
             return [next(good) if ok else None for ok in right]
         # tokens that end where one of the other model does close a group
         close_a, close_b = (np.isin(x, y, assume_unique=True) for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
-        # tokens of B that overlap each token of A: from the one that holds its first byte to the one that holds its last
-        begin, stop = np.searchsorted(ends_b, ends_a - self.a_size[a], "right"), np.searchsorted(ends_b, ends_a, "left") + 1
-        n_links = stop - begin
+        begin, n_links = overlapping(ends_a, self.a_size[a], ends_b)
         through = np.cumsum(n_links)
-        other = np.arange(through[-1] if len(through) else 0) - np.repeat(through - n_links - begin, n_links)
-        links = (np.repeat(a, n_links) * self.width + b[other]).tolist()
-        of_chunk = np.concatenate([[0], through])
-        # the text of groups, token by token: those of A before those of B in each group
+        links = link_keys(a, b, begin, n_links, self.width).tobytes()
+        of_chunk = 8 * np.concatenate([[0], through])
+        # token by token: those of A before those of B in each group
         group_a, group_b = np.cumsum(close_a) - close_a, np.cumsum(close_b) - close_b
         before_a = np.concatenate([[0], np.flatnonzero(close_b) + 1])  # tokens of B before each group
         before_b = np.flatnonzero(close_a) + 1  # tokens of A up to each group's end
-        names = np.empty(len(a) + len(b), object)
-        names[np.arange(len(a)) + before_a[group_a]] = np.where(close_a, self.a_last[a], self.a_name[a])
-        names[np.arange(len(b)) + before_b[group_b]] = np.where(close_b, self.b_last[b], self.b_name[b])
-        names = names.tolist()
-        groups = np.concatenate([[0], np.cumsum(close_a)])
-        out = []
-        for fa, fb, na, nb, g, h, x, y in zip(*(v.tolist() for v in (first_a, first_b, n_a, n_b, groups[first_a], groups[first_a + n_a], of_chunk[first_a], of_chunk[first_a + n_a]))):
-            out.append(Aligned(na, nb, h - g, y - x, "".join(names[fa + fb : fa + fb + na + nb]), tuple(links[x:y])))
-        return out
+        at_a, at_b = np.arange(len(a)) + before_a[group_a], np.arange(len(b)) + before_b[group_b]
+        tokens, marks = np.empty(len(a) + len(b), self.kind), np.empty(len(a) + len(b), np.uint8)
+        tokens[at_a], tokens[at_b], marks[at_a], marks[at_b] = a, b, close_a, 2 + close_b
+        tokens, marks, wide = tokens.tobytes(), marks.tobytes(), self.kind.itemsize
+        first, n = first_a + first_b, n_a + n_b
+        return [Aligned(tokens[wide * i : wide * (i + k)], marks[i : i + k], links[x:y]) for i, k, x, y in zip(first.tolist(), n.tolist(), of_chunk[first_a].tolist(), of_chunk[first_a + n_a].tolist())]
 
     def _chunks_of(self, chunks: list[str]) -> dict[str, Aligned | None]:
         new = [c for c in set(chunks) if c not in self.pieces]
@@ -221,12 +251,9 @@ class Aligner:
             each = [of[c] for c in own]
             if None in each:
                 known[p] = None
-            elif len(each) == 2:
-                x, y = each
-                known[p] = Aligned(x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + y[4], x[5] + y[5])
             else:
-                n_a, n_b, n_groups, n_links, groups, links = zip(*each)
-                known[p] = Aligned(sum(n_a), sum(n_b), sum(n_groups), sum(n_links), "".join(groups), tuple(chain.from_iterable(links)))
+                tokens, marks, links = zip(*each)
+                known[p] = Aligned(b"".join(tokens), b"".join(marks), b"".join(links))
         self.long = [p for p in new if len(p) > KEPT_LENGTH]
         if any(len(p) > 4 * KEPT_LENGTH for p in self.long):
             self.pieces = {}
@@ -240,6 +267,12 @@ def aligner(a_file: str, b_file: str) -> Aligner:
     return Aligner(a_file, b_file)
 
 
+def forget() -> None:
+    """Let go of what this worker's aligners keep."""
+    for of in MADE:
+        of.known, of.older, of.pieces, of.long = {}, {}, {}, []
+
+
 def stretches(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Neighbouring texts, as many as are aligned at once, and the number of the first; null texts as empty."""
     first, held, size = 0, [], 0
@@ -335,23 +368,42 @@ class PairCounts:
         return at
 
 
-def _tally(a_file: str, b_file: str):
+def _align(a_file: str, b_file: str, text: str, keep: list[str]):
+    """A row for each document: the columns ``keep``, ids and marks of its tokens (null without any); and rows with a pair and how many of
+    the task's documents hold it, whose other columns are null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["pair", "n"])
+        of, counts, kept = aligner(a_file, b_file), Counter(), []
+        names = [*keep, "_tokens", "_marks", "_pair", "_n"]
 
-        of, counts = aligner(a_file, b_file), Counter()
-        for b in batches:
-            for _, texts in stretches(b.column(0).to_pylist()):
+        def sent() -> pa.RecordBatch:
+            columns = [*(pa.nulls(len(counts), t) for t in (*kept, pa.binary(), pa.binary())), pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for whole in batches:
+            own_columns = [whole.column(whole.schema.names.index(k)) for k in keep]
+            kept = [c.type for c in own_columns]
+            for first, texts in stretches(whole.column(whole.schema.names.index(text)).to_pylist()):
                 cut, _, known = of.align(texts)
-                for text, parts in zip(texts, cut):
-                    own = [known[p] for p in set(parts)]
-                    if text and None not in own:
-                        counts.update(set().union(*[v[5] for v in own]))
+                tokens, marks, pairs = [], [], [np.zeros(0, np.int64)]
+                for t, parts in zip(texts, cut):
+                    own = [known[p] for p in parts]
+                    if not t or None in own:
+                        tokens.append(None)
+                        marks.append(None)
+                        continue
+                    tokens.append(b"".join([v.tokens for v in own]))
+                    marks.append(b"".join([v.marks for v in own]))
+                    pairs.append(np.unique(np.frombuffer(b"".join([known[p].links for p in set(parts)]), np.int64)))
+                held, n = np.unique(np.concatenate(pairs), return_counts=True)
+                counts.update(dict(zip(held.tolist(), n.tolist())))
+                found = [pa.array(tokens, pa.binary()), pa.array(marks, pa.binary()), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in own_columns), *found], names)
                 if len(counts) > TALLY:
-                    yield sent(counts)
+                    yield sent()
                     counts = Counter()
-        yield sent(counts)
+        if counts:
+            yield sent()
 
     return run
 
@@ -396,54 +448,68 @@ def pair_table(tallies: DataFrame, low: int, high: int, width: int) -> PairCount
 
 
 _FOUND = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups", pa.string())]
+_SUMS = ("n_best", "count_sum")
 
 
-def _look_up(a_file: str, b_file: str, text: str, table: PairCounts, more: bool):
-    """Align again and add up the counts of links; with ``more`` only the sums grow, by those of another range."""
+def _pieces_of(marks: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and number of neighbouring rows that are looked up at once."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(marks), 0).to_pylist()):
+        held += n
+        if held >= LOOKED_UP:
+            yield first, i + 1 - first
+            first, held = i + 1, 0
+    if first < len(marks):
+        yield first, len(marks) - first
+
+
+def _look_up(size_a: np.ndarray, size_b: np.ndarray, table: PairCounts, keep: list[str], begin: bool, last: bool):
+    """Add up the counts of the links between each row's tokens, those of the table's range; after other ranges (not ``begin``) their
+    sums grow. With ``last`` the tokens become figures and text, else they stay for the next range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = aligner(a_file, b_file)
-        sums: dict[str, tuple[int, int]] = {}
+        forget()
         low, high = table.low * table.width, table.high * table.width
+        n = max(len(size_a), len(size_b))
+        written = np.array([f"{i}{mark}" for mark in MARKS for i in range(n)], object) if last else None
         for whole in batches:
-            names = whole.schema.names
-            for first, texts in stretches(whole.column(names.index(text)).to_pylist()):
-                b = whole.slice(first, len(texts))
-                cut, wanted, known = of.align(texts)
-                new = [p for p in wanted.difference(sums) if known[p] is not None]
-                links = np.array([k for c in new for k in known[c].links], np.int64)
-                inside = (links >= low) & (links < high)
+            for first, rows in _pieces_of(whole.column("_marks")):
+                b = whole.slice(first, rows)
+                tokens, marks = (b.column(k).to_pylist() for k in ("_tokens", "_marks"))
+                of = np.array([len(m or b"") for m in marks], np.int64)
+                mark = np.frombuffer(b"".join([m for m in marks if m]), np.uint8)
+                data = b"".join([t for t in tokens if t])
+                ids = np.frombuffer(data, id_type(len(data) // max(1, len(mark)))).astype(np.int64)
+                ends = np.cumsum(of)
+                of_a = mark < 2
+                up_to = lambda x: np.concatenate([[0], np.cumsum(x)])
+                by_row = lambda x, at=ends: np.diff(up_to(x)[np.concatenate([[0], at])])
+                id_a, id_b = ids[of_a], ids[~of_a]
+                n_a = by_row(of_a)
+                from_b, n_links = overlapping(np.cumsum(size_a[id_a]), size_a[id_a], np.cumsum(size_b[id_b]))
+                links = link_keys(id_a, id_b, from_b, n_links, table.width)
+                of_links = by_row(n_links, np.cumsum(n_a))
+                inside = slice(None) if not len(links) or (links.min() >= low and links.max() < high) else (links >= low) & (links < high)
                 count, best = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
                 at = table.places(links[inside])
                 count[inside], best[inside] = table.counts[at], table.best[at]
-                ends = np.cumsum([0, *(len(known[c].links) for c in new)])
-                both = [np.concatenate([[0], x.cumsum()])[ends] for x in (count, best)]
-                sums.update(zip(new, zip(np.diff(both[0]).tolist(), np.diff(both[1]).tolist())))
-                rows = []
-                for t, parts in zip(texts, cut):
-                    own = [known[p] for p in parts]
-                    if not t or None in own:
-                        rows.append((0, 0, 0, 0, 0, 0, ""))
-                        continue
-                    counted, best_sum = map(sum, zip(*[sums[p] for p in parts]))
-                    if more:
-                        rows.append((0, 0, 0, 0, best_sum, counted, ""))
-                        continue
-                    n_a, n_b, n_groups, n_links, groups, _ = zip(*own)
-                    rows.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links), best_sum, counted, "".join(groups)[:-1]))
-                if len(sums) > REMEMBERED:
-                    sums = {}
-                found = dict(zip((n for n, _ in _FOUND), zip(*rows)))
-                if more:
-                    columns = [pa.array([x + y for x, y in zip(b.column(i).to_pylist(), found[n])], pa.int64()) if n in ("n_best", "count_sum") else b.column(i) for i, n in enumerate(names)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                found = {k: by_row(x, np.cumsum(of_links)) for k, x in zip(_SUMS, (best, count))}
+                if not begin:
+                    found = {k: v + b.column(k).to_numpy() for k, v in found.items()}
+                if last:
+                    text = written[ids + mark.astype(np.int64) * n].tolist()
+                    groups = ["".join(text[i:j])[:-1] for i, j in zip((ends - of).tolist(), ends.tolist())]
+                    found |= {"n_a": n_a, "n_b": of - n_a, "n_groups": by_row(mark == 3), "n_links": of_links, "groups": groups}
+                    names = keep + [k for k, _ in _FOUND]
+                    yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(found[k], t) for k, t in _FOUND)], names)
                 else:
-                    yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[n], t) for n, t in _FOUND)], [*names, *(n for n, _ in _FOUND)])
+                    names = [*keep, "_tokens", "_marks"]
+                    yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), *(pa.array(found[k], pa.int64()) for k in _SUMS)], [*names, *_SUMS])
 
     return run
 
 
-def align_tokens(docs: DataFrame, a_file: str, b_file: str, text: str = "text", max_pairs: int = MAX_PAIRS) -> DataFrame:
+def align_tokens(docs: DataFrame, a_file: str, b_file: str, text: str = "text", max_pairs: int = MAX_PAIRS, keep: list[str] | None = None) -> DataFrame:
     """Add ``n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` to documents by their whole ``text``.
 
     A (a ``tokenizers`` file with byte-level vocabulary) reads a blank and the text, B (a ``sentencepiece`` model that puts a blank before) the text. Places
@@ -451,18 +517,22 @@ def align_tokens(docs: DataFrame, a_file: str, b_file: str, text: str = "text",
     ``count_sum`` adds, over links, how many documents hold a link of the same two ids; ``n_best`` counts the links
     whose ids' count is the highest of their A id, ties included. Null and empty texts, and texts that a model doesn't give
     back byte for byte, have no tokens: zeros and ''. Repeated rows are documents of their own; an empty table stays empty; other
-    columns stay, but for ones named like the results, which are replaced.
+    columns stay (those in ``keep``, if given), but for ones named like the results, which are replaced.
 
-    Two passes align the documents: the first counts documents by pair in each task, the second looks counts up. Counts are held in
+    Documents are aligned once: ids of their tokens are written, two bytes each with one for the groups, beside counts of
+    documents by pair in each task. A second pass looks counts up. They are held in
     arrays that a minimal perfect hash of the distinct pairs indexes; their number is looked at first, and beyond ``max_pairs`` the
     second pass runs once for each range of A ids with at most so many (one A id has at most as many as B has ids). Both files must be
     readable on every executor.
     """
-    spark = docs.sparkSession
     docs = docs.drop(*(n for n, _ in _FOUND))
-    width = aligner(a_file, b_file).width
-    tallies = materialise(docs.select(text).mapInArrow(_tally(a_file, b_file), "pair long, n long"), "pair-tallies")
-    by_a = tallies.select("pair").distinct().groupBy(F.expr(f"pair div {width}").alias("a")).count().orderBy("a").toArrow()  # at most as many rows as A has ids
+    keep = docs.columns if keep is None else keep
+    of = aligner(a_file, b_file)
+    types = lambda columns: [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in columns]
+    aligned = docs.mapInArrow(_align(a_file, b_file, text, keep), ", ".join([*types(keep), "_tokens binary, _marks binary, _pair long, _n long"]))
+    aligned = materialise(aligned, "aligned-tokens")
+    tallies = aligned.where("_pair is not null").select(F.col("_pair").alias("pair"), F.col("_n").alias("n"))
+    by_a = tallies.select("pair").distinct().groupBy(F.expr(f"pair div {of.width}").alias("a")).count().orderBy("a").toArrow()  # at most as many rows as A has ids
     ranges, low, held = [], 0, 0
     for a, n in zip(by_a.column("a").to_pylist(), by_a.column("count").to_pylist()):
         if held and held + n > max_pairs:
@@ -470,12 +540,12 @@ def align_tokens(docs: DataFrame, a_file: str, b_file: str, text: str = "text",
             low, held = a, 0
         held += n
     ranges.append((low, max([low, *by_a.column("a").to_pylist()]) + 1))
-    types = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    out = docs
+    out = aligned.where("_pair is null").select(*keep, "_tokens", "_marks")
     for i, (low, high) in enumerate(ranges):
-        schema = types(docs) + ", " + ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in _FOUND)
-        out = out.mapInArrow(_look_up(a_file, b_file, text, pair_table(tallies, low, high, width), i > 0), schema)
-        if i + 1 < len(ranges):
+        last = i + 1 == len(ranges)
+        more = [f"{n} {'string' if t == pa.string() else 'long'}" for n, t in _FOUND] if last else ["_tokens binary, _marks binary", *(f"{n} long" for n in _SUMS)]
+        out = out.mapInArrow(_look_up(of.a_size, of.b_size, pair_table(tallies, low, high, of.width), keep, i == 0, last), ", ".join([*types(keep), *more]))
+        if not last:
             out = materialise(out, "aligned")  # each range's table is held by the tasks of one pass only
     return out
 
@@ -484,6 +554,6 @@ def op12_pair_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
