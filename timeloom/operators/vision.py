@@ -69,15 +69,25 @@ MATCH, LEAST_MATCH, TRACK_GAP_MS = (0.55, 0.25, 0.20), 0.48, 2000
 
 def match_score(a: dict, b: dict) -> float:
     """How well two faces match: overlap of boxes, closeness of centres against the boxes' mean side, likeness of appearance
-    (a half where one is unknown)."""
+    (a half where one is unknown). Of faces that can't reach LEAST_MATCH the appearance isn't looked at."""
     w = max(0, min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"]))
     h = max(0, min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"]))
     union = a["w"] * a["h"] + b["w"] * b["h"] - w * h
     far = math.hypot(a["x"] + a["w"] / 2 - b["x"] - b["w"] / 2, a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2) / max(1, (a["w"] + a["h"] + b["w"] + b["h"]) / 4)
+    place = MATCH[0] * (w * h / union if union > 0 else 0.0) + MATCH[1] * max(0.0, 1 - far)
+    if place + MATCH[2] < LEAST_MATCH:  # too far apart whatever they look like
+        return place
     u, v = a["appearance"], b["appearance"]
-    size = math.sqrt(sum(p * p for p in u) * sum(q * q for q in v)) if u and v and len(u) == len(v) else 0.0
+    size = math.sqrt(squares(a) * squares(b)) if u and v and len(u) == len(v) else 0.0
     like = max(0.0, min(1.0, sum(p * q for p, q in zip(u, v)) / size)) if size else 0.5
-    return MATCH[0] * (w * h / union if union > 0 else 0.0) + MATCH[1] * max(0.0, 1 - far) + MATCH[2] * like
+    return place + MATCH[2] * like
+
+
+def squares(face: dict) -> float:
+    """The sum of the squares of an appearance, which is kept with the face."""
+    if "squares" not in face:
+        face["squares"] = sum(p * p for p in face["appearance"])
+    return face["squares"]
 
 
 class FaceTracks:
@@ -99,13 +109,13 @@ class FaceTracks:
             track = self.opened
             self.opened += 1
         self.waiting[track] = face
-        yield face["video_id"], face["scene"], face["event_id"], track
+        yield face["video_id"], face["scene"], face["event_id"], track, t
 
 
 def face_tracks(detections: DataFrame) -> DataFrame:
-    """``video_id, scene, event_id, track`` of faces (``video_id, scene, event_id, t_ms, x, y, w, h, weight, appearance``), tracks numbered
+    """``video_id, scene, event_id, track, t_ms`` of faces (``video_id, scene, event_id, t_ms, x, y, w, h, weight, appearance``), tracks numbered
     from 0 in each scene. Spark partitions by scene and sorts; the table function sees one row after the other."""
-    of = F.udtf(FaceTracks, returnType="video_id long, scene long, event_id long, track int")
+    of = F.udtf(FaceTracks, returnType=f"video_id long, scene long, event_id long, track int, t_ms {detections.schema['t_ms'].dataType.simpleString()}")
     return of(detections.asTable().partitionBy("video_id", "scene").orderBy(F.col("t_ms"), F.desc("weight"), F.col("event_id")))
 
 
@@ -130,15 +140,13 @@ ft as (select video_id, scene, 0::bigint as n, null::bigint as event_id, null::i
 
 @query("win_face_tracking", f"with recursive {_FACES} select video_id, scene, event_id, track from ft where n > 0")
 def win_face_tracking(fx_samples, embeddings):
-    return face_tracks(faces(fx_samples, embeddings))
+    return face_tracks(faces(fx_samples, embeddings)).drop("t_ms")
 
 
 @query("udtf_face_tracks", f"with recursive {_FACES} select ft.video_id, ft.scene, track, count(*) as n, min(t_ms) as start_ms, max(t_ms) as end_ms from ft join o using (video_id, scene, n) where ft.n > 0 group by ft.video_id, ft.scene, track")
 def udtf_face_tracks(fx_samples, embeddings):
     """Tracks as a table: members and span of each."""
-    f = faces(fx_samples, embeddings)
-    t = face_tracks(f).join(f.select("event_id", "t_ms"), "event_id")
-    return t.groupBy("video_id", "scene", "track").agg(F.count("*").alias("n"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"))
+    return face_tracks(faces(fx_samples, embeddings)).groupBy("video_id", "scene", "track").agg(F.count("*").alias("n"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"))
 
 
 PROFILES = {"crowd": (0.5, 2), "dynamic": (0.8, 1), "static": (0.2, 3)}
