@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,35 @@ MISSING_MS, REACH, ZOOMS = 2000, 4, (1.0, 2.5)
 
 
 def folded(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Each group's rows, sorted, through ``f``."""
-    return df.groupBy(*keys).applyInArrow(lambda t: f(t.sort_by([(c, "ascending") for c in order])), schema)
+    """Each group's rows, sorted, through ``f``. Spark sorts and marks each group's first row; a task reads its groups one after the other in
+    shared batches, as a batch for each of many small groups costs far more than its fold. What is held is a batch and the group that it ends in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def group() -> pa.Table:
+            return f(pa.concat_tables(held).combine_chunks() if len(held) > 1 else held[0])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            first, t = np.flatnonzero(t.column("_nth").to_numpy() == 1).tolist(), t.drop_columns("_nth")
+            done = []
+            if not first:
+                held.append(t)
+                continue
+            if first[0]:
+                held.append(t.slice(0, first[0]))
+            for i, j in zip(first, [*first[1:], t.num_rows]):
+                if held:
+                    done.append(group())
+                held = [t.slice(i, j - i)]
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from group().to_batches()
+
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_nth", nth).mapInArrow(run, schema)
 
 
 def merged_anchors(face: DataFrame, body: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
