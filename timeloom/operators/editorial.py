@@ -212,21 +212,82 @@ def gen_refine_end(fx_words):
     return refine_ends(fx_words).select("video_id", "idx", "end_to")
 
 
+START_RULES, END_RULES = ("opens", "long_before", "no_pronoun", "no_connector"), ("closes", "long_after", "no_connector")
+
+
+def _mark(at: str, tests: tuple[str, ...]) -> Column:
+    """A time and what speaks for a boundary there as one number (the time shifted by four bits), null without a time."""
+    return F.shiftleft(F.col(at).cast("long"), 4).bitwiseOR(sum((F.when(F.col(t), 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0)).cast("long"))
+
+
+def boundary_moves(words: DataFrame, rounds: int) -> DataFrame:
+    """Each word as a boundary: ``video_id, idx, start_ms, end_ms, starts, ends``; ``starts[n]`` is the ``_mark`` of the start that its
+    own is after n moves of ``refine_ends``, up to ``rounds``; ``ends`` likewise. A move goes to a word that a frame of the video
+    reaches (an opening, a neighbour, the first), so that word's moves are carried from there: words are sorted once for starts
+    and once, backwards, for ends, and never joined. Times must not decrease with ``idx``."""
+    w = words.select("video_id", "idx", "start_ms", "end_ms", (F.col("prob_pct") < 60).alias("unsure"), C.sentence_final(F.col("word")).alias("closes"), C.first_token(F.col("word")).alias("_t"))
+    w = w.select("*", F.col("_t").isin(C.CONNECTORS).alias("connector"), F.col("_t").isin(C.FLOATING_PRONOUNS).alias("pronoun")).drop("_t")
+    by, back = by_idx(), Window.partitionBy("video_id").orderBy(F.desc("idx"))
+    before, before3, own = (by.rowsBetween(Window.unboundedPreceding, n) for n in (-1, -3, 0))
+    later = back.rowsBetween(Window.unboundedPreceding, 0)
+    w = w.withColumns({"_f": F.lag("closes").over(by), "_p": F.lag("end_ms").over(by), "_w": F.lag("start_ms").over(by), "_n": F.lead("start_ms").over(by), "_e": F.lead("end_ms").over(by), "_i": F.lead("idx").over(by)})
+    # openings and closings as in sentence_bounds, where only words with a time count
+    opening = F.coalesce(F.col("_f") | (F.col("start_ms") - F.col("_p") > 1200), F.lit(True)) & F.col("start_ms").isNotNull()
+    closing = (F.coalesce(F.col("closes") | (F.col("_n") - F.col("end_ms") > 1200), F.lit(True)) | F.col("_i").isNull()) & F.col("end_ms").isNotNull()
+    tests = {"opens": F.coalesce("_f", F.lit(True)), "long_before": F.col("start_ms") - F.col("_p") >= 400, "no_pronoun": ~F.col("pronoun"), "no_connector": ~F.col("connector"), "long_after": F.col("_n") - F.col("end_ms") >= 500}
+    w = w.withColumns(tests | {"_opening": opening, "_closing": closing})
+    w = w.select("video_id", "idx", "start_ms", "end_ms", "unsure", "closes", "connector", "pronoun", "_w", "_e", "_opening", "_closing", _mark("start_ms", START_RULES).alias("s0"), _mark("end_ms", END_RULES).alias("e0"))
+    for n in range(rounds):
+        mark = F.col(f"s{n}")
+        there = F.when(F.col("_opening"), mark)
+        # marks of: the opening of the word before, that of the word three before or else the first word, the word before
+        w = w.withColumns({"_1": F.last(there, True).over(before), "_3": F.last(there, True).over(before3), "_a": F.first(mark, True).over(own), "_0": F.lag(mark).over(by)})
+        if n == 0:
+            w = w.withColumn("_go", F.when(F.col("connector") & F.col("_1").isNotNull(), 1).when(F.col("pronoun") & F.col("_w").isNotNull(), 3).when(F.col("unsure") & F.col("_w").isNotNull(), 0))
+        w = w.withColumn(f"s{n + 1}", F.when(F.col("_go") == 1, F.col("_1")).when(F.col("_go") == 3, F.coalesce("_3", "_a")).when(F.col("_go") == 0, F.col("_0")).otherwise(mark)).drop("_0", "_1", "_3", "_a")
+    starts = [f"s{n}" for n in range(rounds + 1)]
+    w = w.select("video_id", "idx", "start_ms", "end_ms", "unsure", "closes", "_e", "_closing", *starts, "e0")
+    for n in range(rounds):
+        mark = F.col(f"e{n}")
+        w = w.withColumns({"_1": F.last(F.when(F.col("_closing"), mark), True).over(later), "_0": F.lag(mark).over(back)})
+        if n == 0:
+            far = F.shiftright("_1", 4) - F.col("end_ms")
+            w = w.withColumn("_go", F.when(~F.col("closes") & (far > 0) & (far <= 8000), 1).when(F.col("unsure") & F.col("closes") & F.col("_e").isNotNull(), 0))
+        w = w.withColumn(f"e{n + 1}", F.when(F.col("_go") == 1, F.col("_1")).when(F.col("_go") == 0, F.col("_0")).otherwise(mark)).drop("_0", "_1")
+    return w.select("video_id", "idx", "start_ms", "end_ms", F.array(*starts).alias("starts"), F.array(*[f"e{n}" for n in range(rounds + 1)]).alias("ends"))
+
+
 def refine_boundaries(clips: DataFrame, words: DataFrame, rounds: int = 3, good: float = 0.85, gain: float = 0.02) -> DataFrame:
     """Up to ``rounds`` passes that move a clip's ends as ``refine_ends`` says; a clip stops when its boundary confidence
-    is good or a pass after the first gains too little. The passes are unrolled: nothing is looped over on the driver."""
-    r = refine_ends(words).withColumns({"cs": start_confidence(False), "ce": end_confidence(False)})
-    # written, as each is joined in every round; of words that begin (or end) at one time the first counts
-    starts = materialise(r.groupBy("video_id", F.col("start_ms").alias("s")).agg(F.min_by(F.struct(F.col("start_to").alias("s_to"), "cs"), "idx").alias("x")).select("video_id", "s", "x.*"), "starts")
-    ends = materialise(r.groupBy("video_id", F.col("end_ms").alias("e")).agg(F.min_by(F.struct(F.col("end_to").alias("e_to"), "ce"), "idx").alias("x")).select("video_id", "e", "x.*"), "ends")
-    c = clips.withColumns({"s": F.col("start_ms"), "e": F.col("end_ms"), "done": F.lit(False), "rounds": F.lit(0), "conf": F.lit(0.0)})
-    keys = clips.columns
+    is good or a pass after the first gains too little. A word knows all its moves (``boundary_moves``), so the few that begin or end
+    where a clip does are kept, and the passes are unrolled on clips alone; words stay where they are. Of words that begin (or end)
+    at one time the first counts; a moved end stays with the word that it moved to."""
+    keys, c = clips.columns, F.col
+
+    def sides(*more: str) -> Column:
+        """Start and end as rows of their own: ``side, at`` and ``moves``."""
+        return F.explode(F.array(*[F.struct(F.lit(k).alias("side"), c(at).alias("at"), *[c(m).alias("moves") for m in more[k : k + 1]]) for k, at in enumerate(("start_ms", "end_ms"))])).alias("x")
+
+    # written, as they are read three times: for the times of starts and of ends, and to be moved
+    l = materialise(clips.withColumn("_row", F.monotonically_increasing_id()), "clips")
+    r = boundary_moves(words, rounds)
+    for at in ("start_ms", "end_ms"):
+        r = r.join(l.select("video_id", at, F.lit(True).alias(f"_{at}")).distinct().hint("shuffle_hash"), ["video_id", at], "left")
+    r = r.where("_start_ms or _end_ms").select("video_id", "idx", sides("starts", "ends")).select("video_id", "idx", "x.*")
+    j = l.select(*keys, "_row", sides()).select(*keys, "_row", "x.*").hint("shuffle_hash").join(r, ["video_id", "side", "at"], "left")
+    moves = lambda k: F.min_by(F.when(c("side") == k, c("moves")), F.when(c("side") == k, c("idx")))
+    j = j.groupBy("video_id", "_row").agg(*[F.first(k).alias(k) for k in keys if k != "video_id"], moves(0).alias("_s"), moves(1).alias("_e"))
+    j = j.withColumns({"s": c("start_ms"), "e": c("end_ms"), "done": F.lit(False), "rounds": F.lit(0), "conf": F.lit(0.0)})
+    holds = lambda mark, i: mark.bitwiseAND(F.lit(1 << i)) > 0
     for n in range(rounds):
-        j = c.join(starts, ["video_id", "s"], "left").join(ends, ["video_id", "e"], "left")
-        conf = (F.coalesce("cs", F.lit(0.5)) * 0.45 + F.coalesce("ce", F.lit(0.5)) * 0.55).alias("conf")
-        done = F.col("done") | (conf >= good) | ((F.lit(n) > 1) & (conf - F.col("conf") < gain))
-        c = j.select(*keys, F.when(done, F.col("s")).otherwise(F.coalesce("s_to", "s")).alias("s"), F.when(done, F.col("e")).otherwise(F.coalesce("e_to", "e")).alias("e"), done.alias("done"), (F.col("rounds") + F.when(done, 0).otherwise(1)).alias("rounds"), conf)
-    return c
+        s, e = c("_s")[n], c("_e")[n]
+        sure = _points(*[(holds(s, i), yes, 0.0) for i, yes in enumerate((0.25, 0.20, 0.15, 0.10))]), _points(*[(holds(e, i), yes, 0.0) for i, yes in enumerate((0.30, 0.20, 0.10))])
+        # where no word begins (or ends) it stays 0.5; a clip that is done keeps its ends, so their confidence stays too
+        j = j.withColumn("_now", F.when(c("done"), c("conf")).otherwise(sure[0] * 0.45 + sure[1] * 0.55))
+        j = j.withColumn("done", c("done") | (c("_now") >= good) | ((F.lit(n) > 1) & (c("_now") - c("conf") < gain)))
+        moved = lambda end, marks: F.when(c("done"), c(end)).otherwise(F.coalesce(F.shiftright(c(marks)[n + 1], 4), end))
+        j = j.withColumns({"s": moved("s", "_s"), "e": moved("e", "_e"), "rounds": c("rounds") + F.when(c("done"), 0).otherwise(1), "conf": c("_now")})
+    return j.select(*keys, "s", "e", "done", "rounds", "conf")
 
 
 def _refine_sql(rounds: int = 3) -> str:
